@@ -1,3 +1,10 @@
-from keyweave.catalog import sync_queries, update_queries
+from keyweave.catalog import batch_queries, coverage_queries, sync_queries, table_queries, term_queries, update_queries
 
-QUERIES = {**sync_queries.QUERIES, **update_queries.QUERIES}
+QUERIES = {
+    **sync_queries.QUERIES,
+    **update_queries.QUERIES,
+    **coverage_queries.QUERIES,
+    **term_queries.QUERIES,
+    **table_queries.QUERIES,
+    **batch_queries.QUERIES,
+}

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import is_blank
@@ -36,6 +36,7 @@ def _write_cells(
     place: Sequence[str],
     fill_blank_only: bool,
     allow_blank_write: bool,
+    only: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Join the index to the rows and write each cell the rules allow; every write counts."""
     joined = left_join_unique(with_identity(rows, columns.key, columns.match), index, [ID], place)
@@ -43,6 +44,8 @@ def _write_cells(
     for i, name in enumerate(columns.values):
         new, old = F.col(f"_new_{i}"), nullable_text_of(rows, name)
         write = new.isNotNull()
+        if only:
+            write = write & only[name]
         if not allow_blank_write:
             write = write & ~is_blank(new)
         if fill_blank_only:
@@ -65,16 +68,18 @@ def sync_multi(
     master_order: Sequence[str],
     fill_blank_only: bool = False,
     allow_blank_write: bool = False,
+    only: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Master values into the target rows of the same identity, cell by cell.
 
     Returns the whole target table with ``cells_written`` per row.  ``target_place`` names
-    the columns that tell target rows apart (file and row).
+    the columns that tell target rows apart (file and row).  ``only`` restricts the rows in
+    which a value column is written.
     """
     if len(target.values) != len(source.values) or not target.values:
         raise ValueError("target and master need the same number of value columns, at least one")
     index = master_index(master, source, master_order)
-    return _write_cells(targets, index, target, target_place, fill_blank_only, allow_blank_write)
+    return _write_cells(targets, index, target, target_place, fill_blank_only, allow_blank_write, only)
 
 
 def sync_single(
