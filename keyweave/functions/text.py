@@ -23,12 +23,22 @@ SEPARATOR = "|"
 
 
 def _float_text(value: Column) -> Column:
-    """Text of a floating point number in positional form from 1e-4 up to 1e16."""
+    """Text of a floating point number in positional form from 1e-4 up to 1e16.
+
+    The JVM may print one digit more than it takes to tell a number apart, so a long text
+    is tried with 15 and with 16 digits first.
+    """
     plain = value.cast("string")
-    form = r"^(-?)(\d)\.(\d+)E(-?\d+)$"
-    sign, lead = F.regexp_extract(plain, form, 1), F.regexp_extract(plain, form, 2)
-    fraction = F.regexp_replace(F.regexp_extract(plain, form, 3), "0+$", "")
-    exponent = F.regexp_extract(plain, form, 4).try_cast("int")
+    short, middle, full = (F.format_string(f"%.{n}e", value) for n in (14, 15, 16))
+    shortest = (
+        F.when(short.cast("double") == value, short)
+        .when(middle.cast("double") == value, middle)
+        .otherwise(full)
+    )
+    form = r"^(-?)(\d)\.(\d+)e([+-]\d+)$"
+    sign, lead = F.regexp_extract(shortest, form, 1), F.regexp_extract(shortest, form, 2)
+    fraction = F.regexp_replace(F.regexp_extract(shortest, form, 3), "0+$", "")
+    exponent = F.regexp_extract(shortest, form, 4).try_cast("int")
     digits = F.concat(lead, fraction)
     whole = F.concat(
         F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0")),
@@ -36,11 +46,12 @@ def _float_text(value: Column) -> Column:
         F.when(F.length(digits) > exponent + 1, F.substring(digits, exponent + 2, F.length(digits))).otherwise("0"),
     )
     small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    power = F.abs(exponent).cast("string")
     scientific = F.concat(
         lead,
         F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""),
         F.when(exponent < 0, F.lit("e-")).otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
+        F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")),
     )
     rewritten = F.concat(
         sign,
@@ -52,7 +63,7 @@ def _float_text(value: Column) -> Column:
         F.when(F.isnan(value), F.lit("nan"))
         .when(plain == "Infinity", F.lit("inf"))
         .when(plain == "-Infinity", F.lit("-inf"))
-        .when(plain.contains("E"), rewritten)
+        .when(plain.contains("E") | (F.length(plain) > 16), rewritten)
         .otherwise(plain)
     )
 
