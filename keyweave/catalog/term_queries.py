@@ -240,11 +240,16 @@ class Binding:
 
     def summary(self, spark: SparkSession, folder: str) -> DataFrame:
         parts = self.parts(spark, folder)
-        return T.terms_summary(T.terms(parts, self.config.thresholds), T.file_lists(parts), T.key_lists(parts))
+        known = T.terms(parts, self.config.thresholds)
+        largest = T.most_occurrences(known)
+        return T.terms_summary(
+            known, T.file_lists(parts, largest=largest), T.key_lists(parts, largest=largest)
+        )
 
     def cross(self, spark: SparkSession, folder: str) -> DataFrame:
         parts = self.parts(spark, folder)
-        return R.cross_file_terms(T.terms(parts, self.config.thresholds), T.file_lists(parts))
+        known = T.terms(parts, self.config.thresholds)
+        return R.cross_file_terms(known, T.file_lists(parts, largest=T.most_occurrences(known)))
 
     def groups(self, spark: SparkSession, folder: str) -> DataFrame:
         found = self.found(spark, folder)

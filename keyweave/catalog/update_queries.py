@@ -227,13 +227,13 @@ SELECT {_ALL} FROM ({_overwrite_sql(["name", "size", "supplier"]).replace("FROM
 def _unmatched(spark: SparkSession, folder: str) -> DataFrame:
     return U.unmatched_report(
         master(spark, folder),
-        U.sparse_candidates(sources(spark, folder), LAYOUT, COMBINED_KEY, ORDER, "file"),
+        U.sparse_candidates(sources(spark, folder), LAYOUT, ORDER, "file"),
         LAYOUT,
     )
 
 
 def _sparse_master(spark: SparkSession, folder: str) -> DataFrame:
-    candidates = U.sparse_candidates(sources(spark, folder), LAYOUT, COMBINED_KEY, ORDER, "file")
+    candidates = U.sparse_candidates(sources(spark, folder), LAYOUT, ORDER, "file")
     return U.overwrite_cells(master(spark, folder), candidates, LAYOUT, COMBINED_KEY, "row_nr").drop(
         *U.CELL_COUNTS
     )

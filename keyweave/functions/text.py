@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
 
+# Any other character; visible ASCII is tried first because it is a plain range.
+_NON_SPACE = f"[!-~]|[^{SPACE_CLASS}]"
+
 SEPARATOR = "|"
 
 
@@ -104,7 +107,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """NULL, or white space only.  Stops at the first other character."""
-    return text.isNull() | ~text.rlike(f"[^{SPACE_CLASS}]")
+    return text.isNull() | ~text.rlike(_NON_SPACE)
 
 
 def same_value(old: Column, new: Column) -> Column:
@@ -116,13 +119,12 @@ def same_value(old: Column, new: Column) -> Column:
 
 
 def combined_identity(key: Column, match: Column) -> Column:
-    """``key|match`` of the stripped parts, NULL unless both parts hold text."""
-    key, match = strip(key), strip(match)
+    """``key|match`` of two stripped parts, NULL unless both parts hold text."""
     return F.when((key != "") & (match != ""), F.concat(key, F.lit(SEPARATOR), match))
 
 
 def key_identity(key: Column) -> Column:
-    key = strip(key)
+    """The stripped key, NULL if it is empty."""
     return F.when(key != "", key)
 
 

@@ -1,7 +1,7 @@
 """Which row, or which cell, wins when several rows have one identity.
 
 The order of rows is always explicit: a list of columns, compared from left to right.
-Each function is one aggregate, so rows of a frequent identity are reduced before the
+The rows given must have an identity.  Each function is one aggregate, so rows of a frequent identity are reduced before the
 shuffle and none of them is gathered.
 """
 
@@ -23,8 +23,7 @@ def position(order: Sequence[str]) -> Column:
 def last_rows(rows: DataFrame, identity: str, cells: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The last whole row of every identity, blank cells included."""
     return (
-        rows.filter(F.col(identity).isNotNull())
-        .groupBy(identity)
+        rows.groupBy(identity)
         .agg(F.max_by(F.struct(*cells), position(order)).alias("_cells"))
         .select(identity, "_cells.*")
     )
@@ -35,8 +34,7 @@ def last_rows_first_seen(
 ) -> DataFrame:
     """As ``last_rows``, with the place where the identity was first seen."""
     return (
-        rows.filter(F.col(identity).isNotNull())
-        .groupBy(identity)
+        rows.groupBy(identity)
         .agg(
             F.max_by(F.struct(*cells), position(order)).alias("_cells"),
             F.min(position(order)).alias(seen),
@@ -50,8 +48,7 @@ def first_rows(
 ) -> DataFrame:
     """The first whole row of every identity and its place."""
     return (
-        rows.filter(F.col(identity).isNotNull())
-        .groupBy(identity)
+        rows.groupBy(identity)
         .agg(
             F.min_by(F.struct(*cells), position(order)).alias("_cells"),
             F.min(position(order)).alias(seen),
@@ -73,8 +70,7 @@ def first_cell(cell: str, order: Sequence[str]) -> Column:
 def last_cells(rows: DataFrame, identity: str, cells: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per cell, the last non-blank value of every identity."""
     return (
-        rows.filter(F.col(identity).isNotNull())
-        .groupBy(identity)
+        rows.groupBy(identity)
         .agg(*(last_cell(c, order).alias(c) for c in cells))
     )
 
@@ -82,7 +78,6 @@ def last_cells(rows: DataFrame, identity: str, cells: Sequence[str], order: Sequ
 def first_cells(rows: DataFrame, identity: str, cells: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Per cell, the first non-blank value of every identity."""
     return (
-        rows.filter(F.col(identity).isNotNull())
-        .groupBy(identity)
+        rows.groupBy(identity)
         .agg(*(first_cell(c, order).alias(c) for c in cells))
     )

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyweave.functions.text import dedup_key, split_affix
 from keyweave.operators.joins import inner_join_unique
-from keyweave.operators.lists import COUNT, LIST, PART, first_cell_of, list_cells
+from keyweave.operators.lists import COUNT, ITEMS_PER_CELL, LIST, PART, first_cell_of, largest_group, list_cells
 from keyweave.operators.terms import BODY, SUFFIX, TERM, normal_form
 from keyweave.plans.term_config import TermConfig
 from keyweave.session import materialize
@@ -87,7 +87,8 @@ def affix_pairs(found: DataFrame, known: DataFrame, config: TermConfig) -> DataF
 def _anchored(pairs: DataFrame, anchor: str, other: str, role: str, delimiters: Sequence[str], **options):
     """The partners of every anchor, and the list rows that did not fit the first cell."""
     by = [f"{anchor}_key", f"{anchor}_term"]
-    lists = list_cells(pairs.select(*by, f"{other}_term"), by, f"{other}_term", **options)
+    largest = largest_group(pairs, by, options.get("items_per_cell", ITEMS_PER_CELL))
+    lists = list_cells(pairs.select(*by, f"{other}_term"), by, f"{other}_term", largest=largest, **options)
     flags = [f"_delimiter_{i}" for i in range(len(delimiters))]
     totals = pairs.groupBy(*by).agg(F.sum("evidence").alias("evidence"), *(F.max(f).alias(f) for f in flags))
     used = F.array_compact(F.array(*(F.when(F.col(f) == 1, d) for f, d in zip(flags, delimiters))))

@@ -8,7 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import cell_text, combined_identity, key_identity, strip, text_or_empty
+from keyweave.functions.text import (
+    SEPARATOR,
+    cell_text,
+    combined_identity,
+    is_blank,
+    key_identity,
+    strip,
+    text_or_empty,
+)
 
 ID = "_id"
 
@@ -70,11 +78,32 @@ def nullable_text_of(df: DataFrame, name: str):
 
 
 def with_identity(df: DataFrame, key: str, match: str | None, row_key: str = COMBINED_KEY) -> DataFrame:
+    """All rows with their identity, NULL where there is none.
+
+    The parts are stripped once, in a step of their own.
+    """
+    _check(row_key)
     if row_key == KEY_ONLY:
-        return df.withColumn(ID, key_identity(text_of(df, key)))
-    if row_key != COMBINED_KEY:
-        raise ValueError(f"Unsupported row_key_policy: {row_key}")
-    return df.withColumn(ID, combined_identity(text_of(df, key), text_of(df, match)))
+        stripped = df.withColumn("_key_part", strip(text_of(df, key)))
+        return stripped.withColumn(ID, key_identity(F.col("_key_part"))).drop("_key_part")
+    stripped = df.withColumns({"_key_part": strip(text_of(df, key)), "_match_part": strip(text_of(df, match))})
+    identity = combined_identity(F.col("_key_part"), F.col("_match_part"))
+    return stripped.withColumn(ID, identity).drop("_key_part", "_match_part")
+
+
+def identified_rows(df: DataFrame, key: str, match: str | None, row_key: str = COMBINED_KEY) -> DataFrame:
+    """The rows that have an identity.
+
+    They are chosen by a test of the parts that stops at the first visible character, so
+    only the rows that stay are stripped.
+    """
+    _check(row_key)
+    parts = [key] if row_key == KEY_ONLY else [key, match]
+    rows = df
+    for part in parts:
+        rows = rows.filter(~is_blank(text_of(df, part)))
+    texts = [strip(text_of(df, part)) for part in parts]
+    return rows.withColumn(ID, texts[0] if row_key == KEY_ONLY else F.concat(texts[0], F.lit(SEPARATOR), texts[1]))
 
 
 def source_cells(sources: DataFrame, layout: Layout, row_key: str, keep: Sequence[str]) -> DataFrame:
@@ -85,8 +114,9 @@ def source_cells(sources: DataFrame, layout: Layout, row_key: str, keep: Sequenc
     for name in layout.cells:
         text = text_of(sources, name) if name in present else F.lit("")
         cells.append((text if name in content else strip(text)).alias(name))
-    return (
-        with_identity(sources, layout.key, layout.match, row_key)
-        .filter(F.col(ID).isNotNull())
-        .select(*keep, ID, *cells)
-    )
+    return identified_rows(sources, layout.key, layout.match, row_key).select(*keep, ID, *cells)
+
+
+def _check(row_key: str) -> None:
+    if row_key not in (COMBINED_KEY, KEY_ONLY):
+        raise ValueError(f"Unsupported row_key_policy: {row_key}")

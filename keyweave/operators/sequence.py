@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.session import materialize
@@ -22,20 +22,15 @@ def numbered(
     name: str,
     *,
     start: int = 1,
-    unnest: Column | None = None,
-    unnest_as: Sequence[str] = (),
     label: str = "numbered",
 ) -> DataFrame:
     """``rows`` with ``name`` = start, start+1, ... in the order of the given columns.
 
     The table is sorted by range, and every row is written with its place within its
     partition; only the row count of each partition comes back to the driver, and the
-    counts are summed to the offset of each partition.  With ``unnest``, a generator, each
-    row is expanded after the sort and the generated rows are numbered.
+    counts are summed to the offset of each partition.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    if unnest is not None:
-        placed = placed.select("*", unnest.alias(*unnest_as))
     stored = materialize(placed.withColumn(_SLOT, F.monotonically_increasing_id()), label)
 
     part = F.shiftright(F.col(_SLOT), _ROW_BITS).cast("int")

@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from keyweave.functions.text import is_blank
 from keyweave.functions.winners import last_rows, position
 from keyweave.operators.joins import left_join_unique
-from keyweave.operators.rows import ID, SyncColumns, nullable_text_of, text_of, with_identity
+from keyweave.operators.rows import (
+    ID,
+    SyncColumns,
+    identified_rows,
+    nullable_text_of,
+    text_of,
+    with_identity,
+)
 
 WRITTEN = "cells_written"
 
@@ -25,7 +32,7 @@ def master_index(master: DataFrame, columns: SyncColumns, order: Sequence[str])
         (text_of(master, name) if name in present else F.lit("")).alias(f"_new_{i}")
         for i, name in enumerate(columns.values)
     ]
-    rows = with_identity(master, columns.key, columns.match).select(ID, *order, *values)
+    rows = identified_rows(master, columns.key, columns.match).select(ID, *order, *values)
     return last_rows(rows, ID, [f"_new_{i}" for i in range(len(values))], order)
 
 
@@ -102,16 +109,12 @@ def target_winners(
 
     Blank values are left out *before* the winner is chosen unless they may be written.
     """
-    rows = with_identity(targets, columns.key, columns.match).select(
+    rows = identified_rows(targets, columns.key, columns.match).select(
         ID, *order, text_of(targets, columns.values[0]).alias("_new_0")
     )
     if not allow_blank_write:
         rows = rows.filter(~is_blank(F.col("_new_0")))
-    return (
-        rows.filter(F.col(ID).isNotNull())
-        .groupBy(ID)
-        .agg(F.max_by("_new_0", position(order)).alias("_new_0"))
-    )
+    return rows.groupBy(ID).agg(F.max_by("_new_0", position(order)).alias("_new_0"))
 
 
 def sync_reverse(

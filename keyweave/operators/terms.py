@@ -110,6 +110,11 @@ TERM_COLUMNS = [
 ]
 
 
+def most_occurrences(known: DataFrame) -> int:
+    """Occurrences of the most frequent term: no term has more files or keys than that."""
+    return known.agg(F.max("occurrences_count")).first()[0] or 0
+
+
 def file_lists(parts: DataFrame, **options) -> DataFrame:
     """The sorted files of every term."""
     return list_cells(parts.select(*TERM, "file").distinct(), TERM, "file", **options)

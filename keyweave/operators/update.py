@@ -14,10 +14,20 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import is_blank, same_value, strip
+from keyweave.functions.text import is_blank, same_value
 from keyweave.functions.winners import first_rows, last_cell, last_rows_first_seen, position
 from keyweave.operators.joins import left_join_unique
-from keyweave.operators.rows import COMBINED_KEY, ID, KEY_ONLY, Layout, nullable_text_of, source_cells, text_of, with_identity
+from keyweave.operators.rows import (
+    COMBINED_KEY,
+    ID,
+    KEY_ONLY,
+    Layout,
+    identified_rows,
+    nullable_text_of,
+    source_cells,
+    text_of,
+    with_identity,
+)
 from keyweave.operators.sequence import numbered
 
 UPDATED, FILLED, OVERWRITTEN = "_updated", "_filled", "_overwritten"
@@ -54,23 +64,21 @@ def dense_candidates(sources: DataFrame, layout: Layout, row_key: str, order: Se
     return last_rows_first_seen(cells, ID, layout.cells, order, SEEN)
 
 
-def sparse_candidates(
-    sources: DataFrame, layout: Layout, row_key: str, order: Sequence[str], file: str
-) -> DataFrame:
-    """Per cell the last non-blank text of every identity; NULL cells were never touched.
+def sparse_candidates(sources: DataFrame, layout: Layout, order: Sequence[str], file: str) -> DataFrame:
+    """Per cell the last non-blank text of every key and match; NULL cells were never touched.
 
     ``_report`` is the file, key and match of the row that last touched a cell, or of the
     first row of the identity if none did.
     """
-    content = layout.content(row_key)
+    content = layout.content(COMBINED_KEY)
     keep = list(dict.fromkeys([*order, file]))
-    cells = source_cells(sources, layout, row_key, keep)
+    cells = source_cells(sources, layout, COMBINED_KEY, keep)
     place = position(order)
     touched = reduce(lambda a, b: a | b, [~is_blank(F.col(c)) for c in content], F.lit(False))
     origin = F.struct(
         F.col(file).cast("string").alias("file"),
-        strip(F.col(layout.key)).alias("key"),
-        strip(F.col(layout.match)).alias("match"),
+        F.col(layout.key).alias("key"),
+        F.col(layout.match).alias("match"),
     )
     return (
         cells.withColumn("_origin", origin)
@@ -88,8 +96,7 @@ def sparse_candidates(
 
 def master_identities(master: DataFrame, layout: Layout, row_key: str) -> DataFrame:
     """The distinct identities of the master."""
-    rows = with_identity(master, layout.key, layout.match, row_key)
-    return rows.filter(F.col(ID).isNotNull()).select(ID).distinct()
+    return identified_rows(master, layout.key, layout.match, row_key).select(ID).distinct()
 
 
 def overwrite_cells(

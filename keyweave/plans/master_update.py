@@ -102,9 +102,7 @@ def update_content(
     master: DataFrame, sources: DataFrame, layout: Layout, *, row: str, order: Sequence[str], file: str
 ) -> MasterUpdate:
     """Sparse: the last non-blank text of each cell, for identities the master has."""
-    candidates = materialize(
-        U.sparse_candidates(sources, layout, COMBINED_KEY, order, file), "sparse-candidates"
-    )
+    candidates = materialize(U.sparse_candidates(sources, layout, order, file), "sparse-candidates")
     updated = U.overwrite_cells(master, candidates, layout, COMBINED_KEY, row)
     unmatched = U.unmatched_report(master, candidates, layout, COMBINED_KEY)
     return MasterUpdate(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -11,25 +10,8 @@ from pyspark.sql import functions as F
 from keyweave.operators import relations as R
 from keyweave.operators import terms as T
 from keyweave.operators.candidates import candidates, version_counts, with_candidate_ids
-from keyweave.operators.lists import LIST, PART, further_cells_of
+from keyweave.operators.lists import ITEMS_PER_CELL, LIST, PART, further_cells_of
 from keyweave.plans.term_config import TermConfig
-from keyweave.session import materialize
-
-
-@dataclass(frozen=True)
-class MinedTerms:
-    """The four reports, the counts of the run, and list texts beyond the first cell.
-
-    ``further_lists`` (list_of, owner, items_part, items_list) continues the lists of a term
-    or anchor with more items than one cell takes; it is empty otherwise.
-    """
-
-    terms_summary: DataFrame
-    relations_summary: DataFrame
-    review: DataFrame
-    details: DataFrame
-    summary: DataFrame
-    further_lists: DataFrame
 
 
 SUMMARY = (
@@ -89,44 +71,105 @@ def run_summary(
     return reduce(DataFrame.unionByName, rows).agg(*(F.sum(n).alias(n) for n in SUMMARY))
 
 
-def mine_terms(
-    cells: DataFrame,
-    config: TermConfig,
-    *,
-    path: str,
-    row: str,
-    file: str | None = None,
-    sheet: str | None = None,
-    files_failed: int = 0,
-    files_read: int | None = None,
-    **list_options,
-) -> MinedTerms:
-    """Extract, normalise, split, group and relate the terms of a cell table."""
-    extracted = candidates(
-        cells, config.rules, path=path, row=row, file=file, sheet=sheet, versions=config.versions
-    )
-    # Stored once and read four times; each reader takes only the columns it needs.
-    found = with_candidate_ids(extracted)
-    parts = T.components(found, config)
-    known = T.terms(parts, config.thresholds, ["candidate_seq"])
-    files, keys = T.file_lists(parts, **list_options), T.key_lists(parts, **list_options)
-    summary = T.terms_summary(known, files, keys)
-    review = T.review_items(known)
-    pairs = R.affix_pairs(found, known, config)
-    groups, further = R.affix_groups(pairs, config.affix_delimiters, **list_options)
-    relations = materialize(R.relations_summary(R.cross_file_terms(known, files), groups), "relations")
-    for lists, name in ((files, "files"), (keys, "keys")):
-        more = T.inner_join_unique(further_cells_of(lists), known.select(*T.TERM, "term_id"), T.TERM)
-        further = further.unionByName(
-            more.select(F.lit(name).alias("list_of"), F.col("term_id").alias("owner"), PART, LIST)
+class MinedTerms:
+    """The reports of one terminology run.
+
+    Candidates, terms and affix pairs are stored the first time a report needs them, and
+    every report reads the columns it needs from these tables.
+    """
+
+    def __init__(
+        self,
+        cells: DataFrame,
+        config: TermConfig,
+        *,
+        path: str,
+        row: str,
+        file: str | None = None,
+        sheet: str | None = None,
+        files_failed: int = 0,
+        files_read: int | None = None,
+        items_per_cell: int = ITEMS_PER_CELL,
+    ):
+        self._cells, self._config, self._path = cells, config, path
+        self._files_failed, self._files_read = files_failed, files_read
+        self._items_per_cell = items_per_cell
+        # Built at once, so that a missing column is reported before anything runs.
+        self._extracted = candidates(
+            cells, config.rules, path=path, row=row, file=file, sheet=sheet, versions=config.versions
         )
-    return MinedTerms(
-        summary,
-        relations.orderBy("relation_type", "affix_role", "affix_anchor_term", "affix_related_list", "cross_term"),
-        review,
-        T.term_details(parts, known),
-        run_summary(
-            cells, config, found, known, relations, review, path=path, files_failed=files_failed, files_read=files_read
-        ),
-        further,
-    )
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return with_candidate_ids(self._extracted)
+
+    @cached_property
+    def _parts(self) -> DataFrame:
+        return T.components(self.candidates, self._config)
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return T.terms(self._parts, self._config.thresholds, ["candidate_seq"])
+
+    @cached_property
+    def _list_options(self) -> dict[str, int]:
+        return {"largest": T.most_occurrences(self.terms), "items_per_cell": self._items_per_cell}
+
+    @cached_property
+    def _files(self) -> DataFrame:
+        return T.file_lists(self._parts, **self._list_options)
+
+    @cached_property
+    def _keys(self) -> DataFrame:
+        return T.key_lists(self._parts, **self._list_options)
+
+    @cached_property
+    def _groups(self) -> tuple[DataFrame, DataFrame]:
+        pairs = R.affix_pairs(self.candidates, self.terms, self._config)
+        return R.affix_groups(pairs, self._config.affix_delimiters, items_per_cell=self._items_per_cell)
+
+    @cached_property
+    def terms_summary(self) -> DataFrame:
+        return T.terms_summary(self.terms, self._files, self._keys)
+
+    @cached_property
+    def relations_summary(self) -> DataFrame:
+        return R.relations_summary(R.cross_file_terms(self.terms, self._files), self._groups[0])
+
+    @cached_property
+    def review(self) -> DataFrame:
+        return T.review_items(self.terms)
+
+    @cached_property
+    def details(self) -> DataFrame:
+        return T.term_details(self._parts, self.terms)
+
+    @cached_property
+    def further_lists(self) -> DataFrame:
+        """(list_of, owner, items_part, items_list): lists beyond their first cell; mostly empty."""
+        further = self._groups[1]
+        for lists, name in ((self._files, "files"), (self._keys, "keys")):
+            more = further_cells_of(lists).join(self.terms.select(*T.TERM, "term_id"), T.TERM)
+            further = further.unionByName(
+                more.select(F.lit(name).alias("list_of"), F.col("term_id").alias("owner"), PART, LIST)
+            )
+        return further
+
+    @cached_property
+    def summary(self) -> DataFrame:
+        return run_summary(
+            self._cells,
+            self._config,
+            self.candidates,
+            self.terms,
+            self.relations_summary,
+            self.review,
+            path=self._path,
+            files_failed=self._files_failed,
+            files_read=self._files_read,
+        )
+
+
+def mine_terms(cells: DataFrame, config: TermConfig, **options) -> MinedTerms:
+    """Extract, normalise, split, group and relate the terms of a cell table."""
+    return MinedTerms(cells, config, **options)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyweave.functions import text as X
+from keyweave.operators.rows import ID, KEY_ONLY, with_identity
 
 ODD = ["", " ", "a", " x　", "\x1c\x1fk\x85", "​z​", "tab\tin", " a  b ", "﻿", "᠎", "é ñ", "nan", "NaN ", "0", "𝒳 𝒴", " l "]
 
@@ -43,9 +44,8 @@ def test_same_value(spark):
 def test_identity_is_a_concatenation(spark):
     pairs = [("K", "M"), (" K ", " M"), ("a|b", "c"), ("a", "b|c"), ("", "M"), ("K", "  "), (None, "M")]
     df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "nr int, k string, m string")
-    got = results(df, X.combined_identity(F.col("k"), F.col("m")))
-    assert got == ["K|M", "K|M", "a|b|c", "a|b|c", None, None, None]
-    assert results(df, X.key_identity(F.col("k"))) == ["K", "K", "a|b", "a", None, "K", None]
+    assert results(with_identity(df, "k", "m"), ID) == ["K|M", "K|M", "a|b|c", "a|b|c", None, None, None]
+    assert results(with_identity(df, "k", None, KEY_ONLY), ID) == ["K", "K", "a|b", "a", None, "K", None]
 
 
 FLOATS = [0.0, -0.0, 1.0, 12.34, 0.25, 1 / 3, -2.5, 1e7, 12345678.0, 123456789.125, 1e10, -1e15, 9007199254740993.0,
