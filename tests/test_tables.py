@@ -1,0 +1,144 @@
+"""Coverage statistics, column edits, file replacement, comparison and batches."""
+
+import pytest
+from conftest import rows
+
+from keyweave.operators.columns import clear_column, delete_column, insert_column
+from keyweave.operators.coverage import TOTAL_LABEL, untranslated_stats, untranslated_stats_with_totals, untranslated_summary
+from keyweave.operators.diff import diff_tables
+from keyweave.operators.replace import replace_files
+from keyweave.operators.rows import SyncColumns
+from keyweave.plans.batch import FORWARD, REVERSE, BatchConfig, BatchJob, forward_jobs, run_batch
+
+STATS = {"file": "file", "source": "source", "translation": "translation"}
+
+
+def texts(spark, table):
+    return spark.createDataFrame(table, "file string, id int, source string, translation string")
+
+
+def test_untranslated_words(spark):
+    table = texts(spark, [("a", 1, "hello world", ""), ("a", 2, "cat", "done"), ("b", 3, "  ", ""), ("b", 4, None, "x"), ("c", 5, "0 字", "NaN")])
+    stats = untranslated_stats(table, **STATS, mode="english_words")
+    assert rows(stats, "file_name") == [("a", 2, 1, 3, 2), ("b", 0, 0, 0, 0), ("c", 0, 1, 0, 1)]
+    assert rows(untranslated_summary(stats)) == [(3, 2, 2)]
+    han = untranslated_stats(table, **STATS)
+    assert rows(han, "file_name")[2] == ("c", 1, 1, 1, 1)
+    totals = untranslated_stats_with_totals(table, **STATS, mode="english_words")
+    assert rows(totals, "file_name")[-1] == (TOTAL_LABEL, 2, 2, 3, 3)
+
+
+def test_files_without_rows_are_listed(spark):
+    files = spark.createDataFrame([("a",), ("empty",)], "file_name string")
+    stats = untranslated_stats(texts(spark, [("a", 1, "x", "")]), **STATS, mode="english_words", files=files)
+    assert rows(stats, "file_name") == [("a", 1, 1, 1, 1), ("empty", 0, 0, 0, 0)]
+
+
+def test_column_edits(spark):
+    df = spark.createDataFrame([("f", 1, "x", 2)], "_file string, a int, b string, c int")
+    keep = {"service": ["_file"]}
+    assert rows(clear_column(df, 2, **keep)) == [("f", 1, None, 2)]
+    assert clear_column(df, 9, **keep).columns == df.columns
+    assert insert_column(df, 2, **keep).columns == ["_file", "a", "Translation", "b", "c"]
+    assert insert_column(df, 5, **keep).columns == ["_file", "a", "b", "c", "col_4", "Translation"]
+    assert delete_column(df, 1, **keep).columns == ["_file", "b", "c"]
+    with pytest.raises(ValueError):
+        insert_column(df, 0)
+
+
+def test_replace_files(spark):
+    schema = "path string, name string, v int"
+    targets = [("t/1/x", "x", 1), ("t/2/x", "x", 2), ("t/y", "y", 3), ("t/y", "y", 4)]
+    sources = [("s/1/x", "x", 10), ("s/2/x", "x", 20), ("s/2/x", "x", 21), ("s/z", "z", 30)]
+    done = replace_files(spark.createDataFrame(targets, schema), spark.createDataFrame(sources, schema), path="path", name="name")
+    assert rows(done.targets, "path", "v") == [("t/1/x", "x", 20), ("t/1/x", "x", 21), ("t/2/x", "x", 2), ("t/y", "y", 3), ("t/y", "y", 4)]
+    assert rows(done.unmatched) == [("z", "s/z")]
+
+
+def test_diff_is_row_major_and_limited(spark):
+    left = spark.createDataFrame([(1, "a", 1), (2, None, 2), (4, "d", 4)], "row int, x string, y int")
+    right = spark.createDataFrame([(1, "a", 1, None), (2, "b", 3, "z"), (3, "c", None, None)], "row int, x string, y int, z string")
+    want = [(2, 1, None, "b"), (2, 2, "2", "3"), (2, 3, None, "z"), (3, 1, None, "c"), (4, 1, "d", None), (4, 2, "4", None)]
+    assert rows(diff_tables(left, right, row="row")) == want
+    assert rows(diff_tables(left, right, row="row", max_diff_samples=2)) == want[:2]
+    assert diff_tables(left, left, row="row").count() == 0
+
+
+# --- batches --------------------------------------------------------------------------
+
+TARGET = SyncColumns("key", "match", ("text",))
+TARGET_SCHEMA = "file string, row long, key string, match string, text string"
+MASTER_SCHEMA = "row long, key string, match string, fr string, es string"
+ORDERS = {"master_order": ["row"], "target_order": ["file", "row"]}
+
+
+def batch(mode, jobs, **flags):
+    return BatchConfig(mode, TARGET, "key", "match", tuple(jobs), **flags)
+
+
+def tables(spark, **named):
+    return {n: spark.createDataFrame(t, TARGET_SCHEMA) for n, t in named.items()}
+
+
+def test_forward_batch(spark):
+    master = spark.createDataFrame([(2, "K", "M", "F", "E")], MASTER_SCHEMA)
+    targets = tables(spark, one=[("a", 2, "K", "M", "x"), ("a", 3, "K", "M", "")], two=[("b", 2, "K", "M", "")])
+    config = batch(FORWARD, [BatchJob("one", 3, "french"), BatchJob("two", "es")])
+    run = run_batch(config, master, targets, **ORDERS)
+    assert [r[:5] for r in run.results] == [(1, "french", "success", 2, ""), (2, "job-2", "success", 1, "")]
+    assert rows(run.outputs[1].select("text"), "text") == [("F",), ("F",)]
+    assert rows(run.summary_table()) == [(FORWARD, 2, 2, 0, 3, False)]
+    together = forward_jobs(config, master, targets, **ORDERS)
+    assert rows(together.select("job_index", "row", "text", "cells_written"), "job_index", "row") == [
+        (1, 2, "F", 1),
+        (1, 3, "F", 1),
+        (2, 2, "E", 1),
+    ]
+
+
+def test_forward_jobs_with_fill_blank(spark):
+    master = spark.createDataFrame([(2, "K", "M", "F", " ")], MASTER_SCHEMA)
+    targets = tables(spark, one=[("a", 2, "K", "M", "x"), ("a", 3, "K", "M", None)], two=[("b", 2, "K", "M", None)])
+    config = batch(FORWARD, [BatchJob("one", "fr"), BatchJob("two", "es")], fill_blank_only=True)
+    got = forward_jobs(config, master, targets, **ORDERS)
+    assert rows(got.select("job_index", "text", "cells_written"), "job_index", "row") == [(1, "x", 0), (1, "F", 1), (2, None, 0)]
+
+
+def test_reverse_batch_is_cumulative(spark, tmp_path):
+    master = spark.createDataFrame([(2, "K", "M", "", ""), (3, "L", "M", "old", "")], MASTER_SCHEMA)
+    targets = tables(spark, one=[("a", 2, "K", "M", "1")], two=[("b", 2, "K", "M", "2"), ("b", 3, "L", "M", "3")])
+    jobs = [BatchJob("one", "fr"), BatchJob("two", "es"), BatchJob("two", "fr")]
+    run = run_batch(batch(REVERSE, jobs), master, targets, backup_of=str(tmp_path / "master.parquet"), **ORDERS)
+    assert rows(run.master, "row") == [(2, "K", "M", "2", "2"), (3, "L", "M", "3", "3")]
+    assert [r[3] for r in run.results] == [1, 2, 2]
+    assert ".batch_backup." in run.backup_path and run.backup_path.endswith(".parquet")
+    assert rows(spark.read.parquet(run.backup_path), "row") == rows(master, "row")
+
+
+@pytest.mark.parametrize("go_on, statuses, stopped", [(True, ["failed", "success"], False), (False, ["failed"], True)])
+def test_failed_jobs(spark, go_on, statuses, stopped):
+    def broken():
+        raise OSError("no such folder")
+
+    master = spark.createDataFrame([(2, "K", "M", "F", "")], MASTER_SCHEMA)
+    targets = {"bad": broken, **tables(spark, good=[("a", 2, "K", "M", "")])}
+    run = run_batch(batch(FORWARD, [BatchJob("bad", "fr"), BatchJob("good", "fr")], continue_on_error=go_on), master, targets, **ORDERS)
+    assert [r[2] for r in run.results] == statuses and run.stopped_early is stopped
+    assert run.results[0][4] == "no such folder"
+    total = rows(run.summary_table())[0]
+    assert total[1:] == (2, int(go_on), 1, int(go_on), stopped)
+
+
+def test_batch_errors(spark):
+    assert batch("other", []).errors() == [
+        f"mode must be one of: {FORWARD}, {REVERSE}.",
+        "jobs must contain at least one item.",
+    ]
+    assert batch(FORWARD, [BatchJob("", 0)], fill_blank_only=1).errors() == [
+        "jobs[1].target is required.",
+        "jobs[1].column must be a column name or a positive integer.",
+        "fill_blank_only must be a boolean.",
+    ]
+    master = spark.createDataFrame([(2, "K", "M", "F", "")], MASTER_SCHEMA)
+    with pytest.raises(ValueError, match="no such target table: x"):
+        run_batch(batch(FORWARD, [BatchJob("x", 1)]), master, {}, **ORDERS)
