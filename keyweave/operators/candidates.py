@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import is_blank, key_matches, strip
+from keyweave.operators.joins import inner_join_unique
 from keyweave.operators.rows import text_of
 from keyweave.operators.sequence import numbered
 from keyweave.plans.term_config import CompoundSplitRule, RecordRule, TagSpanRule
@@ -106,7 +107,8 @@ def candidates(
     """The candidates of all enabled record rules and tag spans.
 
     ``path`` orders the files, ``file`` is the name shown for one (the path if not given);
-    compound rules are no part of the extraction.
+    path and row together name one row.  Compound rules are no part of the extraction.
+    The text of the whole cell is not repeated per candidate; see ``with_cell_text``.
     """
     service = [c for c in dict.fromkeys([path, row, file, sheet]) if c]
     rules = [r for r in rules if not isinstance(r, CompoundSplitRule)]
@@ -146,14 +148,9 @@ def candidates(
         table.optional("key").alias("key_value"),
         table.optional("version").alias("version_value"),
     )
-    raws = {name: f"_cell_{i}" for i, name in enumerate(dict.fromkeys(u[3] for u in uses))}
     expanded = (
         of_versions(cells, versions, table.name("version") if versions else "")
-        .select(
-            *places,
-            *(table.text(name).alias(raw) for name, raw in raws.items()),
-            F.explode(F.array(*found)).alias("_found"),
-        )
+        .select(*places, F.explode(F.array(*found)).alias("_found"))
         .select("*", "_found.rule_nr", "_found.column_nr", "_found.use", F.posexplode("_found.texts").alias("match_nr", "_span"))
     )
 
@@ -177,7 +174,6 @@ def candidates(
         by_use(lambda r, _n: F.lit(r.id)).alias("rule_id"),
         by_use(lambda _r, n: F.lit(table.place(n) + 1)).cast("int").alias("col"),
         part(2).alias("term_raw"),
-        by_use(lambda _r, n: F.col(raws[n])).alias("cell_raw"),
         by_use(lambda _r, n: F.lit(n)).alias("column_name"),
         part(1).alias("open_tag"),
         part(3).alias("close_tag"),
@@ -186,6 +182,38 @@ def candidates(
     ).filter(~is_blank(F.col("term_raw")))
 
 
+def with_cell_text(
+    found: DataFrame,
+    cells: DataFrame,
+    rules: Sequence[RecordRule | TagSpanRule | CompoundSplitRule],
+    *,
+    path: str,
+    row: str,
+    file: str | None = None,
+    sheet: str | None = None,
+) -> DataFrame:
+    """``found`` with ``cell_raw``, the text of the cell each candidate was taken from.
+
+    Every row of the cell table is shuffled once, however many candidates it holds.
+    """
+    table = _Cells(cells, [c for c in dict.fromkeys([path, row, file, sheet]) if c])
+    used = [r for r in rules if r.enabled and not isinstance(r, CompoundSplitRule)]
+    names = dict.fromkeys(
+        n for r in used for n in ([r.term_column] if isinstance(r, RecordRule) else r.source_columns)
+    )
+    raws = {name: f"_cell_{i}" for i, name in enumerate(names)}
+    texts = cells.select(
+        F.col(path).cast("string").alias("path"),
+        F.col(row).cast("bigint").alias("row"),
+        *(table.text(name).alias(raw) for name, raw in raws.items()),
+    )
+    chosen = F.lit(None).cast("string")
+    for name, raw in raws.items():
+        chosen = F.when(F.col("column_name") == name, F.col(raw)).otherwise(chosen)
+    joined = inner_join_unique(found, texts, ["path", "row"])
+    return joined.withColumn("cell_raw", chosen).drop(*raws.values())
+
+
 def with_candidate_ids(found: DataFrame) -> DataFrame:
     """The candidates, stored and numbered ``C00000001`` ... in the order of their places.
 

@@ -171,22 +171,24 @@ def review_items(known: DataFrame) -> DataFrame:
     )
 
 
-def term_details(parts: DataFrame, known: DataFrame) -> DataFrame:
-    """Every occurrence with its term; ``term_id`` and ``candidate_id`` give the order."""
-    occurrences = inner_join_unique(parts, known.select(*TERM, "term_id", "term_norm"), TERM)
-    return occurrences.select(
-        "term_id",
-        "term_type",
-        "term_norm",
-        "candidate_id",
-        "extractor_type",
-        "rule_id",
-        "file",
-        "sheet",
-        "row",
-        "col",
-        "key_value",
-        "version_value",
-        "term_raw",
-        "cell_raw",
-    )
+DETAIL_COLUMNS = [
+    "term_id",
+    "term_type",
+    "term_norm",
+    "candidate_id",
+    "extractor_type",
+    "rule_id",
+    "file",
+    "sheet",
+    "row",
+    "col",
+    "key_value",
+    "version_value",
+    "term_raw",
+    "cell_raw",
+]
+
+
+def term_occurrences(parts: DataFrame, known: DataFrame) -> DataFrame:
+    """Every component with its term; ``term_id`` and ``candidate_id`` give the order."""
+    return inner_join_unique(parts, known.select(*TERM, "term_id", "term_norm"), TERM)

@@ -7,7 +7,7 @@ candidate per identity, and the candidates are joined to the master.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -32,6 +32,7 @@ from keyweave.operators.sequence import numbered
 
 UPDATED, FILLED, OVERWRITTEN = "_updated", "_filled", "_overwritten"
 CELL_COUNTS = (UPDATED, FILLED, OVERWRITTEN)
+CELL_COUNTERS = {"updated_cells": UPDATED, "filled_blank_cells": FILLED, "overwritten_cells": OVERWRITTEN}
 SEEN, REPORT = "_seen", "_report"
 
 COUNTERS = (
@@ -173,13 +174,17 @@ def unmatched_report(
 
 @dataclass(frozen=True)
 class UpdateParts:
-    """What the counters of one update are computed from."""
+    """What the counters of one update are computed from.
+
+    ``counted`` are sums of the cell counts of ``updated`` that are known already.
+    """
 
     sources: DataFrame
     file: str
     candidates: DataFrame
     identities: DataFrame
     updated: DataFrame | None = None
+    counted: Mapping[str, int] | None = None
     added: DataFrame | None = None
     unmatched: DataFrame | None = None
     scan_without_candidates: bool = False
@@ -200,15 +205,12 @@ def update_counters(parts: UpdateParts) -> DataFrame:
         one_row(parts.candidates, _candidates=count),
         one_row(parts.identities, merged_keys=count),
     ]
-    if parts.updated is not None:
-        rows.append(
-            one_row(
-                parts.updated,
-                updated_cells=F.sum(UPDATED),
-                filled_blank_cells=F.sum(FILLED),
-                overwritten_cells=F.sum(OVERWRITTEN),
-            )
-        )
+    if parts.counted is not None:
+        cells = {name: F.lit(parts.counted[c]) for name, c in CELL_COUNTERS.items()}
+        rows.append(one_row(parts.candidates, **cells))
+    elif parts.updated is not None:
+        cells = {name: F.sum(c) for name, c in CELL_COUNTERS.items()}
+        rows.append(one_row(parts.updated, **cells))
     if parts.added is not None:
         rows.append(one_row(parts.added, added_rows=count, merged_keys=count))
     if parts.unmatched is not None:

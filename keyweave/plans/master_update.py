@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from keyweave.operators import update as U
 from keyweave.operators.rows import COMBINED_KEY, KEY_ONLY, Layout
@@ -41,12 +42,35 @@ class UpdatePolicies:
 
 @dataclass(frozen=True)
 class MasterUpdate:
-    """The new master, the counters of the change, and the report of unknown identities."""
+    """The new master, the counters of the change, and the report of unknown identities.
 
-    master: DataFrame
-    counters: DataFrame
+    ``rows`` is the master with the cell counts of each row, if cells were updated.
+    """
+
+    rows: DataFrame
+    parts: U.UpdateParts
     unmatched: DataFrame | None = None
 
+    @property
+    def cell_counts(self) -> tuple[str, ...]:
+        return U.CELL_COUNTS if self.parts.updated is not None else ()
+
+    @property
+    def master(self) -> DataFrame:
+        return self.rows.drop(*self.cell_counts)
+
+    @property
+    def counters(self) -> DataFrame:
+        return U.update_counters(self.parts)
+
+    def counters_with(self, counted: Mapping[str, int]) -> DataFrame:
+        """The counters, with cell counts a write of ``rows`` has summed up."""
+        return U.update_counters(replace(self.parts, counted=counted))
+
+
+def _with_zero_counts(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.lit(0).cast("bigint") for c in U.CELL_COUNTS})
+
 
 def merge_masters(
     master: DataFrame,
@@ -61,19 +85,9 @@ def merge_masters(
     """Append the first row of every new identity; existing rows stay as they are."""
     candidates = U.append_candidates(sources, layout, row_key, order)
     added = U.appended_rows(master, U.new_rows(master, candidates, layout, row_key), layout, row)
-    return MasterUpdate(
-        U.text_cells(master, layout).unionByName(added),
-        U.update_counters(
-            U.UpdateParts(
-                sources,
-                file,
-                candidates,
-                U.master_identities(master, layout, row_key),
-                added=added,
-                scan_without_candidates=True,
-            )
-        ),
-    )
+    identities = U.master_identities(master, layout, row_key)
+    parts = U.UpdateParts(sources, file, candidates, identities, added=added, scan_without_candidates=True)
+    return MasterUpdate(U.text_cells(master, layout).unionByName(added), parts)
 
 
 def update_master(
@@ -83,19 +97,9 @@ def update_master(
     candidates = materialize(U.dense_candidates(sources, layout, KEY_ONLY, order), "dense-candidates")
     updated = U.overwrite_cells(master, candidates, layout, KEY_ONLY, row)
     added = U.appended_rows(master, U.new_rows(master, candidates, layout, KEY_ONLY), layout, row)
-    return MasterUpdate(
-        updated.drop(*U.CELL_COUNTS).unionByName(added),
-        U.update_counters(
-            U.UpdateParts(
-                sources,
-                file,
-                candidates,
-                U.master_identities(master, layout, KEY_ONLY),
-                updated=updated,
-                added=added,
-            )
-        ),
-    )
+    identities = U.master_identities(master, layout, KEY_ONLY)
+    parts = U.UpdateParts(sources, file, candidates, identities, updated=updated, added=added)
+    return MasterUpdate(updated.unionByName(_with_zero_counts(added)), parts)
 
 
 def update_content(
@@ -105,20 +109,9 @@ def update_content(
     candidates = materialize(U.sparse_candidates(sources, layout, order, file), "sparse-candidates")
     updated = U.overwrite_cells(master, candidates, layout, COMBINED_KEY, row)
     unmatched = U.unmatched_report(master, candidates, layout, COMBINED_KEY)
-    return MasterUpdate(
-        updated.drop(*U.CELL_COUNTS),
-        U.update_counters(
-            U.UpdateParts(
-                sources,
-                file,
-                candidates,
-                U.master_identities(master, layout, COMBINED_KEY),
-                updated=updated,
-                unmatched=unmatched,
-            )
-        ),
-        unmatched,
-    )
+    identities = U.master_identities(master, layout, COMBINED_KEY)
+    parts = U.UpdateParts(sources, file, candidates, identities, updated=updated, unmatched=unmatched)
+    return MasterUpdate(updated, parts, unmatched)
 
 
 def update_master_table(
@@ -167,6 +160,7 @@ def source_then_translation(
     second stage does.
     """
     first = update_master(master, source_updates, layout, row=row, order=order, file=file)
-    stage = MasterUpdate(materialize(first.master, "source-stage"), first.counters)
+    stored = materialize(first.rows, "source-stage")
+    stage = replace(first, rows=stored, parts=replace(first.parts, updated=stored))
     second = update_content(stage.master, translation_updates, layout, row=row, order=order, file=file)
     return stage, second

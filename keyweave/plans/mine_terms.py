@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from keyweave.operators import relations as R
 from keyweave.operators import terms as T
-from keyweave.operators.candidates import candidates, version_counts, with_candidate_ids
+from keyweave.operators.candidates import candidates, version_counts, with_candidate_ids, with_cell_text
 from keyweave.operators.lists import ITEMS_PER_CELL, LIST, PART, further_cells_of
 from keyweave.plans.term_config import TermConfig
 
@@ -91,13 +91,12 @@ class MinedTerms:
         files_read: int | None = None,
         items_per_cell: int = ITEMS_PER_CELL,
     ):
-        self._cells, self._config, self._path = cells, config, path
+        self._cells, self._config = cells, config
+        self._place = {"path": path, "row": row, "file": file, "sheet": sheet}
         self._files_failed, self._files_read = files_failed, files_read
         self._items_per_cell = items_per_cell
         # Built at once, so that a missing column is reported before anything runs.
-        self._extracted = candidates(
-            cells, config.rules, path=path, row=row, file=file, sheet=sheet, versions=config.versions
-        )
+        self._extracted = candidates(cells, config.rules, **self._place, versions=config.versions)
 
     @cached_property
     def candidates(self) -> DataFrame:
@@ -142,7 +141,10 @@ class MinedTerms:
 
     @cached_property
     def details(self) -> DataFrame:
-        return T.term_details(self._parts, self.terms)
+        """Every occurrence of every term, with the cell it was found in."""
+        occurrences = T.term_occurrences(self._parts, self.terms)
+        with_text = with_cell_text(occurrences, self._cells, self._config.rules, **self._place)
+        return with_text.select(*T.DETAIL_COLUMNS)
 
     @cached_property
     def further_lists(self) -> DataFrame:
@@ -164,7 +166,7 @@ class MinedTerms:
             self.terms,
             self.relations_summary,
             self.review,
-            path=self._path,
+            path=self._place["path"],
             files_failed=self._files_failed,
             files_read=self._files_read,
         )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import posixpath
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.operators.joins import inner_join_unique
@@ -33,14 +33,15 @@ def fresh_path(spark: SparkSession, folder: str, stem: str) -> str:
 def write_changed_files(result: DataFrame, folder: str, *, file: str, kind: str = "parquet") -> DataFrame:
     """Write the files in which a cell was written, and no other; returns (file, cells written).
 
-    The result is stored first, so a folder may be rewritten from its own rows.  Each file is
-    one partition of the folder; large files are split over several tasks.
+    A first pass counts the writes per file and reads only the columns the sync needs; a
+    second one writes whole rows, of the changed files only.  Each file is one partition of
+    the folder, and large files are split over several tasks.  The folder may be the one the
+    rows come from: partitions are exchanged when all tasks are done.
     """
-    stored = materialize(result, "sync-result")
-    changed = stored.groupBy(file).agg(F.sum(WRITTEN).alias(WRITTEN)).filter(F.col(WRITTEN) > 0)
-    changed = materialize(changed, "changed-files")
+    counts = result.groupBy(file).agg(F.sum(WRITTEN).alias(WRITTEN)).filter(F.col(WRITTEN) > 0)
+    changed = materialize(counts, "changed-files")
     if not changed.isEmpty():
-        rows = inner_join_unique(stored.drop(WRITTEN), changed.select(file), [file])
+        rows = inner_join_unique(result.drop(WRITTEN), changed.select(file), [file])
         (
             rows.hint("rebalance", F.col(file))
             .write.mode("overwrite")
@@ -52,6 +53,18 @@ def write_changed_files(result: DataFrame, folder: str, *, file: str, kind: str
     return changed
 
 
+def write_master(update, path: str, *, kind: str = "parquet") -> DataFrame:
+    """Write the new master to a new place; the counters of the update come from the same pass."""
+    if not update.cell_counts:
+        update.master.write.mode("errorifexists").format(kind).save(path)
+        return update.counters
+    seen = Observation("cell counts")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in update.cell_counts]
+    observed = update.rows.observe(seen, *sums).drop(*update.cell_counts)
+    observed.write.mode("errorifexists").format(kind).save(path)
+    return update.counters_with(seen.get)
+
+
 def write_report(report: DataFrame, folder: str, stem: str = UNMATCHED_REPORT, *, kind: str = "parquet") -> str:
     """Write a report beside earlier ones, also an empty one; returns its path."""
     path = fresh_path(report.sparkSession, folder, stem)
