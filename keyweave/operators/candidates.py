@@ -115,7 +115,7 @@ def candidates(
     table = _Cells(cells, service)
     required = set().union(*(r.required_columns() for r in rules)) | ({"version"} if versions else set())
     if missing := missing_columns(table.headers, required):
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(f"columns not found: {', '.join(missing)}")
 
     found, uses = [], []
     for rule_nr, rule in enumerate(rules):
@@ -237,7 +237,7 @@ def compound_split(
     service = [c for c in dict.fromkeys([path, row, file, sheet]) if c]
     table = _Cells(cells, service)
     if missing := missing_columns(table.headers, rule.required_columns()):
-        raise ValueError(f"Missing required columns: {', '.join(missing)}")
+        raise ValueError(f"columns not found: {', '.join(missing)}")
     roles = [
         role
         for role, emitted in (

@@ -24,7 +24,8 @@ def replace_files(targets: DataFrame, sources: DataFrame, *, path: str, name: st
     """Rows of source files take the place of the rows of the target file of the same name.
 
     Of several target files of one name the first by path is replaced; of several source
-    files of one name the last by path is taken.  Both tables need the same columns.
+    files of one name the last by path is taken.  Columns only one side has are empty on the
+    other one.
     """
     target_files = targets.groupBy(name).agg(F.min(path).alias("target_path"))
     source_files = sources.groupBy(name).agg(F.max(path).alias("source_path"))
@@ -34,9 +35,9 @@ def replace_files(targets: DataFrame, sources: DataFrame, *, path: str, name: st
 
     kept = rows_absent_from(targets, replaced.select(F.col("target_path").alias(path)), [path])
     taken = inner_join_unique(sources, replaced.withColumnRenamed("source_path", path).drop(name), [path])
-    taken = taken.select(*(F.col("target_path").alias(c) if c == path else F.col(c) for c in targets.columns))
+    taken = taken.withColumn(path, F.col("target_path")).drop("target_path")
     return Replacement(
-        kept.unionByName(taken),
+        kept.unionByName(taken, allowMissingColumns=True),
         replaced,
         files.filter(F.col("target_path").isNull()).select(name, "source_path"),
     )

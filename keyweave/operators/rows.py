@@ -119,4 +119,4 @@ def source_cells(sources: DataFrame, layout: Layout, row_key: str, keep: Sequenc
 
 def _check(row_key: str) -> None:
     if row_key not in (COMBINED_KEY, KEY_ONLY):
-        raise ValueError(f"Unsupported row_key_policy: {row_key}")
+        raise ValueError(f"row_key_policy has no value {row_key!r}")

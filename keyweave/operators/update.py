@@ -68,8 +68,8 @@ def dense_candidates(sources: DataFrame, layout: Layout, row_key: str, order: Se
 def sparse_candidates(sources: DataFrame, layout: Layout, order: Sequence[str], file: str) -> DataFrame:
     """Per cell the last non-blank text of every key and match; NULL cells were never touched.
 
-    ``_report`` is the file, key and match of the row that last touched a cell, or of the
-    first row of the identity if none did.
+    ``_report`` is the file name, key and match of the row that last touched a cell, or of
+    the first row of the identity if none did.
     """
     content = layout.content(COMBINED_KEY)
     keep = list(dict.fromkeys([*order, file]))
@@ -77,7 +77,7 @@ def sparse_candidates(sources: DataFrame, layout: Layout, order: Sequence[str],
     place = position(order)
     touched = reduce(lambda a, b: a | b, [~is_blank(F.col(c)) for c in content], F.lit(False))
     origin = F.struct(
-        F.col(file).cast("string").alias("file"),
+        F.element_at(F.split(F.col(file).cast("string"), "/"), -1).alias("file"),
         F.col(layout.key).alias("key"),
         F.col(layout.match).alias("match"),
     )

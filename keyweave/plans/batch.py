@@ -47,20 +47,20 @@ class BatchConfig:
     def errors(self) -> list[str]:
         found = []
         if self.mode not in (FORWARD, REVERSE):
-            found.append(f"mode must be one of: {FORWARD}, {REVERSE}.")
+            found.append(f"unknown mode {self.mode!r}: {FORWARD} or {REVERSE}")
         if not self.jobs:
-            found.append("jobs must contain at least one item.")
+            found.append("no jobs")
         if len(self.target.values) != 1:
-            found.append("a job moves exactly one column.")
+            found.append("a job moves exactly one column")
         for nr, job in enumerate(self.jobs, start=1):
             if not job.target:
-                found.append(f"jobs[{nr}].target is required.")
+                found.append(f"job {nr}: no target")
             by_position = isinstance(job.column, int) and not isinstance(job.column, bool)
             if not (by_position and job.column > 0) and not (isinstance(job.column, str) and job.column):
-                found.append(f"jobs[{nr}].column must be a column name or a positive integer.")
+                found.append(f"job {nr}: the column is a name, or a position from 1")
         for name in ("fill_blank_only", "allow_blank_write", "continue_on_error"):
             if not isinstance(getattr(self, name), bool):
-                found.append(f"{name} must be a boolean.")
+                found.append(f"{name}: neither True nor False")
         return found
 
     def check(self) -> None:

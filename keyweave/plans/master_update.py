@@ -37,7 +37,7 @@ class UpdatePolicies:
         for name, allowed in _ALLOWED.items():
             value = getattr(self, name)
             if value not in allowed:
-                raise ValueError(f"Unsupported {name}: {value}")
+                raise ValueError(f"{name} has no value {value!r}")
 
 
 @dataclass(frozen=True)
@@ -137,11 +137,7 @@ def update_master_table(
         return update_master(master, sources, layout, **where)
     if chosen == (OVERWRITE_NON_BLANK, EXISTING_KEY_ONLY):
         return update_content(master, sources, layout, **where)
-    raise ValueError(
-        "Unsupported master update policy combination: "
-        f"cell={policies.cell_write_policy}, key={policies.key_admission_policy}, "
-        f"priority={policies.priority_winner_policy}"
-    )
+    raise ValueError(f"no update goes with the policies {' and '.join(chosen)}")
 
 
 def source_then_translation(

@@ -7,8 +7,9 @@ are computed from these columns, not from the order in which Spark reads.
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyweave.operators.candidates import header_map, missing_columns
+from keyweave.operators.joins import inner_join_unique
+from keyweave.operators.rows import nullable_text_of
 
 FILE, NAME, ROW, ORDER = "_file", "_name", "_row", "_file_ord"
 SERVICE = (FILE, NAME, ROW, ORDER)
@@ -27,6 +30,8 @@ FIRST_ROW = 2
 E_TARGET_READ = "E_TARGET_READ"
 E_SOURCE_READ = "E_SOURCE_READ"
 E_TERMINOLOGY_FILE = "E_TERMINOLOGY_FILE"
+E_STATS_FILE = "E_STATS_FILE"
+E_REPLACE_FILE = "E_REPLACE_FILE"
 
 
 def list_files(
@@ -74,49 +79,45 @@ _PROBE = T.StructType(
         T.StructField("path", T.StringType()),
         T.StructField("file_name", T.StringType()),
         T.StructField("columns", T.ArrayType(T.StringType())),
+        T.StructField("types", T.ArrayType(T.StringType())),
         T.StructField("error", T.StringType()),
     ]
 )
 
 
-def _file_columns(path: str, kind: str, whole: bool) -> list[str]:
-    """Column names of one file; raises if it cannot be opened (or read, if ``whole``)."""
-    from pyarrow import fs
+def _file_columns(path: str, kind: str, whole: bool) -> tuple[list[str], list[str]]:
+    """Column names and types of one file; raises if it is no table of cells.
+
+    ``whole`` reads the file to its end instead of its schema only.
+    """
+    import pyarrow as pa
+    from pyarrow import csv, fs, json, orc, parquet
 
     uri = path.replace("s3a://", "s3://", 1)
     if uri.startswith("file:/") and not uri.startswith("file:///"):
         uri = "file://" + uri[len("file:") :]
     system, inner = fs.FileSystem.from_uri(uri)
-    if kind == "parquet":
-        import pyarrow.parquet as pq
-
-        with system.open_input_file(inner) as handle:
-            table = pq.ParquetFile(handle)
-            if whole:
-                for _ in table.iter_batches():
-                    pass
-            return list(table.schema_arrow.names)
-    if kind == "orc":
-        from pyarrow import orc
-
-        with system.open_input_file(inner) as handle:
+    with system.open_input_file(inner) as handle:
+        if kind == "parquet":
+            table = parquet.ParquetFile(handle)
+            schema, blocks = table.schema_arrow, table.iter_batches()
+        elif kind == "orc":
             table = orc.ORCFile(handle)
-            if whole:
-                for stripe in range(table.nstripes):
-                    table.read_stripe(stripe)
-            return list(table.schema.names)
-    from pyarrow import csv, json
-
-    reader = csv.open_csv if kind == "csv" else json.open_json
-    with system.open_input_stream(inner) as handle:
-        blocks = reader(handle)
+            schema, blocks = table.schema, (table.read_stripe(i) for i in range(table.nstripes))
+        else:
+            blocks = csv.open_csv(handle) if kind == "csv" else json.open_json(handle)
+            schema = blocks.schema
+        for field in schema:
+            if pa.types.is_nested(field.type) or pa.types.is_binary(field.type):
+                raise TypeError(f"column {field.name} of type {field.type} has no cell text")
         for _ in blocks if whole else ():
             pass
-        return list(blocks.schema.names)
+        # Spark reads every CSV column as text, so guessed types do not count.
+        return schema.names, ["text" if kind == "csv" else str(field.type) for field in schema]
 
 
 def probe_files(files: DataFrame, kind: str = "parquet", *, whole: bool = False) -> DataFrame:
-    """Try every file in a Spark job: its columns, or the error that opening it gave.
+    """Try every file in a Spark job: its columns and types, or the error that opening it gave.
 
     Without ``whole`` only the schema is read (the footer of a Parquet or ORC file); with it,
     every page is decoded, so that a file damaged in the middle is found as well.
@@ -127,9 +128,9 @@ def probe_files(files: DataFrame, kind: str = "parquet", *, whole: bool = False)
             rows = []
             for path, name in zip(batch["path"], batch["file_name"]):
                 try:
-                    rows.append((path, name, _file_columns(path, kind, whole), None))
+                    rows.append((path, name, *_file_columns(path, kind, whole), None))
                 except Exception as failure:  # noqa: BLE001 - any failure marks the file as bad
-                    rows.append((path, name, None, f"{type(failure).__name__}: {failure}"))
+                    rows.append((path, name, None, None, f"{type(failure).__name__}: {failure}"))
             yield pd.DataFrame(rows, columns=_PROBE.names)
 
     return files.select("path", "file_name").mapInPandas(probe, _PROBE)
@@ -157,57 +158,55 @@ def scan_folder(
     required: Iterable[str] = (),
     exclude: Sequence[str] = (),
     row: str | None = None,
-    schema: T.StructType | str | None = None,
     error_code: str = E_SOURCE_READ,
     whole: bool = False,
-    options: dict[str, str] | None = None,
+    options: Mapping[str, str] | None = None,
 ) -> FolderScan:
     """Read the files of a folder; a file that cannot be read gives an error row, not a failure.
 
-    Parquet brings its own row numbers; tables of any other kind must hold theirs in the
-    column ``row``.  ``required`` are header names every file must have, in any case;
-    ``exclude`` are paths to leave out, such as the master itself.
+    All cells arrive as text, so files may differ in columns and types; files of one schema
+    are one scan.  Parquet brings its own row numbers; tables of any other kind must hold
+    theirs in the column ``row``.  ``required`` are header names every file must have, in
+    any case; ``exclude`` are paths to leave out, such as the master itself.
     """
     if kind != "parquet" and row is None:
         raise ValueError(f"{kind} files carry no row numbers; name the column that does")
     listed = list_files(
         spark, folder, extensions or (f".{kind}",), include_temp_files=include_temp_files
     ).filter(is_configured(F.col("file_name"), tokens))
-    left_out = {p.split(":", 1)[-1].lstrip("/") for p in exclude}
+    left_out = {_plain_path(p) for p in exclude}
     # Paths come to the driver, as they do for every read of a list of files; rows do not.
-    probed = [
-        r for r in probe_files(listed, kind, whole=whole).collect()
-        if r.path.split(":", 1)[-1].lstrip("/") not in left_out
-    ]
-    good, bad = [], []
+    probed = [r for r in probe_files(listed, kind, whole=whole).collect() if _plain_path(r.path) not in left_out]
+    good, bad, groups = [], [], {}
     for file in sorted(probed, key=lambda r: r.path):
         message = file.error
         if message is None:
-            missing = missing_columns(header_map(file.columns), set(required))
-            message = f"Missing required columns: {', '.join(missing)}" if missing else None
+            missing = missing_columns(header_map(file.columns), set(required) | ({row} if row else set()))
+            message = f"columns not found: {', '.join(missing)}" if missing else None
         if message is None:
             good.append((file.path, file.file_name))
+            groups.setdefault(tuple(zip(file.columns, file.types)), []).append(file.path)
         else:
             bad.append((error_code, file.path, file.file_name, message))
     if not good:
-        raise ValueError(f"No readable files found in {folder}")
-    reader = spark.read.format(kind).options(**(options or {}))
-    if schema is not None:
-        reader = reader.schema(schema)
-    elif kind == "parquet":
-        reader = reader.option("mergeSchema", "true")
-    elif kind == "csv":
-        reader = reader.option("header", "true")
-    table = reader.load([path for path, _ in good])
-    number = F.col("_metadata.row_index") + FIRST_ROW if kind == "parquet" else F.col(row)
-    rows = table.select(
-        F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_name").alias(NAME),
-        number.cast("bigint").alias(ROW),
-        *(c for c in table.columns if c != row),
-    )
+        raise ValueError(f"{folder} has no file that can be read")
+
+    reader = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **(options or {}))
+
+    def rows_of(paths: list[str]) -> DataFrame:
+        table = reader.load(paths)
+        number = F.col("_metadata.row_index") + FIRST_ROW if kind == "parquet" else F.col(row)
+        cells = [c for c in table.columns if row is None or c.lower() != row.lower()]
+        return table.select(
+            F.col("_metadata.file_path").alias(FILE),
+            F.col("_metadata.file_name").alias(NAME),
+            number.cast("bigint").alias(ROW),
+            *(nullable_text_of(table, c).alias(c) for c in cells),
+        )
+
+    tables = [rows_of(paths) for paths in groups.values()]
     return FolderScan(
-        rows,
+        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables),
         spark.createDataFrame(good, "path string, file_name string"),
         spark.createDataFrame(bad, "code string, path string, file_name string, message string"),
         len(good),
@@ -215,6 +214,11 @@ def scan_folder(
     )
 
 
+def _plain_path(path: str) -> str:
+    """A path without scheme and double slashes, to compare a URI with a plain path."""
+    return os.path.normpath("/" + path.split(":", 1)[-1].lstrip("/"))
+
+
 # --- the order of the files -----------------------------------------------------------
 
 
@@ -230,16 +234,15 @@ def order_by_name(rows: DataFrame) -> DataFrame:
 
 def order_by_priority(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
     """The listed files only, in the order of the list; repeated paths count once."""
-    stripped = [p.strip() for p in paths if p and p.strip()]
-    ranks = [(p, i) for i, p in enumerate(dict.fromkeys(os.path.normpath(p) for p in stripped))]
-    if not ranks:
+    listed = dict.fromkeys(_plain_path(p.strip()) for p in paths if p and p.strip())
+    if not listed:
         raise ValueError("the list of files is empty")
-    table = rows.sparkSession.createDataFrame(ranks, f"_listed string, {ORDER} int")
+    ranks = rows.sparkSession.createDataFrame(
+        [(p, i) for i, p in enumerate(listed)], f"_listed string, {ORDER} int"
+    )
     # A scanned path is a URI; a listed one may be a plain path.
-    plain = F.regexp_replace(FILE, "^file:/+", "/")
-    return rows.withColumn("_listed", plain).join(
-        table.withColumn("_listed", F.regexp_replace("_listed", "^file:/+", "/")), "_listed"
-    ).drop("_listed")
+    plain = F.concat(F.lit("/"), F.regexp_replace(FILE, "^[^:/]*:?/+", ""))
+    return inner_join_unique(rows.withColumn("_listed", plain), ranks, ["_listed"]).drop("_listed")
 
 
 FOLDER_ORDER = [ORDER, ROW]

@@ -35,10 +35,12 @@ def _bag(columns, rows) -> tuple[list[str], Counter]:
     return [columns[i] for i in order], Counter(tuple(_plain(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, name, query, folder) -> str | None:
-    """None if both sides agree, else what differs."""
+def compare(spark, con, name, query, folder, inspect=None) -> str | None:
+    """None if both sides agree, else what differs.  ``inspect`` sees the table after it ran."""
     df = query.run(spark, folder)
     got_columns, got = _bag(df.columns, df.collect())
+    if inspect:
+        inspect(df)
     con.execute(query.sql)
     want_columns, want = _bag([d[0] for d in con.description], con.fetchall())
     if got_columns != want_columns:

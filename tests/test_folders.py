@@ -5,8 +5,10 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from keyweave import session
-from keyweave.operators.rows import SyncColumns
+from keyweave.operators.rows import SyncColumns, resolve_layout
 from keyweave.operators.sync import sync_reverse, sync_single
+from keyweave.plans import folders as P
+from keyweave.plans.master_update import EXISTING_KEY_ONLY, OVERWRITE_NON_BLANK, UpdatePolicies
 from keyweave.plans.mine_terms import mine_terms
 from keyweave.plans.term_config import RecordRule, TermConfig
 from keyweave.sources import readers as R
@@ -79,7 +81,7 @@ def test_missing_columns_fail_the_file(spark, folder, tmp_path):
     spark.createDataFrame([("K", "M")], "KEY string, match string").toPandas().to_parquet(tmp_path / "in/c.parquet")
     scan = R.scan_folder(spark, folder, required=["key", "text"])
     messages = {r.file_name: r.message for r in scan.errors.collect()}
-    assert messages["c.parquet"] == "Missing required columns: text"
+    assert messages["c.parquet"] == "columns not found: text"
     assert scan.files_read == 2
 
 
@@ -105,10 +107,59 @@ def test_csv_and_json_bring_their_row_numbers(spark, tmp_path):
     assert rows(R.scan_folder(spark, str(tmp_path), kind="json", row="nr").rows.select(R.ROW, "key")) == [(2, "J")]
     with pytest.raises(ValueError, match="row numbers"):
         R.scan_folder(spark, str(tmp_path), kind="csv")
-    with pytest.raises(ValueError, match="No readable files"):
+    with pytest.raises(ValueError, match="no file that can be read"):
         R.scan_folder(spark, str(tmp_path))
 
 
+def test_files_may_differ_in_columns_and_types(spark, tmp_path):
+    spark.createDataFrame([(1, 0.5)], "Key int, text double").toPandas().to_parquet(tmp_path / "a.parquet")
+    spark.createDataFrame([("K", "M")], "key string, match string").toPandas().to_parquet(tmp_path / "b.parquet")
+    spark.createDataFrame([([1],)], "key array<int>").toPandas().to_parquet(tmp_path / "c.parquet")
+    scan = R.scan_folder(spark, str(tmp_path))
+    assert rows(scan.rows.select("key", "text", "match"), R.NAME) == [("1", "0.5", None), ("K", None, "M")]
+    assert "no cell text" in scan.errors.first().message
+
+
+def test_folder_tools(spark, folder, tmp_path):
+    columns = SyncColumns("key", "match", ("text",))
+    master = spark.createDataFrame([(2, "K1", "M1", "m1"), (3, "K3", "M1", "m3")], f"row long, {SCHEMA}")
+    out = str(tmp_path / "out")
+    run = P.sync_folder(spark, master, columns, folder, columns, master_order=["row"], out=out)
+    assert sorted(r.cells_written for r in run.changed.collect()) == [1, 1]
+    assert run.errors.count() == 1
+    assert rows(spark.read.parquet(out).select("text"), R.NAME, R.ROW) == [("m1",), ("m1",), ("only_a",)]
+
+    run = P.reverse_folder(spark, master, columns, folder, columns, master_place=["row"])
+    assert rows(run.result.select("text"), "row") == [("from_b",), ("m3",)]
+
+    layout = resolve_layout(["key", "match", "text"], "key", "match")
+    run = P.update_from_folder(spark, master, folder, layout, row="row")
+    assert rows(run.result.master, "row")[2:] == [(4, "K2", "M1", "only_a")]
+    # The file listed last wins.
+    listed = [f"{folder}/sub/B.parquet", f"{folder}/a.parquet"]
+    sparse = UpdatePolicies(OVERWRITE_NON_BLANK, EXISTING_KEY_ONLY)
+    run = P.update_from_folder(spark, master, folder, layout, sparse, row="row", priority=listed)
+    assert rows(run.result.master, "row")[0] == (2, "K1", "M1", "from_a")
+    assert [r.source_file for r in run.result.unmatched.collect()] == ["a.parquet"]
+
+    run = P.stats_of_folder(spark, folder, source="key", translation="text", mode="english_words")
+    assert [r[0] for r in rows(run.result, "file_name")] == ["B.parquet", "a.parquet", "z.parquet"]
+
+    settings = TermConfig((RecordRule("r", "text", ("k",)),), files=("a", "z"))
+    run = P.mine_folder(spark, folder, settings)
+    assert [r.term_norm for r in run.result.terms.orderBy("term_norm").collect()] == ["from_a", "only_a"]
+    summary = run.result.summary.first()
+    assert (summary.files_total, summary.files_succeeded, summary.files_failed) == (2, 1, 1)
+    assert run.errors.first().code == R.E_TERMINOLOGY_FILE
+
+
+def test_replace_from_folder(spark, folder, tmp_path):
+    (tmp_path / "new").mkdir()
+    spark.createDataFrame([("N", "1")], "key string, more string").toPandas().to_parquet(tmp_path / "new/a.parquet")
+    done = P.replace_from_folder(spark, str(tmp_path / "new"), folder).result
+    assert rows(done.targets.select("key", "more", "text"), R.NAME, "key") == [("K1", None, "from_b"), ("N", "1", None)]
+
+
 def test_only_changed_files_are_written(spark, tmp_path):
     out = str(tmp_path / "out")
     targets = spark.createDataFrame(

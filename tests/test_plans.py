@@ -134,11 +134,3 @@ def test_comparing_tables_shuffles_each_once(spark):
         left = spark.range(1000).select("id", *(F.col("id").alias(f"c{i}") for i in range(20)))
         plan = plan_of(diff_cells(left, left.withColumn("c3", F.col("c3") + 1), row="id"))
     assert plan.count("Exchange") == 2
-
-
-@pytest.mark.parametrize("name", QUERIES)
-def test_no_plan_has_a_cross_join_a_window_or_python(spark, name):
-    with settings(spark, spark__sql__autoBroadcastJoinThreshold=-1):
-        plan = plan_of(QUERIES[name].run(spark, FOLDER))
-    for operator in ("CartesianProduct", "NestedLoop", "Window", "EvalPython", "InPandas", "SinglePartition, REPARTITION"):
-        assert operator not in plan

@@ -131,13 +131,13 @@ def test_failed_jobs(spark, go_on, statuses, stopped):
 
 def test_batch_errors(spark):
     assert batch("other", []).errors() == [
-        f"mode must be one of: {FORWARD}, {REVERSE}.",
-        "jobs must contain at least one item.",
+        f"unknown mode 'other': {FORWARD} or {REVERSE}",
+        "no jobs",
     ]
     assert batch(FORWARD, [BatchJob("", 0)], fill_blank_only=1).errors() == [
-        "jobs[1].target is required.",
-        "jobs[1].column must be a column name or a positive integer.",
-        "fill_blank_only must be a boolean.",
+        "job 1: no target",
+        "job 1: the column is a name, or a position from 1",
+        "fill_blank_only: neither True nor False",
     ]
     master = spark.createDataFrame([(2, "K", "M", "F", "")], MASTER_SCHEMA)
     with pytest.raises(ValueError, match="no such target table: x"):
