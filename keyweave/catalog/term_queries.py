@@ -16,12 +16,12 @@ from pyspark.sql import functions as F
 
 from keyweave.catalog.base import Query, sql_blank, sql_strip, table
 from keyweave.functions.text import SPACE_CLASS
-from keyweave.operators import relations as R
 from keyweave.operators import terms as T
 from keyweave.operators.candidates import candidates, compound_split, version_counts, with_candidate_ids
 
 from keyweave.plans.mine_terms import mine_terms
 from keyweave.plans.term_config import CompoundSplitRule, Normalization, RecordRule, TagSpanRule, TermConfig, Thresholds
+from keyweave.session import materialize
 
 # --- web pages ------------------------------------------------------------------------
 
@@ -238,25 +238,6 @@ class Binding:
     def terms(self, spark: SparkSession, folder: str) -> DataFrame:
         return T.terms(self.parts(spark, folder), self.config.thresholds)
 
-    def summary(self, spark: SparkSession, folder: str) -> DataFrame:
-        parts = self.parts(spark, folder)
-        known = T.terms(parts, self.config.thresholds)
-        largest = T.most_occurrences(known)
-        return T.terms_summary(
-            known, T.file_lists(parts, largest=largest), T.key_lists(parts, largest=largest)
-        )
-
-    def cross(self, spark: SparkSession, folder: str) -> DataFrame:
-        parts = self.parts(spark, folder)
-        known = T.terms(parts, self.config.thresholds)
-        return R.cross_file_terms(known, T.file_lists(parts, largest=T.most_occurrences(known)))
-
-    def groups(self, spark: SparkSession, folder: str) -> DataFrame:
-        found = self.found(spark, folder)
-        known = T.terms(T.components(found, self.config), self.config.thresholds)
-        pairs = R.affix_pairs(found, known, self.config)
-        return R.affix_groups(pairs, self.config.affix_delimiters)[0]
-
     def mined(self, spark: SparkSession, folder: str):
         return mine_terms(self.cells(spark, folder), self.config, **PAGE_PLACE)
 
@@ -279,7 +260,8 @@ SELECT file, row, col, rule_id, term_raw, key_value, version_value FROM found"""
 
 
 def _spans(spark: SparkSession, folder: str) -> DataFrame:
-    rows = with_candidate_ids(candidates(pages(spark, folder), [SPANS], **PAGE_PLACE))
+    found = materialize(candidates(pages(spark, folder), [SPANS], **PAGE_PLACE), "spans")
+    rows = with_candidate_ids(found)
     return rows.select("candidate_id", "file", "row", "term_raw", "open_tag", "close_tag")
 
 
@@ -343,10 +325,10 @@ SELECT count(*) AS rows_scanned,
     "terms_brands": Query(
         lambda s, d: BRANDS.terms(s, d).select(*T.TERM_COLUMNS), f"{BRANDS.sql} SELECT {_TERM_ROWS} FROM terms"
     ),
-    "terms_summary_pages": Query(PAGES.summary, f"{PAGES.sql} SELECT {_SUMMARY_ROWS} FROM terms"),
-    "terms_summary_brands": Query(BRANDS.summary, f"{BRANDS.sql} SELECT {_SUMMARY_ROWS} FROM terms"),
-    "cross_file_terms": Query(BRANDS.cross, f"{BRANDS.sql} SELECT * FROM cross_rows"),
-    "affix_groups": Query(BRANDS.groups, f"{BRANDS.sql} SELECT * FROM group_rows"),
+    "terms_summary_pages": Query(lambda s, d: PAGES.mined(s, d).terms_summary, f"{PAGES.sql} SELECT {_SUMMARY_ROWS} FROM terms"),
+    "terms_summary_brands": Query(lambda s, d: BRANDS.mined(s, d).terms_summary, f"{BRANDS.sql} SELECT {_SUMMARY_ROWS} FROM terms"),
+    "cross_file_terms": Query(lambda s, d: BRANDS.mined(s, d).cross_file_terms, f"{BRANDS.sql} SELECT * FROM cross_rows"),
+    "affix_groups": Query(lambda s, d: BRANDS.mined(s, d).affix_groups, f"{BRANDS.sql} SELECT * FROM group_rows"),
     "relations_summary_pages": Query(
         lambda s, d: PAGES.mined(s, d).relations_summary,
         f"{PAGES.sql} SELECT * FROM cross_rows UNION ALL SELECT * FROM group_rows",

@@ -17,7 +17,6 @@ from keyweave.operators.joins import inner_join_unique
 from keyweave.operators.rows import text_of
 from keyweave.operators.sequence import numbered
 from keyweave.plans.term_config import CompoundSplitRule, RecordRule, TagSpanRule
-from keyweave.session import materialize
 
 # The place of a candidate: file, row, rule, column of the rule, match within the cell.
 CANDIDATE_ORDER = ["path", "row", "rule_nr", "column_nr", "match_nr"]
@@ -215,12 +214,11 @@ def with_cell_text(
 
 
 def with_candidate_ids(found: DataFrame) -> DataFrame:
-    """The candidates, stored and numbered ``C00000001`` ... in the order of their places.
+    """Candidates numbered ``C00000001`` ... in the order of their places.
 
-    They are stored before they are sorted as well: the sort reads its input twice, and the
-    cells should be searched once.
+    The sort reads its input twice, so candidates that are costly to find should be stored.
     """
-    rows = numbered(materialize(found, "found"), CANDIDATE_ORDER, "candidate_seq", label="candidates")
+    rows = numbered(found, CANDIDATE_ORDER, "candidate_seq", label="candidates")
     return rows.withColumn("candidate_id", F.format_string("C%08d", "candidate_seq"))
 
 

@@ -6,7 +6,7 @@ reported in ``errors`` and the others are processed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -138,6 +138,21 @@ def stats_of_folder(
     return FolderRun(stats, read.errors)
 
 
+def edit_folder(
+    spark: SparkSession, folder: str, edit: Callable[..., DataFrame], number: int, out: str, **scan
+) -> FolderRun:
+    """One column edit (clear, insert or delete) in every file of a folder, written to ``out``.
+
+    The position counts the columns of the file itself, so files of each schema are edited
+    apart.  ``result`` lists the files.
+    """
+    read = R.scan_folder(spark, folder, error_code=R.E_EDIT_COLUMN, **scan)
+    for table in read.tables:
+        edited = edit(table, number, service=R.SERVICE)
+        edited.write.mode("append").partitionBy(R.FILE).parquet(out)
+    return FolderRun(read.files, read.errors)
+
+
 def replace_from_folder(spark: SparkSession, source_folder: str, target_folder: str, **scan) -> FolderRun:
     """Files of the target folder replaced by the files of the same name of the source folder."""
     sources = R.scan_folder(spark, source_folder, error_code=R.E_REPLACE_FILE, **scan)

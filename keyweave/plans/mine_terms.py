@@ -12,6 +12,7 @@ from keyweave.operators import terms as T
 from keyweave.operators.candidates import candidates, version_counts, with_candidate_ids, with_cell_text
 from keyweave.operators.lists import ITEMS_PER_CELL, LIST, PART, further_cells_of
 from keyweave.plans.term_config import TermConfig
+from keyweave.session import materialize
 
 
 SUMMARY = (
@@ -98,17 +99,22 @@ class MinedTerms:
         # Built at once, so that a missing column is reported before anything runs.
         self._extracted = candidates(cells, config.rules, **self._place, versions=config.versions)
 
+    @cached_property
+    def _found(self) -> DataFrame:
+        return materialize(self._extracted, "candidates")
+
     @cached_property
     def candidates(self) -> DataFrame:
-        return with_candidate_ids(self._extracted)
+        """The candidates in order, with their ids."""
+        return with_candidate_ids(self._found)
 
     @cached_property
     def _parts(self) -> DataFrame:
-        return T.components(self.candidates, self._config)
+        return T.components(self._found, self._config)
 
     @cached_property
     def terms(self) -> DataFrame:
-        return T.terms(self._parts, self._config.thresholds, ["candidate_seq"])
+        return T.terms(self._parts, self._config.thresholds)
 
     @cached_property
     def _list_options(self) -> dict[str, int]:
@@ -124,7 +130,7 @@ class MinedTerms:
 
     @cached_property
     def _groups(self) -> tuple[DataFrame, DataFrame]:
-        pairs = R.affix_pairs(self.candidates, self.terms, self._config)
+        pairs = R.affix_pairs(self._found, self.terms, self._config)
         return R.affix_groups(pairs, self._config.affix_delimiters, items_per_cell=self._items_per_cell)
 
     @cached_property
@@ -133,7 +139,15 @@ class MinedTerms:
 
     @cached_property
     def relations_summary(self) -> DataFrame:
-        return R.relations_summary(R.cross_file_terms(self.terms, self._files), self._groups[0])
+        return R.relations_summary(self.cross_file_terms, self.affix_groups)
+
+    @cached_property
+    def cross_file_terms(self) -> DataFrame:
+        return R.cross_file_terms(self.terms, self._files)
+
+    @cached_property
+    def affix_groups(self) -> DataFrame:
+        return self._groups[0]
 
     @cached_property
     def review(self) -> DataFrame:
@@ -142,7 +156,7 @@ class MinedTerms:
     @cached_property
     def details(self) -> DataFrame:
         """Every occurrence of every term, with the cell it was found in."""
-        occurrences = T.term_occurrences(self._parts, self.terms)
+        occurrences = T.term_occurrences(T.components(self.candidates, self._config), self.terms)
         with_text = with_cell_text(occurrences, self._cells, self._config.rules, **self._place)
         return with_text.select(*T.DETAIL_COLUMNS)
 
@@ -162,7 +176,7 @@ class MinedTerms:
         return run_summary(
             self._cells,
             self._config,
-            self.candidates,
+            self._found,
             self.terms,
             self.relations_summary,
             self.review,

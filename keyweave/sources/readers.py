@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from keyweave.operators.candidates import header_map, missing_columns
 from keyweave.operators.joins import inner_join_unique
 from keyweave.operators.rows import nullable_text_of
+from keyweave.session import materialize
 
 FILE, NAME, ROW, ORDER = "_file", "_name", "_row", "_file_ord"
 SERVICE = (FILE, NAME, ROW, ORDER)
@@ -26,12 +27,13 @@ SERVICE = (FILE, NAME, ROW, ORDER)
 # The first data row of a sheet is row 2, below the header.
 FIRST_ROW = 2
 
-# Error codes of unreadable files.
+# Error codes of unreadable files.
 E_TARGET_READ = "E_TARGET_READ"
 E_SOURCE_READ = "E_SOURCE_READ"
 E_TERMINOLOGY_FILE = "E_TERMINOLOGY_FILE"
 E_STATS_FILE = "E_STATS_FILE"
 E_REPLACE_FILE = "E_REPLACE_FILE"
+E_EDIT_COLUMN = "E_EDIT_COLUMN"
 
 
 def list_files(
@@ -138,14 +140,19 @@ def probe_files(files: DataFrame, kind: str = "parquet", *, whole: bool = False)
 
 @dataclass(frozen=True)
 class FolderScan:
-    """Rows of the readable files, the files, and one row per file that was left out."""
+    """The readable files as one table per schema, the files, and the files that were left out."""
 
-    rows: DataFrame
+    tables: tuple[DataFrame, ...]
     files: DataFrame
     errors: DataFrame
     files_read: int
     files_failed: int
 
+    @property
+    def rows(self) -> DataFrame:
+        """All rows in one table; a column that a file does not have is empty there."""
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), self.tables)
+
 
 def scan_folder(
     spark: SparkSession,
@@ -175,17 +182,25 @@ def scan_folder(
         spark, folder, extensions or (f".{kind}",), include_temp_files=include_temp_files
     ).filter(is_configured(F.col("file_name"), tokens))
     left_out = {_plain_path(p) for p in exclude}
-    # Paths come to the driver, as they do for every read of a list of files; rows do not.
-    probed = [r for r in probe_files(listed, kind, whole=whole).collect() if _plain_path(r.path) not in left_out]
+    probed = materialize(
+        probe_files(listed, kind, whole=whole).withColumn("schema", F.xxhash64("columns", "types")), "probed-files"
+    )
+    # What a schema lacks is found once per schema; of a file, the path comes to the driver,
+    # as it does for every read of a list of files.
+    needed = set(required) | ({row} if row else set())
+    lacks = {
+        s.schema: missing_columns(header_map(s.columns), needed)
+        for s in probed.filter("error IS NULL").groupBy("schema").agg(F.first("columns").alias("columns")).collect()
+    }
     good, bad, groups = [], [], {}
-    for file in sorted(probed, key=lambda r: r.path):
-        message = file.error
-        if message is None:
-            missing = missing_columns(header_map(file.columns), set(required) | ({row} if row else set()))
-            message = f"columns not found: {', '.join(missing)}" if missing else None
+    for file in sorted(probed.select("path", "file_name", "schema", "error").collect()):
+        if _plain_path(file.path) in left_out:
+            continue
+        missing = lacks.get(file.schema)
+        message = file.error or (f"columns not found: {', '.join(missing)}" if missing else None)
         if message is None:
             good.append((file.path, file.file_name))
-            groups.setdefault(tuple(zip(file.columns, file.types)), []).append(file.path)
+            groups.setdefault(file.schema, []).append(file.path)
         else:
             bad.append((error_code, file.path, file.file_name, message))
     if not good:
@@ -204,9 +219,8 @@ def scan_folder(
             *(nullable_text_of(table, c).alias(c) for c in cells),
         )
 
-    tables = [rows_of(paths) for paths in groups.values()]
     return FolderScan(
-        reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables),
+        tuple(rows_of(paths) for paths in groups.values()),
         spark.createDataFrame(good, "path string, file_name string"),
         spark.createDataFrame(bad, "code string, path string, file_name string, message string"),
         len(good),

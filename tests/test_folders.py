@@ -5,6 +5,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from keyweave import session
+from keyweave.operators.columns import clear_column
 from keyweave.operators.rows import SyncColumns, resolve_layout
 from keyweave.operators.sync import sync_reverse, sync_single
 from keyweave.plans import folders as P
@@ -120,6 +121,16 @@ def test_files_may_differ_in_columns_and_types(spark, tmp_path):
     assert "no cell text" in scan.errors.first().message
 
 
+def test_column_edits_count_the_columns_of_each_file(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([("1", "2")], "a string, b string").toPandas().to_parquet(tmp_path / "in/a.parquet")
+    spark.createDataFrame([("1", "3")], "b string, a string").toPandas().to_parquet(tmp_path / "in/b.parquet")
+    out = str(tmp_path / "out")
+    run = P.edit_folder(spark, str(tmp_path / "in"), clear_column, 1, out)
+    assert run.result.count() == 2
+    assert rows(spark.read.parquet(out).select("a", "b"), R.NAME) == [(None, "2"), ("3", None)]
+
+
 def test_folder_tools(spark, folder, tmp_path):
     columns = SyncColumns("key", "match", ("text",))
     master = spark.createDataFrame([(2, "K1", "M1", "m1"), (3, "K3", "M1", "m3")], f"row long, {SCHEMA}")
