@@ -1,4 +1,4 @@
-from keyweave.catalog import batch_queries, coverage_queries, sync_queries, table_queries, term_queries, update_queries
+from keyweave.catalog import batch_queries, coverage_queries, function_queries, sync_queries, table_queries, term_queries, update_queries
 
 QUERIES = {
     **sync_queries.QUERIES,
@@ -7,4 +7,5 @@ QUERIES = {
     **term_queries.QUERIES,
     **table_queries.QUERIES,
     **batch_queries.QUERIES,
+    **function_queries.QUERIES,
 }

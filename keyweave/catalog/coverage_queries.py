@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from keyweave.catalog.base import Query, sql_blank, table
 from keyweave.functions.text import CHINESE_CHARS, ENGLISH_WORDS
 from keyweave.operators.coverage import (
+    CHARACTER_HEADERS,
+    MEASURES,
     TOTAL_LABEL,
+    untranslated_report,
     untranslated_stats,
     untranslated_stats_with_totals,
     untranslated_summary,
@@ -23,17 +26,19 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def han_documents(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents with a Han character appended once per day of the week of the document."""
+    """The documents with a Han character appended up to six times."""
     times = (F.col("doc_id") % 7).cast("int")
     return documents(spark, folder).withColumn("text", F.concat("text", F.repeat(F.lit("字"), times)))
 
 
 # A word is cut out of the text before it is counted if it touches a digit, an underscore or a
 # letter outside ASCII; all other characters outside ASCII separate words.
-_WORDS = r"""len(regexp_extract_all(regexp_replace(regexp_replace(text,
+WORDS_SQL = r"""len(regexp_extract_all(regexp_replace(regexp_replace(text,
       '[^\x00-\x7F\p{L}\p{N}]', ' ', 'g'),
       '[A-Za-z0-9_\x{80}-\x{10FFFF}]*[0-9_\x{80}-\x{10FFFF}][A-Za-z0-9_\x{80}-\x{10FFFF}]*', ' ', 'g'),
       '[a-zA-Z]+(?:[''\-][a-zA-Z]+)*'))"""
+_HAN_TEXT = "text || repeat('字', doc_id % 7)"
+_REPORT = ", ".join(f'{m} AS "{h}"' for m, h in zip(("file_name", *MEASURES), CHARACTER_HEADERS))
 _HAN = "length(regexp_replace(text, '[^一-龥]', '', 'g'))"
 
 
@@ -57,21 +62,30 @@ WITH docs AS (
 QUERIES = {
     "untranslated_words_by_file": Query(
         lambda s, d: untranslated_stats(documents(s, d), **COLUMNS, mode=ENGLISH_WORDS),
-        f"{_stats_sql(_WORDS)} SELECT * FROM stats",
+        f"{_stats_sql(WORDS_SQL)} SELECT * FROM stats",
     ),
     "untranslated_han_by_file": Query(
         lambda s, d: untranslated_stats(han_documents(s, d), **COLUMNS, mode=CHINESE_CHARS),
-        f"{_stats_sql(_HAN, '''text || repeat('字', doc_id % 7)''')} SELECT * FROM stats",
+        f"{_stats_sql(_HAN, _HAN_TEXT)} SELECT * FROM stats",
     ),
     "untranslated_with_totals": Query(
         lambda s, d: untranslated_stats_with_totals(documents(s, d), **COLUMNS, mode=ENGLISH_WORDS),
-        f"""{_stats_sql(_WORDS)} SELECT * FROM stats UNION ALL
+        f"""{_stats_sql(WORDS_SQL)} SELECT * FROM stats UNION ALL
 SELECT '{TOTAL_LABEL}', CAST(sum(untranslated_chars) AS BIGINT), CAST(sum(untranslated_rows) AS BIGINT),
        CAST(sum(total_chars) AS BIGINT), CAST(sum(total_rows) AS BIGINT) FROM stats""",
     ),
+    "untranslated_report": Query(
+        lambda s, d: untranslated_report(han_documents(s, d), **COLUMNS, mode=CHINESE_CHARS),
+        f"""{_stats_sql(_HAN, _HAN_TEXT)}, report AS (
+  SELECT * FROM stats UNION ALL
+  SELECT '{TOTAL_LABEL}', CAST(sum(untranslated_chars) AS BIGINT), CAST(sum(untranslated_rows) AS BIGINT),
+         CAST(sum(total_chars) AS BIGINT), CAST(sum(total_rows) AS BIGINT) FROM stats
+)
+SELECT {_REPORT} FROM report""",
+    ),
     "untranslated_summary": Query(
         lambda s, d: untranslated_summary(untranslated_stats(documents(s, d), **COLUMNS, mode=ENGLISH_WORDS)),
-        f"""{_stats_sql(_WORDS)} SELECT count(*) AS files,
+        f"""{_stats_sql(WORDS_SQL)} SELECT count(*) AS files,
        CAST(sum(untranslated_chars) AS BIGINT) AS untranslated_chars,
        CAST(sum(untranslated_rows) AS BIGINT) AS untranslated_rows FROM stats""",
     ),

@@ -26,10 +26,10 @@ SEPARATOR = "|"
 
 
 def _float_text(value: Column) -> Column:
-    """Text of a floating point number in positional form from 1e-4 up to 1e16.
+    """Text of a floating point number: positional from 1e-4 up to 1e16, else with an exponent.
 
-    The JVM may print one digit more than it takes to tell a number apart, so a long text
-    is tried with 15 and with 16 digits first.
+    The JVM may print more digits than it takes to tell a number apart, so a long text is
+    tried with 15, 16 and 17 digits.
     """
     plain = value.cast("string")
     short, middle, full = (F.format_string(f"%.{n}e", value) for n in (14, 15, 16))
@@ -38,36 +38,18 @@ def _float_text(value: Column) -> Column:
         .when(middle.cast("double") == value, middle)
         .otherwise(full)
     )
-    form = r"^(-?)(\d)\.(\d+)e([+-]\d+)$"
-    sign, lead = F.regexp_extract(shortest, form, 1), F.regexp_extract(shortest, form, 2)
-    fraction = F.regexp_replace(F.regexp_extract(shortest, form, 3), "0+$", "")
-    exponent = F.regexp_extract(shortest, form, 4).try_cast("int")
-    digits = F.concat(lead, fraction)
-    whole = F.concat(
-        F.rpad(F.substring(digits, F.lit(1), exponent + 1), exponent + 1, F.lit("0")),
-        F.lit("."),
-        F.when(F.length(digits) > exponent + 1, F.substring(digits, exponent + 2, F.length(digits))).otherwise("0"),
-    )
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
-    power = F.abs(exponent).cast("string")
-    scientific = F.concat(
-        lead,
-        F.when(fraction != "", F.concat(F.lit("."), fraction)).otherwise(""),
-        F.when(exponent < 0, F.lit("e-")).otherwise("e+"),
-        F.lpad(power, F.greatest(F.lit(2), F.length(power)), F.lit("0")),
-    )
-    rewritten = F.concat(
-        sign,
-        F.when((exponent >= 0) & (exponent < 16), whole)
-        .when((exponent < 0) & (exponent >= -4), small)
-        .otherwise(scientific),
-    )
+    positional = F.regexp_replace(shortest.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0*$", "$1")
+    scientific = F.regexp_replace(shortest, r"\.?0*[eE]\+?(?=\d)", "e+")
+    scientific = F.regexp_replace(scientific, r"\.?0*[eE]-", "e-")
+    scientific = F.regexp_replace(scientific, r"(?<sign>[+-])(\d)$", "${sign}0$2")
+    is_positional = (F.abs(value) >= 1e-4) & (F.abs(value) < 1e16)
     return (
         F.when(F.isnan(value), F.lit("nan"))
         .when(plain == "Infinity", F.lit("inf"))
         .when(plain == "-Infinity", F.lit("-inf"))
-        .when(plain.contains("E") | (F.length(plain) > 16), rewritten)
-        .otherwise(plain)
+        .when(~plain.contains("E") & (F.length(plain) <= 16), plain)
+        .when(is_positional, positional)
+        .otherwise(scientific)
     )
 
 

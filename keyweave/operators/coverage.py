@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import count_units, is_blank, is_untranslated
+from keyweave.functions.text import ENGLISH_WORDS, count_units, is_blank, is_untranslated
 from keyweave.operators.rows import nullable_text_of
 
 MEASURES = ("untranslated_chars", "untranslated_rows", "total_chars", "total_rows")
 
-# Fixed value: the label of the totals row.
+# The label of the totals row, and the headers of the report.
 TOTAL_LABEL = "总计"
+CHARACTER_HEADERS = ("文件名", "未翻译字数", "未翻译行数", "总字数", "总行数")
+WORD_HEADERS = ("文件名", "未翻译词数", "未翻译行数", "总词数", "总行数")
 
 
 def _measured(rows: DataFrame, file: str, source: str, translation: str, mode: str) -> DataFrame:
@@ -65,6 +67,13 @@ def untranslated_stats_with_totals(
     )
 
 
+def untranslated_report(rows: DataFrame, *, mode: str = "chinese_chars", **columns) -> DataFrame:
+    """The sums per file under the headers of the mode, the totals in the last row."""
+    headers = WORD_HEADERS if mode == ENGLISH_WORDS else CHARACTER_HEADERS
+    stats = untranslated_stats_with_totals(rows, mode=mode, **columns)
+    return stats.orderBy(F.col("file_name") == TOTAL_LABEL, "file_name").toDF(*headers)
+
+
 def untranslated_summary(stats: DataFrame) -> DataFrame:
     """Number of files, untranslated units and untranslated rows."""
     return stats.agg(
