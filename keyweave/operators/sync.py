@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def _write_cells(
 ) -> DataFrame:
     """Join the index to the rows and write each cell the rules allow; every write counts."""
     joined = left_join_unique(with_identity(rows, columns.key, columns.match), index, [ID], place)
-    out, written = {}, F.lit(0)
+    writes = []
     for i, name in enumerate(columns.values):
         new, old = F.col(f"_new_{i}"), nullable_text_of(rows, name)
         write = new.isNotNull()
@@ -57,9 +58,15 @@ def _write_cells(
             write = write & ~is_blank(new)
         if fill_blank_only:
             write = write & is_blank(old)
-        out[name] = F.when(write, new).otherwise(old)
-        written = written + write.cast("int")
-    return joined.select(
+        writes.append(write.alias(f"_write_{i}"))
+    # Whether a cell is written is found once, in a step of its own, and used twice.
+    judged = joined.select(*rows.columns, *(f"_new_{i}" for i in range(len(writes))), *writes)
+    out = {
+        name: F.when(F.col(f"_write_{i}"), F.col(f"_new_{i}")).otherwise(nullable_text_of(rows, name))
+        for i, name in enumerate(columns.values)
+    }
+    written = reduce(lambda a, b: a + b, [F.col(f"_write_{i}").cast("int") for i in range(len(writes))])
+    return judged.select(
         *(out[c].alias(c) if c in out else F.col(c) for c in rows.columns),
         written.cast("bigint").alias(WRITTEN),
     )

@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import is_blank, same_value
@@ -111,20 +111,37 @@ def overwrite_cells(
     content = layout.content(row_key)
     news = candidates.select(ID, *(F.col(c).alias(f"_new_{i}") for i, c in enumerate(content)))
     joined = left_join_unique(with_identity(master, layout.key, layout.match, row_key), news, [ID], [row])
-    out, counts = {}, {name: F.lit(0) for name in CELL_COUNTS}
+    # What happens to a cell is found once, in a step of its own, and used several times.
+    states = [
+        _cell_state(nullable_text_of(master, c), F.col(f"_new_{i}")).alias(f"_state_{i}") for i, c in enumerate(content)
+    ]
+    judged = joined.select(*master.columns, *(f"_new_{i}" for i in range(len(content))), *states)
+    out = {c: nullable_text_of(master, c) for c in layout.cells}
     for i, name in enumerate(content):
-        new, old = F.col(f"_new_{i}"), nullable_text_of(master, name)
-        change = new.isNotNull() & ~same_value(old, new)
-        out[name] = F.when(change, new).otherwise(old)
-        fill = change & is_blank(old) & ~is_blank(new)
-        overwrite = change & ~is_blank(old) & ~is_blank(new)
-        for count, flag in zip(CELL_COUNTS, (change, fill, overwrite)):
-            counts[count] = counts[count] + flag.cast("int")
-    rest = [c for c in layout.cells if c not in out]
-    out |= {c: nullable_text_of(master, c) for c in rest}
-    return joined.select(
+        out[name] = F.when(F.col(f"_state_{i}") != KEPT, F.col(f"_new_{i}")).otherwise(out[name])
+
+    def total(counts) -> Column:
+        flags = [counts(F.col(f"_state_{i}")).cast("int") for i in range(len(content))]
+        return reduce(lambda a, b: a + b, flags, F.lit(0)).cast("bigint")
+
+    return judged.select(
         *(out[c].alias(c) if c in out else F.col(c) for c in master.columns),
-        *(counts[c].cast("bigint").alias(c) for c in CELL_COUNTS),
+        total(lambda state: state != KEPT).alias(UPDATED),
+        total(lambda state: state == FILL).alias(FILLED),
+        total(lambda state: state == REPLACE).alias(OVERWRITTEN),
+    )
+
+
+# What an update does to a cell.
+KEPT, FILL, REPLACE, CLEAR = range(4)
+
+
+def _cell_state(old: Column, new: Column) -> Column:
+    return (
+        F.when(new.isNull() | same_value(old, new), KEPT)
+        .when(is_blank(new), CLEAR)
+        .when(is_blank(old), FILL)
+        .otherwise(REPLACE)
     )
 
 
