@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from keyweave.catalog import sync_queries as S
 from keyweave.catalog.base import Query, sql_blank, sql_identity
-from keyweave.plans.batch import FORWARD, REVERSE, BatchConfig, BatchJob, BatchRun, forward_jobs, run_batch
+from keyweave.plans.batch import FORWARD, REVERSE, BatchConfig, BatchJob, BatchRun, forward_jobs, reverse_jobs, run_batch
 
 FILES = ("A", "N", "R")
 _FORWARD_COLUMNS = ("name", "size", "name")
@@ -44,8 +44,8 @@ def _forward(spark: SparkSession, folder: str, run) -> DataFrame | BatchRun:
     )
 
 
-def _reverse(spark: SparkSession, folder: str) -> BatchRun:
-    return run_batch(
+def _reverse(spark: SparkSession, folder: str, run=run_batch) -> DataFrame | BatchRun:
+    return run(
         REVERSE_CONFIG,
         S.reverse_master(spark, folder).withColumn("o_note", F.lit(None).cast("string")),
         _by_file(S.reverse_targets(spark, folder)),
@@ -112,6 +112,12 @@ SELECT job_index, 'file ' || file AS job_name, 'success' AS status,
         lambda s, d: _reverse(s, d).master,
         f"{REVERSE_SQL} SELECT o_orderkey, o_orderstatus, o_orderpriority, o_note FROM master3",
     ),
+    "batch_reverse_one_plan": Query(
+        lambda s, d: _reverse(s, d, reverse_jobs),
+        f"""{REVERSE_SQL}
+SELECT o_orderkey, m3.o_orderstatus, m3.o_orderpriority, m3.o_note, m1.n + m2.n + m3.n AS cells_written
+FROM master3 m3 JOIN master2 m2 USING (o_orderkey) JOIN master1 m1 USING (o_orderkey)""",
+    ),
     "batch_reverse_summary": Query(
         lambda s, d: _reverse(s, d).summary_table(),
         f"""{REVERSE_SQL}

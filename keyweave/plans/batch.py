@@ -11,7 +11,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyweave.operators.rows import SyncColumns, columns_at
+from keyweave.functions.text import is_blank
+from keyweave.functions.winners import position
+from keyweave.operators.joins import left_join_unique
+from keyweave.operators.rows import (
+    ID,
+    SyncColumns,
+    columns_at,
+    identified_rows,
+    nullable_text_of,
+    text_of,
+    with_identity,
+)
 from keyweave.operators.sync import WRITTEN, sync_multi, sync_reverse, sync_single, written_total
 from keyweave.session import materialize
 from keyweave.sources.writers import snapshot
@@ -227,3 +238,51 @@ def forward_jobs(
     for slot, jobs in zip(slots, jobs_of):
         chosen = F.when(F.col("job_index").isin(jobs), F.col(slot)).otherwise(chosen)
     return synced.withColumn(value, chosen).drop(*slots)
+
+
+def reverse_jobs(
+    config: BatchConfig,
+    master: DataFrame,
+    targets: Mapping[str, Table],
+    *,
+    master_order: Sequence[str],
+    target_order: Sequence[str],
+) -> DataFrame:
+    """All reverse jobs as one plan: one winner per identity and job, one join with the master.
+
+    Each job sees the cells its predecessors left.  Jobs that write the key or match column
+    change identities, and need ``run_batch``.
+    """
+    config.check()
+    columns = [config.source(master, job, master_order).values[0] for job in config.jobs]
+    if {config.master_key, config.master_match} & set(columns):
+        raise ValueError("a job that writes key or match cannot share a plan with others")
+    target = config.target
+
+    def values(job: BatchJob, number: int) -> DataFrame:
+        table = _open(targets, job.target)
+        content = text_of(table, target.values[0])
+        rows = table if config.allow_blank_write else table.filter(~is_blank(content))
+        return identified_rows(rows, target.key, target.match).select(
+            ID, *target_order, content.alias("_content"), F.lit(number).alias("_job")
+        )
+
+    numbers = range(1, len(config.jobs) + 1)
+    tagged = reduce(DataFrame.unionByName, [values(job, i) for i, job in zip(numbers, config.jobs)])
+    place = position(target_order)
+    winners = tagged.groupBy(ID).agg(
+        *(F.max_by("_content", F.when(F.col("_job") == i, place)).alias(f"_new_{i}") for i in numbers)
+    )
+    identified = with_identity(master, config.master_key, config.master_match)
+    rows = left_join_unique(identified, winners, [ID], master_order).withColumns(
+        {c: nullable_text_of(master, c) for c in dict.fromkeys(columns)}
+    )
+    for i, column in zip(numbers, columns):
+        write = F.col(f"_new_{i}").isNotNull()
+        if config.fill_blank_only:
+            write = write & is_blank(F.col(column))
+        rows = rows.withColumn(f"_write_{i}", write).withColumn(
+            column, F.when(F.col(f"_write_{i}"), F.col(f"_new_{i}")).otherwise(F.col(column))
+        )
+    written = reduce(lambda a, b: a + b, [F.col(f"_write_{i}").cast("int") for i in numbers])
+    return rows.select(*master.columns, written.cast("bigint").alias(WRITTEN))

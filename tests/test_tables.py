@@ -1,5 +1,7 @@
 """Coverage statistics, column edits, file replacement, comparison and batches."""
 
+import random
+
 import pytest
 from conftest import rows
 
@@ -8,7 +10,7 @@ from keyweave.operators.coverage import TOTAL_LABEL, untranslated_stats, untrans
 from keyweave.operators.diff import diff_tables
 from keyweave.operators.replace import replace_files
 from keyweave.operators.rows import SyncColumns
-from keyweave.plans.batch import FORWARD, REVERSE, BatchConfig, BatchJob, forward_jobs, run_batch
+from keyweave.plans.batch import FORWARD, REVERSE, BatchConfig, BatchJob, forward_jobs, reverse_jobs, run_batch
 
 STATS = {"file": "file", "source": "source", "translation": "translation"}
 
@@ -115,6 +117,29 @@ def test_reverse_batch_is_cumulative(spark, tmp_path):
     assert rows(spark.read.parquet(run.backup_path), "row") == rows(master, "row")
 
 
+@pytest.mark.parametrize("fill", [False, True])
+def test_reverse_jobs_in_one_plan_give_what_the_loop_gives(spark, fill):
+    rng = random.Random(fill)
+    some = lambda values, n: [tuple(rng.choice(v) for v in values) for _ in range(n)]
+    keys, texts = ["K", " K", "L", "", None, "N"], ["", " ", None, "1", "2"]
+    master = spark.createDataFrame(
+        [(i, *r) for i, r in enumerate(some([keys, ["M", "O "], texts, texts], 30))], MASTER_SCHEMA
+    )
+    named = {
+        name: [(f, i, *r) for i, (f, *r) in enumerate(some([["a", "b"], keys, ["M", "O"], ["", "x", "y", None, name]], 12))]
+        for name in ("one", "two", "three")
+    }
+    jobs = [BatchJob("one", "fr"), BatchJob("two", "es"), BatchJob("three", "fr"), BatchJob("one", "es")]
+    for allow in (False, True):
+        config = batch(REVERSE, jobs, fill_blank_only=fill, allow_blank_write=allow)
+        looped = run_batch(config, master, tables(spark, **named), **ORDERS)
+        together = reverse_jobs(config, master, tables(spark, **named), **ORDERS)
+        assert rows(together.drop("cells_written"), "row") == rows(looped.master, "row")
+        assert together.agg({"cells_written": "sum"}).first()[0] == sum(r[3] for r in looped.results)
+    with pytest.raises(ValueError, match="writes key or match"):
+        reverse_jobs(batch(REVERSE, [BatchJob("one", "key")]), master, tables(spark, **named), **ORDERS)
+
+
 @pytest.mark.parametrize("go_on, statuses, stopped", [(True, ["failed", "success"], False), (False, ["failed"], True)])
 def test_failed_jobs(spark, go_on, statuses, stopped):
     def broken():
