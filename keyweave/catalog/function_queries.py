@@ -9,6 +9,7 @@ from keyweave.catalog import sync_queries as S
 from keyweave.catalog.coverage_queries import WORDS_SQL
 from keyweave.catalog.base import Query, sql_blank, sql_changed, sql_identity, sql_key_identity, sql_strip, table
 from keyweave.functions import text as X
+from keyweave.operators.affixes import with_halves
 from keyweave.operators.rows import ID, KEY_ONLY, nullable_text_of, with_identity
 from keyweave.operators.sync import master_index, target_winners
 
@@ -73,17 +74,9 @@ FROM documents"""
 
 
 def _halves(spark: SparkSession, folder: str) -> DataFrame:
-    halves = X.split_affix(F.col("text"), DELIMITERS)
-    return (
-        table(spark, folder, "conversations")
-        .select("conv_id", "turn", halves.alias("h"))
-        .select(
-            "conv_id",
-            "turn",
-            F.col("h.body").alias("body"),
-            F.md5("h.suffix").alias("suffix_hash"),
-            F.col("h.delimiter").alias("delimiter"),
-        )
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "text")
+    return with_halves(turns, "text", DELIMITERS).select(
+        "conv_id", "turn", "body", F.md5("suffix").alias("suffix_hash"), "delimiter"
     )
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import types as T
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 SPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
 
+# A run of white space that is not one plain space already.
+_LOOSE_SPACE = f"[{SPACE_CLASS}&&[^ ]][{SPACE_CLASS}]*| [{SPACE_CLASS}]+"
+
 # Any other character; visible ASCII is tried first because it is a plain range.
 _NON_SPACE = f"[!-~]|[^{SPACE_CLASS}]"
 
@@ -123,7 +126,7 @@ def normalize_term(
     if trim:
         text = strip(text)
     if collapse_whitespace:
-        text = F.regexp_replace(text, f"[{SPACE_CLASS}]+", " ")
+        text = F.regexp_replace(text, _LOOSE_SPACE, " ")
     for old, new in (punctuation or {}).items():
         text = F.replace(text, F.lit(old), F.lit(new))
     return text
@@ -133,32 +136,6 @@ def dedup_key(term: Column, case_insensitive: bool) -> Column:
     return F.lower(term) if case_insensitive else term
 
 
-def split_affix(text: Column, delimiters: Sequence[str]) -> Column:
-    """``struct(body, suffix, delimiter)`` at the earliest delimiter, else NULL.
-
-    At the same position the delimiter listed first is taken.  The suffix starts with the
-    delimiter and keeps its trailing text; nothing is split if either side is blank.
-    """
-    places = F.array(
-        *(
-            F.when(F.instr(text, d) > 0, F.struct(F.instr(text, d).alias("at"), F.lit(i).alias("nr")))
-            for i, d in enumerate(delimiters)
-        )
-    )
-    first = F.array_min(places)
-    delimiter = F.element_at(F.array(*map(F.lit, delimiters)), first["nr"] + 1)
-    body = strip(F.substring(text, F.lit(1), first["at"] - 1))
-    payload = F.substring(text, first["at"] + F.length(delimiter), F.length(text))
-    return F.when(
-        first.isNotNull() & (body != "") & ~is_blank(payload),
-        F.struct(
-            body.alias("body"),
-            F.concat(delimiter, payload).alias("suffix"),
-            delimiter.alias("delimiter"),
-        ),
-    )
-
-
 def is_symbol_or_number_heavy(term: Column) -> Column:
     """Only ASCII digits, underscores and characters that are neither letter nor number."""
     return strip(term).rlike(r"\A[0-9_[^\p{L}\p{N}]]+\z")

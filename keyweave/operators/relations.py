@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import dedup_key, split_affix
+from keyweave.functions.text import dedup_key
+from keyweave.operators.affixes import with_halves
 from keyweave.operators.joins import inner_join_unique
 from keyweave.operators.lists import COUNT, ITEMS_PER_CELL, LIST, PART, first_cell_of, largest_group, list_cells
 from keyweave.operators.terms import BODY, SUFFIX, TERM, normal_form
@@ -56,14 +57,16 @@ def affix_pairs(found: DataFrame, known: DataFrame, config: TermConfig) -> DataF
     one flag per delimiter, which says whether the pair was written with it.
     """
     settings = config.normalization
-    halves = found.select(split_affix(F.col("term_raw"), config.affix_delimiters).alias("h")).filter(
-        F.col("h").isNotNull()
+    halves = with_halves(found.select("term_raw"), "term_raw", config.affix_delimiters)
+    forms = (
+        halves.filter(F.col("delimiter").isNotNull())
+        .select(
+            normal_form(F.col("body"), settings).alias("body"),
+            normal_form(F.col("suffix"), settings).alias("suffix"),
+            "delimiter",
+        )
+        .filter((F.col("body") != "") & (F.col("suffix") != ""))
     )
-    forms = halves.select(
-        normal_form(F.col("h.body"), settings).alias("body"),
-        normal_form(F.col("h.suffix"), settings).alias("suffix"),
-        F.col("h.delimiter").alias("delimiter"),
-    ).filter((F.col("body") != "") & (F.col("suffix") != ""))
     keys = [dedup_key(F.col(c), settings.case_insensitive_dedup).alias(f"{c}_key") for c in (BODY, SUFFIX)]
     pairs = (
         forms.select(*keys, "delimiter")

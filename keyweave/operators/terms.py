@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import dedup_key, is_symbol_or_number_heavy, noise_ratio, normalize_term, split_affix
+from keyweave.functions.text import dedup_key, is_symbol_or_number_heavy, noise_ratio, normalize_term
 from keyweave.functions.winners import position
+from keyweave.operators.affixes import with_halves
 from keyweave.operators.candidates import CANDIDATE_ORDER
 from keyweave.operators.joins import inner_join_unique
 from keyweave.operators.lists import COUNT, LIST, first_cell_of, list_cells
@@ -30,27 +31,27 @@ def normal_form(text: Column, settings: Normalization) -> Column:
 
 def normalized_candidates(found: DataFrame, settings: Normalization) -> DataFrame:
     """Candidates whose normal form is long enough."""
-    norm = normal_form(F.col("term_raw"), settings)
-    return found.withColumn("term_form", norm).filter(F.length("term_form") >= settings.min_term_length)
+    return found.filter(F.length(normal_form(F.col("term_raw"), settings)) >= settings.min_term_length)
 
 
 def components(found: DataFrame, config: TermConfig) -> DataFrame:
     """One row per component: the whole term as body, or its body and its suffix."""
     settings = config.normalization
-    halves = split_affix(F.col("term_raw"), config.affix_delimiters)
 
     def component(kind: str, text: Column) -> Column:
         return F.struct(F.lit(kind).alias("term_type"), text.alias("display_term"))
 
-    split = F.array(component(BODY, F.col("_halves.body")), component(SUFFIX, F.col("_halves.suffix")))
+    split = F.array(component(BODY, F.col("body")), component(SUFFIX, F.col("suffix")))
     whole = F.array(component(BODY, F.col("term_raw")))
-    parts = normalized_candidates(found, settings).withColumn("_halves", halves)
-    exploded = parts.select("*", F.inline(F.when(F.col("_halves").isNotNull(), split).otherwise(whole)))
+    parts = with_halves(normalized_candidates(found, settings), "term_raw", config.affix_delimiters)
+    exploded = parts.select(
+        *found.columns, F.inline(F.when(F.col("delimiter").isNotNull(), split).otherwise(whole))
+    )
     return (
         exploded.withColumn("_form", normal_form(F.col("display_term"), settings))
         .filter(F.length("_form") >= settings.min_term_length)
         .withColumn("dedup_key", dedup_key(F.col("_form"), settings.case_insensitive_dedup))
-        .drop("_halves", "_form", "term_form")
+        .drop("_form")
     )
 
 
