@@ -14,7 +14,20 @@ from pyspark.sql import types as T
 # The characters that a strip removes: all code points Unicode calls white space plus the
 # four information separators.  None lies above U+3000.
 WHITESPACE = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
-SPACE_CLASS = "".join(f"\\x{{{ord(c):x}}}" for c in WHITESPACE)
+
+
+def _class_of(chars: str) -> str:
+    """The inside of a pattern class: Latin-1 one by one, which patterns look up, the rest as ranges."""
+    ranges: list[list[int]] = []
+    for code in map(ord, chars):
+        if code > 0xFF and ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "".join(f"\\x{{{a:x}}}" if a == b else f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+SPACE_CLASS = _class_of(WHITESPACE)
 
 # A run of white space that is not one plain space already.
 _LOOSE_SPACE = f"[{SPACE_CLASS}&&[^ ]][{SPACE_CLASS}]*| [{SPACE_CLASS}]+"
