@@ -1,11 +1,15 @@
-from keyweave.catalog import batch_queries, coverage_queries, function_queries, sync_queries, table_queries, term_queries, update_queries
+"""All queries of the catalogue by name."""
+
+from keyweave.catalog import batch_queries as batches
+from keyweave.catalog import coverage_queries as coverage
+from keyweave.catalog import function_queries as functions
+from keyweave.catalog import sync_queries as sync
+from keyweave.catalog import table_queries as tables
+from keyweave.catalog import term_queries as terms
+from keyweave.catalog import update_queries as updates
 
 QUERIES = {
-    **sync_queries.QUERIES,
-    **update_queries.QUERIES,
-    **coverage_queries.QUERIES,
-    **term_queries.QUERIES,
-    **table_queries.QUERIES,
-    **batch_queries.QUERIES,
-    **function_queries.QUERIES,
+    name: query
+    for module in (sync, updates, coverage, terms, tables, batches, functions)
+    for name, query in module.QUERIES.items()
 }

@@ -38,6 +38,11 @@ _NON_SPACE = f"[!-~]|[^{SPACE_CLASS}]"
 SEPARATOR = "|"
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, which may hold dots as headers do."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 # --- text of a cell -------------------------------------------------------------------
 
 

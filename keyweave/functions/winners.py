@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import is_blank
+from keyweave.functions.text import column, is_blank
 
 
 def position(order: Sequence[str]) -> Column:
@@ -24,7 +24,7 @@ def last_rows(rows: DataFrame, identity: str, cells: Sequence[str], order: Seque
     """The last whole row of every identity, blank cells included."""
     return (
         rows.groupBy(identity)
-        .agg(F.max_by(F.struct(*cells), position(order)).alias("_cells"))
+        .agg(F.max_by(F.struct(*map(column, cells)), position(order)).alias("_cells"))
         .select(identity, "_cells.*")
     )
 
@@ -36,7 +36,7 @@ def last_rows_first_seen(
     return (
         rows.groupBy(identity)
         .agg(
-            F.max_by(F.struct(*cells), position(order)).alias("_cells"),
+            F.max_by(F.struct(*map(column, cells)), position(order)).alias("_cells"),
             F.min(position(order)).alias(seen),
         )
         .select(identity, "_cells.*", seen)
@@ -50,7 +50,7 @@ def first_rows(
     return (
         rows.groupBy(identity)
         .agg(
-            F.min_by(F.struct(*cells), position(order)).alias("_cells"),
+            F.min_by(F.struct(*map(column, cells)), position(order)).alias("_cells"),
             F.min(position(order)).alias(seen),
         )
         .select(identity, "_cells.*", seen)
@@ -59,20 +59,12 @@ def first_rows(
 
 def last_cell(cell: str, order: Sequence[str]) -> Column:
     """Aggregate: the last non-blank value; NULL if the cell was never touched."""
-    return F.max_by(cell, F.when(~is_blank(F.col(cell)), position(order)))
+    return F.max_by(column(cell), F.when(~is_blank(column(cell)), position(order)))
 
 
 def first_cell(cell: str, order: Sequence[str]) -> Column:
     """Aggregate: the first non-blank value; NULL if there is none."""
-    return F.min_by(cell, F.when(~is_blank(F.col(cell)), position(order)))
-
-
-def last_cells(rows: DataFrame, identity: str, cells: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Per cell, the last non-blank value of every identity."""
-    return (
-        rows.groupBy(identity)
-        .agg(*(last_cell(c, order).alias(c) for c in cells))
-    )
+    return F.min_by(column(cell), F.when(~is_blank(column(cell)), position(order)))
 
 
 def first_cells(rows: DataFrame, identity: str, cells: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -150,7 +150,10 @@ def candidates(
     expanded = (
         of_versions(cells, versions, table.name("version") if versions else "")
         .select(*places, F.explode(F.array(*found)).alias("_found"))
-        .select("*", "_found.rule_nr", "_found.column_nr", "_found.use", F.posexplode("_found.texts").alias("match_nr", "_span"))
+        .select(
+            *("*", "_found.rule_nr", "_found.column_nr", "_found.use"),
+            F.posexplode("_found.texts").alias("match_nr", "_span"),
+        )
     )
 
     def by_use(value) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyweave.functions.text import column
 from keyweave.operators.rows import columns_at
 
 INSERTED = "Translation"
@@ -33,11 +34,11 @@ def insert_column(df: DataFrame, number: int, *, service: Sequence[str] = (), he
     empty = F.lit(None).cast("string")
     gap = [empty.alias(f"col_{i}") for i in range(len(cells) + 1, number)]
     return df.select(
-        *(c for c in df.columns if c in service),
-        *cells[: number - 1],
+        *(column(c) for c in df.columns if c in service),
+        *map(column, cells[: number - 1]),
         *gap,
         empty.alias(header),
-        *cells[number - 1 :],
+        *map(column, cells[number - 1 :]),
     )
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from keyweave.functions.text import (
     SEPARATOR,
     cell_text,
+    column,
     combined_identity,
     is_blank,
     key_identity,
@@ -69,12 +70,12 @@ def columns_at(df: DataFrame, first: int, count: int = 1, ignore: Sequence[str]
 
 def text_of(df: DataFrame, name: str):
     """Text of a column of ``df``, empty cells as the empty text."""
-    return text_or_empty(F.col(name), df.schema[name].dataType)
+    return text_or_empty(column(name), df.schema[name].dataType)
 
 
 def nullable_text_of(df: DataFrame, name: str):
     """Text of a column of ``df``, empty cells as NULL."""
-    return cell_text(F.col(name), df.schema[name].dataType)
+    return cell_text(column(name), df.schema[name].dataType)
 
 
 def with_identity(df: DataFrame, key: str, match: str | None, row_key: str = COMBINED_KEY) -> DataFrame:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import is_blank
+from keyweave.functions.text import column, is_blank
 from keyweave.functions.winners import last_rows, position
 from keyweave.operators.joins import left_join_unique
 from keyweave.operators.rows import (
@@ -60,14 +60,14 @@ def _write_cells(
             write = write & is_blank(old)
         writes.append(write.alias(f"_write_{i}"))
     # Whether a cell is written is found once, in a step of its own, and used twice.
-    judged = joined.select(*rows.columns, *(f"_new_{i}" for i in range(len(writes))), *writes)
+    judged = joined.select(*map(column, rows.columns), *(f"_new_{i}" for i in range(len(writes))), *writes)
     out = {
         name: F.when(F.col(f"_write_{i}"), F.col(f"_new_{i}")).otherwise(nullable_text_of(rows, name))
         for i, name in enumerate(columns.values)
     }
     written = reduce(lambda a, b: a + b, [F.col(f"_write_{i}").cast("int") for i in range(len(writes))])
     return judged.select(
-        *(out[c].alias(c) if c in out else F.col(c) for c in rows.columns),
+        *(out[c].alias(c) if c in out else column(c) for c in rows.columns),
         written.cast("bigint").alias(WRITTEN),
     )
 

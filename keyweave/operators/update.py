@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyweave.functions.text import is_blank, same_value
+from keyweave.functions.text import column, is_blank, same_value
 from keyweave.functions.winners import first_rows, last_cell, last_rows_first_seen, position
 from keyweave.operators.joins import left_join_unique
 from keyweave.operators.rows import (
@@ -75,11 +75,11 @@ def sparse_candidates(sources: DataFrame, layout: Layout, order: Sequence[str],
     keep = list(dict.fromkeys([*order, file]))
     cells = source_cells(sources, layout, COMBINED_KEY, keep)
     place = position(order)
-    touched = reduce(lambda a, b: a | b, [~is_blank(F.col(c)) for c in content], F.lit(False))
+    touched = reduce(lambda a, b: a | b, [~is_blank(column(c)) for c in content], F.lit(False))
     origin = F.struct(
         F.element_at(F.split(F.col(file).cast("string"), "/"), -1).alias("file"),
-        F.col(layout.key).alias("key"),
-        F.col(layout.match).alias("match"),
+        column(layout.key).alias("key"),
+        column(layout.match).alias("match"),
     )
     return (
         cells.withColumn("_origin", origin)
@@ -109,13 +109,13 @@ def overwrite_cells(
     row.  A text replaced by a blank is updated, but neither filled nor overwritten.
     """
     content = layout.content(row_key)
-    news = candidates.select(ID, *(F.col(c).alias(f"_new_{i}") for i, c in enumerate(content)))
+    news = candidates.select(ID, *(column(c).alias(f"_new_{i}") for i, c in enumerate(content)))
     joined = left_join_unique(with_identity(master, layout.key, layout.match, row_key), news, [ID], [row])
     # What happens to a cell is found once, in a step of its own, and used several times.
     states = [
         _cell_state(nullable_text_of(master, c), F.col(f"_new_{i}")).alias(f"_state_{i}") for i, c in enumerate(content)
     ]
-    judged = joined.select(*master.columns, *(f"_new_{i}" for i in range(len(content))), *states)
+    judged = joined.select(*map(column, master.columns), *(f"_new_{i}" for i in range(len(content))), *states)
     out = {c: nullable_text_of(master, c) for c in layout.cells}
     for i, name in enumerate(content):
         out[name] = F.when(F.col(f"_state_{i}") != KEPT, F.col(f"_new_{i}")).otherwise(out[name])
@@ -125,7 +125,7 @@ def overwrite_cells(
         return reduce(lambda a, b: a + b, flags, F.lit(0)).cast("bigint")
 
     return judged.select(
-        *(out[c].alias(c) if c in out else F.col(c) for c in master.columns),
+        *(out[c].alias(c) if c in out else column(c) for c in master.columns),
         total(lambda state: state != KEPT).alias(UPDATED),
         total(lambda state: state == FILL).alias(FILLED),
         total(lambda state: state == REPLACE).alias(OVERWRITTEN),
@@ -154,7 +154,7 @@ def appended_rows(master: DataFrame, new: DataFrame, layout: Layout, row: str) -
     """New rows in first-seen order, numbered on from the last master row."""
     last = master.agg(F.max(row)).first()[0]
     rows = numbered(new, [SEEN], "_new_row", start=(last or 0) + 1, label="appended")
-    named = {row: F.col("_new_row").cast(master.schema[row].dataType), **{c: F.col(c) for c in layout.cells}}
+    named = {row: F.col("_new_row").cast(master.schema[row].dataType), **{c: column(c) for c in layout.cells}}
     return rows.select(
         *(
             (named[c] if c in named else F.lit(None).cast(master.schema[c].dataType)).alias(c)
@@ -166,7 +166,7 @@ def appended_rows(master: DataFrame, new: DataFrame, layout: Layout, row: str) -
 def text_cells(master: DataFrame, layout: Layout) -> DataFrame:
     """The master with its cells as text."""
     cells = set(layout.cells)
-    return master.select(*(nullable_text_of(master, c).alias(c) if c in cells else c for c in master.columns))
+    return master.select(*(nullable_text_of(master, c).alias(c) if c in cells else column(c) for c in master.columns))
 
 
 # --- report and counters --------------------------------------------------------------
@@ -185,7 +185,7 @@ def unmatched_report(
         F.col(f"{REPORT}.key").alias("key"),
         F.col(f"{REPORT}.match").alias("match"),
         F.col(f"{REPORT}.file").alias("source_file"),
-        *(F.col(c).alias(f"content_col_{position_of[c]}") for c in layout.content(row_key)),
+        *(column(c).alias(f"content_col_{position_of[c]}") for c in layout.content(row_key)),
     ).orderBy("key", "match", "source_file")
 
 

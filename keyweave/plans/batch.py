@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from keyweave.functions.text import column as column_of
 from keyweave.functions.text import is_blank
 from keyweave.functions.winners import position
 from keyweave.operators.joins import left_join_unique
@@ -222,7 +223,7 @@ def forward_jobs(
     # One value column per master column in use, filled for the rows of its jobs only.
     slots = [f"_slot_{i}" for i in range(len(distinct))]
     jobs_of = [[i for i, c in enumerate(columns, start=1) if c == name] for name in distinct]
-    spread = tagged.withColumns({slot: F.col(value) for slot in slots})
+    spread = tagged.withColumns({slot: column_of(value) for slot in slots})
     synced = sync_multi(
         spread,
         SyncColumns(config.target.key, config.target.match, tuple(slots)),
@@ -280,9 +281,9 @@ def reverse_jobs(
     for i, column in zip(numbers, columns):
         write = F.col(f"_new_{i}").isNotNull()
         if config.fill_blank_only:
-            write = write & is_blank(F.col(column))
+            write = write & is_blank(column_of(column))
         rows = rows.withColumn(f"_write_{i}", write).withColumn(
-            column, F.when(F.col(f"_write_{i}"), F.col(f"_new_{i}")).otherwise(F.col(column))
+            column, F.when(F.col(f"_write_{i}"), F.col(f"_new_{i}")).otherwise(column_of(column))
         )
     written = reduce(lambda a, b: a + b, [F.col(f"_write_{i}").cast("int") for i in numbers])
-    return rows.select(*master.columns, written.cast("bigint").alias(WRITTEN))
+    return rows.select(*map(column_of, master.columns), written.cast("bigint").alias(WRITTEN))
