@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,3 +37,8 @@ def space_words(text: Column) -> Column:
 def bigint_array(values: list[int]) -> Column:
     """A constant array; the optimizer folds the split text into a literal once."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
+def travels_with_the_job(module: str) -> None:
+    """Pickle the functions of a module by value, so that executors need no copy of the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.catalog.base import Query
-from keyweave.llm import chat, quality, sharding
+from keyweave.llm import chat, quality, sharding, simhash
 from keyweave.llm.columns import table
 
 
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, folder, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_of_documents(table(spark, folder, "documents"))
 
@@ -22,6 +26,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": Query(op1_simhash),
     "op7_quality_rules": Query(op7_quality_rules),
     "op9_sharding": Query(op9_sharding),
     "op10_chat_formatting": Query(op10_chat_formatting),
