@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.catalog.base import Query
-from keyweave.llm import chat, packing, quality, sharding, simhash, token_counts
+from keyweave.llm import chat, langid, packing, quality, sharding, simhash, token_counts
 from keyweave.llm.columns import table
 
 
@@ -17,6 +17,10 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counts_by_limit(table(spark, folder, "documents"))
 
 
+def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.languages_of_documents(table(spark, folder, "documents"))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"))
 
@@ -36,6 +40,7 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": Query(op1_simhash),
     "op2_token_counts": Query(op2_token_counts),
+    "op5_language_id": Query(op5_language_id),
     "op6_packing": Query(op6_packing),
     "op7_quality_rules": Query(op7_quality_rules),
     "op9_sharding": Query(op9_sharding),
