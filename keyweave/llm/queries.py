@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from keyweave.catalog.base import Query
-from keyweave.llm import chat, langid, packing, quality, sharding, simhash, token_counts
+from keyweave.llm import (
+    chat,
+    langid,
+    licenses,
+    packing,
+    quality,
+    sharding,
+    simhash,
+    token_counts,
+    toxicity,
+)
 from keyweave.llm.columns import table
 
 
@@ -17,6 +27,15 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.counts_by_limit(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return toxicity.toxicity_of_documents(docs, labels)
+
+
+def op4_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scanned(table(spark, folder, "documents"))
+
+
 def op5_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.languages_of_documents(table(spark, folder, "documents"))
 
@@ -40,6 +59,8 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_simhash": Query(op1_simhash),
     "op2_token_counts": Query(op2_token_counts),
+    "op3_toxicity": Query(op3_toxicity),
+    "op4_license_scans": Query(op4_license_scans),
     "op5_language_id": Query(op5_language_id),
     "op6_packing": Query(op6_packing),
     "op7_quality_rules": Query(op7_quality_rules),
