@@ -1,7 +1,7 @@
 """Quality rules: a threshold table compiled into one Spark projection.
 
 Every measure is a built-in expression over one row, so a document is judged where it is
-read: no shuffle, no Python.  The rules are data (``Rule``); ``judged`` compiles any
+read: no shuffle, no Python.  The rules are data (``Rule``); ``verdict`` compiles any
 table of them into one projection.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,124 +80,107 @@ def _repeat_words(windows: Column) -> Column:
     return let(let(placed, again), covered)
 
 
-def measured(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with a column ``_quality``: a struct of all measures of the text.
+def _counts(text: Column) -> Column:
+    """All counts of one text, as a struct.
 
-    NULL, empty and blank texts have no words, and every measure 0.  Words are
-    ``[^\\x20\\x09-\\x0D]+``; a line counts as a repeated one if it has a word and equals an
-    earlier line.  Repeated three-word windows are found by a 64-bit hash within the text.
-    Other columns are left as they are; ``_quality`` and ``_q_*`` must not be among them.
+    Words, lines and windows are bound with ``let``: each is computed once per row, wherever the
+    optimizer moves the expression.
     """
-    clean = F.coalesce(F.col(text), F.lit(""))
-    split = docs.withColumns(
-        {
-            "_q_words": space_words(F.col(text)),
-            "_q_lines": F.filter(F.split(clean, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]")),
-        }
-    )
-    words, n = F.col("_q_words"), F.size("_q_words")
-    windowed = split.withColumn(
-        "_q_windows",
-        F.when(
-            n >= 3,
+    clean = F.coalesce(text, F.lit(""))
+
+    def window_hashes(words: Column) -> Column:
+        return F.when(
+            F.size(words) >= 3,
             F.transform(
-                F.sequence(F.lit(0), n - 3),
-                lambda i: F.xxhash64(words[i], words[i + 1], words[i + 2]),
+                F.sequence(F.lit(0), F.size(words) - 3),
+                lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)),
+            ),
+        ).otherwise(F.array().cast("array<bigint>"))
+
+    def counted(words: Column, lines: Column) -> Column:
+        repeated = let(
+            window_hashes(words),
+            lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
+                _repeat_words(hashes)
             ),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
-    windows = F.col("_q_windows")
-    n_lines = F.size("_q_lines")
-    counts = windowed.withColumn(
-        "_q_counts",
-        F.struct(
-            n.cast("bigint").alias("n_words"),
+        )
+        return F.struct(
+            F.size(words).cast("bigint").alias("n_words"),
             F.length(F.array_join(words, "")).cast("bigint").alias("word_chars"),
             F.regexp_count(clean, F.lit(SYMBOLS)).cast("bigint").alias("n_symbols"),
-            n_lines.cast("bigint").alias("n_lines"),
-            (n_lines - F.size(F.array_distinct("_q_lines"))).cast("bigint").alias("n_dup_lines"),
-            F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0))
-            .otherwise(_repeat_words(windows))
-            .cast("bigint")
-            .alias("n_repeat_words"),
-            F.size(F.filter(words, lambda word: word.isin(STOP_FORMS)))
-            .cast("bigint")
-            .alias("n_stop_words"),
-        ),
-    )
+            F.size(lines).cast("bigint").alias("n_lines"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
+            repeated.cast("bigint").alias("n_repeat_words"),
+            F.size(F.filter(words, lambda word: word.isin(STOP_FORMS))).cast("bigint").alias("n_stop_words"),
+        )
+
+    lines = F.filter(F.split(clean, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
+    return let(space_words(text), lambda words: let(lines, lambda held: counted(words, held)))
+
 
+def _measures(counts: Column) -> dict[str, Column]:
     def ratio(part: str, whole: str) -> Column:
-        return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
-
-    c = "_q_counts."
-    return counts.withColumn(
-        "_quality",
-        F.struct(
-            f"{c}*",
-            (100 * ratio(c + "n_repeat_words", c + "n_words")).alias("repeat_percent"),
-            ratio(c + "word_chars", c + "n_words").alias("mean_word_chars"),
-            ratio(c + "n_symbols", c + "n_words").alias("symbols_per_word"),
-            ratio(c + "n_stop_words", c + "n_words").alias("stop_word_share"),
-            ratio(c + "n_dup_lines", c + "n_lines").alias("dup_line_share"),
-            ratio(c + "n_words", c + "n_lines").alias("words_per_line"),
-        ),
-    ).drop("_q_words", "_q_lines", "_q_windows", "_q_counts")
-
-
-def _broken(rule: Rule) -> Column:
-    value = F.col(f"_quality.{rule.measure}")
-    broken = F.lit(False)
-    if rule.least is not None:
-        broken = broken | (value < rule.least)
-    if rule.most is not None:
-        broken = broken | (value > rule.most)
-    return broken
-
-
-def judged(
-    docs: DataFrame,
-    text: str = "text",
-    base: Sequence[Rule] = BASE_RULES,
-    rules: Sequence[Rule] = RULES,
-) -> DataFrame:
-    """``docs`` with ``_quality`` (all measures), ``_base_failed``, ``_kept`` and ``_broken``.
-
-    ``_broken`` lists the names of the broken rules in the order of the tables; a document is
-    kept if it breaks none.  Each row is judged by itself, so repeated rows get equal verdicts
-    and an empty table gives an empty one.
+        return F.when(counts[whole] > 0, counts[part] / counts[whole]).otherwise(F.lit(0.0))
+
+    plain = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words")
+    return {name: counts[name] for name in plain} | {
+        "repeat_percent": 100 * ratio("n_repeat_words", "n_words"),
+        "mean_word_chars": ratio("word_chars", "n_words"),
+        "symbols_per_word": ratio("n_symbols", "n_words"),
+        "stop_word_share": ratio("n_stop_words", "n_words"),
+        "dup_line_share": ratio("n_dup_lines", "n_lines"),
+        "words_per_line": ratio("n_words", "n_lines"),
+    }
+
+
+def verdict(
+    text: Column, base: Sequence[Rule] = BASE_RULES, rules: Sequence[Rule] = RULES
+) -> Column:
+    """The threshold tables compiled into one expression over a text.
+
+    It is a struct of all measures, ``base_failed``, ``broken`` (the names of the broken rules, in the
+    order of the tables) and ``kept`` (none is broken).  NULL, empty and blank texts have no
+    words, and every measure 0.  Words are ``[^\\x20\\x09-\\x0D]+``; a line counts as a repeated one if
+    it has a word and equals an earlier line.  Repeated three-word windows are found by a
+    64-bit hash within the text.
     """
-    every = [*base, *rules]
-    names = F.array_compact(
-        F.array(*(F.when(_broken(rule), F.lit(rule.name)) for rule in every))
-        if every
-        else F.array().cast("array<string>")
-    )
-    base_failed = F.lit(False)
-    for rule in base:
-        base_failed = base_failed | _broken(rule)
-    return measured(docs, text).withColumns({"_base_failed": base_failed, "_broken": names}).withColumn(
-        "_kept", F.size("_broken") == 0
-    )
 
+    def judged(counts: Column) -> Column:
+        measures = _measures(counts)
+
+        def broken(rule: Rule) -> Column:
+            value, found = measures[rule.measure], F.lit(False)
+            if rule.least is not None:
+                found = found | (value < rule.least)
+            if rule.most is not None:
+                found = found | (value > rule.most)
+            return found
+
+        def any_of(table: Sequence[Rule]) -> Column:
+            return reduce(Column.__or__, map(broken, table), F.lit(False))
+
+        names = [F.when(broken(rule), F.lit(rule.name)) for rule in (*base, *rules)]
+        return F.struct(
+            *(value.alias(name) for name, value in measures.items()),
+            any_of(base).alias("base_failed"),
+            F.array_compact(F.array(F.lit(None).cast("string"), *names)).alias("broken"),
+            (~any_of((*base, *rules))).alias("kept"),
+        )
 
-def kept(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that break no rule, with the columns they came with.
+    return let(_counts(text), judged)
 
-    The row travels as one struct, so its columns may have any names.
-    """
-    whole = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_text"))
-    return judged(whole, "_text").where("_kept").select("_row.*")
+
+def kept(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that break no rule, with the columns they came with."""
+    return docs.where(verdict(F.col(text))["kept"])
 
 
 def quality_of_documents(docs: DataFrame) -> DataFrame:
-    """Measures and verdict of every document: the rows of the query."""
-    done = judged(docs.select(F.col("doc_id").cast("bigint"), "text"))
-    return done.select(
-        "doc_id",
-        *(
-            f"_quality.{name}"
-            for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        ),
-        F.col("_base_failed").alias("base_failed"),
-        F.col("_kept").alias("kept"),
-    )
+    """Measures and verdict of every document: the rows of the query.
+
+    Each row is judged by itself, so repeated rows get equal verdicts and an empty table gives
+    an empty one.
+    """
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    done = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), verdict(F.col("text")).alias("verdict"))
+    return done.select("doc_id", *(f"verdict.{name}" for name in names))

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from keyweave.catalog.base import Query
 from keyweave.llm import (
     chat,
+    decontamination,
     langid,
     licenses,
     packing,
@@ -48,6 +49,11 @@ def op7_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_of_documents(table(spark, folder, "documents"))
 
 
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, benchmark = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return decontamination.contamination_of_documents(docs, benchmark)
+
+
 def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.shards_of_documents(table(spark, folder, "documents"))
 
@@ -64,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op5_language_id": Query(op5_language_id),
     "op6_packing": Query(op6_packing),
     "op7_quality_rules": Query(op7_quality_rules),
+    "op8_benchmark_decontamination": Query(op8_benchmark_decontamination),
     "op9_sharding": Query(op9_sharding),
     "op10_chat_formatting": Query(op10_chat_formatting),
 }
