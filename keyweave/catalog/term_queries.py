@@ -18,7 +18,7 @@ from keyweave.catalog.base import Query, sql_blank, sql_strip, table
 from keyweave.functions.text import SPACE_CLASS
 from keyweave.operators import terms as T
 from keyweave.operators.candidates import candidates, compound_split, version_counts, with_candidate_ids
-
+from keyweave.operators.lists import ITEMS_PER_CELL
 from keyweave.plans.mine_terms import mine_terms
 from keyweave.plans.term_config import CompoundSplitRule, Normalization, RecordRule, TagSpanRule, TermConfig, Thresholds
 from keyweave.session import materialize
@@ -115,11 +115,21 @@ def _normal_sql(text: str, settings: Normalization) -> str:
     return text
 
 
-def _mine_sql(found: str, config: TermConfig) -> str:
+def _mine_sql(found: str, config: TermConfig, items: int) -> str:
     """The steps from candidates to relations as one chain of common table expressions."""
     d0, d1 = config.affix_delimiters
     settings = config.normalization
     least = settings.min_term_length
+
+    def pieces(*lists: str) -> str:
+        """The numbers of the pieces that the longest list is cut into."""
+        longest = ", ".join(f"len({name})" for name in lists)
+        return f"unnest(range(0, greatest(1, CAST(ceil(greatest({longest}) / {items}) AS BIGINT)))) AS p(items_part)"
+
+    def piece(of: str) -> str:
+        cut = f"{of}[items_part * {items} + 1:(items_part + 1) * {items}]"
+        return f"coalesce(array_to_string({cut}, ';'), '')"
+
     noise = "length(regexp_replace(term_norm, '[\\p{L}\\p{N}]+', '', 'g')) / length(term_norm)"
     heavy = f"regexp_full_match({sql_strip('term_norm')}, '([0-9_]|[^\\p{{L}}\\p{{N}}])+')"
     return f"""
@@ -150,9 +160,9 @@ WITH {found}, cand AS (
   SELECT term_type, dedup_key, arg_min(display, seq) AS term_norm, count(*) AS occurrences_count,
          count(DISTINCT file) AS files_count, arg_min(extractor_type, seq) AS first_extractor,
          arg_min(file, seq) AS sample_file, arg_min(row, seq) AS sample_row, arg_min(col, seq) AS sample_col,
-         string_agg(DISTINCT file, ';' ORDER BY file) AS files_list,
+         list(DISTINCT file ORDER BY file) AS files,
          count(DISTINCT nullif(key_value, '')) AS keys_count,
-         coalesce(string_agg(DISTINCT nullif(key_value, ''), ';' ORDER BY nullif(key_value, '')), '') AS keys_list
+         coalesce(list(DISTINCT key_value ORDER BY key_value) FILTER (WHERE key_value <> ''), []) AS keys
   FROM comp GROUP BY 1, 2
 ), judged AS (
   SELECT *, list_filter([
@@ -175,25 +185,29 @@ WITH {found}, cand AS (
   JOIN terms s ON s.term_type = 'suffix' AND s.dedup_key = suffix_key
 ), groups AS (
   SELECT 'prefix_anchor' AS role, body AS anchor, count(*) AS n, count(DISTINCT suffix) AS m,
-         string_agg(DISTINCT suffix, ';' ORDER BY suffix) AS related,
+         list(DISTINCT suffix ORDER BY suffix) AS related,
          string_agg(DISTINCT delimiter, ';' ORDER BY delimiter) AS delimiters
   FROM pairs GROUP BY body
   UNION ALL
   SELECT 'suffix_anchor', suffix, count(*), count(DISTINCT body),
-         string_agg(DISTINCT body, ';' ORDER BY body), string_agg(DISTINCT delimiter, ';' ORDER BY delimiter)
+         list(DISTINCT body ORDER BY body), string_agg(DISTINCT delimiter, ';' ORDER BY delimiter)
   FROM pairs GROUP BY suffix
 ), cross_rows AS (
   SELECT 'cross_file' AS relation_type, occurrences_count AS evidence_count, term_norm AS cross_term,
-         files_count AS cross_files_count, files_list AS cross_files_list, '' AS affix_role,
+         files_count AS cross_files_count, {piece("files")} AS cross_files_list, '' AS affix_role,
          '' AS affix_anchor_term, CAST(0 AS BIGINT) AS affix_related_count, '' AS affix_related_list,
-         '' AS affix_delimiters, '' AS notes
-  FROM terms WHERE files_count >= 2
+         '' AS affix_delimiters, '' AS notes, items_part
+  FROM terms, {pieces("files")} WHERE files_count >= 2
 ), group_rows AS (
   SELECT 'affix_group' AS relation_type, n AS evidence_count, '' AS cross_term,
          CAST(0 AS BIGINT) AS cross_files_count, '' AS cross_files_list, role AS affix_role,
-         anchor AS affix_anchor_term, m AS affix_related_count, related AS affix_related_list,
-         delimiters AS affix_delimiters, '' AS notes
-  FROM groups
+         anchor AS affix_anchor_term, m AS affix_related_count, {piece("related")} AS affix_related_list,
+         delimiters AS affix_delimiters, '' AS notes, items_part
+  FROM groups, {pieces("related")}
+), summary_rows AS (
+  SELECT term_id, term_type, term_norm, occurrences_count, files_count, {piece("files")} AS files_list, keys_count,
+         {piece("keys")} AS keys_list, first_extractor, is_low_confidence, review_reasons, items_part
+  FROM terms, {pieces("files", "keys")}
 ), review AS (
   SELECT term_id, term_norm, unnest(reasons) AS reason, 'medium' AS severity, occurrences_count,
          sample_file, sample_row, sample_col
@@ -206,10 +220,6 @@ WITH {found}, cand AS (
 
 
 _TERM_ROWS = ", ".join(T.TERM_COLUMNS)
-_SUMMARY_ROWS = (
-    "term_id, term_type, term_norm, occurrences_count, files_count, files_list, keys_count, keys_list, "
-    "first_extractor, is_low_confidence, review_reasons"
-)
 _RUN_SUMMARY = """
 SELECT CAST((SELECT count(DISTINCT path) FROM cells) AS BIGINT) AS files_total,
        CAST((SELECT count(DISTINCT path) FROM cells) AS BIGINT) AS files_succeeded,
@@ -219,7 +229,8 @@ SELECT CAST((SELECT count(DISTINCT path) FROM cells) AS BIGINT) AS files_total,
        (SELECT count(*) FROM terms WHERE term_type = 'body') AS body_terms_count,
        (SELECT count(*) FROM terms WHERE term_type = 'suffix') AS suffix_terms_count,
        (SELECT count(*) FROM terms) AS terms_count,
-       (SELECT count(*) FROM cross_rows) + (SELECT count(*) FROM group_rows) AS relations_count,
+       (SELECT count(*) FROM cross_rows WHERE items_part = 0)
+         + (SELECT count(*) FROM group_rows WHERE items_part = 0) AS relations_count,
        (SELECT count(*) FROM review) AS review_count"""
 
 
@@ -228,6 +239,7 @@ class Binding:
     cells: Callable[[SparkSession, str], DataFrame]
     config: TermConfig
     sql: str
+    items_per_cell: int
 
     def found(self, spark: SparkSession, folder: str) -> DataFrame:
         return candidates(self.cells(spark, folder), self.config.rules, **PAGE_PLACE)
@@ -239,11 +251,14 @@ class Binding:
         return T.terms(self.parts(spark, folder), self.config.thresholds)
 
     def mined(self, spark: SparkSession, folder: str):
-        return mine_terms(self.cells(spark, folder), self.config, **PAGE_PLACE)
+        return mine_terms(
+            self.cells(spark, folder), self.config, items_per_cell=self.items_per_cell, **PAGE_PLACE
+        )
 
 
-PAGES = Binding(pages, PAGE_CONFIG, _mine_sql(_PAGE_FOUND, PAGE_CONFIG))
-BRANDS = Binding(brands, BRAND_CONFIG, _mine_sql(_BRAND_FOUND, BRAND_CONFIG))
+# The brands have cells so small that most lists go on in further pieces.
+PAGES = Binding(pages, PAGE_CONFIG, _mine_sql(_PAGE_FOUND, PAGE_CONFIG, ITEMS_PER_CELL), ITEMS_PER_CELL)
+BRANDS = Binding(brands, BRAND_CONFIG, _mine_sql(_BRAND_FOUND, BRAND_CONFIG, 20), 20)
 
 
 def _records(rule: RecordRule):
@@ -325,8 +340,8 @@ SELECT count(*) AS rows_scanned,
     "terms_brands": Query(
         lambda s, d: BRANDS.terms(s, d).select(*T.TERM_COLUMNS), f"{BRANDS.sql} SELECT {_TERM_ROWS} FROM terms"
     ),
-    "terms_summary_pages": Query(lambda s, d: PAGES.mined(s, d).terms_summary, f"{PAGES.sql} SELECT {_SUMMARY_ROWS} FROM terms"),
-    "terms_summary_brands": Query(lambda s, d: BRANDS.mined(s, d).terms_summary, f"{BRANDS.sql} SELECT {_SUMMARY_ROWS} FROM terms"),
+    "terms_summary_pages": Query(lambda s, d: PAGES.mined(s, d).terms_summary, f"{PAGES.sql} SELECT * FROM summary_rows"),
+    "terms_summary_brands": Query(lambda s, d: BRANDS.mined(s, d).terms_summary, f"{BRANDS.sql} SELECT * FROM summary_rows"),
     "cross_file_terms": Query(lambda s, d: BRANDS.mined(s, d).cross_file_terms, f"{BRANDS.sql} SELECT * FROM cross_rows"),
     "affix_groups": Query(lambda s, d: BRANDS.mined(s, d).affix_groups, f"{BRANDS.sql} SELECT * FROM group_rows"),
     "relations_summary_pages": Query(
@@ -337,6 +352,18 @@ SELECT count(*) AS rows_scanned,
         lambda s, d: BRANDS.mined(s, d).relations_summary,
         f"{BRANDS.sql} SELECT * FROM cross_rows UNION ALL SELECT * FROM group_rows",
     ),
+    "term_files": Query(
+        lambda s, d: PAGES.mined(s, d).term_files, f"{PAGES.sql} SELECT DISTINCT term_type, dedup_key, file FROM comp"
+    ),
+    "term_keys": Query(
+        lambda s, d: PAGES.mined(s, d).term_keys,
+        f"{PAGES.sql} SELECT DISTINCT term_type, dedup_key, key_value FROM comp WHERE key_value <> ''",
+    ),
+    "related_terms": Query(
+        lambda s, d: BRANDS.mined(s, d).related_terms.drop("anchor_key"),
+        f"""{BRANDS.sql} SELECT DISTINCT 'prefix_anchor' AS role, body AS anchor_term, suffix AS related_term FROM pairs
+UNION SELECT 'suffix_anchor', suffix, body FROM pairs""",
+    ),
     "review_items_pages": Query(
         lambda s, d: T.review_items(PAGES.terms(s, d)), f"{PAGES.sql} SELECT * FROM review"
     ),

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from keyweave.operators.joins import left_join_unique
 from keyweave.operators.sequence import numbered
-from keyweave.session import materialize
 
 ITEMS_PER_CELL = 50_000
 
@@ -17,46 +16,18 @@ COUNT, LIST, PART = "items_count", "items_list", "items_part"
 
 
 def list_cells(
-    pairs: DataFrame,
-    by: Sequence[str],
-    item: str,
-    *,
-    largest: int | None = None,
-    items_per_cell: int = ITEMS_PER_CELL,
+    pairs: DataFrame, by: Sequence[str], item: str, *, items_per_cell: int = ITEMS_PER_CELL
 ) -> DataFrame:
-    """``;``-joined sorted items per group, with their count.
+    """``;``-joined sorted items per group, with their count, in pieces of ``items_per_cell``.
 
-    ``pairs`` holds each (group, item) once.  A group of more than ``items_per_cell`` items
-    gets several rows, numbered by ``items_part`` from 0, whose lists follow each other in
-    order: no item is left out and no task gathers more than one cell.  ``largest`` is an
-    upper bound of the group sizes, if one is known; else the groups are counted first.
+    ``pairs`` holds each (group, item) once.  The pairs are ranked, and every run of
+    ``items_per_cell`` items of a group is one row, numbered by ``items_part`` from 0: the pieces of
+    a group, in order, are its whole list, and no task gathers more than one piece.
     """
     by = list(by)
-    count = F.count(F.lit(1)).alias(COUNT)
-    joined = F.array_join(F.array_sort(F.collect_list(item)), ";").alias(LIST)
-    if largest is None or largest > items_per_cell:
-        pairs = materialize(pairs.select(*by, item), "list-items")
-        largest = largest_group(pairs, by, items_per_cell)
-    if largest <= items_per_cell:
-        return pairs.groupBy(*by).agg(count, joined, F.lit(0).cast("bigint").alias(PART))
-    ranked = numbered(pairs, [*by, item], "_rank", label="list-ranks")
-    groups = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"), count)
+    ranked = numbered(pairs.select(*by, item), [*by, item], "_rank", label="list-ranks")
+    groups = ranked.groupBy(*by).agg(F.min("_rank").alias("_first"), F.count(F.lit(1)).alias(COUNT))
     placed = left_join_unique(ranked, groups, by, [*by, item])
     part = F.floor((F.col("_rank") - F.col("_first")) / items_per_cell).cast("bigint")
+    joined = F.array_join(F.array_sort(F.collect_list(item)), ";").alias(LIST)
     return placed.groupBy(*by, COUNT, part.alias(PART)).agg(joined)
-
-
-def largest_group(stored: DataFrame, by: Sequence[str], enough: int = 0) -> int:
-    """Size of the largest group of a stored table, or its row count if that is ``enough``."""
-    rows = stored.count()
-    if rows <= enough:
-        return rows
-    return stored.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
-def first_cell_of(lists: DataFrame) -> DataFrame:
-    return lists.filter(F.col(PART) == 0).drop(PART)
-
-
-def further_cells_of(lists: DataFrame) -> DataFrame:
-    return lists.filter(F.col(PART) > 0)

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 from keyweave.functions.text import dedup_key
 from keyweave.operators.affixes import with_halves
 from keyweave.operators.joins import inner_join_unique
-from keyweave.operators.lists import COUNT, ITEMS_PER_CELL, LIST, PART, first_cell_of, largest_group, list_cells
+from keyweave.operators.lists import COUNT, LIST, PART, list_cells
 from keyweave.operators.terms import BODY, SUFFIX, TERM, normal_form
 from keyweave.plans.term_config import TermConfig
 from keyweave.session import materialize
 
+# Headers of the relations report: fixed values.
 RELATION_COLUMNS = [
     "relation_type",
     "evidence_count",
@@ -32,14 +33,15 @@ _COUNTS = {"evidence_count", "cross_files_count", "affix_related_count"}
 
 
 def _relation(df: DataFrame, **columns) -> DataFrame:
-    """Rows in the relation layout; what is not given is empty, or 0 for a count."""
+    """Rows in the relation layout and their ``items_part``; what is not given is empty, or 0 for a count."""
     zero, empty = F.lit(0).cast("bigint"), F.lit("")
-    return df.select(*(columns.get(c, zero if c in _COUNTS else empty).alias(c) for c in RELATION_COLUMNS))
+    given = (columns.get(c, zero if c in _COUNTS else empty).alias(c) for c in RELATION_COLUMNS)
+    return df.select(*given, PART)
 
 
 def cross_file_terms(known: DataFrame, files: DataFrame) -> DataFrame:
-    """Terms that occur in two files or more."""
-    lists = first_cell_of(files).filter(F.col(COUNT) >= 2)
+    """Terms that occur in two files or more, a row for each piece of their file list."""
+    lists = files.filter(F.col(COUNT) >= 2)
     return _relation(
         known.select(*TERM, "term_norm", "occurrences_count").join(lists, TERM),
         relation_type=F.lit("cross_file"),
@@ -87,38 +89,53 @@ def affix_pairs(found: DataFrame, known: DataFrame, config: TermConfig) -> DataF
     return materialize(pairs, "affix-pairs")
 
 
-def _anchored(pairs: DataFrame, anchor: str, other: str, role: str, delimiters: Sequence[str], **options):
-    """The partners of every anchor, and the list rows that did not fit the first cell."""
-    by = [f"{anchor}_key", f"{anchor}_term"]
-    largest = largest_group(pairs, by, options.get("items_per_cell", ITEMS_PER_CELL))
-    lists = list_cells(pairs.select(*by, f"{other}_term"), by, f"{other}_term", largest=largest, **options)
+def related_terms(pairs: DataFrame) -> DataFrame:
+    """Each anchor with each related term, once: (role, anchor_key, anchor_term, related_term)."""
+
+    def seen_from(anchor: str, other: str, role: str) -> DataFrame:
+        return pairs.select(
+            F.lit(role).alias("role"),
+            F.col(f"{anchor}_key").alias("anchor_key"),
+            F.col(f"{anchor}_term").alias("anchor_term"),
+            F.col(f"{other}_term").alias("related_term"),
+        )
+
+    return seen_from(BODY, SUFFIX, "prefix_anchor").union(seen_from(SUFFIX, BODY, "suffix_anchor"))
+
+
+def affix_groups(pairs: DataFrame, delimiters: Sequence[str], **options) -> DataFrame:
+    """Suffixes per body, and bodies per suffix, a row for each piece of their list."""
+    by = ["role", "anchor_key", "anchor_term"]
+    lists = list_cells(related_terms(pairs), by, "related_term", **options)
     flags = [f"_delimiter_{i}" for i in range(len(delimiters))]
-    totals = pairs.groupBy(*by).agg(F.sum("evidence").alias("evidence"), *(F.max(f).alias(f) for f in flags))
+
+    def totals(anchor: str, role: str) -> DataFrame:
+        return pairs.groupBy(F.lit(role).alias("role"), F.col(f"{anchor}_key").alias("anchor_key")).agg(
+            F.sum("evidence").alias("evidence"), *(F.max(f).alias(f) for f in flags)
+        )
+
+    sums = totals(BODY, "prefix_anchor").union(totals(SUFFIX, "suffix_anchor"))
     used = F.array_compact(F.array(*(F.when(F.col(f) == 1, d) for f, d in zip(flags, delimiters))))
-    rows = _relation(
-        totals.join(first_cell_of(lists), by),
+    return _relation(
+        lists.join(sums, ["role", "anchor_key"]),
         relation_type=F.lit("affix_group"),
         evidence_count=F.col("evidence"),
-        affix_role=F.lit(role),
-        affix_anchor_term=F.col(f"{anchor}_term"),
+        affix_role=F.col("role"),
+        affix_anchor_term=F.col("anchor_term"),
         affix_related_count=F.col(COUNT),
         affix_related_list=F.col(LIST),
         affix_delimiters=F.array_join(F.array_sort(F.array_distinct(used)), ";"),
     )
-    further = lists.filter(F.col(PART) > 0).select(
-        F.lit(role).alias("list_of"), F.col(f"{anchor}_term").alias("owner"), PART, LIST
-    )
-    return rows, further
 
 
-def affix_groups(pairs: DataFrame, delimiters: Sequence[str], **options) -> tuple[DataFrame, DataFrame]:
-    """Suffixes per body, then bodies per suffix; and the further cells of their lists."""
-    bodies, more_bodies = _anchored(pairs, BODY, SUFFIX, "prefix_anchor", delimiters, **options)
-    suffixes, more_suffixes = _anchored(pairs, SUFFIX, BODY, "suffix_anchor", delimiters, **options)
-    return bodies.unionByName(suffixes), more_bodies.unionByName(more_suffixes)
+def relation_keys(known: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row per relation, without its lists: terms in several files, bodies, suffixes."""
+    cross = known.filter(F.col("files_count") >= 2).select("dedup_key")
+    anchors = [pairs.select(f"{kind}_key").distinct() for kind in (BODY, SUFFIX)]
+    return cross.union(anchors[0]).union(anchors[1])
 
 
 def relations_summary(cross: DataFrame, groups: DataFrame) -> DataFrame:
     return cross.unionByName(groups).orderBy(
-        "relation_type", "affix_role", "affix_anchor_term", "affix_related_list", "cross_term"
+        "relation_type", "affix_role", "affix_anchor_term", PART, "affix_related_list", "cross_term"
     )

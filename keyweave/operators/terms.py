@@ -12,7 +12,7 @@ from keyweave.functions.winners import position
 from keyweave.operators.affixes import with_halves
 from keyweave.operators.candidates import CANDIDATE_ORDER
 from keyweave.operators.joins import inner_join_unique
-from keyweave.operators.lists import COUNT, LIST, first_cell_of, list_cells
+from keyweave.operators.lists import COUNT, LIST, PART, list_cells
 from keyweave.operators.sequence import numbered
 from keyweave.plans.term_config import Normalization, TermConfig, Thresholds
 
@@ -98,6 +98,7 @@ def terms(parts: DataFrame, thresholds: Thresholds, order: Sequence[str] = CANDI
     )
 
 
+# Headers of the terms report: fixed values.
 TERM_COLUMNS = [
     "term_id",
     "term_type",
@@ -111,46 +112,40 @@ TERM_COLUMNS = [
 ]
 
 
-def most_occurrences(known: DataFrame) -> int:
-    """Occurrences of the most frequent term: no term has more files or keys than that."""
-    return known.agg(F.max("occurrences_count")).first()[0] or 0
+def term_files(parts: DataFrame) -> DataFrame:
+    """Each term with each of its files, once."""
+    return parts.select(*TERM, "file").distinct()
 
 
-def file_lists(parts: DataFrame, **options) -> DataFrame:
-    """The sorted files of every term."""
-    return list_cells(parts.select(*TERM, "file").distinct(), TERM, "file", **options)
-
-
-def key_lists(parts: DataFrame, **options) -> DataFrame:
-    """The sorted keys of every term; blank keys do not count."""
-    keys = parts.filter(F.col("key_value") != "").select(*TERM, "key_value").distinct()
-    return list_cells(keys, TERM, "key_value", **options)
+def term_keys(parts: DataFrame) -> DataFrame:
+    """Each term with each of its keys, once; blank keys do not count."""
+    return parts.filter(F.col("key_value") != "").select(*TERM, "key_value").distinct()
 
 
 def terms_summary(known: DataFrame, files: DataFrame, keys: DataFrame) -> DataFrame:
-    """Terms with their files and keys, in (type, text, id) order."""
-
-    def named(lists: DataFrame, what: str) -> DataFrame:
-        return first_cell_of(lists).select(
-            *TERM, F.col(COUNT).alias(f"{what}_count"), F.col(LIST).alias(f"{what}_list")
-        )
+    """Terms with the lists of their files and keys, in (type, text, id, part) order.
 
-    joined = known.drop("files_count").join(named(files, "files"), TERM, "left").join(
-        named(keys, "keys"), TERM, "left"
-    )
+    A term has a row for each piece of its longer list; ``items_part`` numbers the pieces.
+    """
+    here = files.select(*TERM, PART, F.col(LIST).alias("files_list"))
+    there = keys.select(*TERM, PART, F.col(LIST).alias("keys_list"))
+    counts = keys.filter(F.col(PART) == 0).select(*TERM, F.col(COUNT).alias("keys_count"))
+    pieces = here.join(there, [*TERM, PART], "full")
+    joined = known.join(pieces, TERM).join(counts, TERM, "left")
     return joined.select(
         "term_id",
         "term_type",
         "term_norm",
         "occurrences_count",
         "files_count",
-        "files_list",
+        F.coalesce("files_list", F.lit("")).alias("files_list"),
         F.coalesce("keys_count", F.lit(0).cast("bigint")).alias("keys_count"),
         F.coalesce("keys_list", F.lit("")).alias("keys_list"),
         "first_extractor",
         "is_low_confidence",
         "review_reasons",
-    ).orderBy("term_type", "term_norm", "term_id")
+        PART,
+    ).orderBy("term_type", "term_norm", "term_id", PART)
 
 
 def review_items(known: DataFrame) -> DataFrame:
@@ -172,6 +167,7 @@ def review_items(known: DataFrame) -> DataFrame:
     )
 
 
+# Headers of the details report: fixed values.
 DETAIL_COLUMNS = [
     "term_id",
     "term_type",

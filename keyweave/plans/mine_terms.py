@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from keyweave.operators import relations as R
 from keyweave.operators import terms as T
 from keyweave.operators.candidates import candidates, version_counts, with_candidate_ids, with_cell_text
-from keyweave.operators.lists import ITEMS_PER_CELL, LIST, PART, further_cells_of
+from keyweave.operators.lists import ITEMS_PER_CELL, list_cells
 from keyweave.plans.term_config import TermConfig
 from keyweave.session import materialize
 
@@ -75,6 +75,8 @@ def run_summary(
 class MinedTerms:
     """The reports of one terminology run.
 
+    A list of more than ``items_per_cell`` items goes on in further rows of the same report,
+    numbered by ``items_part``.
     Candidates, terms and affix pairs are stored the first time a report needs them, and
     every report reads the columns it needs from these tables.
     """
@@ -110,28 +112,38 @@ class MinedTerms:
 
     @cached_property
     def _parts(self) -> DataFrame:
-        return T.components(self._found, self._config)
+        return materialize(T.components(self._found, self._config), "components")
 
     @cached_property
     def terms(self) -> DataFrame:
         return T.terms(self._parts, self._config.thresholds)
 
     @cached_property
-    def _list_options(self) -> dict[str, int]:
-        return {"largest": T.most_occurrences(self.terms), "items_per_cell": self._items_per_cell}
+    def term_files(self) -> DataFrame:
+        """(term_type, dedup_key, file): each file of each term."""
+        return T.term_files(self._parts)
+
+    @cached_property
+    def term_keys(self) -> DataFrame:
+        """(term_type, dedup_key, key_value): each key of each term."""
+        return T.term_keys(self._parts)
+
+    @cached_property
+    def related_terms(self) -> DataFrame:
+        """(role, anchor_key, anchor_term, related_term): each affix relation."""
+        return R.related_terms(self._pairs)
 
     @cached_property
     def _files(self) -> DataFrame:
-        return T.file_lists(self._parts, **self._list_options)
+        return list_cells(self.term_files, T.TERM, "file", items_per_cell=self._items_per_cell)
 
     @cached_property
     def _keys(self) -> DataFrame:
-        return T.key_lists(self._parts, **self._list_options)
+        return list_cells(self.term_keys, T.TERM, "key_value", items_per_cell=self._items_per_cell)
 
     @cached_property
-    def _groups(self) -> tuple[DataFrame, DataFrame]:
-        pairs = R.affix_pairs(self._found, self.terms, self._config)
-        return R.affix_groups(pairs, self._config.affix_delimiters, items_per_cell=self._items_per_cell)
+    def _pairs(self) -> DataFrame:
+        return R.affix_pairs(self._found, self.terms, self._config)
 
     @cached_property
     def terms_summary(self) -> DataFrame:
@@ -147,7 +159,9 @@ class MinedTerms:
 
     @cached_property
     def affix_groups(self) -> DataFrame:
-        return self._groups[0]
+        return R.affix_groups(
+            self._pairs, self._config.affix_delimiters, items_per_cell=self._items_per_cell
+        )
 
     @cached_property
     def review(self) -> DataFrame:
@@ -160,17 +174,6 @@ class MinedTerms:
         with_text = with_cell_text(occurrences, self._cells, self._config.rules, **self._place)
         return with_text.select(*T.DETAIL_COLUMNS)
 
-    @cached_property
-    def further_lists(self) -> DataFrame:
-        """(list_of, owner, items_part, items_list): lists beyond their first cell; mostly empty."""
-        further = self._groups[1]
-        for lists, name in ((self._files, "files"), (self._keys, "keys")):
-            more = further_cells_of(lists).join(self.terms.select(*T.TERM, "term_id"), T.TERM)
-            further = further.unionByName(
-                more.select(F.lit(name).alias("list_of"), F.col("term_id").alias("owner"), PART, LIST)
-            )
-        return further
-
     @cached_property
     def summary(self) -> DataFrame:
         return run_summary(
@@ -178,7 +181,7 @@ class MinedTerms:
             self._config,
             self._found,
             self.terms,
-            self.relations_summary,
+            R.relation_keys(self.terms, self._pairs),
             self.review,
             path=self._place["path"],
             files_failed=self._files_failed,

@@ -74,18 +74,13 @@ def write_report(report: DataFrame, folder: str, stem: str = UNMATCHED_REPORT, *
 
 
 def write_term_reports(mined, folder: str, *, kind: str = "parquet") -> dict[str, str]:
-    """The four reports of a terminology run, one table each, under one folder.
-
-    Lists that go on beyond their first cell are a fifth table.
-    """
+    """The four reports of a terminology run, one table each, under one folder."""
     tables = {
         "terms_summary": mined.terms_summary,
         "relations_summary": mined.relations_summary,
         "review": mined.review,
         "details": mined.details,
     }
-    if not mined.further_lists.isEmpty():
-        tables["further_lists"] = mined.further_lists
     paths = {}
     for name, table in tables.items():
         paths[name] = f"{folder.rstrip('/')}/{name}"

@@ -20,24 +20,23 @@ CELLS = "path string, row long, Version string, Key string, source string"
 PLACE = {"path": "path", "row": "row"}
 CONFIG = {
     "version": 1,
-    "files": ["abc", "cde.xlsx"],
-    "versions": "2.1.3, 2.2.3",
-    "affix_delimiters": ["·", ":"],
+    "versions": "spring, autumn",
+    "affix_delimiters": ["~", "=>"],
     "extractors": [
-        {"id": "r1", "type": "record_rule", "term_column": "source", "key": "name"},
-        {"id": "t1", "type": "tag_span", "source_columns": ["source"], "open_tag": "<tag>", "close_tags": ["</tag>", "</>"]},
+        {"id": "labels", "type": "record_rule", "term_column": "source", "key": "label"},
+        {"id": "marks", "type": "tag_span", "source_columns": ["source"], "open_tag": "[[", "close_tags": ["]]", "[/]"]},
     ],
 }
-FOLDER = [
-    ("abc.xlsx", 2, "2.1.3", "player_name", "star basket"),
-    ("abc.xlsx", 3, "2.1.3", "desc", "row ignored by key filter"),
-    ("abc.xlsx", 4, "2.2.3", "item_name", "<tag>tag term</tag>"),
-    ("abc.xlsx", 5, "2.2.3", "item_name", "term1·suffixa"),
-    ("abc.xlsx", 6, "2.2.3", "item_name", "term1"),
-    ("abc.xlsx", 7, "2.2.3", "item_name", "suffixa"),
-    ("cde.xlsx", 2, "2.2.3", "npc_name", "star basket"),
-    ("cde.xlsx", 3, "2.2.3", "npc_name", "star basket crafting"),
-    ("cde.xlsx", 4, "9.9.9", "npc_name", "other version"),
+SHELVES = [
+    ("east", 1, "spring", "label_top", "copper kettle"),
+    ("east", 2, "autumn", "note", "use the [[slow flame]] or [[copper kettle[/] first"),
+    ("east", 3, "winter", "label_low", "out of season"),
+    ("north", 1, "autumn", "label_mid", "copper kettle"),
+    ("north", 2, "autumn", "label_mid", "copper kettle~lid"),
+    ("north", 3, "spring", "label_low", "tin cup => handle"),
+    ("west", 1, "spring", "note", "nothing marked here"),
+    ("west", 2, "spring", "LABEL_END", "tin cup~lid"),
+    ("west", 3, "autumn", "label_end", "  "),
 ]
 
 
@@ -49,59 +48,69 @@ def mine(spark, table, settings=None, **options):
     return mine_terms(spark.createDataFrame(table, CELLS), settings or config(), **PLACE, **options)
 
 
-def test_known_folder(spark):
-    mined = mine(spark, FOLDER)
+def test_shelves(spark):
+    mined = mine(spark, SHELVES)
     terms = {(r.term_type, r.term_norm): r for r in mined.terms_summary.collect()}
-    basket = terms["body", "star basket"]
-    assert (basket.occurrences_count, basket.files_count, basket.files_list) == (2, 2, "abc.xlsx;cde.xlsx")
-    assert (basket.keys_count, basket.keys_list) == (2, "npc_name;player_name")
-    assert basket.first_extractor == "record_rule" and basket.is_low_confidence is False
-    assert terms["body", "term1"].occurrences_count == 2
-    assert ("body", "tag term") in terms and ("suffix", "·suffixa") in terms
-    assert ("body", "other version") not in terms
+    assert set(terms) == {
+        ("body", "copper kettle"), ("body", "slow flame"), ("body", "tin cup"), ("suffix", "~lid"), ("suffix", "=> handle"),
+    }
+    kettle, lid = terms["body", "copper kettle"], terms["suffix", "~lid"]
+    assert (kettle.occurrences_count, kettle.files_count, kettle.files_list) == (4, 2, "east;north")
+    assert (kettle.keys_count, kettle.keys_list, kettle.items_part) == (3, "label_mid;label_top;note", 0)
+    assert (kettle.first_extractor, kettle.is_low_confidence) == ("record_rule", False)
+    assert (lid.occurrences_count, lid.files_list, lid.keys_list) == (2, "north;west", "LABEL_END;label_mid")
     ids = [r.term_id for r in mined.terms.orderBy("term_type", "dedup_key").collect()]
-    assert ids == [f"T{i:06d}" for i in range(1, len(ids) + 1)]
+    assert ids == ["T000001", "T000002", "T000003", "T000004", "T000005"]
 
     relations = mined.relations_summary.collect()
-    assert mined.relations_summary.columns == RELATION_COLUMNS
-    cross = [(r.cross_term, r.cross_files_list) for r in relations if r.relation_type == "cross_file"]
-    assert cross == [("star basket", "abc.xlsx;cde.xlsx")]
-    groups = {(r.affix_role, r.affix_anchor_term, r.affix_related_list, r.affix_delimiters, r.evidence_count) for r in relations if r.affix_role}
-    assert groups == {("prefix_anchor", "term1", "·suffixa", "·", 1), ("suffix_anchor", "·suffixa", "term1", "·", 1)}
+    assert mined.relations_summary.columns == [*RELATION_COLUMNS, PART]
+    cross = {(r.cross_term, r.cross_files_list) for r in relations if r.relation_type == "cross_file"}
+    assert cross == {("copper kettle", "east;north"), ("tin cup", "north;west"), ("~lid", "north;west")}
+    groups = {
+        (r.affix_role, r.affix_anchor_term): (r.affix_related_list, r.affix_delimiters, r.evidence_count)
+        for r in relations
+        if r.affix_role
+    }
+    assert groups == {
+        ("prefix_anchor", "copper kettle"): ("~lid", "~", 1),
+        ("prefix_anchor", "tin cup"): ("=> handle;~lid", "=>;~", 2),
+        ("suffix_anchor", "~lid"): ("copper kettle;tin cup", "~", 2),
+        ("suffix_anchor", "=> handle"): ("tin cup", "=>", 1),
+    }
 
     summary = mined.summary.first().asDict()
-    assert summary["rows_scanned"] == 9 and summary["rows_skipped_by_version"] == 1
-    assert summary["candidates_count"] == 8 and summary["files_succeeded"] == 2
-    assert summary["terms_count"] == len(terms) == summary["body_terms_count"] + summary["suffix_terms_count"]
-    assert summary["relations_count"] == len(relations)
+    assert (summary["rows_scanned"], summary["rows_skipped_by_version"], summary["files_succeeded"]) == (9, 1, 3)
+    assert (summary["candidates_count"], summary["terms_count"]) == (7, 5)
+    assert (summary["body_terms_count"], summary["suffix_terms_count"]) == (3, 2)
+    assert summary["relations_count"] == len(relations) == 7
 
     details = mined.details.orderBy("candidate_id", "term_type").collect()
-    assert len(details) == 9
-    assert [d.candidate_id for d in details][:2] == ["C00000001", "C00000002"]
-    span = next(d for d in details if d.extractor_type == "tag_span")
-    assert (span.term_raw, span.cell_raw, span.row, span.col) == ("tag term", "<tag>tag term</tag>", 4, 3)
-    assert (span.key_value, span.version_value, span.rule_id) == ("item_name", "2.2.3", "t1")
-    assert mined.further_lists.count() == 0
+    assert len(details) == 10
+    assert [d.candidate_id for d in details[:2]] == ["C00000001", "C00000002"]
+    spans = [d for d in details if d.extractor_type == "tag_span"]
+    assert [(d.term_raw, d.row, d.col, d.key_value, d.version_value, d.rule_id) for d in spans] == [
+        ("slow flame", 2, 3, "note", "autumn", "marks"),
+        ("copper kettle", 2, 3, "note", "autumn", "marks"),
+    ]
+    assert spans[0].cell_raw == SHELVES[1][4]
 
 
 @pytest.mark.parametrize(
     "text, body, suffix",
     [
-        ("Babiole ensoleillée : prairie printanière", "Babiole ensoleillée", ": prairie printanière"),
-        ("心选之礼·相邀", "心选之礼", "·相邀"),
-        ("A:B:C", "A", ":B:C"),
+        ("Äpfel im Korb => rot und grün", "Äpfel im Korb", "=> rot und grün"),
+        ("茶壶~盖子", "茶壶", "~盖子"),
+        ("p~q~r", "p", "~q~r"),
     ],
 )
 def test_affixes(spark, text, body, suffix):
-    mined = mine(spark, [("f", 2, "2.1.3", "name", text)])
-    assert [(r.affix_role, r.affix_anchor_term, r.affix_related_list) for r in mined.relations_summary.collect()] == [
-        ("prefix_anchor", body, suffix),
-        ("suffix_anchor", suffix, body),
-    ]
+    mined = mine(spark, [("f", 2, "spring", "label", text)])
+    found = [(r.affix_role, r.affix_anchor_term, r.affix_related_list) for r in mined.relations_summary.collect()]
+    assert found == [("prefix_anchor", body, suffix), ("suffix_anchor", suffix, body)]
 
 
 def test_first_raw_text_is_shown_and_measured(spark):
-    mined = mine(spark, [("f", 2, "2.1.3", "name", "  x  "), ("f", 3, "2.1.3", "name", "X"), ("f", 4, "2.1.3", "name", "##9")])
+    mined = mine(spark, [("f", 2, "spring", "label", "  x  "), ("f", 3, "spring", "label", "X"), ("f", 4, "spring", "label", "##9")])
     shown = {r.dedup_key: (r.term_norm, r.review_reasons) for r in mined.terms.collect()}
     # The raw text is five characters long, so the term is not too short, but four of five are noise.
     assert shown == {"x": ("  x  ", "high_noise_ratio"), "##9": ("##9", "symbol_or_number_heavy;high_noise_ratio")}
@@ -114,8 +123,8 @@ def test_first_raw_text_is_shown_and_measured(spark):
 
 def test_minimum_length_applies_to_whole_and_part(spark):
     settings = config(normalization={"min_term_length": 3})
-    mined = mine(spark, [("f", 2, "2.1.3", "name", "ab:cde"), ("f", 3, "2.1.3", "name", "xy"), ("f", 4, "2.1.3", "name", "abc:d")], settings)
-    assert {(r.term_type, r.term_norm) for r in mined.terms.collect()} == {("suffix", ":cde"), ("body", "abc")}
+    mined = mine(spark, [("f", 2, "spring", "label", "ab~cde"), ("f", 3, "spring", "label", "xy"), ("f", 4, "spring", "label", "abc~d")], settings)
+    assert {(r.term_type, r.term_norm) for r in mined.terms.collect()} == {("suffix", "~cde"), ("body", "abc")}
     # Both halves of a pair must be terms: none of these pairs has both.
     assert mined.relations_summary.count() == 0
 
@@ -131,7 +140,7 @@ def test_tag_spans(spark):
 
 
 def test_disabled_rules_still_need_their_columns(spark):
-    table = spark.createDataFrame(FOLDER[:1], CELLS)
+    table = spark.createDataFrame(SHELVES[:1], CELLS)
     rules = [RecordRule("r", "source", ("name",)), TagSpanRule("t", ("nowhere", "also"), enabled=False)]
     with pytest.raises(ValueError, match="columns not found: also, nowhere"):
         candidates(table, rules, **PLACE)
@@ -152,9 +161,9 @@ def test_headers():
 
 
 def test_version_counts(spark):
-    table = spark.createDataFrame([("f", 2, " 2.2.3 ", "k", "a·b"), ("f", 3, "9.9.9", "k", "x"), ("f", 4, None, "k", "b")], CELLS)
-    assert rows(version_counts(table, ("2.2.3",), "Version")) == [(3, 2)]
-    assert rows(version_counts(table, (), "Version")) == [(3, 0)]
+    table = spark.createDataFrame([("f", 2, " may ", "k", "a"), ("f", 3, "june", "k", "x"), ("f", 4, None, "k", "b"), ("f", 5, "MAY", "k", "b")], CELLS)
+    assert rows(version_counts(table, ("may",), "Version")) == [(4, 3)]
+    assert rows(version_counts(table, (), "Version")) == [(4, 0)]
 
 
 def test_compound_split(spark):
@@ -220,7 +229,7 @@ def test_numbers_are_consecutive_over_partitions(spark):
     assert numbered(table.limit(0), ["v"], "nr").count() == 0
 
 
-def test_long_lists_go_on_in_further_cells(spark):
+def test_long_lists_are_whole_in_pieces(spark):
     pairs = [("hot", f"i{i:04d}") for i in range(25)] + [("cold", "b"), ("cold", "a")]
     table = spark.createDataFrame(pairs, "g string, item string").repartition(4)
     one = {r.g: r for r in list_cells(table, ["g"], "item").collect()}
@@ -231,18 +240,24 @@ def test_long_lists_go_on_in_further_cells(spark):
     assert parts[1][LIST].count(";") == 9
 
 
-def test_reports_with_long_lists(spark):
-    table = [(f"f{i}", 2, "2.1.3", f"name{i}", f"body:s{i}") for i in range(7)]
+def test_reports_hold_every_piece_of_a_list(spark):
+    table = [(f"f{i}", 2, "spring", f"label{i % 4}", f"stem~s{i}") for i in range(7)]
     mined = mine(spark, table, items_per_cell=3)
-    row = mined.terms_summary.filter("term_norm = 'body'").first()
-    assert (row.files_count, row.keys_count) == (7, 7)
-    assert row.files_list == "f0;f1;f2"
-    further = {(r.list_of, r.owner, r[PART]): r[LIST] for r in mined.further_lists.collect()}
-    assert further["files", row.term_id, 1] == "f3;f4;f5" and further["files", row.term_id, 2] == "f6"
-    assert further["keys", row.term_id, 2] == "name6"
-    assert further["prefix_anchor", "body", 1] == ":s3;:s4;:s5"
-    anchor = mined.relations_summary.filter("affix_role = 'prefix_anchor'").first()
-    assert (anchor.affix_related_count, anchor.affix_related_list) == (7, ":s0;:s1;:s2")
+    whole = mine(spark, table)
+    pieces = mined.terms_summary.filter("term_norm = 'stem'").orderBy(PART).collect()
+    full = whole.terms_summary.filter("term_norm = 'stem'").first()
+    assert [r[PART] for r in pieces] == [0, 1, 2]
+    assert {(r.files_count, r.keys_count, r.occurrences_count) for r in pieces} == {(7, 4, 7)}
+    assert ";".join(r.files_list for r in pieces) == full.files_list
+    assert ";".join(r.keys_list for r in pieces if r.keys_list) == full.keys_list == "label0;label1;label2;label3"
+    anchors = mined.relations_summary.filter("affix_role = 'prefix_anchor'").orderBy(PART).collect()
+    assert [(r.affix_related_count, r.affix_related_list) for r in anchors] == [
+        (7, "~s0;~s1;~s2"), (7, "~s3;~s4;~s5"), (7, "~s6"),
+    ]
+    cross = mined.cross_file_terms.orderBy(PART).collect()
+    assert ";".join(r.cross_files_list for r in cross) == full.files_list
+    assert mined.summary.first()["relations_count"] == whole.summary.first()["relations_count"] == 9
+    assert mined.term_files.count() == 14 and mined.related_terms.count() == 14
 
 
 # --- random cells against a fold ------------------------------------------------------
