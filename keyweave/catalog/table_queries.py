@@ -48,21 +48,22 @@ WITH target AS (
 
 
 def _changed(spark: SparkSession, folder: str) -> DataFrame:
-    """``part`` with some cells changed or emptied, one type left out and one more column."""
-    return (
-        _parts(spark, folder)
-        .filter(F.col("p_type") != "PROMO")
-        .select(
-            "p_partkey",
-            F.when(F.col("p_size") != 9, F.col("p_name")).alias("p_name"),
-            F.col("p_brand"),
-            F.col("p_type"),
-            F.when(F.col("p_size") == 10, 100).otherwise(F.col("p_size")).alias("p_size"),
-            F.when(F.col("p_size") == 11, "more").alias("extra"),
-        )
+    """``part`` with some cells changed or emptied, one type in other rows and one more column."""
+    moved = F.when(F.col("p_type") == "PROMO", F.lit(_MOVED)).otherwise(F.lit(0))
+    return _parts(spark, folder).select(
+        (F.col("p_partkey") + moved).alias("p_partkey"),
+        F.when(F.col("p_size") != 9, F.col("p_name")).alias("p_name"),
+        F.col("p_brand"),
+        F.col("p_type"),
+        F.when(F.col("p_size") == 10, 100).otherwise(F.col("p_size")).alias("p_size"),
+        F.when(F.col("p_size") == 11, "more").alias("extra"),
     )
 
 
+#: Beyond every part key.
+_MOVED = 10_000_000_000
+
+
 _DIFF_CELLS = [
     ("p_name", "p_name"),
     ("p_brand", "p_brand"),
@@ -72,10 +73,11 @@ _DIFF_CELLS = [
 ]
 _DIFF_SQL = f"""
 WITH actual AS (
-  SELECT p_partkey, CASE WHEN p_size <> 9 THEN p_name END AS p_name, p_brand, p_type,
+  SELECT p_partkey + CASE WHEN p_type = 'PROMO' THEN {_MOVED} ELSE 0 END AS p_partkey,
+         CASE WHEN p_size <> 9 THEN p_name END AS p_name, p_brand, p_type,
          CASE WHEN p_size = 10 THEN 100 ELSE p_size END AS p_size,
          CASE WHEN p_size = 11 THEN 'more' END AS extra
-  FROM part WHERE p_type <> 'PROMO'
+  FROM part
 ), e AS ({' UNION ALL '.join(f"SELECT p_partkey AS row, {i} AS col, CAST({c} AS VARCHAR) AS v FROM part" for i, (c, _) in enumerate(_DIFF_CELLS, 1))}
 ), a AS ({' UNION ALL '.join(f"SELECT p_partkey AS row, {i} AS col, CAST({c} AS VARCHAR) AS v FROM actual" for i, (_, c) in enumerate(_DIFF_CELLS, 1))}
 ), diffs AS (

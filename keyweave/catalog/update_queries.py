@@ -1,6 +1,6 @@
 """The master update suite.
 
-Master: ``part`` without the Brand#1 family, with brand as key, type as match text, and name,
+Master: ``part`` with the Brand#1 family under old names, with brand as key, type as match text, and name,
 size and supplier as cells.  Sources: all of ``lineitem`` with the brand and type of its part,
 one file per return flag; names are blank on open lines and some match texts are missing, so
 each identity has many source rows and the Brand#1 family is new to the master.
@@ -34,17 +34,14 @@ WHERE = {"row": "row_nr", "order": ORDER, "file": "file"}
 
 
 def master(spark: SparkSession, folder: str) -> DataFrame:
-    return (
-        table(spark, folder, "part")
-        .filter(~F.col("p_brand").startswith("Brand#1"))
-        .select(
-            F.col("p_partkey").alias("row_nr"),
-            F.col("p_brand").alias("brand"),
-            F.col("p_type").alias("type"),
-            F.when(F.col("p_size") % 7 != 0, F.col("p_name")).alias("name"),
-            F.col("p_size").cast("string").alias("size"),
-            F.lit("").alias("supplier"),
-        )
+    renamed = F.when(F.col("p_brand").startswith("Brand#1"), F.concat(F.lit("Old "), "p_brand"))
+    return table(spark, folder, "part").select(
+        F.col("p_partkey").alias("row_nr"),
+        renamed.otherwise(F.col("p_brand")).alias("brand"),
+        F.col("p_type").alias("type"),
+        F.when(F.col("p_size") % 7 != 0, F.col("p_name")).alias("name"),
+        F.col("p_size").cast("string").alias("size"),
+        F.lit("").alias("supplier"),
     )
 
 
@@ -64,10 +61,11 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 
 BASE_SQL = f"""
 WITH master0 AS (
-  SELECT p_partkey AS row_nr, p_brand AS brand, p_type AS type,
+  SELECT p_partkey AS row_nr,
+         CASE WHEN p_brand LIKE 'Brand#1%' THEN 'Old ' || p_brand ELSE p_brand END AS brand, p_type AS type,
          CASE WHEN p_size % 7 <> 0 THEN p_name END AS name,
          CAST(p_size AS VARCHAR) AS size, '' AS supplier
-  FROM part WHERE p_brand NOT LIKE 'Brand#1%'
+  FROM part
 ), source0 AS (
   SELECT l_returnflag AS file,
          row(l_returnflag, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS place,
@@ -224,21 +222,6 @@ TWO_STAGE_SQL = f"""{BASE_SQL}, master AS (
 SELECT {_ALL} FROM ({_overwrite_sql(["name", "size", "supplier"]).replace("FROM master m", "FROM stage_id m").replace("JOIN cand c", "JOIN cand2 c")})"""
 
 
-def _unmatched(spark: SparkSession, folder: str) -> DataFrame:
-    return U.unmatched_report(
-        master(spark, folder),
-        U.sparse_candidates(sources(spark, folder), LAYOUT, ORDER, "file"),
-        LAYOUT,
-    )
-
-
-def _sparse_master(spark: SparkSession, folder: str) -> DataFrame:
-    candidates = U.sparse_candidates(sources(spark, folder), LAYOUT, ORDER, "file")
-    return U.overwrite_cells(master(spark, folder), candidates, LAYOUT, COMBINED_KEY, "row_nr").drop(
-        *U.CELL_COUNTS
-    )
-
-
 def _first_cells(spark: SparkSession, folder: str) -> DataFrame:
     rows = source_cells(sources(spark, folder), LAYOUT, COMBINED_KEY, ORDER)
     return first_cells(rows, ID, ["name", "size", "supplier"], ORDER).withColumnRenamed(ID, "identity")
@@ -257,7 +240,7 @@ QUERIES = {
         lambda s, d: run(s, d, DENSE).master,
         f"{DENSE_SQL} SELECT {_ALL} FROM planned UNION ALL SELECT {_ALL} FROM added",
     ),
-    "update_content_sparse": Query(_sparse_master, f"{SPARSE_SQL} SELECT {_ALL} FROM planned"),
+    "update_content_sparse": Query(lambda s, d: run(s, d, SPARSE).master, f"{SPARSE_SQL} SELECT {_ALL} FROM planned"),
     "merge_counters": Query(
         lambda s, d: run(s, d, MERGE).counters,
         _counter_sql(_merge_sql(COMBINED_SQL), "(SELECT count(*) FROM added)", "0", planned=False),
@@ -271,7 +254,7 @@ QUERIES = {
         _counter_sql(SPARSE_SQL, "0", "(SELECT count(*) FROM unknown)"),
     ),
     "unmatched_report": Query(
-        _unmatched,
+        lambda s, d: run(s, d, SPARSE).unmatched,
         f"""{SPARSE_SQL}
 SELECT origin.key AS key, origin.match AS match, origin.file AS source_file,
        name AS content_col_3, size AS content_col_4, supplier AS content_col_5
