@@ -6,6 +6,7 @@ array of found texts, and the arrays are expanded afterwards.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Mapping, Sequence
 
@@ -22,22 +23,34 @@ from keyweave.plans.term_config import CompoundSplitRule, RecordRule, TagSpanRul
 CANDIDATE_ORDER = ["path", "row", "rule_nr", "column_nr", "match_nr"]
 
 
+_CANDIDATES = (
+    "path string, file string, sheet string, row bigint, rule_nr int, column_nr int, match_nr int, "
+    "extractor_type string, rule_id string, col int, term_raw string, column_name string, open_tag string, "
+    "close_tag string, key_value string, version_value string"
+)
+
+
 def header_map(headers: Sequence[str | None]) -> dict[str, int]:
-    """0-based column of every header name and of its lower-case alias.
+    """0-based column of every header name, and of its lower-case form where that is free.
 
-    A blank header is named after its position; a name that is taken gets a suffix that
-    counts the repetitions of the whole table.
+    Blank headers are called ``col_<position>``.  A header whose name is in use, be it as the
+    lower-case form of another one, gets ``_1``, ``_2``, ... appended, counted over the table.
     """
-    places: dict[str, int] = {}
-    repeated = 0
-    for place, header in enumerate(headers):
-        name = (header or "").strip() or f"col_{place + 1}"
-        if name in places:
-            repeated += 1
-            name = f"{name}_{repeated}"
-        places[name] = place
-        places.setdefault(name.lower(), place)
-    return places
+    suffixes = itertools.count(1)
+    found: dict[str, int] = {}
+
+    def free(name: str) -> str:
+        return f"{name}_{next(suffixes)}" if name in found else name
+
+    names = (strip_header(h) or f"col_{nr}" for nr, h in enumerate(headers, start=1))
+    for column, name in enumerate(names):
+        unique = free(name)
+        found |= {unique: column} if unique.lower() in found else {unique.lower(): column, unique: column}
+    return found
+
+
+def strip_header(header: str | None) -> str:
+    return "" if header is None else header.strip()
 
 
 def missing_columns(headers: Mapping[str, int], required: set[str]) -> list[str]:
@@ -136,8 +149,8 @@ def candidates(
                     texts.alias("texts"),
                 )
             )
-    if not found:
-        raise ValueError("no enabled record rule or tag span")
+    if not found:  # no rule is switched on, or compounds only: a table without rows
+        return cells.sparkSession.createDataFrame([], _CANDIDATES)
 
     places = (
         F.col(path).cast("string").alias("path"),

@@ -20,15 +20,24 @@ class Replacement:
     unmatched: DataFrame
 
 
-def replace_files(targets: DataFrame, sources: DataFrame, *, path: str, name: str) -> Replacement:
+def replace_files(
+    targets: DataFrame,
+    sources: DataFrame,
+    *,
+    path: str,
+    name: str,
+    target_files: DataFrame | None = None,
+    source_files: DataFrame | None = None,
+) -> Replacement:
     """Rows of source files take the place of the rows of the target file of the same name.
 
     Of several target files of one name the first by path is replaced; of several source
     files of one name the last by path is taken.  Columns only one side has are empty on the
-    other one.
+    other one.  The lists of files (``path`` and ``name``) add files without rows: an empty source
+    file empties its target.
     """
-    target_files = targets.groupBy(name).agg(F.min(path).alias("target_path"))
-    source_files = sources.groupBy(name).agg(F.max(path).alias("source_path"))
+    target_files = (target_files or targets).groupBy(name).agg(F.min(path).alias("target_path"))
+    source_files = (source_files or sources).groupBy(name).agg(F.max(path).alias("source_path"))
     # One row per file name: written once, so that the planner knows how small it is.
     files = materialize(source_files.join(target_files, name, "left"), "file-pairs")
     replaced = files.filter(F.col("target_path").isNotNull())

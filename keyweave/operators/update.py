@@ -193,7 +193,8 @@ def unmatched_report(
 class UpdateParts:
     """What the counters of one update are computed from.
 
-    ``counted`` are sums of the cell counts of ``updated`` that are known already.
+    ``counted`` are sums of the cell counts of ``updated`` that are known already.  ``files`` is
+    the list of source files, if there is one; else files are counted by their rows.
     """
 
     sources: DataFrame
@@ -205,6 +206,7 @@ class UpdateParts:
     added: DataFrame | None = None
     unmatched: DataFrame | None = None
     scan_without_candidates: bool = False
+    files: DataFrame | None = None
 
 
 def update_counters(parts: UpdateParts) -> DataFrame:
@@ -217,11 +219,13 @@ def update_counters(parts: UpdateParts) -> DataFrame:
         )
 
     count = F.count(F.lit(1))
-    rows = [
-        one_row(parts.sources, source_files=F.count_distinct(parts.file)),
-        one_row(parts.candidates, _candidates=count),
-        one_row(parts.identities, merged_keys=count),
-    ]
+    if parts.files is not None:
+        rows = [one_row(parts.files, source_files=count)]
+    else:
+        rows = [one_row(parts.sources, source_files=F.count_distinct(parts.file))]
+    rows.append(one_row(parts.identities, merged_keys=count))
+    if not parts.scan_without_candidates:
+        rows.append(one_row(parts.candidates, _candidates=count))
     if parts.counted is not None:
         cells = {name: F.lit(parts.counted[c]) for name, c in CELL_COUNTERS.items()}
         rows.append(one_row(parts.candidates, **cells))

@@ -10,8 +10,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyweave.operators.coverage import untranslated_stats
+from keyweave.operators.coverage import MEASURES, untranslated_stats
 from keyweave.operators.replace import Replacement, replace_files
 from keyweave.operators.rows import Layout, SyncColumns
 from keyweave.operators.sync import sync_multi, sync_reverse
@@ -44,7 +45,9 @@ def sync_folder(
     allow_blank_write: bool = False,
     **scan,
 ) -> FolderRun:
-    """Master values into every file of a folder; changed files are written to ``out``."""
+    """Master values into every file of a folder; changed files are written to ``out``, another folder."""
+    if out:
+        _check_apart(folder, out)
     read = R.scan_folder(spark, folder, error_code=R.E_TARGET_READ, **scan)
     result = sync_multi(
         read.rows,
@@ -59,6 +62,13 @@ def sync_folder(
     return FolderRun(result, read.errors, write_changed_files(result, out, file=R.FILE) if out else None)
 
 
+def _check_apart(folder: str, out: str) -> None:
+    """A folder cannot be rewritten while it is read."""
+    one, other = R._plain_path(folder) + "/", R._plain_path(out) + "/"
+    if one.startswith(other) or other.startswith(one):
+        raise ValueError(f"{out} must lie apart from {folder}, which is read")
+
+
 def reverse_folder(
     spark: SparkSession,
     master: DataFrame,
@@ -95,12 +105,21 @@ def update_from_folder(
     *,
     row: str,
     priority: Sequence[str] = (),
+    master_path: str | None = None,
+    exclude: Sequence[str] = (),
     **scan,
 ) -> FolderRun:
-    """Update a master from a folder, in the order of file names or of the paths listed."""
-    read = R.scan_folder(spark, folder, error_code=R.E_SOURCE_READ, **scan)
+    """Update a master from a folder, in the order of file names or of the paths listed.
+
+    The file ``master_path`` is the master itself and no source, should it lie in the folder.
+    """
+    left_out = [*exclude, *([master_path] if master_path else [])]
+    read = R.scan_folder(spark, folder, error_code=R.E_SOURCE_READ, exclude=left_out, **scan)
     rows = R.order_by_priority(read.rows, priority) if priority else R.order_by_name(read.rows)
-    result = update_master_table(master, rows, layout, policies, row=row, order=R.FOLDER_ORDER, file=R.FILE)
+    files = R.listed_first(read.files, priority) if priority else read.files
+    result = update_master_table(
+        master, rows, layout, policies, row=row, order=R.FOLDER_ORDER, file=R.FILE, files=files
+    )
     return FolderRun(result, read.errors)
 
 
@@ -129,13 +148,24 @@ def mine_folder(spark: SparkSession, folder: str, config: TermConfig, **scan) ->
 def stats_of_folder(
     spark: SparkSession, folder: str, *, source: str, translation: str, mode: str = "chinese_chars", **scan
 ) -> FolderRun:
-    """Untranslated text per file; files without rows and files that cannot be read count 0."""
+    """Untranslated text per file: path, file_name and the four sums.
+
+    Files of one name in two folders are two rows; files without rows and files that cannot be
+    read count 0.
+    """
     read = R.scan_folder(spark, folder, error_code=R.E_STATS_FILE, **scan)
-    files = read.files.select("file_name").unionByName(read.errors.select("file_name"))
+    paths = read.files.select("path").unionByName(read.errors.select("path"))
     stats = untranslated_stats(
-        read.rows, file=R.NAME, source=source, translation=translation, mode=mode, files=files
+        read.rows,
+        file=R.FILE,
+        source=source,
+        translation=translation,
+        mode=mode,
+        files=paths.withColumnRenamed("path", "file_name"),
     )
-    return FolderRun(stats, read.errors)
+    name = F.element_at(F.split("file_name", "/"), -1)
+    named = stats.select(F.col("file_name").alias("path"), name.alias("file_name"), *MEASURES)
+    return FolderRun(named, read.errors)
 
 
 def edit_folder(
@@ -144,12 +174,13 @@ def edit_folder(
     """One column edit (clear, insert or delete) in every file of a folder, written to ``out``.
 
     The position counts the columns of the file itself, so files of each schema are edited
-    apart.  ``result`` lists the files.
+    apart.  ``out`` must not exist yet, so that no run adds to another.  ``result`` lists the files.
     """
+    _check_apart(folder, out)
     read = R.scan_folder(spark, folder, error_code=R.E_EDIT_COLUMN, **scan)
-    for table in read.tables:
+    for nr, table in enumerate(read.tables):
         edited = edit(table, number, service=R.SERVICE)
-        edited.write.mode("append").partitionBy(R.FILE).parquet(out)
+        edited.write.mode("append" if nr else "errorifexists").partitionBy(R.FILE).parquet(out)
     return FolderRun(read.files, read.errors)
 
 
@@ -157,5 +188,16 @@ def replace_from_folder(spark: SparkSession, source_folder: str, target_folder:
     """Files of the target folder replaced by the files of the same name of the source folder."""
     sources = R.scan_folder(spark, source_folder, error_code=R.E_REPLACE_FILE, **scan)
     targets = R.scan_folder(spark, target_folder, error_code=R.E_REPLACE_FILE, **scan)
-    result = replace_files(targets.rows, sources.rows, path=R.FILE, name=R.NAME)
+
+    def listed(files: DataFrame) -> DataFrame:
+        return files.select(F.col("path").alias(R.FILE), F.col("file_name").alias(R.NAME))
+
+    result = replace_files(
+        targets.rows,
+        sources.rows,
+        path=R.FILE,
+        name=R.NAME,
+        target_files=listed(targets.files),
+        source_files=listed(sources.files),
+    )
     return FolderRun(result, sources.errors.unionByName(targets.errors))

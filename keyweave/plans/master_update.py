@@ -83,7 +83,7 @@ def merge_masters(
     row_key: str = COMBINED_KEY,
 ) -> MasterUpdate:
     """Append the first row of every new identity; existing rows stay as they are."""
-    candidates = U.append_candidates(sources, layout, row_key, order)
+    candidates = materialize(U.append_candidates(sources, layout, row_key, order), "append-candidates")
     added = U.appended_rows(master, U.new_rows(master, candidates, layout, row_key), layout, row)
     identities = U.master_identities(master, layout, row_key)
     parts = U.UpdateParts(sources, file, candidates, identities, added=added, scan_without_candidates=True)
@@ -123,20 +123,26 @@ def update_master_table(
     row: str,
     order: Sequence[str],
     file: str,
+    files: DataFrame | None = None,
 ) -> MasterUpdate:
     """Run the update the policies name.
 
     Overwriting with new keys always identifies rows by key; overwriting existing keys only
-    always identifies them by key and match.
+    always identifies them by key and match.  ``files`` is the list of the source files, which
+    the counters then count, those without rows included.
     """
+
+    def counted(update: MasterUpdate) -> MasterUpdate:
+        return replace(update, parts=replace(update.parts, files=files))
+
     chosen = (policies.cell_write_policy, policies.key_admission_policy)
     where = {"row": row, "order": order, "file": file}
     if chosen == (FILL_BLANK_ONLY, ALLOW_NEW_KEY):
-        return merge_masters(master, sources, layout, row_key=policies.row_key_policy, **where)
+        return counted(merge_masters(master, sources, layout, row_key=policies.row_key_policy, **where))
     if chosen == (OVERWRITE_NON_BLANK, ALLOW_NEW_KEY):
-        return update_master(master, sources, layout, **where)
+        return counted(update_master(master, sources, layout, **where))
     if chosen == (OVERWRITE_NON_BLANK, EXISTING_KEY_ONLY):
-        return update_content(master, sources, layout, **where)
+        return counted(update_content(master, sources, layout, **where))
     raise ValueError(f"no update goes with the policies {' and '.join(chosen)}")
 
 

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Mapping
-from dataclasses import dataclass, field
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field, fields
 from typing import Any
 
 # The delimiters and tags used where a configuration names none.
@@ -22,6 +22,13 @@ class RecordRule:
     key_regex: bool = False
     enabled: bool = True
 
+    def __post_init__(self):
+        for pattern in self.key_terms if self.key_regex else ():
+            try:
+                re.compile(pattern, re.IGNORECASE)
+            except re.error as error:
+                raise ValueError(f"rule {self.id}: {pattern!r} is no pattern: {error}") from error
+
     def required_columns(self) -> set[str]:
         return {self.term_column, "key"}
 
@@ -100,121 +107,136 @@ class TermConfig:
 
 
 # --- reading a configuration ----------------------------------------------------------
+#
+# A configuration is read by tables: for each kind of rule the fields it has and the reader of each.
 
 
-def _texts(value: Any, name: str, required: bool = False) -> tuple[str, ...]:
-    """A list, or a text of comma-separated items; outer white space and blank items go."""
-    if value is None:
-        items = []
-    elif isinstance(value, str):
-        items = value.split(",")
-    elif isinstance(value, (list, tuple)):
-        items = [str(v) for v in value]
-    else:
-        raise ValueError(f"{name}: give a list, or one text with commas")
-    texts = tuple(t for t in (item.strip() for item in items) if t)
-    if required and not texts:
-        raise ValueError(f"{name}: at least one value is needed")
-    return texts
+def _flag(value: Any, name: str) -> bool:
+    return bool(value)
 
 
-def _filter(value: Any, name: str) -> tuple[str, ...]:
-    """As ``_texts``; ``*`` or ``all`` among the items means no filter."""
-    texts = _texts(value, name)
-    return () if {"*", "all"} & {t.lower() for t in texts} else texts
+def _mapping(value: Any, name: str) -> Mapping[str, Any]:
+    if not isinstance(value or {}, Mapping):
+        raise ValueError(f"{name}: a mapping is needed")
+    return value or {}
 
 
-def _section(raw: Mapping[str, Any], name: str) -> Mapping[str, Any]:
-    section = raw.get(name) or {}
-    if not isinstance(section, Mapping):
-        raise ValueError(f"{name}: a mapping is needed")
-    return section
-
-
-def _normalization(raw: Mapping[str, Any]) -> Normalization:
-    punctuation = _section(raw, "punctuation_normalization")
-    mapping = _section(punctuation, "map")
-    return Normalization(
-        trim=bool(raw.get("trim", True)),
-        collapse_whitespace=bool(raw.get("collapse_whitespace", True)),
-        punctuation={str(k): str(v) for k, v in mapping.items()} if punctuation.get("enabled") else {},
-        min_term_length=int(raw.get("min_term_length", 1)),
-        case_insensitive_dedup=bool(raw.get("case_insensitive_dedup", True)),
-    )
+def _items(value: Any, name: str) -> tuple[str, ...]:
+    """A list, or one text with commas; outer white space and blank items do not count."""
+    parts = value.split(",") if isinstance(value, str) else [] if value is None else value
+    if not isinstance(parts, (list, tuple)):
+        raise ValueError(f"{name}: give a list, or one text with commas")
+    return tuple(filter(None, (str(part).strip() for part in parts)))
 
 
-def _thresholds(raw: Mapping[str, Any]) -> Thresholds:
-    return Thresholds(
-        int(raw.get("containment_min_len", 2)),
-        int(raw.get("review_short_len_le", 1)),
-        float(raw.get("review_noise_ratio_ge", 0.6)),
-    )
+def _some_items(value: Any, name: str) -> tuple[str, ...]:
+    found = _items(value, name)
+    if not found:
+        raise ValueError(f"{name}: at least one value is needed")
+    return found
 
 
-def _record_rule(raw: Mapping[str, Any], rule_id: str) -> RecordRule:
-    for legacy in ("conditions", "version"):
-        if legacy in raw:
-            raise ValueError(f"rule {rule_id}: {legacy} is an old setting; set versions for all rules instead")
-    column = str(raw.get("term_column", "")).strip()
-    if not column:
-        raise ValueError(f"rule {rule_id}: no term_column")
-    name = f"rule {rule_id}, key"
-    keys, is_regex = _texts(raw.get("key"), name, required=True), bool(raw.get("key_regex", False))
-    for pattern in keys if is_regex else ():
-        try:
-            re.compile(pattern, re.IGNORECASE)
-        except re.error as error:
-            raise ValueError(f"{name}: {pattern!r} is no pattern: {error}") from error
-    return RecordRule(rule_id, column, keys, is_regex, bool(raw.get("enabled", True)))
-
-
-def _source_columns(raw: Mapping[str, Any], rule_id: str) -> tuple[str, ...]:
-    columns = raw.get("source_columns")
-    if not isinstance(columns, (list, tuple)) or not columns:
-        raise ValueError(f"rule {rule_id}: source_columns needs a list of columns")
-    names = tuple(n for n in (str(c).strip() for c in columns) if n)
-    if not names:
-        raise ValueError(f"rule {rule_id}: source_columns names no column")
-    return names
-
-
-def _tag_span_rule(raw: Mapping[str, Any], rule_id: str) -> TagSpanRule:
-    columns = _source_columns(raw, rule_id)
-    open_tags = DEFAULT_OPEN_TAGS
-    for name in ("open_tags", "open_tag"):
-        if name in raw:
-            open_tags = _texts(raw[name], f"rule {rule_id}, {name}", required=True)
-            break
-    close_tags = raw.get("close_tags") or DEFAULT_CLOSE_TAGS
-    if not isinstance(close_tags, (list, tuple)):
-        raise ValueError(f"rule {rule_id}: close_tags needs a list of tags")
-    return TagSpanRule(
-        rule_id, columns, open_tags, tuple(str(t) for t in close_tags), bool(raw.get("enabled", True))
-    )
+def _chosen(value: Any, name: str) -> tuple[str, ...]:
+    """A filter: ``*`` or ``all`` among its items lets everything pass, as no item does."""
+    found = _items(value, name)
+    return found if {"*", "all"}.isdisjoint(map(str.lower, found)) else ()
+
 
+def _list(what: str):
+    def read(value: Any, name: str) -> tuple[str, ...]:
+        if not isinstance(value, (list, tuple)):
+            raise ValueError(f"{name} needs a list of {what}")
+        found = tuple(map(str, value)) if what == "tags" else _items(value, name)
+        if not found:
+            raise ValueError(f"{name} needs a list of {what}")
+        return found
 
-def _compound_rule(raw: Mapping[str, Any], rule_id: str) -> CompoundSplitRule:
-    columns = _source_columns(raw, rule_id)
-    delimiter = str(raw.get("delimiter", "·"))
-    if not delimiter:
-        raise ValueError(f"rule {rule_id}: no delimiter")
-    emits = {name: bool(raw.get(name, True)) for name in ("emit_compound", "emit_head", "emit_suffix")}
-    return CompoundSplitRule(rule_id, columns, delimiter, **emits, enabled=bool(raw.get("enabled", True)))
+    return read
 
 
-_RULE_READERS = {"record_rule": _record_rule, "tag_span": _tag_span_rule, "compound_split": _compound_rule}
+def _text(value: Any, name: str) -> str:
+    if not str(value or "").strip():
+        raise ValueError(f"no {name.rpartition(' ')[2]} ({name})")
+    return str(value)
+
+
+@dataclass(frozen=True)
+class _Entry:
+    """How one field of a rule is read: from the first of ``names`` that is given."""
+
+    field: str
+    read: Callable[[Any, str], Any]
+    names: tuple[str, ...] = ()
+    required: bool = False
+
+    def value(self, raw: Mapping[str, Any], rule: str) -> dict[str, Any]:
+        names = self.names or (self.field,)
+        given = next((name for name in names if name in raw), names[0] if self.required else None)
+        return {} if given is None else {self.field: self.read(raw.get(given), f"{rule} {given}")}
+
+
+_ENABLED = _Entry("enabled", _flag)
+_COLUMNS = _Entry("source_columns", _list("columns"), required=True)
+_KINDS: Mapping[str, tuple[type, tuple[_Entry, ...]]] = {
+    "record_rule": (
+        RecordRule,
+        (
+            _Entry("term_column", lambda v, n: _text(v, n).strip(), required=True),
+            _Entry("key_terms", _some_items, ("key",), required=True),
+            _Entry("key_regex", _flag),
+            _ENABLED,
+        ),
+    ),
+    "tag_span": (
+        TagSpanRule,
+        (
+            _COLUMNS,
+            _Entry("open_tags", _some_items, ("open_tags", "open_tag")),
+            _Entry("close_tags", lambda v, n: _list("tags")(v, n) if v else DEFAULT_CLOSE_TAGS),
+            _ENABLED,
+        ),
+    ),
+    "compound_split": (
+        CompoundSplitRule,
+        (
+            _COLUMNS,
+            _Entry("delimiter", _text),
+            *(_Entry(name, _flag) for name in ("emit_compound", "emit_head", "emit_suffix")),
+            _ENABLED,
+        ),
+    ),
+}
+#: Settings of earlier versions, and what to use instead.
+_OLD = {
+    "record_rule": {"conditions": "versions of the configuration", "version": "versions of the configuration"},
+    "configuration": {"compound_delimiters": "affix_delimiters"},
+}
+
+
+def _refuse_old(raw: Mapping[str, Any], where: str, name: str) -> None:
+    for setting in _OLD.get(where, {}).keys() & raw.keys():
+        raise ValueError(f"{name}: {setting} is an old setting; use {_OLD[where][setting]}")
 
 
 def _rule(raw: Any) -> Rule:
-    if not isinstance(raw, Mapping):
-        raise ValueError("a rule is given as a mapping")
-    kind = str(raw.get("type", "")).strip()
-    if kind not in _RULE_READERS:
+    raw = _mapping(raw, "a rule")
+    kind, rule_id = (str(raw.get(name, "")).strip() for name in ("type", "id"))
+    if kind not in _KINDS:
         raise ValueError(f"no rule type {kind!r}")
-    rule_id = str(raw.get("id", "")).strip()
     if not rule_id:
         raise ValueError(f"a {kind} rule needs an id")
-    return _RULE_READERS[kind](raw, rule_id)
+    _refuse_old(raw, kind, f"rule {rule_id}")
+    made, entries = _KINDS[kind]
+    values: dict[str, Any] = {}
+    for entry in entries:
+        values |= entry.value(raw, f"rule {rule_id},")
+    return made(id=rule_id, **values)
+
+
+def _plain_fields(made: type, raw: Mapping[str, Any], **given: Any):
+    """A dataclass of numbers and flags: each value is read as the type of its default."""
+    values = {f.name: type(f.default)(raw[f.name]) for f in fields(made) if f.name in raw and f.name not in given}
+    return made(**values, **given)
 
 
 def term_config(raw: Any) -> TermConfig:
@@ -228,16 +250,20 @@ def term_config(raw: Any) -> TermConfig:
         raise ValueError("a configuration is a mapping")
     if int(raw.get("version", 0)) != 1:
         raise ValueError("this reads configurations of version 1 only")
-    if "compound_delimiters" in raw:
-        raise ValueError("compound_delimiters is an old setting; its place is taken by affix_delimiters")
+    _refuse_old(raw, "configuration", "the configuration")
     extractors = raw.get("extractors")
     if not isinstance(extractors, (list, tuple)) or not extractors:
         raise ValueError("extractors: at least one rule is needed")
+    normal = _mapping(raw.get("normalization"), "normalization")
+    signs = _mapping(normal.get("punctuation_normalization"), "punctuation_normalization")
+    pairs = _mapping(signs.get("map"), "map") if signs.get("enabled") else {}
     return TermConfig(
-        rules=tuple(_rule(r) for r in extractors),
-        files=_filter(raw.get("files"), "files"),
-        versions=_filter(raw.get("versions"), "versions"),
-        affix_delimiters=_texts(raw.get("affix_delimiters"), "affix_delimiters") or DEFAULT_DELIMITERS,
-        normalization=_normalization(_section(raw, "normalization")),
-        thresholds=_thresholds(_section(raw, "thresholds")),
+        rules=tuple(map(_rule, extractors)),
+        files=_chosen(raw.get("files"), "files"),
+        versions=_chosen(raw.get("versions"), "versions"),
+        affix_delimiters=_items(raw.get("affix_delimiters"), "affix_delimiters") or DEFAULT_DELIMITERS,
+        normalization=_plain_fields(
+            Normalization, normal, punctuation={str(old): str(new) for old, new in pairs.items()}
+        ),
+        thresholds=_plain_fields(Thresholds, _mapping(raw.get("thresholds"), "thresholds")),
     )

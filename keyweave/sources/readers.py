@@ -7,9 +7,11 @@ are computed from these columns, not from the order in which Spark reads.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -87,18 +89,28 @@ _PROBE = T.StructType(
 )
 
 
-def _file_columns(path: str, kind: str, whole: bool) -> tuple[list[str], list[str]]:
+def _opened(path: str):
+    """The file system of a path as Spark lists it, not encoded, and the path within it."""
+    from pyarrow import fs
+
+    scheme, colon, rest = path.partition(":/")
+    if not colon or scheme == "file":
+        return fs.LocalFileSystem(), "/" + (rest if colon else path).lstrip("/")
+    # What follows the scheme may hold any character, so it is encoded for the URI.
+    return fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:/{quote(rest)}")
+
+
+def _file_columns(
+    path: str, kind: str, whole: bool, options: Mapping[str, str]
+) -> tuple[list[str], list[str]]:
     """Column names and types of one file; raises if it is no table of cells.
 
     ``whole`` reads the file to its end instead of its schema only.
     """
     import pyarrow as pa
-    from pyarrow import csv, fs, json, orc, parquet
+    from pyarrow import csv, json, orc, parquet
 
-    uri = path.replace("s3a://", "s3://", 1)
-    if uri.startswith("file:/") and not uri.startswith("file:///"):
-        uri = "file://" + uri[len("file:") :]
-    system, inner = fs.FileSystem.from_uri(uri)
+    system, inner = _opened(path)
     with system.open_input_file(inner) as handle:
         if kind == "parquet":
             table = parquet.ParquetFile(handle)
@@ -107,7 +119,11 @@ def _file_columns(path: str, kind: str, whole: bool) -> tuple[list[str], list[st
             table = orc.ORCFile(handle)
             schema, blocks = table.schema, (table.read_stripe(i) for i in range(table.nstripes))
         else:
-            blocks = csv.open_csv(handle) if kind == "csv" else json.open_json(handle)
+            given = {name.lower(): value for name, value in options.items()}
+            parse = csv.ParseOptions(
+                delimiter=given.get("sep", given.get("delimiter", ",")), quote_char=given.get("quote", '"')
+            )
+            blocks = csv.open_csv(handle, parse_options=parse) if kind == "csv" else json.open_json(handle)
             schema = blocks.schema
         for field in schema:
             if pa.types.is_nested(field.type) or pa.types.is_binary(field.type):
@@ -118,7 +134,9 @@ def _file_columns(path: str, kind: str, whole: bool) -> tuple[list[str], list[st
         return schema.names, ["text" if kind == "csv" else str(field.type) for field in schema]
 
 
-def probe_files(files: DataFrame, kind: str = "parquet", *, whole: bool = False) -> DataFrame:
+def probe_files(
+    files: DataFrame, kind: str = "parquet", *, whole: bool = False, options: Mapping[str, str] | None = None
+) -> DataFrame:
     """Try every file in a Spark job: its columns and types, or the error that opening it gave.
 
     Without ``whole`` only the schema is read (the footer of a Parquet or ORC file); with it,
@@ -130,7 +148,7 @@ def probe_files(files: DataFrame, kind: str = "parquet", *, whole: bool = False)
             rows = []
             for path, name in zip(batch["path"], batch["file_name"]):
                 try:
-                    rows.append((path, name, *_file_columns(path, kind, whole), None))
+                    rows.append((path, name, *_file_columns(path, kind, whole, options or {}), None))
                 except Exception as failure:  # noqa: BLE001 - any failure marks the file as bad
                     rows.append((path, name, None, None, f"{type(failure).__name__}: {failure}"))
             yield pd.DataFrame(rows, columns=_PROBE.names)
@@ -183,7 +201,7 @@ def scan_folder(
     ).filter(is_configured(F.col("file_name"), tokens))
     left_out = {_plain_path(p) for p in exclude}
     probed = materialize(
-        probe_files(listed, kind, whole=whole).withColumn("schema", F.xxhash64("columns", "types")), "probed-files"
+        probe_files(listed, kind, whole=whole, options=options).withColumn("schema", F.xxhash64("columns", "types")), "probed-files"
     )
     # What a schema lacks is found once per schema; of a file, the path comes to the driver,
     # as it does for every read of a list of files.
@@ -209,25 +227,35 @@ def scan_folder(
     reader = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **(options or {}))
 
     def rows_of(paths: list[str]) -> DataFrame:
-        table = reader.load(paths)
+        table = reader.load([re.sub(r"([*?\[\]{}\\])", r"\\\1", path) for path in paths])  # names, not patterns
         number = F.col("_metadata.row_index") + FIRST_ROW if kind == "parquet" else F.col(row)
         cells = [c for c in table.columns if row is None or c.lower() != row.lower()]
         return table.select(
-            F.col("_metadata.file_path").alias(FILE),
-            F.col("_metadata.file_name").alias(NAME),
+            _decoded(F.col("_metadata.file_path")).alias(FILE),
+            F.element_at(F.split(_decoded(F.col("_metadata.file_path")), "/"), -1).alias(NAME),
             number.cast("bigint").alias(ROW),
             *(nullable_text_of(table, c).alias(c) for c in cells),
         )
 
     return FolderScan(
         tuple(rows_of(paths) for paths in groups.values()),
-        spark.createDataFrame(good, "path string, file_name string"),
+        spark.createDataFrame(good, "path string, file_name string").withColumn("path", _same_form(F.col("path"))),
         spark.createDataFrame(bad, "code string, path string, file_name string, message string"),
         len(good),
         len(bad),
     )
 
 
+def _same_form(path: Column) -> Column:
+    """A listed path in the form in which scanned rows hold it."""
+    return F.regexp_replace(path, "^file:/+", "file:///")
+
+
+def _decoded(uri: Column) -> Column:
+    """The path a scan reports, without its URI encoding: the form of all tables of a scan."""
+    return _same_form(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
 def _plain_path(path: str) -> str:
     """A path without scheme and double slashes, to compare a URI with a plain path."""
     return os.path.normpath("/" + path.split(":", 1)[-1].lstrip("/"))
@@ -246,17 +274,28 @@ def order_by_name(rows: DataFrame) -> DataFrame:
     return rows.withColumn(ORDER, F.struct(F.lower(NAME).alias("key"), F.col(FILE).alias("path")))
 
 
-def order_by_priority(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
-    """The listed files only, in the order of the list; repeated paths count once."""
+def _ranks(df: DataFrame, paths: Sequence[str]) -> DataFrame:
     listed = dict.fromkeys(_plain_path(p.strip()) for p in paths if p and p.strip())
     if not listed:
         raise ValueError("the list of files is empty")
-    ranks = rows.sparkSession.createDataFrame(
-        [(p, i) for i, p in enumerate(listed)], f"_listed string, {ORDER} int"
-    )
-    # A scanned path is a URI; a listed one may be a plain path.
-    plain = F.concat(F.lit("/"), F.regexp_replace(FILE, "^[^:/]*:?/+", ""))
-    return inner_join_unique(rows.withColumn("_listed", plain), ranks, ["_listed"]).drop("_listed")
+    return df.sparkSession.createDataFrame([(p, i) for i, p in enumerate(listed)], f"_listed string, {ORDER} int")
+
+
+def _without_scheme(path: Column) -> Column:
+    """A scanned path is a URI; a listed one may be a plain path."""
+    return F.concat(F.lit("/"), F.regexp_replace(path, "^[^:/]*:?/+", ""))
+
+
+def order_by_priority(rows: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """The listed files only, in the order of the list; repeated paths count once."""
+    ranks = _ranks(rows, paths)
+    return inner_join_unique(rows.withColumn("_listed", _without_scheme(F.col(FILE))), ranks, ["_listed"]).drop("_listed")
+
+
+def listed_first(files: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """Of a list of files, those that ``order_by_priority`` keeps."""
+    ranks = _ranks(files, paths).select("_listed")
+    return files.withColumn("_listed", _without_scheme(F.col("path"))).join(ranks, "_listed").drop("_listed")
 
 
 FOLDER_ORDER = [ORDER, ROW]

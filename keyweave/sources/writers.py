@@ -30,13 +30,18 @@ def fresh_path(spark: SparkSession, folder: str, stem: str) -> str:
     return candidate
 
 
+def _options(kind: str) -> dict[str, str]:
+    return {"header": "true"} if kind == "csv" else {}
+
+
 def write_changed_files(result: DataFrame, folder: str, *, file: str, kind: str = "parquet") -> DataFrame:
     """Write the files in which a cell was written, and no other; returns (file, cells written).
 
     A first pass counts the writes per file and reads only the columns the sync needs; a
     second one writes whole rows, of the changed files only.  Each file is one partition of
-    the folder, and large files are split over several tasks.  The folder may be the one the
-    rows come from: partitions are exchanged when all tasks are done.
+    the folder, and large files are split over several tasks.  A folder of that kind
+    may be rewritten from its own rows: partitions are exchanged when all tasks are done.  A
+    folder of plain files is not, they would stay beside the new ones.  CSV files get a header.
     """
     counts = result.groupBy(file).agg(F.sum(WRITTEN).alias(WRITTEN)).filter(F.col(WRITTEN) > 0)
     changed = materialize(counts, "changed-files")
@@ -48,6 +53,7 @@ def write_changed_files(result: DataFrame, folder: str, *, file: str, kind: str
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(file)
             .format(kind)
+            .options(**_options(kind))
             .save(folder)
         )
     return changed
@@ -56,20 +62,19 @@ def write_changed_files(result: DataFrame, folder: str, *, file: str, kind: str
 def write_master(update, path: str, *, kind: str = "parquet") -> DataFrame:
     """Write the new master to a new place; the counters of the update come from the same pass."""
     if not update.cell_counts:
-        update.master.write.mode("errorifexists").format(kind).save(path)
+        update.master.write.mode("errorifexists").format(kind).options(**_options(kind)).save(path)
         return update.counters
     seen = Observation("cell counts")
     sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in update.cell_counts]
     observed = update.rows.observe(seen, *sums).drop(*update.cell_counts)
-    observed.write.mode("errorifexists").format(kind).save(path)
+    observed.write.mode("errorifexists").format(kind).options(**_options(kind)).save(path)
     return update.counters_with(seen.get)
 
 
 def write_report(report: DataFrame, folder: str, stem: str = UNMATCHED_REPORT, *, kind: str = "parquet") -> str:
     """Write a report beside earlier ones, also an empty one; returns its path."""
     path = fresh_path(report.sparkSession, folder, stem)
-    writer = report.write.mode("errorifexists").format(kind)
-    (writer.option("header", "true") if kind == "csv" else writer).save(path)
+    report.write.mode("errorifexists").format(kind).options(**_options(kind)).save(path)
     return path
 
 
@@ -84,16 +89,15 @@ def write_term_reports(mined, folder: str, *, kind: str = "parquet") -> dict[str
     paths = {}
     for name, table in tables.items():
         paths[name] = f"{folder.rstrip('/')}/{name}"
-        writer = table.write.mode("errorifexists").format(kind)
-        (writer.option("header", "true") if kind == "csv" else writer).save(paths[name])
+        table.write.mode("errorifexists").format(kind).options(**_options(kind)).save(paths[name])
     return paths
 
 
 def snapshot(table: DataFrame, path: str) -> str:
-    """A copy of a master beside it, named after the time: ``<stem>.batch_backup.<timestamp>``."""
+    """A Parquet copy of a master beside it, named after the time to the microsecond."""
     folder, base = posixpath.split(path.rstrip("/"))
-    stem, extension = posixpath.splitext(base)
-    stamp = datetime.now().strftime("%Y%m%d_%H%M%S")
-    copy = posixpath.join(folder, f"{stem}.batch_backup.{stamp}{extension}")
+    stem, _ = posixpath.splitext(base)
+    stamp = datetime.now().strftime("%Y%m%d_%H%M%S_%f")
+    copy = posixpath.join(folder, f"{stem}.batch_backup.{stamp}.parquet")
     table.write.mode("errorifexists").parquet(copy)
     return copy

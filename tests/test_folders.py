@@ -154,7 +154,7 @@ def test_folder_tools(spark, folder, tmp_path):
     assert [r.source_file for r in run.result.unmatched.collect()] == ["a.parquet"]
 
     run = P.stats_of_folder(spark, folder, source="key", translation="text", mode="english_words")
-    assert [r[0] for r in rows(run.result, "file_name")] == ["B.parquet", "a.parquet", "z.parquet"]
+    assert sorted(r.file_name for r in run.result.collect()) == ["B.parquet", "a.parquet", "z.parquet"]
 
     settings = TermConfig((RecordRule("r", "text", ("k",)),), files=("a", "z"))
     run = P.mine_folder(spark, folder, settings)
@@ -171,6 +171,80 @@ def test_replace_from_folder(spark, folder, tmp_path):
     assert rows(done.targets.select("key", "more", "text"), R.NAME, "key") == [("K1", None, "from_b"), ("N", "1", None)]
 
 
+NAMES = ["plain", "with space", "50%25off", "中文", "a#b", "a+b", "q[1]{2}*"]
+
+
+def test_files_of_any_name_are_read(spark, tmp_path):
+    for i, name in enumerate(NAMES):
+        table = spark.createDataFrame([("k", "m", f"v{i}")], SCHEMA).toPandas()
+        table.to_parquet(tmp_path / f"{name}.parquet")
+    scan = R.scan_folder(spark, str(tmp_path))
+    assert (scan.files_read, scan.files_failed) == (len(NAMES), 0)
+    got = {r[R.NAME]: (r.text, r[R.FILE]) for r in scan.rows.collect()}
+    listed = {r.file_name: r.path for r in scan.files.collect()}
+    assert {name: text for name, (text, _) in got.items()} == {f"{n}.parquet": f"v{i}" for i, n in enumerate(NAMES)}
+    assert listed == {name: path for name, (_, path) in got.items()}
+    paths = [f"{tmp_path}/{n}.parquet" for n in reversed(NAMES)]
+    ordered = rows(R.order_by_priority(scan.rows, paths).select(R.NAME), R.ORDER)
+    assert [r[0] for r in ordered] == [f"{n}.parquet" for n in reversed(NAMES)]
+    stats = P.stats_of_folder(spark, str(tmp_path), source="key", translation="text", mode="english_words").result
+    assert {(r.file_name, r.total_rows) for r in stats.collect()} == {(f"{n}.parquet", 1) for n in NAMES}
+
+
+def test_files_of_one_name_are_counted_apart(spark, tmp_path):
+    for place, n in (("x", 1), ("y", 2)):
+        (tmp_path / place).mkdir()
+        spark.createDataFrame([("k", "m", "")] * n, SCHEMA).toPandas().to_parquet(tmp_path / place / "a.parquet")
+    stats = P.stats_of_folder(spark, str(tmp_path), source="key", translation="text", mode="english_words").result
+    found = sorted((r.path.split("/")[-2], r.file_name, r.total_rows, r.untranslated_rows) for r in stats.collect())
+    assert found == [("x", "a.parquet", 1, 1), ("y", "a.parquet", 2, 2)]
+
+
+def test_an_empty_source_file_empties_its_target(spark, folder, tmp_path):
+    (tmp_path / "new").mkdir()
+    spark.createDataFrame([], SCHEMA).toPandas().astype("string").to_parquet(tmp_path / "new/a.parquet")
+    done = P.replace_from_folder(spark, str(tmp_path / "new"), folder).result
+    assert rows(done.targets.select(R.NAME, "text")) == [("B.parquet", "from_b")]
+    assert [r.target_path.endswith("/in/a.parquet") for r in done.replaced.collect()] == [True]
+
+
+def test_the_master_is_no_source_and_empty_files_count(spark, tmp_path):
+    spark.createDataFrame([("K1", "M1", "own")], SCHEMA).toPandas().to_parquet(tmp_path / "master.parquet")
+    spark.createDataFrame([("K2", "M2", "new")], SCHEMA).toPandas().to_parquet(tmp_path / "b.parquet")
+    spark.createDataFrame([], SCHEMA).toPandas().astype("string").to_parquet(tmp_path / "c.parquet")
+    master = spark.createDataFrame([(2, "K1", "M1", "")], f"row long, {SCHEMA}")
+    run = P.update_from_folder(
+        spark, master, str(tmp_path), resolve_layout(["key", "match", "text"], "key", "match"),
+        row="row", master_path=f"{tmp_path}/master.parquet",
+    )
+    assert [r.key for r in run.result.master.orderBy("row").collect()] == ["K1", "K2"]
+    assert run.result.counters.first().source_files == 2
+
+
+def test_csv_keeps_its_header_and_its_separator(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/t.csv").write_text("nr;key;match;text\n2;K;M;\n")
+    options = {"sep": ";"}
+    columns = SyncColumns("key", "match", ("text",))
+    master = spark.createDataFrame([(2, "K", "M", "new")], f"row long, {SCHEMA}")
+    scan = R.scan_folder(spark, str(tmp_path / "in"), kind="csv", row="nr", options=options)
+    assert scan.files_failed == 0
+    result = sync_single(scan.rows, columns, master, columns, target_place=[R.FILE, R.ROW], master_order=["row"])
+    W.write_changed_files(result.drop(R.NAME), str(tmp_path / "out"), file=R.FILE, kind="csv")
+    again = R.scan_folder(spark, str(tmp_path / "out"), kind="csv", row=R.ROW)
+    assert rows(again.rows.select(R.ROW, "key", "text")) == [(2, "K", "new")]
+
+
+def test_no_folder_is_rewritten_or_doubled(spark, folder, tmp_path):
+    out = str(tmp_path / "out")
+    P.edit_folder(spark, folder, clear_column, 1, out)
+    with pytest.raises(Exception, match="already exists"):
+        P.edit_folder(spark, folder, clear_column, 1, out)
+    for place in (folder, f"{folder}/sub", str(tmp_path)):
+        with pytest.raises(ValueError, match="apart"):
+            P.edit_folder(spark, folder, clear_column, 1, place)
+
+
 def test_only_changed_files_are_written(spark, tmp_path):
     out = str(tmp_path / "out")
     targets = spark.createDataFrame(

@@ -146,6 +146,15 @@ def test_disabled_rules_still_need_their_columns(spark):
         candidates(table, rules, **PLACE)
 
 
+def test_rules_that_give_no_candidates(spark):
+    table = spark.createDataFrame(SHELVES, CELLS)
+    for rule in (CompoundSplitRule("c", ("source",)), RecordRule("r", "source", ("label",), enabled=False)):
+        mined = mine_terms(table, TermConfig((rule,)), **PLACE)
+        assert mined.terms_summary.count() == mined.relations_summary.count() == mined.details.count() == 0
+        summary = mined.summary.first()
+        assert (summary.rows_scanned, summary.candidates_count, summary.terms_count) == (len(SHELVES), 0, 0)
+
+
 def test_headers():
     assert header_map([" Key ", "", None, "key", "Text", "Text"]) == {
         "Key": 0,

@@ -119,13 +119,13 @@ def _python_split(text, delimiters):
 
 def test_split_affix(spark):
     rng = random.Random(11)
-    values = ["Babiole ensoleillée : prairie printanière", "心选之礼·相邀", "A:B:C", ":x", "x:", "x: ", "plain", ""]
+    values = ["Äpfel : rot", "茶壶·盖子", "p:q:r", ":x", "x:", "x: ", "plain", ""]
     values += ["".join(rng.choice("ab ·:#é") for _ in range(rng.randint(0, 9))) for _ in range(300)]
     df = column(spark, values)
     for delimiters in (("·", ":"), (":",), ("::", ":"), (" :", ":")):
         got = with_halves(df, "v", delimiters).orderBy("nr").select(*HALVES).collect()
         assert [tuple(g) if g.delimiter else None for g in got] == [_python_split(v, delimiters) for v in values]
-    assert _python_split("A:B:C", ("·", ":")) == ("A", ":B:C", ":")
+    assert _python_split("p:q:r", ("·", ":")) == ("p", ":q:r", ":")
 
 
 def test_term_shape(spark):
