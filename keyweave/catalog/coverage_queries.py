@@ -59,7 +59,24 @@ WITH docs AS (
 )"""
 
 
+def _by_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Two folders of files with the same names: statistics are kept per path."""
+    path = F.concat(F.when(F.col("doc_id") % 3 == 0, "x/").otherwise("y/"), "source")
+    rows = documents(spark, folder).withColumn("path", path)
+    stats = untranslated_stats(rows, **{**COLUMNS, "file": "path"}, mode=ENGLISH_WORDS)
+    return stats.select(
+        F.col("file_name").alias("path"), F.element_at(F.split("file_name", "/"), -1).alias("file_name"), *MEASURES
+    )
+
+
+_BY_PATH_SQL = f"""
+WITH stats AS ({_stats_sql(WORDS_SQL).replace("SELECT source AS file_name", "SELECT CASE WHEN doc_id % 3 = 0 THEN 'x/' ELSE 'y/' END || source AS file_name")}
+SELECT * FROM stats)
+SELECT file_name AS path, split_part(file_name, '/', 2) AS file_name, {", ".join(MEASURES)} FROM stats"""
+
+
 QUERIES = {
+    "untranslated_by_path": Query(_by_path, _BY_PATH_SQL),
     "untranslated_words_by_file": Query(
         lambda s, d: untranslated_stats(documents(s, d), **COLUMNS, mode=ENGLISH_WORDS),
         f"{_stats_sql(WORDS_SQL)} SELECT * FROM stats",

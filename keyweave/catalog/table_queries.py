@@ -15,8 +15,11 @@ def _parts(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "part")
 
 
-def _replacement(spark: SparkSession, folder: str):
-    """Target files by brand folder and type; source files are named by type, one name is new."""
+def _replacement(spark: SparkSession, folder: str, *, with_empty_file: bool = False):
+    """Target files by brand folder and type; source files are named by type, one name is new.
+
+    The empty file has the name of the type that has no source file of its own.
+    """
     parts = _parts(spark, folder)
     targets = parts.select(
         F.concat(F.lit("target/"), "p_brand", F.lit("/"), "p_type").alias("path"),
@@ -31,7 +34,11 @@ def _replacement(spark: SparkSession, folder: str):
         "p_partkey",
         F.upper("p_name").alias("p_name"),
     )
-    return replace_files(targets, sources, path="path", name="file_name")
+    files = None
+    if with_empty_file:
+        empty = spark.range(1).select(F.lit("source/empty/PROMO").alias("path"), F.lit("PROMO").alias("file_name"))
+        files = sources.select("path", "file_name").distinct().union(empty)
+    return replace_files(targets, sources, path="path", name="file_name", source_files=files)
 
 
 _REPLACE_SQL = """
@@ -109,6 +116,15 @@ QUERIES = {
 SELECT * FROM target WHERE path NOT IN (SELECT target_path FROM pairs WHERE target_path IS NOT NULL)
 UNION ALL
 SELECT p.target_path AS path, s.file_name, s.p_partkey, s.p_name
+FROM source s JOIN pairs p ON s.path = p.source_path WHERE p.target_path IS NOT NULL""",
+    ),
+    "replace_files_empty_source": Query(
+        lambda s, d: _replacement(s, d, with_empty_file=True).targets,
+        f"""{_REPLACE_SQL}, emptied AS (SELECT min(path) AS path FROM target WHERE file_name = 'PROMO')
+SELECT * FROM target WHERE path NOT IN (SELECT target_path FROM pairs WHERE target_path IS NOT NULL)
+  AND path NOT IN (SELECT path FROM emptied WHERE path IS NOT NULL)
+UNION ALL
+SELECT p.target_path AS path, s.file_name, s.p_partkey, s.p_name
 FROM source s JOIN pairs p ON s.path = p.source_path WHERE p.target_path IS NOT NULL""",
     ),
     "replace_files_unmatched": Query(

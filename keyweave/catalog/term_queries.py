@@ -19,7 +19,7 @@ from keyweave.functions.text import SPACE_CLASS
 from keyweave.operators import terms as T
 from keyweave.operators.candidates import candidates, compound_split, version_counts, with_candidate_ids
 from keyweave.operators.lists import ITEMS_PER_CELL
-from keyweave.plans.mine_terms import mine_terms
+from keyweave.plans.mine_terms import SUMMARY, mine_terms
 from keyweave.plans.term_config import CompoundSplitRule, Normalization, RecordRule, TagSpanRule, TermConfig, Thresholds
 from keyweave.session import materialize
 
@@ -319,7 +319,21 @@ def _components(binding: Binding):
     return run
 
 
+def _compound_only(spark: SparkSession, folder: str) -> DataFrame:
+    """A configuration whose only rule gives no candidates of its own."""
+    config = TermConfig(rules=(CompoundSplitRule("compound", ("brand",), delimiter="#"),))
+    return mine_terms(brands(spark, folder), config, **PAGE_PLACE).summary
+
+
+_COMPOUND_ONLY_SQL = f"""WITH {_BRAND_CELLS}
+SELECT count(DISTINCT path) AS files_total, count(DISTINCT path) AS files_succeeded, count(*) AS rows_scanned,
+       {", ".join(f"CAST(0 AS BIGINT) AS {name}" for name in SUMMARY
+                  if name not in ("files_total", "files_succeeded", "rows_scanned"))}
+FROM cells"""
+
+
 QUERIES = {
+    "terms_compound_only": Query(_compound_only, _COMPOUND_ONLY_SQL),
     "record_rule_contains": Query(_records(BY_TOKEN), _records_sql(BY_TOKEN, _HAS_TOKEN)),
     "record_rule_regex": Query(_records(BY_PATTERN), _records_sql(BY_PATTERN, _HAS_PATTERN)),
     "tag_span_candidates": Query(_spans, _SPANS_SQL),

@@ -105,8 +105,14 @@ DENSE = _policies(OVERWRITE_NON_BLANK, ALLOW_NEW_KEY)
 SPARSE = _policies(OVERWRITE_NON_BLANK, EXISTING_KEY_ONLY)
 
 
-def run(spark: SparkSession, folder: str, policies: UpdatePolicies) -> MasterUpdate:
-    return update_master_table(master(spark, folder), sources(spark, folder), LAYOUT, policies, **WHERE)
+def run(spark: SparkSession, folder: str, policies: UpdatePolicies, **more) -> MasterUpdate:
+    return update_master_table(master(spark, folder), sources(spark, folder), LAYOUT, policies, **WHERE, **more)
+
+
+def _counted_files(spark: SparkSession, folder: str) -> DataFrame:
+    """The counters with a list of files, one of which has no row."""
+    files = sources(spark, folder).select("file").distinct()
+    return run(spark, folder, MERGE, files=files.union(spark.range(1).select(F.lit("empty")))).counters
 
 
 def _row_of(cells: list[str], pick: str) -> str:
@@ -245,6 +251,12 @@ QUERIES = {
         lambda s, d: run(s, d, MERGE).counters,
         _counter_sql(_merge_sql(COMBINED_SQL), "(SELECT count(*) FROM added)", "0", planned=False),
     ),
+    "source_files_counted": Query(
+        _counted_files,
+        _counter_sql(_merge_sql(COMBINED_SQL), "(SELECT count(*) FROM added)", "0", planned=False).replace(
+            "count(DISTINCT file) FROM source0", "count(DISTINCT file) + 1 FROM source0"
+        ),
+    ),
     "update_counters_dense": Query(
         lambda s, d: run(s, d, DENSE).counters,
         _counter_sql(DENSE_SQL, "(SELECT count(*) FROM added)", "0"),
