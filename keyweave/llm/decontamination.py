@@ -31,7 +31,7 @@ UNITS = (
     "weeks months years percent dollars euros pounds cents usd eur gbp kmh mph kwh w kw v hz khz mhz ghz kb mb gb tb"
 ).split()
 _NUMBERS = r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])"
-_NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{N}]*"
+_NAMES = r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}[\p{L}\p{N}]*"
 _UNITS = rf"(?i)(?<={NUMBER} )(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}])"
 _BETWEEN = rf"[^\p{{L}}\p{{N}}{''.join(SLOTS)}]+"
 

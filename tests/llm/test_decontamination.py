@@ -18,7 +18,7 @@ QUESTION = (
 def plain_template(text):
     """Words, and their original forms."""
     text = text or ""
-    named = regex.sub(r"(?<=[\p{L}\p{N},;] )\p{Lu}[\p{L}\p{N}]*", d.NAME, text)
+    named = regex.sub(r"(?<=[\p{L}\p{N},;] )\p{Lu}\p{Ll}[\p{L}\p{N}]*", d.NAME, text)
     numbered = regex.sub(r"(?<![\p{L}\p{N}])\p{N}+(?![\p{L}\p{N}])", d.NUMBER, named)
     filled = regex.sub(rf"(?i)(?<={d.NUMBER} )(?:{'|'.join(d.UNITS)})(?![\p{{L}}\p{{N}}])", d.UNIT, numbered)
     between = rf"[^\p{{L}}\p{{N}}{''.join(d.SLOTS)}]+"
