@@ -89,13 +89,11 @@ def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     )
     draw = F.pmod(F.xxhash64(F.lit("sample"), "doc_id", "text"), F.lit(1 << 40)) / F.lit(float(1 << 40))
     drawn = labelled.select("text", "lang", draw.alias("draw"))
-    # most_languages rows at most are broadcast; the limit only meets floods of equal rows.
-    return (
-        drawn.join(F.broadcast(shares), "lang").where("draw < share").select("text", "lang", "draw")
-    ).limit(2 * settings.sample_rows)
+    # most_languages rows at most are broadcast.
+    return drawn.join(F.broadcast(shares), "lang").where("draw < share").select("text", "lang", "draw")
 
 
-def _features(sample: DataFrame) -> list[tuple[str, float, np.ndarray, np.ndarray]]:
+def _features(sample: DataFrame, most_rows: int) -> list[tuple[str, float, np.ndarray, np.ndarray]]:
     """(lang, draw, buckets, weights) of every sampled row that has a letter."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,9 +114,10 @@ def _features(sample: DataFrame) -> list[tuple[str, float, np.ndarray, np.ndarra
             )
 
     found = sample.mapInArrow(of_batches, "lang string, draw double, at binary, weights binary")
+    # About sample_rows are drawn; the limit only meets floods of equal rows.
     rows = [
         (r["lang"], r["draw"], np.frombuffer(r["at"], "<i4"), np.frombuffer(r["weights"], "<f4"))
-        for r in found.collect()  # sample_rows at most
+        for r in found.limit(most_rows).collect()
     ]
     return sorted(rows, key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
 
@@ -126,7 +125,7 @@ def _features(sample: DataFrame) -> list[tuple[str, float, np.ndarray, np.ndarra
 def trained(docs: DataFrame, settings: Settings | None = None) -> Model | None:
     """The model of the labelled rows of ``docs`` (doc_id, text, lang); None if there are none."""
     settings = settings or Settings()
-    rows = _features(_sample(docs, settings))
+    rows = _features(_sample(docs, settings), 2 * settings.sample_rows)
     if not rows:
         return None
     languages = tuple(sorted({row[0] for row in rows}))

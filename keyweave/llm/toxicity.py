@@ -90,7 +90,7 @@ def _for_curve(settings: Settings) -> Column:
     return F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(settings.curve_part)) == 0
 
 
-def _beginnings(rows: DataFrame, most_words: int = 300_000) -> DataFrame:
+def _beginnings(rows: DataFrame, most_words: int = 80_000) -> DataFrame:
     """(prefix, toxic, ordinary): how often each class has each beginning of a form."""
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +207,7 @@ def lexicon(rows: DataFrame, margin: float) -> DataFrame:
 class WordScores(dict):
     """What a word's ratio exceeds the margin by; two generations bound the memory."""
 
-    def __init__(self, table: dict[str, tuple[float, float]], margin: float, most: int = 150_000):
+    def __init__(self, table: dict[str, tuple[float, float]], margin: float, most: int = 80_000):
         super().__init__()
         self.table, self.margin, self.most, self.older = table, margin, most, {}
 
@@ -325,8 +325,9 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings | None = None
     rows = _labelled(docs, labels, settings)
     table = lexicon(rows.where(~_for_curve(settings)), settings.margin)
     model = Model(table, table.count() <= settings.most_broadcast, 0.0, 0.0)
-    unseen = rows.where(_for_curve(settings)).limit(settings.curve_rows)
-    seen = _evidence(unseen, model, ["toxic"], settings).toArrow()  # curve_rows at most
+    unseen = _evidence(rows.where(_for_curve(settings)), model, ["doc_id", "toxic"], settings)
+    drawn = unseen.orderBy(F.xxhash64(F.lit("drawn"), "doc_id"), "toxic", "evidence").limit(settings.curve_rows)
+    seen = drawn.select("toxic", "evidence").toArrow()  # curve_rows at most
     slope, shift = _curve(seen.column("evidence").to_numpy(), seen.column("toxic").to_numpy().astype(float))
     return Model(table, model.broadcast, slope, shift)
 
