@@ -18,6 +18,7 @@ from keyweave.llm import (
     toxicity,
 )
 from keyweave.llm.columns import table
+from keyweave.llm.oracles import chat_sql, quality_sql
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,8 +70,8 @@ QUERIES: dict[str, Query] = {
     "op4_license_scans": Query(op4_license_scans),
     "op5_language_id": Query(op5_language_id),
     "op6_packing": Query(op6_packing),
-    "op7_quality_rules": Query(op7_quality_rules),
+    "op7_quality_rules": Query(op7_quality_rules, quality_sql()),
     "op8_benchmark_decontamination": Query(op8_benchmark_decontamination),
     "op9_sharding": Query(op9_sharding),
-    "op10_chat_formatting": Query(op10_chat_formatting),
+    "op10_chat_formatting": Query(op10_chat_formatting, chat_sql()),
 }
