@@ -7,7 +7,7 @@ reported in ``errors`` and the others are processed.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,12 @@ from keyweave.operators.coverage import MEASURES, untranslated_stats
 from keyweave.operators.replace import Replacement, replace_files
 from keyweave.operators.rows import Layout, SyncColumns
 from keyweave.operators.sync import sync_multi, sync_reverse
-from keyweave.plans.master_update import MasterUpdate, UpdatePolicies, update_master_table
+from keyweave.plans.master_update import (
+    MasterUpdate,
+    UpdatePolicies,
+    source_then_translation,
+    update_master_table,
+)
 from keyweave.plans.mine_terms import MinedTerms, mine_terms
 from keyweave.plans.term_config import TermConfig
 from keyweave.sources import readers as R
@@ -123,6 +128,40 @@ def update_from_folder(
     return FolderRun(result, read.errors)
 
 
+def two_stages_from_folders(
+    spark: SparkSession,
+    master: DataFrame,
+    source_folder: str,
+    translation_folder: str,
+    layout: Layout,
+    *,
+    row: str,
+    master_path: str | None = None,
+    **scan,
+) -> tuple[FolderRun, FolderRun]:
+    """A dense update from one folder, then a sparse update of its result from another one.
+
+    The files of each folder come in the order of their names.
+    """
+    left_out = [master_path] if master_path else []
+    reads = [
+        R.scan_folder(spark, folder, error_code=R.E_SOURCE_READ, exclude=left_out, **scan)
+        for folder in (source_folder, translation_folder)
+    ]
+    stages = source_then_translation(
+        master,
+        *(R.order_by_name(read.rows) for read in reads),
+        layout,
+        row=row,
+        order=R.FOLDER_ORDER,
+        file=R.FILE,
+    )
+    return tuple(
+        FolderRun(replace(stage, parts=replace(stage.parts, files=read.files)), read.errors)
+        for stage, read in zip(stages, reads, strict=True)
+    )
+
+
 def mine_folder(spark: SparkSession, folder: str, config: TermConfig, **scan) -> FolderRun:
     """The terms of the files the configuration names; files without its columns are errors."""
     read = R.scan_folder(

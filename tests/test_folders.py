@@ -221,6 +221,21 @@ def test_the_master_is_no_source_and_empty_files_count(spark, tmp_path):
     assert run.result.counters.first().source_files == 2
 
 
+def test_two_stages_from_two_folders(spark, tmp_path):
+    for place, rows_ in (("one", [("K1", "M9", "dense"), ("K2", "M2", "added")]), ("two", [("K2", "M2", "sparse"), ("K7", "M7", "x")])):
+        (tmp_path / place).mkdir()
+        spark.createDataFrame(rows_, SCHEMA).toPandas().to_parquet(tmp_path / place / "f.parquet")
+    (tmp_path / "two/bad.parquet").write_bytes(b"no table")
+    master = spark.createDataFrame([(2, "K1", "M1", "old")], f"row long, {SCHEMA}")
+    layout = resolve_layout(["key", "match", "text"], "key", "match")
+    first, second = P.two_stages_from_folders(spark, master, f"{tmp_path}/one", f"{tmp_path}/two", layout, row="row")
+    assert rows(first.result.master, "row") == [(2, "K1", "M9", "dense"), (3, "K2", "M2", "added")]
+    assert rows(second.result.master, "row") == [(2, "K1", "M9", "dense"), (3, "K2", "M2", "sparse")]
+    assert (first.errors.count(), second.errors.count()) == (0, 1)
+    assert [r.key for r in second.result.unmatched.collect()] == ["K7"]
+    assert first.result.counters.first().source_files == second.result.counters.first().source_files == 1
+
+
 def test_csv_keeps_its_header_and_its_separator(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/t.csv").write_text("nr;key;match;text\n2;K;M;\n")
