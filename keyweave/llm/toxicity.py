@@ -159,7 +159,6 @@ def lexicon(rows: DataFrame, margin: float) -> DataFrame:
         F.count_if(F.col("toxic") > 0).alias("kinds1"),
         F.count_if(F.col("ordinary") > 0).alias("kinds0"),
     )
-    after = materialize(after, "after")
 
     def chance(count: str, kinds: str, n: str) -> Column:
         kept = F.greatest(F.col(count) - DISCOUNT, F.lit(0.0)) + DISCOUNT * F.col(kinds) * F.col("shared")
@@ -192,11 +191,8 @@ def lexicon(rows: DataFrame, margin: float) -> DataFrame:
     exits = after.select(
         F.col("parent").alias("prefix"), F.ln(passed_on("kinds1", "n1") / passed_on("kinds0", "n0")).alias("leave")
     )
-    nodes = materialize(
-        whole.join(exits, "prefix", "left").select(
-            "prefix", "whole", (F.col("whole") + F.coalesce("leave", F.lit(0.0))).alias("exit")
-        ),
-        "nodes",
+    nodes = whole.join(exits, "prefix", "left").select(
+        "prefix", "whole", (F.col("whole") + F.coalesce("leave", F.lit(0.0))).alias("exit")
     )
     # A beginning that only ordinary texts have ends the comparison; it matters where going on counts.
     left = nodes.where(F.col("exit") > margin).select(F.col("prefix").alias("parent"), "whole")
