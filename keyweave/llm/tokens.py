@@ -49,13 +49,17 @@ class _Pieces(dict):
 
 
 class Encoder:
-    """``encoded(text)`` gives the ids of a text as unsigned 32-bit little-endian bytes."""
+    """``encoded(text)`` gives the ids of a text as unsigned 32-bit little-endian bytes.
+
+    ``vocabulary`` is the name of a public one or the path of a file of ranks.
+    """
 
     def __init__(self, vocabulary: str = VOCABULARY, cached_pieces: int = 150_000):
         import public_tokenizers
         import tiktoken
 
-        with open(public_tokenizers.path(f"{vocabulary}.tiktoken"), "rb") as lines:
+        place = vocabulary if vocabulary.endswith(".tiktoken") else public_tokenizers.path(f"{vocabulary}.tiktoken")
+        with open(place, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         whole = tiktoken.Encoding(
             vocabulary,
