@@ -40,6 +40,8 @@ MOST_BITS = 2
 SEGMENTS, SEGMENT_BITS = 16, 4
 #: Cells with more fingerprints than this are dealt anew instead of paired off.
 CROWDED = 32
+#: Cells up to so many are broadcast to pick their entries, more are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -100,6 +102,12 @@ def _verified(pairs: DataFrame) -> DataFrame:
     return pairs.where((F.col("a") != F.col("b")) & (differing <= MOST_BITS))
 
 
+def _those_in(cells: DataFrame, some: DataFrame) -> DataFrame:
+    """The entries of the given cells, which are few and counted before they are broadcast."""
+    keys = some.select("cell")
+    return cells.join(F.broadcast(keys) if keys.count() <= MOST_BROADCAST else keys, "cell", "left_semi")
+
+
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) whose closure is that of all pairs of ``fp`` within two bits.
 
@@ -114,14 +122,12 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     )
     twos = _verified(filled.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")))
 
-    several = inner_join_unique(
-        cells, filled.where(f"n > 2 and n <= {CROWDED}").select("cell"), ["cell"]
-    )
+    several = _those_in(cells, filled.where(f"n > 2 and n <= {CROWDED}"))
     listed = several.groupBy("cell").agg(F.sort_array(F.collect_list("fp")).alias("fps"))  # CROWDED at most
     placed = listed.select("fps", F.posexplode("fps").alias("at", "a"))
     later = placed.select("a", F.explode(F.slice("fps", F.col("at") + 2, CROWDED)).alias("b"))
 
-    crowd = inner_join_unique(cells, filled.where(f"n > {CROWDED}").select("cell"), ["cell"])
+    crowd = _those_in(cells, filled.where(f"n > {CROWDED}"))
     flips = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)))
     stars = (
         crowd.select("fp")
