@@ -18,7 +18,7 @@ and the work grows with the number of fingerprints, not of pairs.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import repeat
 
 import numpy as np
@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 
 from keyweave.llm.columns import travels_with_the_job
 from keyweave.llm.components import connected
+from keyweave.llm.similar import similar_links, text_key
 from keyweave.operators.joins import inner_join_unique, left_join_unique
 from keyweave.session import materialize
 
@@ -154,17 +155,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ["doc_id"])
     stored = materialize(rows, "fingerprints")
-    return _with_component(stored, F.min("doc_id")).select(
+    return _with_component(stored, F.min("doc_id"), fingerprint_links).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
         F.col("chosen").alias("component_id"),
     )
 
 
-def _with_component(stored: DataFrame, choice: Column) -> DataFrame:
+def _with_component(
+    stored: DataFrame, choice: Column, links_of: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """``stored`` (fp and more) with ``chosen``: the least choice among all rows of a component."""
     distinct = materialize(stored.groupBy("fp").agg(choice.alias("choice")), "distinct")
-    linked = connected(fingerprint_links(distinct.select("fp")))
+    linked = connected(links_of(distinct.select("fp")))
     members = inner_join_unique(distinct, linked.withColumnRenamed("node", "fp"), ["fp"])
     members = materialize(members, "members")
     chosen = members.groupBy("component").agg(F.min("choice").alias("chosen"))
@@ -178,8 +181,10 @@ def _with_component(stored: DataFrame, choice: Column) -> DataFrame:
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component one row stays.
 
-    It is the row with the smallest doc_id; rows without doc_id come last, and among rows with
-    one doc_id a hash of the whole row decides.  The columns are those of ``docs``.
+    Here the rule is that of the stages, not that of the query: texts whose five-word shingles
+    have a Jaccard similarity of 0.8 or more are linked (``similar_links``).  The row with the smallest
+    doc_id stays; rows without doc_id come last, and among rows with one doc_id a hash of the whole
+    row decides.  The columns are those of ``docs``.
     """
     names = docs.columns
     row = F.xxhash64(*(F.to_json(f"`{n}`") if "map<" in t else F.col(f"`{n}`") for n, t in docs.dtypes))
@@ -192,21 +197,19 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
             F.col("_hash").alias("hash"),
         ).alias("_key"),
     )
+    texts = marked.select(F.col("_row.text").alias("text"), text_key(F.col("_row.text")).alias("fp"))
     stored = materialize(
-        fingerprints(
-            marked.select(
-                F.col("_row.text").alias("text"),
-                F.col("_key.absent").alias("absent"),
-                F.col("_key.doc_id").alias("id"),
-                F.col("_key.hash").alias("hash"),
-            ),
-            ["absent", "id", "hash"],
+        marked.select(
+            F.col("_key.absent").alias("absent"),
+            F.col("_key.doc_id").alias("id"),
+            F.col("_key.hash").alias("hash"),
+            text_key(F.col("_row.text")).alias("fp"),
         ),
-        "fingerprints",
+        "keys",
     )
     key = F.struct("absent", "id", "hash")
     winners = (
-        _with_component(stored.withColumn("key", key), F.min("key"))
+        _with_component(stored.withColumn("key", key), F.min("key"), lambda _: similar_links(texts))
         .where(F.col("key") == F.col("chosen"))
         .groupBy("absent", "id", "hash")
         .agg(F.count("*").alias("copies"))
