@@ -10,7 +10,12 @@ are one class.  Documents and classes meet in a hash join of five-word template
   class must have one value in the document: a question with other numbers and names
   counts as the same question, a text that merely has the same shape does not.
 
-A window counts if at least three of its words are no placeholders.
+A template window counts if at least three of its words are no placeholders.
+
+Beside the templates, the lower-cased words of every item have windows of their own, numbers and names
+as they are.  They find copies in another case and items that are mostly numbers or names.  An item of
+three or four words is one such window; a shorter one is looked for as a whole document only.  A document
+matches a class if either kind reaches the share.
 """
 
 from __future__ import annotations
@@ -25,6 +30,8 @@ from keyweave.session import materialize
 
 NUMBER, NAME, UNIT = "\x01", "\x02", "\x03"
 SLOTS = (NUMBER, NAME, UNIT)
+#: Begins the hash of a window of words as they are.
+PLAIN = "\x04"
 #: Units that are placeholders after a number.
 UNITS = (
     "mm cm m km in ft yd mi miles mg g kg t lb lbs oz ml l litres liters s sec seconds min minutes h hours days "
@@ -80,20 +87,44 @@ def windows(words: Column, size: int) -> Column:
     return let(words, hashed)
 
 
+def plain_windows(text: Column, sizes: list[int], least: int) -> Column:
+    """A hash and a place for each window of lower-cased words; the whole text if it has fewer than ``least``."""
+
+    def of_size(held: Column, size: int) -> Column:
+        return F.transform(
+            F.when(F.size(held) >= size, F.sequence(F.lit(0), F.size(held) - size)).otherwise(
+                F.array().cast("array<int>")
+            ),
+            lambda i: F.struct(
+                i.alias("at"), F.xxhash64(F.lit(PLAIN), *(F.get(held, i + j) for j in range(size))).alias("hash")
+            ),
+        )
+
+    def hashed(held: Column) -> Column:
+        whole = F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit(PLAIN), F.array_join(held, " ")).alias("hash"))
+        return F.when((F.size(held) > 0) & (F.size(held) < least), F.array(whole)).otherwise(
+            F.concat(*(of_size(held, size) for size in sizes))
+        )
+
+    return let(originals(F.lower(text)), hashed)
+
+
 def _is_slot(word: Column) -> Column:
     return word.isin(*SLOTS)
 
 
 def classes(benchmark: DataFrame, settings: Settings) -> DataFrame:
-    """One row per window of each class: class, item_id, place, hash, slots, n_windows, rank.
+    """One row per window of each class: group, class, item_id, place, hash, slots, n_windows, rank.
 
-    ``item_id`` is the smallest of the class; ``slots`` has for each word of the window the number of
-    its slot, or NULL; ``rank`` counts from the window that the fewest classes have.
+    ``item_id`` is the smallest of the group, the items of one template; ``slots`` has for each word of the
+    window the number of its slot, or NULL; ``rank`` counts from the window that the fewest classes have.
+    The template is one class of the group, and the words of each of its items are one more.
     """
     items = benchmark.select(
         F.col("item_id").cast("bigint").alias("item_id"),
         template(F.col("text")).alias("words"),
         originals(F.col("text")).alias("values"),
+        "text",
     )
     slots = F.transform(
         F.col("words"),
@@ -102,14 +133,37 @@ def classes(benchmark: DataFrame, settings: Settings) -> DataFrame:
         ),
     )
     numbered = items.withColumn("slots", slots)
+    group = F.xxhash64("words", "slots").alias("group")
     distinct = numbered.groupBy("words", "slots").agg(F.min("item_id").alias("item_id"))
+    first = distinct.select(group, "item_id")
+    as_they_are = numbered.select(group, F.lower(F.coalesce("text", F.lit(""))).alias("text")).distinct()
+    plain = F.lit(None).cast("array<int>").alias("slots")
+    n_words = F.size(originals(F.col("text")))
+    own_size = F.when(n_words >= settings.window, settings.window).otherwise(n_words)
+    sizes = range(settings.least_words, settings.window + 1)
+    of_own_size = F.coalesce(
+        *(
+            F.when(own_size == size, plain_windows(F.col("text"), [size], settings.least_words))
+            for size in sizes
+        ),
+        plain_windows(F.col("text"), [settings.window], settings.least_words),
+    )
+    spelled = (
+        as_they_are.select(
+            "group", F.xxhash64(F.lit(PLAIN), "group", "text").alias("class"), F.explode(of_own_size).alias("w")
+        )
+        .join(first, "group")
+        .select("group", "class", "item_id", F.col("w.at").alias("place"), F.col("w.hash").alias("hash"), plain)
+    )
     placed = distinct.select(
+        group,
         F.xxhash64("words", "slots").alias("class"),
         "item_id",
         "words",
         "slots",
         F.posexplode(windows(F.col("words"), settings.window)).alias("place", "hash"),
     ).select(
+        "group",
         "class",
         "item_id",
         "place",
@@ -119,7 +173,7 @@ def classes(benchmark: DataFrame, settings: Settings) -> DataFrame:
         F.size("words").alias("n_words"),
     )
     least = F.least(F.lit(settings.least_words), F.col("n_words"))
-    counted = materialize(placed.where(F.col("plain") >= least).drop("plain", "n_words"), "windows")
+    counted = materialize(placed.where(F.col("plain") >= least).drop("plain", "n_words").union(spelled), "windows")
     sharing = counted.groupBy("hash").agg(F.count_distinct("class").alias("sharing"))
     # Both windows run within one class: the places of one benchmark item.
     own = Window.partitionBy("class")
@@ -146,8 +200,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = N
     rare = materialize(
         known.where(F.col("rank") <= F.col("n_windows") - enough + 1).select("hash", "class").distinct(), "rare"
     )
-    words = docs.select("key", template(F.col("text")).alias("words"))
-    hashes = words.select("key", F.explode(windows(F.col("words"), settings.window)).alias("hash"))
+    lengths = benchmark.select(F.size(originals(F.lower("text"))).alias("n")).distinct()
+    short = lengths.where((F.col("n") >= settings.least_words) & (F.col("n") < settings.window)).collect()
+    sizes = [settings.window, *sorted(r["n"] for r in short)]
+
+    def all_windows(text: Column) -> Column:
+        typed = F.transform(
+            windows(template(text), settings.window), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))
+        )
+        return F.concat(typed, plain_windows(text, sizes, settings.least_words))
+
+    found = docs.select("key", F.explode(all_windows(F.col("text"))).alias("w"))
+    hashes = found.select("key", F.col("w.hash").alias("hash"))
     pairs = materialize(hashes.join(_small(rare, settings), "hash").select("key", "class").distinct(), "pairs")
 
     keys = materialize(pairs.select("key").distinct(), "keys")
@@ -155,13 +219,19 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = N
     placed = some.select(
         "key",
         originals(F.col("text")).alias("values"),
-        F.posexplode(windows(template(F.col("text")), settings.window)).alias("at", "hash"),
-    ).select("key", "at", "hash", F.slice("values", F.col("at") + 1, settings.window).alias("values"))
+        F.explode(all_windows(F.col("text"))).alias("w"),
+    ).select(
+        "key",
+        F.col("w.at").alias("at"),
+        F.col("w.hash").alias("hash"),
+        F.slice("values", F.col("w.at") + 1, settings.window).alias("values"),
+    )
     met = materialize(
         placed.join(pairs, "key")
         .join(known, ["class", "hash"])
         .select(
             "key",
+            "group",
             "class",
             "item_id",
             "n_windows",
@@ -184,9 +254,15 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = N
     )
     return (
         met.join(broken, alignment, "left_anti")
-        .groupBy("key", "class", "item_id", "n_windows")
+        .groupBy("key", "group", "class", "item_id", "n_windows")
         .agg((F.count_distinct("place") / F.col("n_windows")).alias("share"))
         .where(F.col("share") >= settings.least_share)
+        .groupBy("key", "group", "item_id")
+        .agg(
+            F.coalesce(
+                F.max(F.when(F.col("class") == F.col("group"), F.col("share"))), F.max("share")
+            ).alias("share")
+        )
         .select("key", "item_id", "share")
     )
 
@@ -210,9 +286,10 @@ def contamination_of_documents(
     """One row per document: doc_id, contaminated, n_classes, item_id, share.
 
     ``n_classes`` counts the matching classes of benchmark items, ``item_id`` is the smallest
-    item of theirs and ``share`` the highest share of windows found (NULL and 0 without any).  NULL and
+    item of theirs and ``share`` the highest share of windows found (NULL and 0 without any), of template
+    windows where these reach it.  NULL and
     empty texts have no window and match nothing; an item shorter than a window matches a
-    document of just its template.  Repeated rows get equal results.  With an empty benchmark
+    document of just its template, and one of three words or more also a document that holds its words.  Repeated rows get equal results.  With an empty benchmark
     every document is clean.
     """
     settings = settings or Settings()

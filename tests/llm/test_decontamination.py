@@ -142,3 +142,14 @@ def test_plan_has_no_python(spark):
     bench = spark.createDataFrame([(0, QUESTION)], ITEMS)
     plan = d.contamination_of_documents(documents(spark, [QUESTION]), bench)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_items_without_template_windows_short_ones_and_other_case(spark):
+    names = "Ask Anna Berta Carl Dora Emil Frida Gustav Hanna Ida who of them went to the old mill by the river"
+    items = [(1, "Compute 12 + 7 - 9 * 4 + 15 - 3."), (2, names), (3, "What is gravity made of"), (4, "Name three moons"), (5, "12 + 7")]
+    holding = ["Compute 12 + 7 - 9 * 4 + 15 - 3.", names.lower(), names.upper(), "He asked: name THREE moons, and left.", "12 + 7"]
+    clean = ["Compute 13 + 8 - 1 * 2 + 16 - 5.", "three moons have a name", "in 12 7 of them", None]
+    bench = spark.createDataFrame(items, ITEMS)
+    got = d.contamination_of_documents(documents(spark, holding + clean), bench).orderBy("doc_id").collect()
+    assert [r["item_id"] for r in got] == [1, 2, 2, 4, 5, None, None, None, None]
+    assert {r["n_classes"] for r in got[:5]} == {1}
