@@ -51,6 +51,11 @@ RULES = (
     Rule("repeated_lines", "dup_line_share", most=0.5),
     Rule("one_line_of_many_words", "words_per_line", most=5000),
 )
+#: The rules of the pipeline's stage: no text goes by length alone, and ``kept`` adds the stop words.
+STAGE_RULES = tuple(rule for rule in RULES if rule.name not in ("stop_words", "one_line_of_many_words"))
+STAGE_STOP_SHARE = 0.05
+#: Languages whose stop words are held; a text without a language is judged by them too.
+STOP_LANGUAGES = ("en", "de", "fr", "es")
 
 
 def _repeat_words(windows: Column) -> Column:
@@ -80,14 +85,17 @@ def _repeat_words(windows: Column) -> Column:
     return let(let(placed, again), covered)
 
 
-def _counts(text: Column) -> Column:
-    """All counts of one text, as a struct.
+def _counts(text: Column, any_case: bool) -> Column:
+    """All counts of one text, as a struct; ``any_case`` finds stop words in capitals as well.
 
     Words, lines and windows are bound with ``let``: each is computed once per row, wherever the
     optimizer moves the expression.
     """
     clean = F.coalesce(text, F.lit(""))
 
+    def stop_word(word: Column) -> Column:
+        return F.lower(word).isin(sorted(set(STOP_WORDS))) if any_case else word.isin(STOP_FORMS)
+
     def window_hashes(words: Column) -> Column:
         return F.when(
             F.size(words) >= 3,
@@ -111,7 +119,7 @@ def _counts(text: Column) -> Column:
             F.size(lines).cast("bigint").alias("n_lines"),
             (F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint").alias("n_dup_lines"),
             repeated.cast("bigint").alias("n_repeat_words"),
-            F.size(F.filter(words, lambda word: word.isin(STOP_FORMS))).cast("bigint").alias("n_stop_words"),
+            F.size(F.filter(words, lambda word: stop_word(word))).cast("bigint").alias("n_stop_words"),
         )
 
     lines = F.filter(F.split(clean, "\n"), lambda line: line.rlike("[^\\x20\\x09-\\x0D]"))
@@ -134,7 +142,7 @@ def _measures(counts: Column) -> dict[str, Column]:
 
 
 def verdict(
-    text: Column, base: Sequence[Rule] = BASE_RULES, rules: Sequence[Rule] = RULES
+    text: Column, base: Sequence[Rule] = BASE_RULES, rules: Sequence[Rule] = RULES, any_case: bool = False
 ) -> Column:
     """The threshold tables compiled into one expression over a text.
 
@@ -167,12 +175,22 @@ def verdict(
             (~any_of((*base, *rules))).alias("kept"),
         )
 
-    return let(_counts(text), judged)
+    return let(_counts(text, any_case), judged)
 
 
 def kept(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that break no rule, with the columns they came with."""
-    return docs.where(verdict(F.col(text))["kept"])
+    """The rows of ``docs`` that break no rule of the stage, with the columns they came with.
+
+    Stop words count in any case, and only texts in a language whose stop words are held (column ``lang``)
+    need them.  The number of words in a line is no reason to go.
+    """
+    held = F.lit(True)
+    if "lang" in docs.columns:
+        code = F.lower(F.substring(F.coalesce(F.col("lang"), F.lit(STOP_LANGUAGES[0])), 1, 3))
+        held = F.regexp_replace(code, "[^a-z].*$", "").isin(*STOP_LANGUAGES)
+    found = verdict(F.col(text), rules=STAGE_RULES, any_case=True)
+    enough = F.when(held, F.lit(STAGE_STOP_SHARE)).otherwise(F.lit(0.0))
+    return docs.where(let(found, lambda v: v["kept"] & (v["stop_word_share"] >= enough)))
 
 
 def quality_of_documents(docs: DataFrame) -> DataFrame:

@@ -46,3 +46,13 @@ def test_rules_are_a_table(spark):
 def test_plan_has_neither_python_nor_shuffle(spark):
     plan = quality.quality_of_documents(documents(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_clean_documents_stay_whatever_their_length_case_or_language(spark):
+    rng = random.Random(4)
+    words = ["the", "of", "and", "to"] + [f"word{i}" for i in range(3000)]
+    prose = " ".join(rng.choice(words[:4] if rng.random() < 0.3 else words) for _ in range(6000))
+    russian = " ".join(rng.choice("абвгде") + rng.choice("жзиклм") + str(i % 97) for i in range(300))
+    docs = documents(spark, [(1, prose), (2, prose[:3000].upper())])
+    other = documents(spark, [(3, russian)], "ru").union(documents(spark, [(4, russian)], "en"))
+    assert sorted(r["doc_id"] for r in quality.kept(docs.union(other)).collect()) == [1, 2, 3]
