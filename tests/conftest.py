@@ -26,8 +26,3 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def rows(df, *order):
-    """The rows of a table as tuples, in the order of the given columns."""
-    return [tuple(r) for r in (df.orderBy(*order) if order else df).collect()]

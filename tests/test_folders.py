@@ -1,7 +1,7 @@
 """Folders of files: listing, order, unreadable files, and everything that is written."""
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from keyweave import session

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from keyweave.operators.rows import SyncColumns, columns_at, resolve_layout
 from keyweave.operators.sync import WRITTEN, sync_multi, sync_reverse, sync_single, written_by_file, written_total

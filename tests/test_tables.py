@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import rows
+from helpers import rows
 
 from keyweave.operators.columns import clear_column, delete_column, insert_column
 from keyweave.operators.coverage import TOTAL_LABEL, untranslated_stats, untranslated_stats_with_totals, untranslated_summary

@@ -6,7 +6,7 @@ import re
 from collections import defaultdict
 
 import pytest
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 from keyweave.operators.candidates import candidates, compound_split, header_map, version_counts
