@@ -34,6 +34,11 @@ def space_words(text: Column) -> Column:
     )
 
 
+def whole_quotient(value: Column, by: Column) -> Column:
+    """``value`` divided by ``by``, both whole, not negative and below 2 to the 53, without the rest."""
+    return ((value - value % by) / by).cast("bigint")
+
+
 def bigint_array(values: list[int]) -> Column:
     """A constant array; the optimizer folds the split text into a literal once."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")

@@ -12,6 +12,7 @@ from keyweave.llm import (
     licenses,
     packing,
     quality,
+    runs,
     sharding,
     simhash,
     token_counts,
@@ -63,6 +64,10 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(spark, table(spark, folder, "conversations"))
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.run_digests(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash": Query(op1_simhash),
     "op2_token_counts": Query(op2_token_counts),
@@ -74,4 +79,5 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": Query(op8_benchmark_decontamination),
     "op9_sharding": Query(op9_sharding),
     "op10_chat_formatting": Query(op10_chat_formatting, chat_sql()),
+    "op13_periodic_runs": Query(op13_periodic_runs),
 }
