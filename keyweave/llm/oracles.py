@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from keyweave.llm import chat, quality
+from keyweave.llm import chat, divergence, quality
 
 
 def _text(value: str) -> str:
@@ -84,3 +84,50 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS
        CAST(n_dup_lines AS BIGINT) AS n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words,
        {broken(base)} AS base_failed, NOT {broken([*base, *rules])} AS kept
 FROM measured"""
+
+
+def divergence_sql(settings: divergence.Settings | None = None) -> str:
+    s = settings or divergence.Settings()
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    difference = "(({p} - {q}) * ({p} - {q})) // ({p} + {q})"
+
+    def share(n: str, total: str) -> str:
+        return f"1 + (CAST({s.scale} AS HUGEINT) * (CAST({n} AS HUGEINT) + 2)) // ({total} + 2 * v)"
+
+    return rf"""
+WITH docs AS (
+  SELECT row_number() OVER () AS nr, translate(coalesce(text, ''), '{upper}', '{lower}') AS text,
+         coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), words AS (
+  SELECT nr, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+  SELECT lang, term FROM words GROUP BY lang, term HAVING count(DISTINCT nr) >= {s.least_documents}
+), counted AS (
+  SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), pool AS (
+  SELECT lang, term, CAST(sum(n) AS HUGEINT) AS n FROM counted GROUP BY lang, term
+), langs AS (
+  SELECT lang, count(*) AS v, CAST(sum(n) AS HUGEINT) AS total FROM pool GROUP BY lang
+), totals AS (
+  SELECT lang, source, CAST(coalesce(sum(n), 0) AS HUGEINT) AS total
+  FROM (SELECT DISTINCT lang, source FROM docs) LEFT JOIN counted USING (lang, source) GROUP BY lang, source
+), p AS (
+  SELECT t.lang, t.source, k.term, coalesce(c.n, 0) AS n, {share("coalesce(c.n, 0)", "t.total")} AS p
+  FROM totals t JOIN kept k USING (lang) JOIN langs USING (lang)
+  LEFT JOIN counted c ON c.lang = t.lang AND c.source = t.source AND c.term = k.term
+), q AS (
+  SELECT pool.lang, term, {share("n", "total")} AS q FROM pool JOIN langs USING (lang)
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum({difference.format(p="a.p", q="b.p")}) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), shares AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM totals a JOIN totals b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL
+  SELECT p.lang, source, 'term', term, {difference.format(p="p", q="q")} FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM shares
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
+FROM ranked WHERE part = 'pair' OR rank <= {s.top_terms}"""

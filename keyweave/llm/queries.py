@@ -8,6 +8,7 @@ from keyweave.catalog.base import Query
 from keyweave.llm import (
     chat,
     decontamination,
+    divergence,
     langid,
     licenses,
     packing,
@@ -19,7 +20,7 @@ from keyweave.llm import (
     toxicity,
 )
 from keyweave.llm.columns import table
-from keyweave.llm.oracles import chat_sql, quality_sql
+from keyweave.llm.oracles import chat_sql, divergence_sql, quality_sql
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +65,10 @@ def op10_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat.digests(spark, table(spark, folder, "conversations"))
 
 
+def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence.source_divergence(table(spark, folder, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.run_digests(table(spark, folder, "documents"))
 
@@ -79,5 +84,6 @@ QUERIES: dict[str, Query] = {
     "op8_benchmark_decontamination": Query(op8_benchmark_decontamination),
     "op9_sharding": Query(op9_sharding),
     "op10_chat_formatting": Query(op10_chat_formatting, chat_sql()),
+    "op11_source_divergence": Query(op11_source_divergence, divergence_sql()),
     "op13_periodic_runs": Query(op13_periodic_runs),
 }
