@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from keyweave.llm import chat, divergence, quality
+from keyweave.llm import chat, divergence, imatch, quality
 
 
 def _text(value: str) -> str:
@@ -131,3 +131,60 @@ WITH docs AS (
 )
 SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank
 FROM ranked WHERE part = 'pair' OR rank <= {s.top_terms}"""
+
+
+def imatch_sql(settings: imatch.Settings | None = None) -> str:
+    s = settings or imatch.Settings()
+
+    def drawn(level: int) -> str:
+        digits = f"substring(md5(term), {4 * level + 1}, 4)"
+        return f"CAST('0x' || {digits} AS INTEGER) % {imatch.SUBSETS << 2 * level}"
+
+    subsets = "\n  UNION ALL ".join(
+        f"SELECT term, lower(printf('%02x', {drawn(level)} + {imatch.SUBSETS * level})) AS subset "
+        f"FROM lexicon WHERE {drawn(level)} < {imatch.SUBSETS}"
+        for level in range(s.levels)
+    )
+    none = " || ".join(
+        f"'{subset}' || substring(md5(text), {imatch.HASH_DIGITS * i + 1}, {imatch.HASH_DIGITS})"
+        for i, subset in enumerate(imatch.NO_TERMS)
+    )
+
+    def entries(fingerprint: str) -> str:
+        n, width = f"length({fingerprint})", imatch.SUBSET_DIGITS + imatch.HASH_DIGITS
+        return f"list_transform(range(0, {n}, {width}), lambda i: substring({fingerprint}, CAST(i AS BIGINT) + 1, {width}))"
+
+    def likeness(a: str, b: str) -> str:
+        a, b = entries(a), entries(b)
+        held = f"list_transform(list_concat({a}, {b}), lambda e: left(e, {imatch.SUBSET_DIGITS}))"
+        return f"len(list_intersect({a}, {b})) / len(list_distinct({held}))"
+
+    return rf"""
+WITH given AS (
+  SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n,
+         row_number() OVER (ORDER BY doc_id NULLS FIRST, text) - 1 AS nr, count(*) OVER () AS rows FROM documents
+), edits AS (
+  SELECT a.nr, a.doc_id, a.n, a.text, b.nr AS next_nr, left(a.text, a.n - a.n // 2) || left(b.text, a.n // 2) AS edited
+  FROM given a JOIN given b ON b.nr = (a.nr + 1) % a.rows
+), texts AS (
+  SELECT nr, 0 AS version, text FROM edits UNION ALL SELECT nr, 1, edited FROM edits
+), terms AS (
+  SELECT DISTINCT nr, version, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{M}}\p{{N}}]+')) AS term FROM texts
+), lexicon AS (
+  SELECT term FROM terms WHERE version = 0 GROUP BY term
+  HAVING ln((SELECT CAST(count(*) AS DOUBLE) FROM given) / count(*)) BETWEEN {s.lowest_idf} AND {s.highest_idf}
+), subsets AS (
+  {subsets}
+), hashes AS (
+  SELECT nr, version, subset, left(md5(string_agg(term, ' ' ORDER BY term)), {imatch.HASH_DIGITS}) AS hash
+  FROM terms JOIN subsets USING (term) GROUP BY nr, version, subset
+), found AS (
+  SELECT nr, version, string_agg(subset || hash, '' ORDER BY subset) AS entries FROM hashes GROUP BY nr, version
+), prints AS (
+  SELECT nr, version, coalesce(entries, {none}) AS fingerprint FROM texts LEFT JOIN found USING (nr, version)
+)
+SELECT CAST(e.doc_id AS BIGINT) AS doc_id, CAST(e.n AS BIGINT) AS n_chars, sha256(e.edited) AS edited_sha256,
+       a.fingerprint AS fingerprint, b.fingerprint AS edited_fingerprint,
+       {likeness("a.fingerprint", "b.fingerprint")} AS near_edited, {likeness("a.fingerprint", "c.fingerprint")} AS near_next
+FROM edits e JOIN prints a ON a.nr = e.nr AND a.version = 0 JOIN prints b ON b.nr = e.nr AND b.version = 1
+JOIN prints c ON c.nr = e.next_nr AND c.version = 0"""

@@ -9,6 +9,7 @@ from keyweave.llm import (
     chat,
     decontamination,
     divergence,
+    imatch,
     langid,
     licenses,
     packing,
@@ -20,7 +21,7 @@ from keyweave.llm import (
     toxicity,
 )
 from keyweave.llm.columns import table
-from keyweave.llm.oracles import chat_sql, divergence_sql, quality_sql
+from keyweave.llm.oracles import chat_sql, divergence_sql, imatch_sql, quality_sql
 
 
 def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +70,10 @@ def op11_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence.source_divergence(table(spark, folder, "documents"))
 
 
+def op12_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return imatch.edited_fingerprints(table(spark, folder, "documents"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.run_digests(table(spark, folder, "documents"))
 
@@ -85,5 +90,6 @@ QUERIES: dict[str, Query] = {
     "op9_sharding": Query(op9_sharding),
     "op10_chat_formatting": Query(op10_chat_formatting, chat_sql()),
     "op11_source_divergence": Query(op11_source_divergence, divergence_sql()),
+    "op12_document_fingerprints": Query(op12_document_fingerprints, imatch_sql()),
     "op13_periodic_runs": Query(op13_periodic_runs),
 }
