@@ -18,6 +18,7 @@ All arithmetic is exact, in whole numbers.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,8 @@ _UPPER, _LOWER = bytes(range(0x41, 0x5B)), bytes(range(0x61, 0x7B))
 LETTERS = bytes(
     b if b >= 0x80 or b in _LOWER else b + 32 if b in _UPPER else 0x20 for b in range(256)
 )
+#: Bytes from which words are long.
+LONG = 12
 #: Seed and bits per row of the table of bits, as Spark's xxhash64 and bitmap_construct_agg have them.
 _SEED, _ROW_BITS = 42, 15
 _COUNTS = "lang string, source string, item binary, complete boolean, docs bigint, n bigint"
@@ -57,7 +60,7 @@ class Settings:
     #: The table of kept prefixes has 2 to this power bits.
     table_bits: int = 26
     #: Counts that a task holds before it hands them on.
-    most_held: int = 400_000
+    most_held: int = 700_000
     #: Cells of the matrix of a block.
     block_cells: int = 1 << 19
     top_terms: int = 10
@@ -72,64 +75,72 @@ def _counted(docs: DataFrame, size: int, kept: object, settings: Settings) -> Da
     before = size // 2 if kept else 0
     mask = (1 << settings.table_bits) - 1
     most = settings.most_held
+    # Long words are rare: looked for, they are found faster than by parting all words.
+    long_words = re.compile(rb"(?<![a-z\x80-\xff])[a-z\x80-\xff]{%d,}" % before) if before >= LONG else None
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = kept.value if kept else b""
-        # Per language: term -> True if complete here, its prefix, or None if done or discarded.
-        items: dict[str, dict[bytes, object]] = {}
-        held: dict[tuple[str, str], tuple[dict, dict]] = {}
-
-        def item(seed: int, term: bytes) -> object:
-            if before:
-                if len(term) < before:
-                    return None
-                at = xxhash.xxh64_intdigest(term[:before], seed) & mask
-                if not bits[at >> 3] >> (at & 7) & 1:
-                    return None
-            return True if len(term) < size else term[:size]
+        # Per language: the terms whose prefix was kept or is not known to have been, and the others.
+        seen: dict[str, tuple[set, set]] = {}
+        # Per language and source, or language and None for prefixes: documents in the lower 32 bits, occurrences above.
+        held: dict[tuple[str, str | None], dict[bytes, int]] = {}
+
+        def goes_on(seed: int, term: bytes) -> bool:
+            at = xxhash.xxh64_intdigest(term[:before], seed) & mask
+            return len(term) >= before and bits[at >> 3] >> (at & 7) & 1
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (docs_of, n_of) in held.items():
-                keys = list(docs_of)
-                for first in range(0, len(keys), 50_000):
-                    some = keys[first : first + 50_000]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([lang] * len(some), pa.string()),
-                            pa.array([source] * len(some), pa.string()),
-                            pa.array(some, pa.binary()),
-                            pa.array([source is not None] * len(some)),
-                            pa.array([docs_of[k] for k in some], pa.int64()),
-                            pa.array([n_of.get(k, 0) for k in some], pa.int64()),
-                        ],
-                        names=["lang", "source", "item", "complete", "docs", "n"],
-                    )
+            for (lang, source), counts in held.items():
+                keys, packed = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
+                n = len(keys)
+                columns = [
+                    pa.repeat(pa.scalar(lang, pa.string()), n),
+                    pa.repeat(pa.scalar(source, pa.string()), n),
+                    pa.array(keys, pa.binary()),
+                    pa.repeat(pa.scalar(source is not None), n),
+                    pa.array(packed & 0xFFFFFFFF),
+                    pa.array(packed >> 32),
+                ]
+                whole = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "item", "complete", "docs", "n"])
+                yield from (whole.slice(first, 50_000) for first in range(0, n, 50_000))
             held.clear()
 
+        n_held = 0
         for batch in batches:
             langs, sources = batch.column(1).to_pylist(), batch.column(2).to_pylist()
             for text, lang, source in zip(batch.column(0), langs, sources, strict=True):
-                known = items.setdefault(lang, {})
-                seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
-                docs_of, n_of = held.setdefault((lang, source), ({}, {}))
+                letters = text.as_py().translate(LETTERS)
+                counts = Counter(long_words.findall(letters) if long_words else letters.split())
+                if kept:
+                    known, dropped = seen.setdefault(lang, (set(), set()))
+                    terms = counts.keys() - dropped
+                    seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
+                    for term in terms - known:
+                        if goes_on(seed, term):
+                            known.add(term)
+                        else:
+                            dropped.add(term)
+                            terms.remove(term)
+                    if len(known) + len(dropped) > most:
+                        seen.clear()
+                else:
+                    terms = counts
+                of_source = held.setdefault((lang, source), {})
                 prefixes = set()
-                for term, n in Counter(text.as_py().translate(LETTERS).split()).items():
-                    try:
-                        found = known[term]
-                    except KeyError:
-                        found = known[term] = item(seed, term)
-                    if found is True:
-                        docs_of[term] = docs_of.get(term, 0) + 1
-                        n_of[term] = n_of.get(term, 0) + n
-                    elif found is not None:
-                        prefixes.add(found)
-                docs_of, _ = held.setdefault((lang, None), ({}, {}))
+                n_held -= len(of_source)
+                for term in terms:
+                    if len(term) < size:
+                        of_source[term] = of_source.get(term, 0) + (counts[term] << 32) + 1
+                    else:
+                        prefixes.add(term[:size])
+                of_lang = held.setdefault((lang, None), {})
+                n_held += len(of_source) - len(of_lang)
                 for prefix in prefixes:
-                    docs_of[prefix] = docs_of.get(prefix, 0) + 1
-                if sum(map(len, items.values())) > most:
-                    items.clear()
-                if sum(len(docs_of) for docs_of, _ in held.values()) > most:
+                    of_lang[prefix] = of_lang.get(prefix, 0) + 1
+                n_held += len(of_lang)
+                if n_held > most:
                     yield from handed_on()
+                    n_held = 0
         yield from handed_on()
 
     return docs.select("text", "lang", "source").mapInArrow(of_batches, _COUNTS)
