@@ -169,7 +169,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
         F.col("n").alias("before_n"),
         ((F.col("rank") + 1) % max(1, n_rows)).alias("rank"),
     )
-    return ranked.join(before, "rank").select("id", "hash", "copies", "before_id", "before_hash", "before_n")
+    return ranked.join(before, "rank").select("present", "id", "hash", "copies", "before_id", "before_hash", "before_n")
 
 
 def edited_fingerprints(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
@@ -194,8 +194,8 @@ def edited_fingerprints(docs: DataFrame, settings: Settings | None = None) -> Da
     )
     order = materialize(_in_order(rows), "in-order")
     key = ["id", "hash"]
-    whole = rows.groupBy(*key).agg(F.first("text").alias("text"), F.first("present").alias("present"))
-    placed = whole.join(order, key)
+    # Both sides of the join below read all columns of this, so the texts are shuffled once.
+    placed = rows.groupBy(*key).agg(F.first("text").alias("text")).join(order, key)
     heads = placed.select(
         F.col("before_id").alias("id"),
         F.col("before_hash").alias("hash"),
