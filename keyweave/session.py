@@ -41,13 +41,22 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = intermediate_path(spark, label)
     df.write.mode("errorifexists").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._intermediate_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete intermediate tables as ``materialize`` gave them, once all that read them is written itself."""
+    for table in tables:
+        _delete(table.sparkSession, table._intermediate_path)
 
 
 def drop_intermediates(spark: SparkSession) -> bool:
     """Delete the intermediate tables of this application, when none is needed any more."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(
-        f"{checkpoint_root(spark)}/keyweave-{spark.sparkContext.applicationId}"
-    )
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return _delete(spark, f"{checkpoint_root(spark)}/keyweave-{spark.sparkContext.applicationId}")
