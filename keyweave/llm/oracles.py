@@ -40,21 +40,26 @@ def quality_sql(
     base: Sequence[quality.Rule] = quality.BASE_RULES, rules: Sequence[quality.Rule] = quality.RULES
 ) -> str:
     space = r"[^\x20\x09-\x0D]"
-    stop = ", ".join(map(_text, quality.STOP_FORMS))
+    stop = ", ".join(map(_text, sorted(set(quality.STOP_WORDS))))
+    code = "regexp_replace(lower(substring(lang, 1, 3)), '[^a-z].*$', '')"
 
     def ratio(part: str, whole: str) -> str:
         return f"CASE WHEN {whole} > 0 THEN {part} / CAST({whole} AS DOUBLE) ELSE 0 END"
 
+    def judged(rule: quality.Rule) -> str:
+        tests = [f"{rule.measure} < {rule.least}"] if rule.least is not None else []
+        tests += [f"{rule.measure} > {rule.most}"] if rule.most is not None else []
+        languages = ", ".join(map(_text, rule.languages))
+        return f"(({' OR '.join(tests)}) AND {f'coalesce({code} IN ({languages}), TRUE)' if languages else 'TRUE'})"
+
     def broken(table: Sequence[quality.Rule]) -> str:
-        tests = [f"{r.measure} < {r.least}" for r in table if r.least is not None]
-        tests += [f"{r.measure} > {r.most}" for r in table if r.most is not None]
-        return "(" + " OR ".join(tests) + ")"
+        return "(" + " OR ".join(map(judged, table)) + ")"
 
     return f"""
 WITH docs AS (
-  SELECT row_number() OVER () AS nr, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text FROM documents
+  SELECT row_number() OVER () AS nr, CAST(doc_id AS BIGINT) AS doc_id, coalesce(text, '') AS text, lang FROM documents
 ), cut AS (
-  SELECT nr, doc_id, text, regexp_extract_all(text, '{space}+') AS words,
+  SELECT nr, doc_id, text, lang, regexp_extract_all(text, '{space}+') AS words,
          list_filter(string_split(text, chr(10)), lambda line: regexp_matches(line, '{space}')) AS lines
   FROM docs
 ), windows AS (
@@ -66,18 +71,17 @@ WITH docs AS (
   SELECT nr, count(DISTINCT word) AS n_repeat_words
   FROM (SELECT nr, unnest([i, i + 1, i + 2]) AS word FROM again) GROUP BY nr
 ), counted AS (
-  SELECT doc_id, len(words) AS n_words,
+  SELECT doc_id, lang, len(words) AS n_words,
          CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
          len(regexp_extract_all(text, '{quality.SYMBOLS}')) AS n_symbols, len(lines) AS n_lines,
          len(lines) - len(list_distinct(lines)) AS n_dup_lines,
          coalesce(n_repeat_words, 0) AS n_repeat_words,
-         len(list_filter(words, lambda w: list_contains([{stop}], w))) AS n_stop_words
+         len(list_filter(words, lambda w: list_contains([{stop}], lower(w)))) AS n_stop_words
   FROM cut LEFT JOIN covered USING (nr)
 ), measured AS (
   SELECT *, 100 * ({ratio("n_repeat_words", "n_words")}) AS repeat_percent,
          {ratio("word_chars", "n_words")} AS mean_word_chars, {ratio("n_symbols", "n_words")} AS symbols_per_word,
-         {ratio("n_stop_words", "n_words")} AS stop_word_share, {ratio("n_dup_lines", "n_lines")} AS dup_line_share,
-         {ratio("n_words", "n_lines")} AS words_per_line
+         {ratio("n_stop_words", "n_words")} AS stop_word_share, {ratio("n_dup_lines", "n_lines")} AS dup_line_share
   FROM counted
 )
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, CAST(n_symbols AS BIGINT) AS n_symbols,

@@ -23,19 +23,24 @@ STOP_WORDS = (
     "le la les de des du et en un une que qui est dans pour par sur au ne pas plus avec "
     "el los las y del se por con una su para no lo más como"
 ).split()
-STOP_FORMS = sorted({form for word in STOP_WORDS for form in (word, word.capitalize())})
+#: Languages whose stop words are held; a text without a language is judged by them too.
+STOP_LANGUAGES = ("en", "de", "fr", "es")
 
 SYMBOLS = "[#*$%&|<>]"
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A document passes while ``least <= measure <= most``; an open end is None."""
+    """A document passes while ``least <= measure <= most``; an open end is None.
+
+    A rule with ``languages`` only judges texts in one of them, and texts without a language.
+    """
 
     name: str
     measure: str
     least: float | None = None
     most: float | None = None
+    languages: tuple[str, ...] = ()
 
 
 #: The contract's own two rules.
@@ -43,19 +48,13 @@ BASE_RULES = (
     Rule("too_few_words", "n_words", least=50),
     Rule("repeated_words", "repeat_percent", most=50),
 )
-#: The method's rules.  They are wide: prose in any of the four languages lies well inside.
+#: The method's rules.  They are wide: prose lies well inside, whatever its length, its case and its language.
 RULES = (
     Rule("word_length", "mean_word_chars", least=2, most=20),
     Rule("symbols", "symbols_per_word", most=0.5),
-    Rule("stop_words", "stop_word_share", least=0.05),
+    Rule("stop_words", "stop_word_share", least=0.05, languages=STOP_LANGUAGES),
     Rule("repeated_lines", "dup_line_share", most=0.5),
-    Rule("one_line_of_many_words", "words_per_line", most=5000),
 )
-#: The rules of the pipeline's stage: no text goes by length alone, and ``kept`` adds the stop words.
-STAGE_RULES = tuple(rule for rule in RULES if rule.name not in ("stop_words", "one_line_of_many_words"))
-STAGE_STOP_SHARE = 0.05
-#: Languages whose stop words are held; a text without a language is judged by them too.
-STOP_LANGUAGES = ("en", "de", "fr", "es")
 
 
 def _repeat_words(windows: Column) -> Column:
@@ -85,8 +84,8 @@ def _repeat_words(windows: Column) -> Column:
     return let(let(placed, again), covered)
 
 
-def _counts(text: Column, any_case: bool) -> Column:
-    """All counts of one text, as a struct; ``any_case`` finds stop words in capitals as well.
+def _counts(text: Column) -> Column:
+    """All counts of one text, as a struct; stop words count in any case.
 
     Words, lines and windows are bound with ``let``: each is computed once per row, wherever the
     optimizer moves the expression.
@@ -94,7 +93,7 @@ def _counts(text: Column, any_case: bool) -> Column:
     clean = F.coalesce(text, F.lit(""))
 
     def stop_word(word: Column) -> Column:
-        return F.lower(word).isin(sorted(set(STOP_WORDS))) if any_case else word.isin(STOP_FORMS)
+        return F.lower(word).isin(sorted(set(STOP_WORDS)))
 
     def window_hashes(words: Column) -> Column:
         return F.when(
@@ -137,14 +136,21 @@ def _measures(counts: Column) -> dict[str, Column]:
         "symbols_per_word": ratio("n_symbols", "n_words"),
         "stop_word_share": ratio("n_stop_words", "n_words"),
         "dup_line_share": ratio("n_dup_lines", "n_lines"),
-        "words_per_line": ratio("n_words", "n_lines"),
     }
 
 
+def language_code(lang: Column) -> Column:
+    """The first letters of a language value: ``en`` of ``EN`` and ``en-GB``; NULL for NULL."""
+    return F.regexp_replace(F.lower(F.substring(lang.cast("string"), 1, 3)), "[^a-z].*$", "")
+
+
 def verdict(
-    text: Column, base: Sequence[Rule] = BASE_RULES, rules: Sequence[Rule] = RULES, any_case: bool = False
+    text: Column,
+    base: Sequence[Rule] = BASE_RULES,
+    rules: Sequence[Rule] = RULES,
+    lang: Column | None = None,
 ) -> Column:
-    """The threshold tables compiled into one expression over a text.
+    """The threshold tables compiled into one expression over a text and its language.
 
     It is a struct of all measures, ``base_failed``, ``broken`` (the names of the broken rules, in the
     order of the tables) and ``kept`` (none is broken).  NULL, empty and blank texts have no
@@ -162,6 +168,8 @@ def verdict(
                 found = found | (value < rule.least)
             if rule.most is not None:
                 found = found | (value > rule.most)
+            if rule.languages and lang is not None:
+                found = found & F.coalesce(language_code(lang).isin(*rule.languages), F.lit(True))
             return found
 
         def any_of(table: Sequence[Rule]) -> Column:
@@ -175,22 +183,20 @@ def verdict(
             (~any_of((*base, *rules))).alias("kept"),
         )
 
-    return let(_counts(text, any_case), judged)
+    return let(_counts(text), judged)
+
+
+def _language(docs: DataFrame) -> Column | None:
+    return F.col("lang") if "lang" in docs.columns else None
 
 
 def kept(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that break no rule of the stage, with the columns they came with.
+    """The rows of ``docs`` that break no rule, with the columns they came with.
 
-    Stop words count in any case, and only texts in a language whose stop words are held (column ``lang``)
-    need them.  The number of words in a line is no reason to go.
+    NULL, empty and blank texts have no words and go.  Repeated rows get one verdict and stay or go together; an empty
+    table stays empty.  A table without ``lang`` is judged as texts without a language.
     """
-    held = F.lit(True)
-    if "lang" in docs.columns:
-        code = F.lower(F.substring(F.coalesce(F.col("lang"), F.lit(STOP_LANGUAGES[0])), 1, 3))
-        held = F.regexp_replace(code, "[^a-z].*$", "").isin(*STOP_LANGUAGES)
-    found = verdict(F.col(text), rules=STAGE_RULES, any_case=True)
-    enough = F.when(held, F.lit(STAGE_STOP_SHARE)).otherwise(F.lit(0.0))
-    return docs.where(let(found, lambda v: v["kept"] & (v["stop_word_share"] >= enough)))
+    return docs.where(verdict(F.col(text), lang=_language(docs))["kept"])
 
 
 def quality_of_documents(docs: DataFrame) -> DataFrame:
@@ -200,5 +206,6 @@ def quality_of_documents(docs: DataFrame) -> DataFrame:
     an empty one.
     """
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
-    done = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), verdict(F.col("text")).alias("verdict"))
+    found = verdict(F.col("text"), lang=_language(docs)).alias("verdict")
+    done = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), found)
     return done.select("doc_id", *(f"verdict.{name}" for name in names))

@@ -55,4 +55,11 @@ def test_clean_documents_stay_whatever_their_length_case_or_language(spark):
     russian = " ".join(rng.choice("абвгде") + rng.choice("жзиклм") + str(i % 97) for i in range(300))
     docs = documents(spark, [(1, prose), (2, prose[:3000].upper())])
     other = documents(spark, [(3, russian)], "ru").union(documents(spark, [(4, russian)], "en"))
-    assert sorted(r["doc_id"] for r in quality.kept(docs.union(other)).collect()) == [1, 2, 3]
+    every = docs.union(other)
+    assert sorted(r["doc_id"] for r in quality.kept(every).collect()) == [1, 2, 3]
+    judged = quality.quality_of_documents(every).where("kept").collect()
+    assert sorted(r["doc_id"] for r in judged) == [1, 2, 3]
+    for lang, stays in (("EN-gb", False), (None, False), ("nl", True), ("fro", True)):
+        assert (quality.kept(documents(spark, [russian], lang)).count() == 1) == stays
+    without = documents(spark, [(1, prose), (4, russian)]).drop("lang")
+    assert [r["doc_id"] for r in quality.kept(without).collect()] == [1]
