@@ -4,8 +4,10 @@ A text becomes a template: numbers, names and units are replaced by typed placeh
 other words are lower-cased.  Benchmark items with one template and one pattern of equal slots
 are one class.  Documents and classes meet in a hash join of five-word template windows.
 
-* A document that holds half of a class's windows holds one of the rarest half and one more;
-  so only these are joined with all documents, and no match is lost.
+* A document that holds half of a class's windows holds one of any half of them and one more;
+  so only such windows of each class are joined with all documents, and no match is lost.
+* These are the windows whose first word (the first that is no placeholder) the fewest classes have.  A document only
+  gets windows where such a word stands; a text without any has neither template nor windows.
 * For the pairs found, all windows are compared by place.  Within one alignment every slot of the
   class must have one value in the document: a question with other numbers and names
   counts as the same question, a text that merely has the same shape does not.
@@ -50,6 +52,8 @@ class Settings:
     least_share: float = 0.5
     #: Tables up to so many rows (of two numbers) are broadcast, larger ones shuffled.
     most_broadcast: int = 1_000_000
+    #: Up to so many first words of windows are looked for in the texts; with more of them all windows are joined.
+    most_first_words: int = 20_000
 
 
 def _pieces(text: Column) -> Column:
@@ -88,20 +92,18 @@ def windows(words: Column, size: int) -> Column:
 
 
 def plain_windows(text: Column, sizes: list[int], least: int) -> Column:
-    """A hash and a place for each window of lower-cased words; the whole text if it has fewer than ``least``."""
+    """at, hash and first word for each window of lower-cased words; the whole text if it has fewer than ``least``."""
 
     def of_size(held: Column, size: int) -> Column:
+        starts = F.when(F.size(held) >= size, F.sequence(F.lit(0), F.size(held) - size))
         return F.transform(
-            F.when(F.size(held) >= size, F.sequence(F.lit(0), F.size(held) - size)).otherwise(
-                F.array().cast("array<int>")
-            ),
-            lambda i: F.struct(
-                i.alias("at"), F.xxhash64(F.lit(PLAIN), *(F.get(held, i + j) for j in range(size))).alias("hash")
-            ),
+            F.coalesce(starts, F.array().cast("array<int>")),
+            lambda i: F.struct(i.alias("at"), _plain_hash(held, i, size).alias("hash"), F.get(held, i).alias("first")),
         )
 
     def hashed(held: Column) -> Column:
-        whole = F.struct(F.lit(0).alias("at"), F.xxhash64(F.lit(PLAIN), F.array_join(held, " ")).alias("hash"))
+        none = F.lit(None).cast("string").alias("first")
+        whole = F.struct(F.lit(0).alias("at"), _plain_whole(held).alias("hash"), none)
         return F.when((F.size(held) > 0) & (F.size(held) < least), F.array(whole)).otherwise(
             F.concat(*(of_size(held, size) for size in sizes))
         )
@@ -109,15 +111,81 @@ def plain_windows(text: Column, sizes: list[int], least: int) -> Column:
     return let(originals(F.lower(text)), hashed)
 
 
+def _plain_hash(words: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(F.lit(PLAIN), *(F.get(words, at + j) for j in range(size)))
+
+
+def _plain_whole(words: Column) -> Column:
+    return F.xxhash64(F.lit(PLAIN), F.array_join(words, " "))
+
+
+def _typed_hash(words: Column, at: Column, size: int) -> Column:
+    return F.xxhash64(*(F.get(words, at + j) for j in range(size)))
+
+
+FirstWords = dict[int, list[str]]
+
+
+def windows_of(text: Column, sizes: list[int], settings: Settings, first_words: FirstWords | None = None) -> Column:
+    """at, hash and words (as they stand in the text) of the windows of a document, of both kinds.
+
+    ``first_words`` has the words that windows begin with, by the number of placeholders before them; without it
+    all windows are given.  ``sizes`` are those of the windows of words as they are.
+    """
+    size, least = settings.window, settings.least_words
+
+    def struct(at: Column, hashed: Column, values: Column, n: int) -> Column:
+        return F.struct(at.alias("at"), hashed.alias("hash"), F.slice(values, at + 1, F.lit(n)).alias("values"))
+
+    def begins(held: Column, at: Column) -> Column:
+        found = F.lit(False)
+        for before, words in first_words.items():
+            found = found | F.coalesce(F.get(held, at + before).isin(words), F.lit(False))
+        return found
+
+    def typed(places: Column, values: Column) -> Column:
+        def hashed(held: Column) -> Column:
+            whole = F.array(struct(F.lit(0), F.xxhash64(F.array_join(held, " ")), values, size))
+            some = F.filter(places, lambda i: i <= F.size(held) - size)
+            each = F.transform(some, lambda i: struct(i, _typed_hash(held, i, size), values, size))
+            return F.when(F.size(held) < size, whole).otherwise(each)
+
+        return let(template(text), hashed)
+
+    def plain(places: Column, held: Column, values: Column) -> Column:
+        whole = F.array(struct(F.lit(0), _plain_whole(held), values, size))
+
+        def of_size(n: int) -> Column:
+            some = F.filter(places, lambda i: i <= F.size(held) - n)
+            return F.transform(some, lambda i: struct(i, _plain_hash(held, i, n), values, size))
+
+        return F.when(F.size(held) < least, whole).otherwise(F.concat(*map(of_size, sizes)))
+
+    def of_places(held: Column, places: Column) -> Column:
+        return let(originals(text), lambda values: F.concat(typed(places, values), plain(places, held, values)))
+
+    def of_words(held: Column) -> Column:
+        every = F.sequence(F.lit(0), F.size(held) - 1)
+        if first_words is None:
+            return F.when(F.size(held) > 0, of_places(held, every))
+        some = F.filter(every, lambda i: (F.size(held) < size) | begins(held, i))
+        return F.when(
+            F.size(held) > 0, let(some, lambda places: F.when(F.size(places) > 0, of_places(held, places)))
+        )
+
+    return let(originals(F.lower(text)), of_words)
+
+
 def _is_slot(word: Column) -> Column:
     return word.isin(*SLOTS)
 
 
 def classes(benchmark: DataFrame, settings: Settings) -> DataFrame:
-    """One row per window of each class: group, class, item_id, place, hash, slots, n_windows, rank.
+    """One row per window of each class: group, class, item_id, place, hash, slots, before, first, n_windows, rank.
 
     ``item_id`` is the smallest of the group, the items of one template; ``slots`` has for each word of the
-    window the number of its slot, or NULL; ``rank`` counts from the window that the fewest classes have.
+    window the number of its slot, or NULL; ``first`` is its first word that is no placeholder, ``before`` the number of those;
+    ``rank`` counts from the window whose first word the fewest classes have.
     The template is one class of the group, and the words of each of its items are one more.
     """
     items = benchmark.select(
@@ -153,8 +221,19 @@ def classes(benchmark: DataFrame, settings: Settings) -> DataFrame:
             "group", F.xxhash64(F.lit(PLAIN), "group", "text").alias("class"), F.explode(of_own_size).alias("w")
         )
         .join(first, "group")
-        .select("group", "class", "item_id", F.col("w.at").alias("place"), F.col("w.hash").alias("hash"), plain)
+        .select(
+            "group",
+            "class",
+            "item_id",
+            F.col("w.at").alias("place"),
+            F.col("w.hash").alias("hash"),
+            plain,
+            F.lit(0).alias("before"),
+            F.col("w.first").alias("first"),
+        )
     )
+    own_words = F.slice("words", F.col("place") + 1, settings.window)
+    before = F.array_position(F.transform(own_words, lambda w: ~_is_slot(w)), True).cast("int") - 1
     placed = distinct.select(
         group,
         F.xxhash64("words", "slots").alias("class"),
@@ -169,22 +248,37 @@ def classes(benchmark: DataFrame, settings: Settings) -> DataFrame:
         "place",
         "hash",
         F.slice("slots", F.col("place") + 1, settings.window).alias("slots"),
-        F.size(F.filter(F.slice("words", F.col("place") + 1, settings.window), lambda w: ~_is_slot(w))).alias("plain"),
+        before.alias("before"),
+        F.get(own_words, before).alias("first"),
+        F.size(F.filter(own_words, lambda w: ~_is_slot(w))).alias("plain"),
         F.size("words").alias("n_words"),
     )
     least = F.least(F.lit(settings.least_words), F.col("n_words"))
     counted = materialize(placed.where(F.col("plain") >= least).drop("plain", "n_words").union(spelled), "windows")
     sharing = counted.groupBy("hash").agg(F.count_distinct("class").alias("sharing"))
+    often = counted.groupBy("first").agg(F.count_distinct("class").alias("often"))
     # Both windows run within one class: the places of one benchmark item.
     own = Window.partitionBy("class")
     return materialize(
         counted.join(sharing, "hash")
+        .join(often, "first", "left")
         .withColumn("n_windows", F.count("*").over(own))
-        .withColumn("rank", F.row_number().over(own.orderBy("sharing", "place"))),
+        .withColumn("rank", F.row_number().over(own.orderBy("often", "sharing", "place"))),
         "classes",
     )
 
 
+def _first_words(rare: DataFrame, settings: Settings) -> FirstWords | None:
+    """The words that the windows begin with, by the number of placeholders before; None if there are too many."""
+    words = rare.where("first is not null").select("before", "first").distinct()
+    if words.count() > settings.most_first_words:
+        return None
+    found: FirstWords = {0: []}
+    for row in words.collect():
+        found.setdefault(row["before"], []).append(row["first"])
+    return found
+
+
 def _small(table: DataFrame, settings: Settings) -> DataFrame:
     return F.broadcast(table) if table.count() <= settings.most_broadcast else table
 
@@ -198,34 +292,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = N
     known = classes(benchmark, settings)
     enough = F.ceil(F.col("n_windows") * settings.least_share)
     rare = materialize(
-        known.where(F.col("rank") <= F.col("n_windows") - enough + 1).select("hash", "class").distinct(), "rare"
+        known.where(F.col("rank") <= F.col("n_windows") - enough + 1).select("hash", "class", "before", "first").distinct(),
+        "rare",
     )
     lengths = benchmark.select(F.size(originals(F.lower("text"))).alias("n")).distinct()
     short = lengths.where((F.col("n") >= settings.least_words) & (F.col("n") < settings.window)).collect()
     sizes = [settings.window, *sorted(r["n"] for r in short)]
 
-    def all_windows(text: Column) -> Column:
-        typed = F.transform(
-            windows(template(text), settings.window), lambda h, i: F.struct(i.alias("at"), h.alias("hash"))
-        )
-        return F.concat(typed, plain_windows(text, sizes, settings.least_words))
-
-    found = docs.select("key", F.explode(all_windows(F.col("text"))).alias("w"))
+    first_words = _first_words(rare, settings)
+    found = docs.select("key", F.explode(windows_of(F.col("text"), sizes, settings, first_words)).alias("w"))
     hashes = found.select("key", F.col("w.hash").alias("hash"))
-    pairs = materialize(hashes.join(_small(rare, settings), "hash").select("key", "class").distinct(), "pairs")
+    wanted = rare.select("hash", "class").distinct()
+    pairs = materialize(hashes.join(_small(wanted, settings), "hash").select("key", "class").distinct(), "pairs")
 
     keys = materialize(pairs.select("key").distinct(), "keys")
     some = docs.join(_small(keys, settings), "key", "left_semi").dropDuplicates(["key"])
-    placed = some.select(
-        "key",
-        originals(F.col("text")).alias("values"),
-        F.explode(all_windows(F.col("text"))).alias("w"),
-    ).select(
-        "key",
-        F.col("w.at").alias("at"),
-        F.col("w.hash").alias("hash"),
-        F.slice("values", F.col("w.at") + 1, settings.window).alias("values"),
-    )
+    placed = some.select("key", F.explode(windows_of(F.col("text"), sizes, settings)).alias("w")).select("key", "w.*")
     met = materialize(
         placed.join(pairs, "key")
         .join(known, ["class", "hash"])

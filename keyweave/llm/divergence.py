@@ -19,9 +19,10 @@ All arithmetic is exact, in whole numbers.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -80,26 +81,27 @@ def _counted(docs: DataFrame, size: int, kept: object, settings: Settings) -> Da
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = kept.value if kept else b""
-        # Per language: the terms whose prefix was kept or is not known to have been, and the others.
+        # Per language: the terms whose prefix was kept, and those that are done or discarded.
         seen: dict[str, tuple[set, set]] = {}
-        # Per language and source, or language and None for prefixes: documents in the lower 32 bits, occurrences above.
-        held: dict[tuple[str, str | None], dict[bytes, int]] = {}
+        # Per language and source, or language and None for prefixes: documents, and occurrences beyond one in each of them.
+        held: dict[tuple[str, str | None], tuple[Counter, Counter]] = defaultdict(lambda: (Counter(), Counter()))
 
         def goes_on(seed: int, term: bytes) -> bool:
             at = xxhash.xxh64_intdigest(term[:before], seed) & mask
             return len(term) >= before and bits[at >> 3] >> (at & 7) & 1
 
         def handed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in held.items():
-                keys, packed = list(counts), np.fromiter(counts.values(), np.int64, len(counts))
-                n = len(keys)
+            for (lang, source), (docs_of, more_of) in held.items():
+                n, keys = len(docs_of), list(docs_of)
+                in_docs = np.fromiter(docs_of.values(), np.int64, n)
+                more = np.fromiter(map(more_of.get, keys, repeat(0)), np.int64, n)
                 columns = [
                     pa.repeat(pa.scalar(lang, pa.string()), n),
                     pa.repeat(pa.scalar(source, pa.string()), n),
                     pa.array(keys, pa.binary()),
                     pa.repeat(pa.scalar(source is not None), n),
-                    pa.array(packed & 0xFFFFFFFF),
-                    pa.array(packed >> 32),
+                    pa.array(in_docs),
+                    pa.array(in_docs + more),
                 ]
                 whole = pa.RecordBatch.from_arrays(columns, names=["lang", "source", "item", "complete", "docs", "n"])
                 yield from (whole.slice(first, 50_000) for first in range(0, n, 50_000))
@@ -111,33 +113,30 @@ def _counted(docs: DataFrame, size: int, kept: object, settings: Settings) -> Da
             for text, lang, source in zip(batch.column(0), langs, sources, strict=True):
                 letters = text.as_py().translate(LETTERS)
                 counts = Counter(long_words.findall(letters) if long_words else letters.split())
+                terms = counts.keys()
                 if kept:
                     known, dropped = seen.setdefault(lang, (set(), set()))
-                    terms = counts.keys() - dropped
-                    seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
-                    for term in terms - known:
-                        if goes_on(seed, term):
-                            known.add(term)
-                        else:
-                            dropped.add(term)
-                            terms.remove(term)
+                    terms = terms - dropped
+                    new = terms - known
+                    if new:
+                        seed = xxhash.xxh64_intdigest(lang.encode(), _SEED)
+                        known.update(term for term in new if goes_on(seed, term))
+                        new -= known
+                        dropped |= new
+                        terms -= new
                     if len(known) + len(dropped) > most:
                         seen.clear()
-                else:
-                    terms = counts
-                of_source = held.setdefault((lang, source), {})
-                prefixes = set()
-                n_held -= len(of_source)
-                for term in terms:
-                    if len(term) < size:
-                        of_source[term] = of_source.get(term, 0) + (counts[term] << 32) + 1
-                    else:
-                        prefixes.add(term[:size])
-                of_lang = held.setdefault((lang, None), {})
-                n_held += len(of_source) - len(of_lang)
-                for prefix in prefixes:
-                    of_lang[prefix] = of_lang.get(prefix, 0) + 1
-                n_held += len(of_lang)
+                complete = [term for term in terms if len(term) < size]
+                prefixes = {term[:size] for term in terms if len(term) >= size}
+                docs_of, more_of = held[lang, source]
+                of_lang, _ = held[lang, None]
+                before_it = len(docs_of) + len(of_lang)
+                docs_of.update(complete)
+                of_lang.update(prefixes)
+                for term in complete:
+                    if counts[term] > 1:
+                        more_of[term] += counts[term] - 1
+                n_held += len(docs_of) + len(of_lang) - before_it
                 if n_held > most:
                     yield from handed_on()
                     n_held = 0

@@ -32,42 +32,60 @@ def plain_windows(words, size):
 
 
 def plain_matches(docs, items, size=5, least_words=3, share=0.5):
-    """{position of a document: {smallest item of a class: share}} by comparing all with all."""
-    of_class = {}
+    """{position of a document: {smallest item of a group: share}} by comparing all with all.
+
+    A group is a template with its equal slots; its share of template windows counts if it is large enough, else
+    the greatest share of windows of the words of one of its items.
+    """
+    groups = defaultdict(set)
     for item_id, text in items:
         words, values = plain_template(text)
         slots = tuple(values.index(v) if w in d.SLOTS else None for w, v in zip(words, values, strict=True))
-        key = (tuple(words), slots)
-        of_class[key] = min(of_class.get(key, item_id), item_id)
+        groups[tuple(words), slots].add((item_id, text or ""))
     found = defaultdict(dict)
-    for (words, slots), item_id in of_class.items():
-        least = min(least_words, len(words))
-        places = [
-            (i, w)
-            for i, w in enumerate(plain_windows(list(words), size))
-            if sum(x not in d.SLOTS for x in w) >= least
-        ]
+    for (words, slots), members in groups.items():
+        item_id = min(member for member, _ in members)
         for at_doc, text in enumerate(docs):
-            dw, dv = plain_template(text)
-            shifts = defaultdict(list)
-            for at, w in enumerate(plain_windows(dw, size)):
-                for place, wanted in places:
-                    if w == wanted:
-                        shifts[at - place].append((at, place))
-            matched = set()
-            for pairs in shifts.values():
-                values = defaultdict(set)
-                for at, place in pairs:
-                    for k in range(min(size, len(words))):
-                        if slots[place + k] is not None:
-                            values[slots[place + k]].add(dv[at + k])
-                if all(len(v) == 1 for v in values.values()):
-                    matched |= {place for _, place in pairs}
-            if places and len(matched) / len(places) >= share:
-                found[at_doc][item_id] = round(len(matched) / len(places), 9)
+            shares = [typed_share(words, slots, text, size, least_words)]
+            shares += [max(share_as_it_is(own, text, size, least_words) for _, own in members)]
+            reached = [s for s in shares if s >= share]
+            if reached:
+                found[at_doc][item_id] = round(reached[0], 9)
     return found
 
 
+def typed_share(words, slots, text, size, least_words):
+    least = min(least_words, len(words))
+    windows = enumerate(plain_windows(list(words), size))
+    places = [(i, w) for i, w in windows if sum(x not in d.SLOTS for x in w) >= least]
+    dw, dv = plain_template(text)
+    shifts = defaultdict(list)
+    for at, w in enumerate(plain_windows(dw, size)):
+        for place, wanted in places:
+            if w == wanted:
+                shifts[at - place].append((at, place))
+    matched = set()
+    for pairs in shifts.values():
+        values = defaultdict(set)
+        for at, place in pairs:
+            for k in range(min(size, len(words))):
+                if slots[place + k] is not None:
+                    values[slots[place + k]].add(dv[at + k])
+        if all(len(v) == 1 for v in values.values()):
+            matched |= {place for _, place in pairs}
+    return len(matched) / len(places) if places else 0.0
+
+
+def share_as_it_is(item, text, size, least_words):
+    own, of_doc = (plain_template(t.lower() if t else t)[1] for t in (item, text))
+    if len(own) < least_words:
+        return float(bool(own) and own == of_doc)
+    n = min(size, len(own))
+    held = set(plain_windows(of_doc, n)) if len(of_doc) >= n else set()
+    windows = plain_windows(own, n)
+    return sum(w in held for w in windows) / len(windows)
+
+
 def test_templates_equal_the_plain_ones(spark):
     texts = [None, "", " .,", QUESTION, "5 km", "5km", "the Cat, a Dog. A bird", "ÉTÉ été Été, École", "x1 1x 3.14 kg", "№ ² 7"]
     docs = documents(spark, texts)
