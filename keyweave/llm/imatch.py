@@ -9,7 +9,8 @@
 * The distinct terms of a document in one subset, sorted, give one hash.  The fingerprint lists the hashes of all subsets
   that have a term of the document, ten hex digits each: two for the subset, eight for the hash.  A document without
   any term of the lexicon has the MD5 of its text instead, under numbers that no subset has.
-* The likeness of two fingerprints is the number of equal entries, divided by the number of subsets in either.
+* The likeness of two fingerprints is the share of equal entries among the subsets in either, per level, and of
+  these shares the mean.
 
 All of it is DataFrame code.
 """
@@ -38,7 +39,7 @@ NO_TERMS = ("fc", "fd", "fe", "ff")
 class Settings:
     lowest_idf: float = 3.0
     highest_idf: float = 6.2
-    levels: int = 4
+    levels: int = 5
     #: Lexicons up to so many terms are broadcast, larger ones shuffled.
     most_broadcast: int = 1_000_000
 
@@ -137,22 +138,33 @@ def fingerprinted(
 
 
 def likeness(one: Column, other: Column) -> Column:
-    """Equal entries of two fingerprints by subsets in either: 1 for equal fingerprints, 0 without an equal entry."""
+    """The mean share of equal entries per level: 1 for equal fingerprints, 0 without an equal entry.
+
+    The first digit of an entry is its level; texts without terms have a level of their own.
+    """
 
     def entries(fingerprint: Column) -> Column:
         places = F.sequence(F.lit(1), F.length(fingerprint), F.lit(_ENTRY))
         return F.transform(places, lambda at: F.substr(fingerprint, at, F.lit(_ENTRY)))
 
-    def subsets(held: Column) -> Column:
-        return F.transform(held, lambda entry: F.left(entry, F.lit(SUBSET_DIGITS)))
+    def beginnings(held: Column, digits: int) -> Column:
+        return F.transform(held, lambda entry: F.left(entry, F.lit(digits)))
 
-    return let(
-        entries(one),
-        lambda a: let(
-            entries(other),
-            lambda b: F.size(F.array_intersect(a, b)) / F.size(F.array_union(subsets(a), subsets(b))),
-        ),
-    )
+    def shares(equal: Column, either: Column) -> Column:
+        def share(level: Column) -> Column:
+            def of_level(held: Column) -> Column:
+                return F.size(F.filter(held, lambda x: F.left(x, F.lit(1)) == level))
+
+            return of_level(equal) / of_level(either)
+
+        levels = F.array_sort(F.array_distinct(beginnings(either, 1)))
+        return let(levels, lambda held: F.aggregate(held, F.lit(0.0), lambda sum, x: sum + share(x)) / F.size(held))
+
+    def of_entries(a: Column, b: Column) -> Column:
+        either = F.array_union(beginnings(a, SUBSET_DIGITS), beginnings(b, SUBSET_DIGITS))
+        return let(F.array_intersect(a, b), lambda equal: let(either, lambda held: shares(equal, held)))
+
+    return let(entries(one), lambda a: let(entries(other), lambda b: of_entries(a, b)))
 
 
 def _in_order(docs: DataFrame) -> DataFrame:
@@ -227,7 +239,9 @@ def edited_fingerprints(docs: DataFrame, settings: Settings | None = None) -> Da
     prints = fingerprinted(texts, known, [*key, "version"], keep, settings)
 
     def of_version(number: int) -> Column:
-        of_it = F.when(F.col("version") == number, F.struct("sha256", "fingerprint"))
+        # As bytes, they take half the room on the way.
+        packed = F.struct(*(F.unhex(name).alias(name) for name in ("sha256", "fingerprint")))
+        of_it = F.when(F.col("version") == number, packed)
         return F.first(of_it, ignorenulls=True).alias(f"version_{number}")
 
     own_length = F.first(F.when(F.col("version") == 0, F.col("n_chars")), ignorenulls=True)
@@ -244,13 +258,16 @@ def edited_fingerprints(docs: DataFrame, settings: Settings | None = None) -> Da
     )
     own = F.col("version_0.fingerprint")
 
+    def hex_of(value: Column) -> Column:
+        return F.lower(F.hex(value))
+
     def outcome(edit: Column, following: Column) -> Column:
         return F.struct(
-            edit["sha256"].alias("edited_sha256"),
-            own.alias("fingerprint"),
-            edit["fingerprint"].alias("edited_fingerprint"),
-            likeness(own, edit["fingerprint"]).alias("near_edited"),
-            likeness(own, following).alias("near_next"),
+            hex_of(edit["sha256"]).alias("edited_sha256"),
+            hex_of(own).alias("fingerprint"),
+            hex_of(edit["fingerprint"]).alias("edited_fingerprint"),
+            likeness(hex_of(own), hex_of(edit["fingerprint"])).alias("near_edited"),
+            likeness(hex_of(own), hex_of(following)).alias("near_next"),
         )
 
     copies = by_row.join(nexts, key).withColumn("nr", F.explode(F.sequence(F.lit(1), F.col("copies"))))

@@ -160,8 +160,15 @@ def imatch_sql(settings: imatch.Settings | None = None) -> str:
 
     def likeness(a: str, b: str) -> str:
         a, b = entries(a), entries(b)
-        held = f"list_transform(list_concat({a}, {b}), lambda e: left(e, {imatch.SUBSET_DIGITS}))"
-        return f"len(list_intersect({a}, {b})) / len(list_distinct({held}))"
+        either = f"list_distinct(list_transform(list_concat({a}, {b}), lambda e: left(e, {imatch.SUBSET_DIGITS})))"
+        equal = f"list_intersect({a}, {b})"
+        levels = f"list_sort(list_distinct(list_transform({either}, lambda e: left(e, 1))))"
+
+        def of_level(held: str) -> str:
+            return f"len(list_filter({held}, lambda e: left(e, 1) = x))"
+
+        shares = f"list_transform({levels}, lambda x: {of_level(equal)} / {of_level(either)})"
+        return f"list_reduce({shares}, lambda p, q: p + q) / len({levels})"
 
     return rf"""
 WITH given AS (
