@@ -1,7 +1,13 @@
-"""Batches: one forward job per line item file, and three cumulative reverse jobs."""
+"""Batches: one forward job per line item file, and three cumulative reverse jobs.
+
+One batch has a job that cannot run, and one has reverse jobs that write the match text, so that later jobs
+meet the orders under another identity.
+"""
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,13 +36,26 @@ REVERSE_CONFIG = BatchConfig(
 )
 
 
+#: The second job asks for a column that the master does not have.
+_FAILING = replace(
+    FORWARD_CONFIG,
+    jobs=(FORWARD_CONFIG.jobs[0], replace(FORWARD_CONFIG.jobs[1], column=99), FORWARD_CONFIG.jobs[2]),
+)
+#: The second job writes the match text.
+_REKEYING_COLUMNS = ("o_orderpriority", "o_orderstatus", "o_note", "o_orderpriority")
+_REKEYING_FILES = ("A", "N", "R", "N")
+_REKEYING = replace(
+    REVERSE_CONFIG, jobs=tuple(BatchJob(f, c) for f, c in zip(_REKEYING_FILES, _REKEYING_COLUMNS))
+)
+
+
 def _by_file(rows: DataFrame) -> dict[str, DataFrame]:
     return {f: rows.filter(F.col("file") == f) for f in FILES}
 
 
-def _forward(spark: SparkSession, folder: str, run) -> DataFrame | BatchRun:
+def _forward(spark: SparkSession, folder: str, run, config: BatchConfig = FORWARD_CONFIG) -> DataFrame | BatchRun:
     return run(
-        FORWARD_CONFIG,
+        config,
         S.forward_master(spark, folder),
         _by_file(S.forward_targets(spark, folder).drop("size_text")),
         master_order=["p_partkey"],
@@ -54,6 +73,18 @@ def _reverse(spark: SparkSession, folder: str, run=run_batch) -> DataFrame | Bat
     )
 
 
+def _rekeyed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every line says whether the order is open or shipped, by its supplier."""
+    status = F.when(F.col("l_suppkey") % 3 == 0, "O").when(F.col("l_suppkey") % 3 == 1, "F").otherwise("P")
+    return run_batch(
+        _REKEYING,
+        S.reverse_master(spark, folder).withColumn("o_note", F.lit(None).cast("string")),
+        _by_file(S.reverse_targets(spark, folder).withColumn("content", status)),
+        master_order=["o_orderkey"],
+        target_order=S.REVERSE_ORDER,
+    ).master
+
+
 _NEW = "CASE file WHEN 'N' THEN new_size ELSE new_name END"
 _WRITE = f"({_NEW} IS NOT NULL AND NOT {sql_blank(_NEW)} AND {sql_blank('translation')})"
 FORWARD_SQL = f"""{S.FORWARD_SQL}, batch AS (
@@ -64,28 +95,32 @@ FORWARD_SQL = f"""{S.FORWARD_SQL}, batch AS (
 )"""
 
 
-def _reverse_sql() -> str:
-    """One winner table and one master version per job."""
+def _reverse_sql(
+    columns: tuple[str, ...] = _REVERSE_COLUMNS,
+    files: tuple[str, ...] = FILES,
+    content: str = "CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END",
+) -> str:
+    """One winner table and one master version per job; a row has the identity of its cells as they are then."""
+    identity = sql_identity("CAST(o_orderkey AS VARCHAR)", "o_orderstatus")
     steps = f"""
 WITH target AS (
   SELECT l_returnflag AS file, {sql_identity("CAST(l_orderkey AS VARCHAR)", "l_linestatus")} AS id,
-         CASE WHEN l_suppkey % 5 = 0 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS content,
+         {content} AS content,
          row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS place
   FROM lineitem
 ), master0 AS (
   SELECT o_orderkey, o_orderstatus,
          CASE WHEN o_orderpriority NOT LIKE '1%' THEN o_orderpriority END AS o_orderpriority,
-         CAST(NULL AS VARCHAR) AS o_note, CAST(0 AS BIGINT) AS n,
-         {sql_identity("CAST(o_orderkey AS VARCHAR)", "o_orderstatus")} AS id
+         CAST(NULL AS VARCHAR) AS o_note, CAST(0 AS BIGINT) AS n
   FROM orders
 )"""
-    for i, (file, column) in enumerate(zip(FILES, _REVERSE_COLUMNS), start=1):
+    for i, (file, column) in enumerate(zip(files, columns), start=1):
         steps += f""", winner{i} AS (
   SELECT id, arg_max(content, place) AS new FROM target
   WHERE file = '{file}' AND id IS NOT NULL AND NOT {sql_blank("content")} GROUP BY id
 ), master{i} AS (
   SELECT m.* REPLACE (coalesce(new, {column}) AS {column}, CAST(new IS NOT NULL AS BIGINT) AS n)
-  FROM master{i - 1} m LEFT JOIN winner{i} USING (id)
+  FROM master{i - 1} m LEFT JOIN winner{i} w ON w.id = {identity}
 )"""
     return steps
 
@@ -123,4 +158,24 @@ FROM master3 m3 JOIN master2 m2 USING (o_orderkey) JOIN master1 m1 USING (o_orde
         f"""{REVERSE_SQL}
 {_summary_sql(REVERSE, "(SELECT sum(n) FROM master1) + (SELECT sum(n) FROM master2) + (SELECT sum(n) FROM master3)")}""",
     ),
+    "batch_results_with_failure": Query(
+        lambda s, d: _forward(s, d, run_batch, _FAILING).results_table().drop("elapsed_ms"),
+        f"""{FORWARD_SQL}
+SELECT job_index, 'file ' || file AS job_name, CASE job_index WHEN 2 THEN 'failed' ELSE 'success' END AS status,
+       CAST(CASE job_index WHEN 2 THEN 0 ELSE sum(cells_written) END AS BIGINT) AS updated_count,
+       CASE job_index WHEN 2 THEN 'the master has no column 99' ELSE '' END AS error FROM batch GROUP BY 1, file""",
+    ),
+    "batch_stopped_early": Query(
+        lambda s, d: _forward(s, d, run_batch, replace(_FAILING, continue_on_error=False)).summary_table(),
+        f"""{FORWARD_SQL}
+SELECT '{FORWARD}' AS mode, CAST(3 AS BIGINT) AS jobs_total, CAST(1 AS BIGINT) AS jobs_succeeded,
+       CAST(1 AS BIGINT) AS jobs_failed, CAST(sum(cells_written) AS BIGINT) AS updated_total, TRUE AS stopped_early
+FROM batch WHERE job_index = 1""",
+    ),
+    "batch_reverse_rekeyed": Query(
+        _rekeyed,
+        f"""{_reverse_sql(_REKEYING_COLUMNS, _REKEYING_FILES,
+                          "CASE l_suppkey % 3 WHEN 0 THEN 'O' WHEN 1 THEN 'F' ELSE 'P' END")}
+SELECT o_orderkey, o_orderstatus, o_orderpriority, o_note FROM master4""",
+    ),
 }

@@ -1,4 +1,15 @@
-"""Lists of sync jobs on one master table."""
+"""Lists of sync jobs on one master table, as one plan: one scan of the master, one join.
+
+What can fail about a job is found before anything runs: its table does not open, it lacks a column.  So
+the jobs that can run are known, and they run together.  Forward jobs are rows tagged with their job; reverse
+jobs are one winner per identity and job, folded over the cells of each master row in the order of the
+jobs.  How many cells each job wrote is counted while the result is written.
+
+A reverse job may write the key or the match text.  Then a row goes on under another identity: only the rows
+that have a new one meet the winners again, for the jobs that are left.
+
+Should the plan fail on the way (a file that breaks off), the jobs run one by one, to tell which.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +18,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,7 +35,7 @@ from keyweave.operators.rows import (
     text_of,
     with_identity,
 )
-from keyweave.operators.sync import WRITTEN, sync_multi, sync_reverse, sync_single, written_total
+from keyweave.operators.sync import WRITTEN, sync_multi
 from keyweave.session import materialize
 from keyweave.sources.writers import snapshot
 
@@ -134,6 +145,35 @@ def _open(tables: Mapping[str, Table], name: str) -> DataFrame:
     return table() if callable(table) and not isinstance(table, DataFrame) else table
 
 
+@dataclass(frozen=True)
+class _Job:
+    """A job that can run: its number, its target table and its master column."""
+
+    number: int
+    table: DataFrame
+    column: str
+
+
+def _checked(
+    config: BatchConfig,
+    number: int,
+    master: DataFrame,
+    targets: Mapping[str, Table],
+    master_order: Sequence[str],
+    target_order: Sequence[str],
+) -> _Job:
+    job = config.jobs[number - 1]
+    table = _open(targets, job.target)
+    own = config.target
+    lacks = [c for c in dict.fromkeys((own.key, own.match, *own.values, *target_order)) if c not in table.columns]
+    if lacks:
+        raise ValueError(f"the target has no column {', '.join(lacks)}")
+    column = config.source(master, job, master_order).values[0]
+    if config.mode == REVERSE and column not in master.columns:
+        raise ValueError(f"the master has no column {column}")
+    return _Job(number, table, column)
+
+
 def run_batch(
     config: BatchConfig,
     master: DataFrame,
@@ -143,11 +183,11 @@ def run_batch(
     target_order: Sequence[str],
     backup_of: str | None = None,
 ) -> BatchRun:
-    """Run the jobs one after the other.
+    """Run the jobs; results per job, what forward jobs made of their targets, and the master after reverse jobs.
 
-    A failed job leaves nothing behind; whether the next one runs is ``continue_on_error``.
-    Reverse jobs build on the master their predecessors left, which is stored after each
-    job.  ``backup_of`` is the path of the master; a copy of it is kept before a reverse batch.
+    A failed job leaves nothing behind; with ``continue_on_error`` the others run as if it were not there, else
+    those before it do.  ``elapsed_ms`` is the time of the plan that the job was part of.  ``backup_of`` is the path of
+    the master; a copy of it is kept before a reverse batch.
     """
     config.check()
     if missing := [j.target for j in config.jobs if j.target not in targets]:
@@ -155,48 +195,68 @@ def run_batch(
     run = BatchRun(config.mode, len(config.jobs), master)
     if config.mode == REVERSE and backup_of:
         run.backup_path = snapshot(master, backup_of)
-    flags = {"fill_blank_only": config.fill_blank_only, "allow_blank_write": config.allow_blank_write}
-    for index, job in enumerate(config.jobs, start=1):
-        started, status, count, error = time.time(), "success", 0, ""
+    orders = {"master_order": master_order, "target_order": target_order}
+    ready: list[_Job] = []
+    outcomes: dict[int, tuple[str, int, str, int]] = {}
+    for number in range(1, len(config.jobs) + 1):
         try:
-            table = _open(targets, job.target)
-            source = config.source(run.master, job, master_order)
-            if config.mode == FORWARD:
-                result = sync_single(
-                    table,
-                    config.target,
-                    run.master,
-                    source,
-                    target_place=target_order,
-                    master_order=master_order,
-                    **flags,
-                )
-            else:
-                result = sync_reverse(
-                    run.master,
-                    source,
-                    table,
-                    config.target,
-                    master_place=master_order,
-                    target_order=target_order,
-                    **flags,
-                )
-            stored = materialize(result, f"job-{index}")
-            count = written_total(stored).first()[0]
-            if config.mode == FORWARD:
-                run.outputs[index] = stored
-            else:
-                run.master = stored.drop(WRITTEN)
+            ready.append(_checked(config, number, master, targets, master_order, target_order))
         except Exception as failure:  # noqa: BLE001 - any failure of a job is a result
-            status, error = "failed", str(failure)
+            outcomes[number] = ("failed", 0, str(failure), 0)
+            if not config.continue_on_error:
+                break
+    waiting = [ready] if ready else []
+    while waiting:
+        jobs, started = waiting.pop(0), time.time()
+        try:
+            counts = _run_together(config, run, jobs, **orders)
+        except Exception as failure:  # noqa: BLE001
+            if len(jobs) > 1:
+                waiting = [[job] for job in jobs]
+                continue
+            counts = {}
+            outcomes[jobs[0].number] = ("failed", 0, str(failure), int((time.time() - started) * 1000))
+            if not config.continue_on_error:
+                outcomes = {n: o for n, o in outcomes.items() if n <= jobs[0].number}
+                break
         elapsed = int((time.time() - started) * 1000)
-        run.results.append((index, job.name or f"job-{index}", status, count, error, elapsed))
-        if status == "failed" and not config.continue_on_error:
-            run.stopped_early = True
-            break
+        outcomes |= {number: ("success", count, "", elapsed) for number, count in counts.items()}
+    for number in sorted(outcomes):
+        run.results.append((number, config.jobs[number - 1].name or f"job-{number}", *outcomes[number]))
+    failed = any(status == "failed" for status, *_ in outcomes.values())
+    run.stopped_early = failed and not config.continue_on_error
     return run
 
 
+def _run_together(
+    config: BatchConfig, run: BatchRun, jobs: Sequence[_Job], *, master_order: Sequence[str], target_order: Sequence[str]
+) -> dict[int, int]:
+    """Run some jobs as one plan, keep what they made in ``run``; the cells that each of them wrote."""
+    seen = Observation("cells by job")
+    if config.mode == FORWARD:
+        result = _forward_plan(config, run.master, jobs, master_order, target_order)
+        flags = {j.number: F.when(F.col("job_index") == j.number, F.col(WRITTEN)) for j in jobs}
+    else:
+        result = _reverse_plan(config, run.master, jobs, master_order, target_order)
+        flags = {j.number: F.col(_write(j)).cast("bigint") for j in jobs}
+    sums = [F.coalesce(F.sum(flag), F.lit(0)).alias(f"job_{number}") for number, flag in flags.items()]
+    stored = materialize(result.observe(seen, *sums), "jobs")
+    counts = {number: seen.get[f"job_{number}"] for number in flags}
+    if config.mode == FORWARD:
+        for job in jobs:
+            own = [column_of(c) for c in (*job.table.columns, WRITTEN)]
+            run.outputs[job.number] = stored.where(F.col("job_index") == job.number).select(*own)
+    else:
+        run.master = stored.select(*map(column_of, run.master.columns))
+    return counts
+
+
+def _all_checked(config: BatchConfig, master: DataFrame, targets, master_order, target_order) -> list[_Job]:
+    config.check()
+    numbers = range(1, len(config.jobs) + 1)
+    return [_checked(config, i, master, targets, master_order, target_order) for i in numbers]
+
+
 def forward_jobs(
     config: BatchConfig,
     master: DataFrame,
@@ -205,40 +265,39 @@ def forward_jobs(
     master_order: Sequence[str],
     target_order: Sequence[str],
 ) -> DataFrame:
-    """All forward jobs as one plan: one master scan, one join, rows tagged with ``job_index``.
+    """The rows of all forward jobs, tagged with ``job_index``, as one lazy plan; a job that cannot run raises."""
+    jobs = _all_checked(config, master, targets, master_order, target_order)
+    return _forward_plan(config, master, jobs, master_order, target_order)
 
-    The index holds the columns of all jobs; a row takes the one of its job.
-    """
-    config.check()
+
+def _forward_plan(
+    config: BatchConfig, master: DataFrame, jobs: Sequence[_Job], master_order: Sequence[str], target_order: Sequence[str]
+) -> DataFrame:
+    """The index holds the columns of all jobs; a row takes the one of its job."""
     value = config.target.values[0]
-    columns = [config.source(master, job, master_order).values[0] for job in config.jobs]
     tagged = reduce(
-        DataFrame.unionByName,
-        [
-            _open(targets, job.target).withColumn("job_index", F.lit(i))
-            for i, job in enumerate(config.jobs, start=1)
-        ],
+        lambda a, b: a.unionByName(b, allowMissingColumns=True),
+        [job.table.withColumn("job_index", F.lit(job.number)) for job in jobs],
     )
-    distinct = list(dict.fromkeys(columns))
+    distinct = list(dict.fromkeys(job.column for job in jobs))
     # One value column per master column in use, filled for the rows of its jobs only.
-    slots = [f"_slot_{i}" for i in range(len(distinct))]
-    jobs_of = [[i for i, c in enumerate(columns, start=1) if c == name] for name in distinct]
-    spread = tagged.withColumns({slot: column_of(value) for slot in slots})
+    slots = {name: f"_slot_{i}" for i, name in enumerate(distinct)}
+    of_slot = {slots[c]: F.col("job_index").isin([j.number for j in jobs if j.column == c]) for c in distinct}
     synced = sync_multi(
-        spread,
-        SyncColumns(config.target.key, config.target.match, tuple(slots)),
+        tagged.withColumns({slot: column_of(value) for slot in of_slot}),
+        SyncColumns(config.target.key, config.target.match, tuple(of_slot)),
         master,
         SyncColumns(config.master_key, config.master_match, tuple(distinct)),
         target_place=["job_index", *target_order],
         master_order=master_order,
         fill_blank_only=config.fill_blank_only,
         allow_blank_write=config.allow_blank_write,
-        only={slot: F.col("job_index").isin(jobs) for slot, jobs in zip(slots, jobs_of)},
+        only=of_slot,
     )
     chosen = F.lit(None).cast("string")
-    for slot, jobs in zip(slots, jobs_of):
-        chosen = F.when(F.col("job_index").isin(jobs), F.col(slot)).otherwise(chosen)
-    return synced.withColumn(value, chosen).drop(*slots)
+    for slot, own in of_slot.items():
+        chosen = F.when(own, F.col(slot)).otherwise(chosen)
+    return synced.withColumn(value, chosen).drop(*of_slot)
 
 
 def reverse_jobs(
@@ -249,41 +308,89 @@ def reverse_jobs(
     master_order: Sequence[str],
     target_order: Sequence[str],
 ) -> DataFrame:
-    """All reverse jobs as one plan: one winner per identity and job, one join with the master.
+    """The master after all reverse jobs with the cells written per row; a job that cannot run raises.
 
-    Each job sees the cells its predecessors left.  Jobs that write the key or match column
-    change identities, and need ``run_batch``.
+    Each job sees the cells, and the identities, that its predecessors left.
     """
-    config.check()
-    columns = [config.source(master, job, master_order).values[0] for job in config.jobs]
-    if {config.master_key, config.master_match} & set(columns):
-        raise ValueError("a job that writes key or match cannot share a plan with others")
-    target = config.target
-
-    def values(job: BatchJob, number: int) -> DataFrame:
-        table = _open(targets, job.target)
-        content = text_of(table, target.values[0])
-        rows = table if config.allow_blank_write else table.filter(~is_blank(content))
-        return identified_rows(rows, target.key, target.match).select(
-            ID, *target_order, content.alias("_content"), F.lit(number).alias("_job")
+    jobs = _all_checked(config, master, targets, master_order, target_order)
+    rows = _reverse_plan(config, master, jobs, master_order, target_order)
+    written = reduce(Column.__add__, [F.col(_write(job)).cast("int") for job in jobs])
+    return rows.select(*map(column_of, master.columns), written.cast("bigint").alias(WRITTEN))
+
+
+def _new(job: _Job) -> str:
+    return f"_new_{job.number}"
+
+
+def _write(job: _Job) -> str:
+    return f"_write_{job.number}"
+
+
+def _winners(config: BatchConfig, jobs: Sequence[_Job], target_order: Sequence[str]) -> DataFrame:
+    """One row per identity with the value of its last target row in every job, NULL without one."""
+    key, match, value = config.target.key, config.target.match, config.target.values[0]
+
+    def values(job: _Job) -> DataFrame:
+        content = text_of(job.table, value)
+        rows = job.table if config.allow_blank_write else job.table.filter(~is_blank(content))
+        return identified_rows(rows, key, match).select(
+            ID, *target_order, content.alias("_content"), F.lit(job.number).alias("_job")
         )
 
-    numbers = range(1, len(config.jobs) + 1)
-    tagged = reduce(DataFrame.unionByName, [values(job, i) for i, job in zip(numbers, config.jobs)])
+    tagged = reduce(DataFrame.unionByName, map(values, jobs))
     place = position(target_order)
-    winners = tagged.groupBy(ID).agg(
-        *(F.max_by("_content", F.when(F.col("_job") == i, place)).alias(f"_new_{i}") for i in numbers)
+    return tagged.groupBy(ID).agg(
+        *(F.max_by("_content", F.when(F.col("_job") == job.number, place)).alias(_new(job)) for job in jobs)
     )
-    identified = with_identity(master, config.master_key, config.master_match)
-    rows = left_join_unique(identified, winners, [ID], master_order).withColumns(
-        {c: nullable_text_of(master, c) for c in dict.fromkeys(columns)}
-    )
-    for i, column in zip(numbers, columns):
-        write = F.col(f"_new_{i}").isNotNull()
-        if config.fill_blank_only:
-            write = write & is_blank(column_of(column))
-        rows = rows.withColumn(f"_write_{i}", write).withColumn(
-            column, F.when(F.col(f"_write_{i}"), F.col(f"_new_{i}")).otherwise(column_of(column))
-        )
-    written = reduce(lambda a, b: a + b, [F.col(f"_write_{i}").cast("int") for i in numbers])
-    return rows.select(*map(column_of, master.columns), written.cast("bigint").alias(WRITTEN))
+
+
+def _reverse_plan(
+    config: BatchConfig, master: DataFrame, jobs: Sequence[_Job], master_order: Sequence[str], target_order: Sequence[str]
+) -> DataFrame:
+    """The master with the cells of all jobs, and per job whether it wrote a cell of the row."""
+    parts = {config.master_key, config.master_match}
+    winners = _winners(config, jobs, target_order)
+    segments: list[list[_Job]] = [[]]
+    for job in jobs:
+        segments[-1].append(job)
+        if job.column in parts:
+            segments.append([])
+    segments = [segment for segment in segments if segment]
+    if len(segments) > 1:
+        winners = materialize(winners, "winners")
+
+    written = list(dict.fromkeys(job.column for job in jobs))
+    texts = {c: nullable_text_of(master, c) for c in written}
+    identified = with_identity(master, config.master_key, config.master_match).withColumns(texts)
+    rows = left_join_unique(identified, winners, [ID], master_order)
+    waiting = list(jobs)
+    for segment in segments:
+        for job in segment:
+            rows = _folded(config, rows, job)
+            waiting.remove(job)
+        rows = rows.drop(*map(_new, segment))
+        if waiting:
+            rows = _rekeyed(config, rows, winners, waiting, master_order)
+    return rows.drop(ID)
+
+
+def _folded(config: BatchConfig, rows: DataFrame, job: _Job) -> DataFrame:
+    """One job more: its value goes into the cell, if the rules allow it."""
+    write = F.col(_new(job)).isNotNull()
+    if config.fill_blank_only:
+        write = write & is_blank(column_of(job.column))
+    cell = F.when(F.col(_write(job)), F.col(_new(job))).otherwise(column_of(job.column))
+    return rows.withColumn(_write(job), write).withColumn(job.column, cell)
+
+
+def _rekeyed(
+    config: BatchConfig, rows: DataFrame, winners: DataFrame, waiting: Sequence[_Job], master_order: Sequence[str]
+) -> DataFrame:
+    """Rows whose key or match text has changed get the winners of their new identity, for the jobs that are left."""
+    before = "_id_before"
+    renamed = with_identity(rows.withColumnRenamed(ID, before), config.master_key, config.master_match)
+    moved = ~F.col(ID).eqNullSafe(F.col(before))
+    stay = renamed.where(~moved).drop(before)
+    go = materialize(renamed.where(moved).drop(before, *map(_new, waiting)), "moved")
+    found = left_join_unique(go, winners.select(ID, *map(_new, waiting)), [ID], master_order)
+    return stay.unionByName(found)

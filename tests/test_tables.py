@@ -117,27 +117,90 @@ def test_reverse_batch_is_cumulative(spark, tmp_path):
     assert rows(spark.read.parquet(run.backup_path), "row") == rows(master, "row")
 
 
-@pytest.mark.parametrize("fill", [False, True])
-def test_reverse_jobs_in_one_plan_give_what_the_loop_gives(spark, fill):
-    rng = random.Random(fill)
+def folded(master, named, jobs, fill, allow):
+    """The jobs one after the other over plain rows: the master after them, and the cells that each wrote."""
+    names = ["row", "key", "match", "fr", "es"]
+    state, counts = [dict(zip(names, r)) for r in master], []
+
+    def clean(text):
+        return (text or "").strip()
+
+    def identity(row):
+        key, match = clean(row["key"]), clean(row["match"])
+        return f"{key}|{match}" if key and match else None
+
+    for job in jobs:
+        winner = {}
+        for f, i, key, match, text in sorted(named[job.target], key=lambda r: (r[0], r[1])):
+            own = identity({"key": key, "match": match})
+            if own and (allow or clean(text)):
+                winner[own] = text or ""
+        counts.append(0)
+        for row in state:
+            if identity(row) in winner and (not fill or not clean(row[job.column])):
+                row[job.column] = winner[identity(row)]
+                counts[-1] += 1
+    return sorted(tuple(row[n] for n in names) for row in state), counts
+
+
+def random_tables(rng):
     some = lambda values, n: [tuple(rng.choice(v) for v in values) for _ in range(n)]
     keys, texts = ["K", " K", "L", "", None, "N"], ["", " ", None, "1", "2"]
-    master = spark.createDataFrame(
-        [(i, *r) for i, r in enumerate(some([keys, ["M", "O "], texts, texts], 30))], MASTER_SCHEMA
-    )
+    master = [(i, *r) for i, r in enumerate(some([keys, ["M", "O "], texts, texts], 30))]
+    contents = ["", "x", None, "K", "L", "N ", "M"]
     named = {
-        name: [(f, i, *r) for i, (f, *r) in enumerate(some([["a", "b"], keys, ["M", "O"], ["", "x", "y", None, name]], 12))]
+        name: [(f, i, *r) for i, (f, *r) in enumerate(some([["a", "b"], keys, ["M", "O", "x"], [*contents, name]], 14))]
         for name in ("one", "two", "three")
     }
-    jobs = [BatchJob("one", "fr"), BatchJob("two", "es"), BatchJob("three", "fr"), BatchJob("one", "es")]
+    return master, named
+
+
+@pytest.mark.parametrize("fill", [False, True])
+@pytest.mark.parametrize("columns", [("fr", "es", "fr", "es"), ("fr", "key", "es", "match", "key", "fr"), ("match", "fr")])
+def test_reverse_jobs_give_what_a_fold_gives(spark, fill, columns):
+    master, named = random_tables(random.Random(len(columns) + 10 * fill))
+    jobs = [BatchJob(t, c) for t, c in zip(["one", "two", "three", "one", "two", "one"], columns)]
     for allow in (False, True):
+        want, counts = folded(master, named, jobs, fill, allow)
+        assert any(counts)
         config = batch(REVERSE, jobs, fill_blank_only=fill, allow_blank_write=allow)
-        looped = run_batch(config, master, tables(spark, **named), **ORDERS)
-        together = reverse_jobs(config, master, tables(spark, **named), **ORDERS)
-        assert rows(together.drop("cells_written"), "row") == rows(looped.master, "row")
-        assert together.agg({"cells_written": "sum"}).first()[0] == sum(r[3] for r in looped.results)
-    with pytest.raises(ValueError, match="writes key or match"):
-        reverse_jobs(batch(REVERSE, [BatchJob("one", "key")]), master, tables(spark, **named), **ORDERS)
+        frame = spark.createDataFrame(master, MASTER_SCHEMA)
+        run = run_batch(config, frame, tables(spark, **named), **ORDERS)
+        assert rows(run.master, "row") == want
+        assert [r[3] for r in run.results] == counts
+        together = reverse_jobs(config, frame, tables(spark, **named), **ORDERS)
+        assert rows(together.drop("cells_written"), "row") == want
+        assert together.agg({"cells_written": "sum"}).first()[0] == sum(counts)
+
+
+def test_one_scan_of_the_master_for_all_jobs(spark):
+    master = spark.createDataFrame([(2, "K", "M", "F", "E")], MASTER_SCHEMA)
+    targets = tables(spark, one=[("a", 2, "K", "M", "x")], two=[("b", 2, "K", "M", "")])
+    jobs = [BatchJob("one", "fr"), BatchJob("two", "es"), BatchJob("two", "fr")]
+    for mode, plan in ((FORWARD, forward_jobs), (REVERSE, reverse_jobs)):
+        shown = plan(batch(mode, jobs), master, targets, **ORDERS)._jdf.queryExecution().optimizedPlan().toString()
+        assert shown.count("fr#") and sum("row#" in x and "LogicalRDD" in x and "es#" in x for x in shown.split("\n")) == 1
+
+
+def test_jobs_run_alone_when_their_plan_breaks_off(spark, tmp_path):
+    """A file that goes away after it was looked at: its job fails, the others have their results."""
+    here = spark.createDataFrame([("a", 2, "K", "M", "x")], TARGET_SCHEMA)
+    here.write.parquet(str(tmp_path / "gone"))
+    gone = spark.read.parquet(str(tmp_path / "gone"))
+    for part in (tmp_path / "gone").glob("part-*"):
+        part.write_bytes(b"no table")
+    for crc in (tmp_path / "gone").glob(".part-*"):
+        crc.unlink()
+    master = spark.createDataFrame([(2, "K", "M", "F", "")], MASTER_SCHEMA)
+    jobs = [BatchJob("here", "fr"), BatchJob("gone", "fr"), BatchJob("here", "es")]
+    for mode, want in ((FORWARD, [1, 0, 0]), (REVERSE, [1, 0, 1])):
+        run = run_batch(batch(mode, jobs), master, {"here": here, "gone": gone}, **ORDERS)
+        assert [r[2] for r in run.results] == ["success", "failed", "success"]
+        assert [r[3] for r in run.results] == want
+    assert rows(run.master) == [(2, "K", "M", "x", "x")]
+    run = run_batch(batch(REVERSE, jobs, continue_on_error=False), master, {"here": here, "gone": gone}, **ORDERS)
+    assert [r[2] for r in run.results] == ["success", "failed"] and run.stopped_early
+    assert rows(run.master) == [(2, "K", "M", "x", "")]
 
 
 @pytest.mark.parametrize("go_on, statuses, stopped", [(True, ["failed", "success"], False), (False, ["failed"], True)])
@@ -150,6 +213,11 @@ def test_failed_jobs(spark, go_on, statuses, stopped):
     run = run_batch(batch(FORWARD, [BatchJob("bad", "fr"), BatchJob("good", "fr")], continue_on_error=go_on), master, targets, **ORDERS)
     assert [r[2] for r in run.results] == statuses and run.stopped_early is stopped
     assert run.results[0][4] == "no such folder"
+    lacking = {"bad": targets["good"].drop("match"), "good": targets["good"]}
+    for mode, column, message in ((REVERSE, "de", "no column de"), (FORWARD, 9, "no column 9"), (FORWARD, "fr", "no column match")):
+        jobs = [BatchJob("bad" if column == "fr" else "good", column), BatchJob("good", "fr")]
+        run_again = run_batch(batch(mode, jobs, continue_on_error=go_on), master, lacking, **ORDERS)
+        assert [r[2] for r in run_again.results] == statuses and message in run_again.results[0][4]
     total = rows(run.summary_table())[0]
     assert total[1:] == (2, int(go_on), 1, int(go_on), stopped)
 
