@@ -45,7 +45,8 @@ def diff_tables(
     *,
     row: str,
     service: Sequence[str] = (),
-    max_diff_samples: int = 200,
+    max_diff_samples: int | None = None,
 ) -> DataFrame:
-    """The first differing cells in row-major order; no row means that the tables are equal."""
-    return diff_cells(expected, actual, row=row, service=service).orderBy("row", "col").limit(max_diff_samples)
+    """The differing cells in row-major order, the first ones only if a number is given; none: the tables are equal."""
+    found = diff_cells(expected, actual, row=row, service=service).orderBy("row", "col")
+    return found if max_diff_samples is None else found.limit(max_diff_samples)
