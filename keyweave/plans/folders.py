@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,7 @@ from keyweave.plans.master_update import (
 from keyweave.plans.mine_terms import MinedTerms, mine_terms
 from keyweave.plans.term_config import TermConfig
 from keyweave.sources import readers as R
+from keyweave.sources.commits import E_TARGET_SAVE, REPLACED, commit_changed_files, errors_of, replace_by_name
 from keyweave.sources.writers import write_changed_files
 
 
@@ -46,27 +48,58 @@ def sync_folder(
     *,
     master_order: Sequence[str],
     out: str | None = None,
+    in_place: bool = False,
     fill_blank_only: bool = False,
     allow_blank_write: bool = False,
     **scan,
 ) -> FolderRun:
-    """Master values into every file of a folder; changed files are written to ``out``, another folder."""
+    """Master values into every file of a folder.
+
+    Changed files are written to ``out``, another folder, or ``in_place``: then each Parquet file is exchanged on its
+    own, with its cells as text, and one that cannot be written is an error row and keeps its content.
+    """
+    if out and in_place:
+        raise ValueError("changed files go to another folder or stay in their places, not both")
     if out:
         _check_apart(folder, out)
     read = R.scan_folder(spark, folder, error_code=R.E_TARGET_READ, **scan)
-    result = sync_multi(
-        read.rows,
-        target,
-        master,
-        source,
-        target_place=[R.FILE, R.ROW],
-        master_order=master_order,
-        fill_blank_only=fill_blank_only,
-        allow_blank_write=allow_blank_write,
-    )
+
+    def synced(rows: DataFrame) -> DataFrame:
+        return sync_multi(
+            rows,
+            target,
+            master,
+            source,
+            target_place=[R.FILE, R.ROW],
+            master_order=master_order,
+            fill_blank_only=fill_blank_only,
+            allow_blank_write=allow_blank_write,
+        )
+
+    if in_place:
+        return _committed(read, synced)
+    result = synced(read.rows)
     return FolderRun(result, read.errors, write_changed_files(result, out, file=R.FILE) if out else None)
 
 
+def _committed(read: R.FolderScan, synced: Callable[[DataFrame], DataFrame]) -> FolderRun:
+    """Exchange the files of a scan that ``synced`` changes; ``result`` is the log of the exchanges.
+
+    Files of each schema are written apart, so that none gets a column of another one.
+    """
+    changed, logs = [], []
+    for table in read.tables:
+        counts, log = commit_changed_files(table, synced, file=R.FILE, row=R.ROW, service=R.SERVICE)
+        changed.append(counts)
+        logs.append(log)
+    log, counts = reduce(DataFrame.unionByName, logs), reduce(DataFrame.unionByName, changed)
+    written = log.where(F.col("status") != "failed").select(F.col("path").alias(R.FILE))
+    failed = errors_of(log, E_TARGET_SAVE)
+    return FolderRun(
+        log, read.errors.unionByName(failed, allowMissingColumns=True), counts.join(written, R.FILE, "left_semi")
+    )
+
+
 def _check_apart(folder: str, out: str) -> None:
     """A folder cannot be rewritten while it is read."""
     one, other = R._plain_path(folder) + "/", R._plain_path(out) + "/"
@@ -240,3 +273,25 @@ def replace_from_folder(spark: SparkSession, source_folder: str, target_folder:
         source_files=listed(sources.files),
     )
     return FolderRun(result, sources.errors.unionByName(targets.errors))
+
+
+def replace_in_folder(
+    spark: SparkSession, source_folder: str, target_folder: str, *, extensions: Sequence[str] = (".parquet",)
+) -> FolderRun:
+    """Files of the target folder replaced, in their places, by the files of the same name of the source folder.
+
+    Files are copied as they are, whatever they hold; files of no bytes at all are not listed.  A file that cannot be replaced keeps its content and is an error row.
+    ``result`` is the log of all source files, those without a target with status ``unmatched``; ``changed`` lists the files that
+    have new content.  A second run finds equal content and changes nothing.
+    """
+    _check_apart(source_folder, target_folder)
+    targets, sources = (
+        R.list_files(spark, folder, extensions, case_sensitive=True) for folder in (target_folder, source_folder)
+    )
+    log, unmatched = replace_by_name(spark, targets, sources)
+    missing = unmatched.select(F.col("source_path").alias("source"), F.lit("unmatched").alias("status"))
+    return FolderRun(
+        log.unionByName(missing, allowMissingColumns=True),
+        errors_of(log, R.E_REPLACE_FILE),
+        log.where(F.col("status") == REPLACED).select("path"),
+    )
