@@ -48,16 +48,25 @@ def test_counts_answer_every_limit(spark, tokenizer, monkeypatch):
     texts = [*CORNERS, *mixed_texts(200, 2)]
     lengths = [len(ids(tokenizer, t)) for t in texts]
     got = token_counts.counts_by_limit(documents(spark, texts)).collect()
-    assert sorted(r["context_limit"] for r in got) == sorted(set(lengths))
+    asked = {1 << k for k in range(20) if k == 0 or 1 << (k - 1) < max(lengths)}
+    assert sorted(r["context_limit"] for r in got) == sorted({*lengths, *asked})
     for r in got:
         limit = r["context_limit"]
+        assert r["asked"] == (limit in asked)
         assert r["n_docs"] == lengths.count(limit)
         assert r["n_docs_within"] == sum(n <= limit for n in lengths) == len(lengths) - r["n_docs_over"]
         assert r["truncated_tokens"] == sum(min(n, limit) for n in lengths)
         assert r["total_tokens"] == sum(lengths)
-    half = token_counts.counts_by_limit(documents(spark, texts)).agg(token_counts.quantile(0.5)).first()[0]
-    assert half == sorted(lengths)[(len(lengths) - 1) // 2]
+    ordered = sorted(lengths)
+    at_length = {p: r["context_limit"] for r in got for p in r["percentiles"]}
+    assert at_length == {p: ordered[-(-p * len(ordered) // 100) - 1] for p in range(1, 101)}
+    some = token_counts.counts_by_limit(documents(spark, texts), limits=[3, 10**6]).where("asked").collect()
+    assert {r["context_limit"]: r["truncated_tokens"] for r in some} == {
+        limit: sum(min(n, limit) for n in lengths) for limit in (3, 10**6)
+    }
     assert token_counts.counts_by_limit(documents(spark, [])).count() == 0
+    blank = token_counts.counts_by_limit(documents(spark, [None, ""])).orderBy("context_limit").collect()
+    assert [(r["context_limit"], r["n_docs"], r["truncated_tokens"]) for r in blank] == [(0, 2, 0), (1, 0, 0)]
 
 
 def test_patterns_hold_each_piece_once():
