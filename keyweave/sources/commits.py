@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from keyweave.operators.joins import inner_join_unique
 from keyweave.operators.sync import WRITTEN
 from keyweave.session import intermediate_path, materialize
-from keyweave.sources.readers import _opened, _same_form
+from keyweave.sources.readers import _dealt, _opened, _same_form
 
 REPLACED, UNCHANGED, FAILED = "replaced", "unchanged", "failed"
 #: The stages of an exchange: reading the new content, copying it, renaming.
@@ -105,7 +105,7 @@ def exchange_files(pairs: DataFrame, label: str = "exchange") -> DataFrame:
 
     # Written before it is dealt out, so that no exchange reads what another one changes.
     listed = materialize(pairs.select("path", "source"), f"{label}-pairs")
-    return materialize(listed.repartition("path").mapInPandas(exchanged, LOG), label)
+    return materialize(_dealt(listed).mapInPandas(exchanged, LOG), label)
 
 
 def errors_of(log: DataFrame, code: str) -> DataFrame:

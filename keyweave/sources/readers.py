@@ -14,6 +14,7 @@ from functools import reduce
 from urllib.parse import quote
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,9 +85,12 @@ _PROBE = T.StructType(
         T.StructField("file_name", T.StringType()),
         T.StructField("columns", T.ArrayType(T.StringType())),
         T.StructField("types", T.ArrayType(T.StringType())),
+        T.StructField("layout", T.BinaryType()),
         T.StructField("error", T.StringType()),
     ]
 )
+#: Kinds of files that tasks can read from a table of paths.
+_BY_TASK = ("parquet", "orc")
 
 
 def _opened(path: str):
@@ -100,38 +104,42 @@ def _opened(path: str):
     return fs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}:/{quote(rest)}")
 
 
+def _blocks(handle, kind: str, options: Mapping[str, str]):
+    """The Arrow schema of an open file, and its rows in batches."""
+    from pyarrow import csv, json, orc, parquet
+
+    if kind == "parquet":
+        table = parquet.ParquetFile(handle)
+        return table.schema_arrow, table.iter_batches()
+    if kind == "orc":
+        table = orc.ORCFile(handle)
+        return table.schema, (table.read_stripe(i) for i in range(table.nstripes))
+    given = {name.lower(): value for name, value in options.items()}
+    parse = csv.ParseOptions(
+        delimiter=given.get("sep", given.get("delimiter", ",")), quote_char=given.get("quote", '"')
+    )
+    blocks = csv.open_csv(handle, parse_options=parse) if kind == "csv" else json.open_json(handle)
+    return blocks.schema, blocks
+
+
 def _file_columns(
     path: str, kind: str, whole: bool, options: Mapping[str, str]
-) -> tuple[list[str], list[str]]:
-    """Column names and types of one file; raises if it is no table of cells.
+) -> tuple[list[str], list[str], bytes]:
+    """Column names, types and Arrow schema of one file; raises if it is no table of cells.
 
     ``whole`` reads the file to its end instead of its schema only.
     """
-    import pyarrow as pa
-    from pyarrow import csv, json, orc, parquet
-
     system, inner = _opened(path)
     with system.open_input_file(inner) as handle:
-        if kind == "parquet":
-            table = parquet.ParquetFile(handle)
-            schema, blocks = table.schema_arrow, table.iter_batches()
-        elif kind == "orc":
-            table = orc.ORCFile(handle)
-            schema, blocks = table.schema, (table.read_stripe(i) for i in range(table.nstripes))
-        else:
-            given = {name.lower(): value for name, value in options.items()}
-            parse = csv.ParseOptions(
-                delimiter=given.get("sep", given.get("delimiter", ",")), quote_char=given.get("quote", '"')
-            )
-            blocks = csv.open_csv(handle, parse_options=parse) if kind == "csv" else json.open_json(handle)
-            schema = blocks.schema
+        schema, blocks = _blocks(handle, kind, options)
         for field in schema:
             if pa.types.is_nested(field.type) or pa.types.is_binary(field.type):
                 raise TypeError(f"column {field.name} of type {field.type} has no cell text")
         for _ in blocks if whole else ():
             pass
         # Spark reads every CSV column as text, so guessed types do not count.
-        return schema.names, ["text" if kind == "csv" else str(field.type) for field in schema]
+        types = ["text" if kind == "csv" else str(field.type) for field in schema]
+        return schema.names, types, schema.remove_metadata().serialize().to_pybytes()
 
 
 def probe_files(
@@ -150,10 +158,40 @@ def probe_files(
                 try:
                     rows.append((path, name, *_file_columns(path, kind, whole, options or {}), None))
                 except Exception as failure:  # noqa: BLE001 - any failure marks the file as bad
-                    rows.append((path, name, None, None, f"{type(failure).__name__}: {failure}"))
+                    rows.append((path, name, None, None, None, f"{type(failure).__name__}: {failure}"))
             yield pd.DataFrame(rows, columns=_PROBE.names)
 
-    return files.select("path", "file_name").mapInPandas(probe, _PROBE)
+    return _dealt(files.select("path", "file_name")).mapInPandas(probe, _PROBE)
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """A table of files over as many tasks as the session shuffles to; their rows are small, their work is not."""
+    return files.repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
+
+
+def _read_by_task(files: DataFrame, kind: str, layout: bytes) -> DataFrame:
+    """All rows of files of one schema, read in tasks from the table of their paths: path, row index and cells."""
+    from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
+
+    cells = from_arrow_schema(pa.ipc.read_schema(pa.py_buffer(layout)))
+    schema = T.StructType([T.StructField("_path", T.StringType()), T.StructField("_index", T.LongType()), *cells])
+    target = to_arrow_schema(schema)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                system, inner = _opened(path)
+                done = 0
+                with system.open_input_file(inner) as handle:
+                    for block in _blocks(handle, kind, {})[1]:
+                        n = block.num_rows
+                        place = [pa.repeat(pa.scalar(path), n), pa.array(range(done, done + n), pa.int64())]
+                        columns = [*place, *block.columns]
+                        cast = [c.cast(field.type) for c, field in zip(columns, target, strict=True)]
+                        yield pa.RecordBatch.from_arrays(cast, schema=target)
+                        done += n
+
+    return _dealt(files.select("path")).mapInArrow(read, schema)
 
 
 @dataclass(frozen=True)
@@ -186,6 +224,7 @@ def scan_folder(
     error_code: str = E_SOURCE_READ,
     whole: bool = False,
     options: Mapping[str, str] | None = None,
+    most_listed: int = 100_000,
 ) -> FolderScan:
     """Read the files of a folder; a file that cannot be read gives an error row, not a failure.
 
@@ -193,56 +232,66 @@ def scan_folder(
     are one scan.  Parquet brings its own row numbers; tables of any other kind must hold
     theirs in the column ``row``.  ``required`` are header names every file must have, in
     any case; ``exclude`` are paths to leave out, such as the master itself.
+
+    The files are a table: what each holds, what is wrong with it.  Spark's readers want their paths on the driver.  Beyond
+    ``most_listed`` files, Parquet and ORC files are read in tasks from the table instead, one task a file, and only what differs per
+    schema comes to the driver.
     """
     if kind != "parquet" and row is None:
         raise ValueError(f"{kind} files carry no row numbers; name the column that does")
     listed = list_files(
         spark, folder, extensions or (f".{kind}",), include_temp_files=include_temp_files
     ).filter(is_configured(F.col("file_name"), tokens))
-    left_out = {_plain_path(p) for p in exclude}
+    if left_out := [_plain_path(p) for p in exclude]:
+        listed = listed.where(~_without_scheme(F.col("path")).isin(left_out))
     probed = materialize(
-        probe_files(listed, kind, whole=whole, options=options).withColumn("schema", F.xxhash64("columns", "types")), "probed-files"
+        probe_files(listed, kind, whole=whole, options=options).withColumn("schema", F.xxhash64("columns", "types")),
+        "probed-files",
     )
-    # What a schema lacks is found once per schema; of a file, the path comes to the driver,
-    # as it does for every read of a list of files.
     needed = set(required) | ({row} if row else set())
-    lacks = {
-        s.schema: missing_columns(header_map(s.columns), needed)
-        for s in probed.filter("error IS NULL").groupBy("schema").agg(F.first("columns").alias("columns")).collect()
-    }
-    good, bad, groups = [], [], {}
-    for file in sorted(probed.select("path", "file_name", "schema", "error").collect()):
-        if _plain_path(file.path) in left_out:
-            continue
-        missing = lacks.get(file.schema)
-        message = file.error or (f"columns not found: {', '.join(missing)}" if missing else None)
-        if message is None:
-            good.append((file.path, file.file_name))
-            groups.setdefault(file.schema, []).append(file.path)
-        else:
-            bad.append((error_code, file.path, file.file_name, message))
-    if not good:
+    first = [F.min(c).alias(c) for c in ("columns", "layout")]
+    schemas = probed.where("error is null").groupBy("schema").agg(*first).orderBy("schema").collect()
+    lacks = {s.schema: ", ".join(missing_columns(header_map(s.columns), needed)) for s in schemas}
+    message = F.col("error")
+    for schema, missing in lacks.items():
+        if missing:
+            found = F.lit(f"columns not found: {missing}")
+            message = F.when(F.col("schema") == schema, F.coalesce(message, found)).otherwise(message)
+    judged = probed.withColumn("message", message)
+    good, bad = judged.where("message is null"), judged.where("message is not null")
+    failed = F.col("message").isNotNull()
+    counts = judged.agg(F.count_if(~failed).alias("good"), F.count_if(failed).alias("bad")).first()
+    if not counts["good"]:
         raise ValueError(f"{folder} has no file that can be read")
 
     reader = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **(options or {}))
+    by_task = counts["good"] > most_listed and kind in _BY_TASK
 
-    def rows_of(paths: list[str]) -> DataFrame:
-        table = reader.load([re.sub(r"([*?\[\]{}\\])", r"\\\1", path) for path in paths])  # names, not patterns
-        number = F.col("_metadata.row_index") + FIRST_ROW if kind == "parquet" else F.col(row)
-        cells = [c for c in table.columns if row is None or c.lower() != row.lower()]
+    def rows_of(schema: T.Row) -> DataFrame:
+        files = good.where(F.col("schema") == schema["schema"])
+        if by_task:
+            table = _read_by_task(files, kind, schema["layout"])
+            path, index = _same_form(F.col("_path")), F.col("_index")
+        else:
+            paths = [r["path"] for r in files.select("path").orderBy("path").collect()]
+            table = reader.load([re.sub(r"([*?\[\]{}\\])", r"\\\1", p) for p in paths])  # names, not patterns
+            path, index = _decoded(F.col("_metadata.file_path")), F.col("_metadata.row_index")
+        number = index + FIRST_ROW if kind == "parquet" else F.col(row)
+        own = {"_path", "_index"} if by_task else set()
+        cells = [c for c in table.columns if c not in own and (row is None or c.lower() != row.lower())]
         return table.select(
-            _decoded(F.col("_metadata.file_path")).alias(FILE),
-            F.element_at(F.split(_decoded(F.col("_metadata.file_path")), "/"), -1).alias(NAME),
+            path.alias(FILE),
+            F.element_at(F.split(path, "/"), -1).alias(NAME),
             number.cast("bigint").alias(ROW),
             *(nullable_text_of(table, c).alias(c) for c in cells),
         )
 
     return FolderScan(
-        tuple(rows_of(paths) for paths in groups.values()),
-        spark.createDataFrame(good, "path string, file_name string").withColumn("path", _same_form(F.col("path"))),
-        spark.createDataFrame(bad, "code string, path string, file_name string, message string"),
-        len(good),
-        len(bad),
+        tuple(rows_of(schema) for schema in schemas if not lacks[schema["schema"]]),
+        good.select(_same_form(F.col("path")).alias("path"), "file_name"),
+        bad.select(F.lit(error_code).alias("code"), "path", "file_name", "message").orderBy("path"),
+        counts["good"],
+        counts["bad"],
     )
 
 

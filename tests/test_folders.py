@@ -300,3 +300,55 @@ def test_intermediate_tables_use_the_folder_of_the_session(spark):
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     assert session.intermediate_path(spark, "x").startswith(root)
     assert session.materialize(spark.range(3), "three").count() == 3
+
+
+@pytest.fixture
+def no_driver_lists(monkeypatch):
+    """How many rows each collect brought to the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    brought, real = [], DataFrame.collect
+
+    def collect(self):
+        found = real(self)
+        brought.append(len(found))
+        return found
+
+    monkeypatch.setattr(DataFrame, "collect", collect)
+    return brought
+
+
+def test_thousands_of_files_are_read_without_a_list_on_the_driver(spark, tmp_path, no_driver_lists):
+    import pyarrow as pa
+    from pyarrow import parquet
+
+    (tmp_path / "in").mkdir()
+    for i in range(2000):
+        more = {"extra": [i]} if i % 10 == 0 else {}
+        table = pa.table({"key": [f"K{i}", "L"], "match": ["M", None], "number": [0.5, 2.0]} | {k: v * 2 for k, v in more.items()})
+        if i % 100 == 7:
+            (tmp_path / f"in/f{i}.parquet").write_bytes(b"no table")
+        else:
+            parquet.write_table(table, tmp_path / f"in/f{i}.parquet")
+    scan = R.scan_folder(spark, str(tmp_path / "in"), most_listed=100)
+    assert (scan.files_read, scan.files_failed, len(scan.tables)) == (1980, 20, 2)
+    assert max(no_driver_lists) <= 2
+    listed = R.scan_folder(spark, str(tmp_path / "in"))
+    assert scan.errors.count() == 20 and scan.files.count() == 1980
+    assert scan.files.subtract(listed.files).count() == 0 and scan.errors.subtract(listed.errors).count() == 0
+    assert scan.rows.columns == listed.rows.columns and scan.rows.count() == listed.rows.count() == 3960
+    assert scan.rows.exceptAll(listed.rows).count() == 0
+
+
+def test_both_ways_to_read_give_the_same_cells(spark, tmp_path):
+    """Types of all kinds, several batches, names with blanks and signs, an empty file."""
+    wide = spark.range(3000).selectExpr(
+        "id", "CAST(id AS INT) AS i", "id / 4 AS d", "CAST(id AS DECIMAL(12,2)) AS c", "id % 2 = 0 AS b", "CAST(NULL AS STRING) AS n",
+        "DATE'2026-03-16' + CAST(id % 9 AS INT) AS day", "TIMESTAMP'2026-03-16 01:02:03' AS at", "CAST(id AS FLOAT) / 3 AS f",
+    ).toPandas()
+    (tmp_path / "in/a b").mkdir(parents=True)
+    wide.to_parquet(tmp_path / "in/a b/x+%20#.parquet", coerce_timestamps="us", row_group_size=1000)
+    wide.head(0).to_parquet(tmp_path / "in/none.parquet", coerce_timestamps="us")
+    by_spark, by_task = (R.scan_folder(spark, str(tmp_path / "in"), most_listed=n).rows for n in (10, 0))
+    assert by_task.columns == by_spark.columns and by_task.count() == 3000
+    assert by_task.exceptAll(by_spark).count() == 0
