@@ -265,6 +265,18 @@ QUERIES = {
         lambda s, d: run(s, d, SPARSE).counters,
         _counter_sql(SPARSE_SQL, "0", "(SELECT count(*) FROM unknown)"),
     ),
+    "update_rows_scanned": Query(
+        lambda s, d: run(s, d, SPARSE).scan_counters,
+        f"""{BASE_SQL}
+SELECT count(DISTINCT file) AS source_files, count(*) AS rows_scanned,
+       count(*) FILTER (WHERE {sql_identity("brand", "type")} IS NULL) AS rows_without_identity FROM source0""",
+    ),
+    "merge_rows_scanned_key_only": Query(
+        lambda s, d: run(s, d, MERGE_KEY_ONLY).scan_counters,
+        f"""{BASE_SQL}
+SELECT count(DISTINCT file) AS source_files, count(*) AS rows_scanned,
+       count(*) FILTER (WHERE {sql_key_identity("brand")} IS NULL) AS rows_without_identity FROM source0""",
+    ),
     "unmatched_report": Query(
         lambda s, d: run(s, d, SPARSE).unmatched,
         f"""{SPARSE_SQL}

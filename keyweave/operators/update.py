@@ -11,7 +11,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from keyweave.functions.text import column, is_blank, same_value
@@ -49,6 +49,32 @@ COUNTERS = (
 
 # --- candidates from the sources ------------------------------------------------------
 
+#: What is counted of the sources while their candidates are found.
+SCAN_COUNTERS = ("source_files", "rows_scanned", "rows_without_identity")
+
+
+class Scan:
+    """Counts the rows and files of the sources in the pass that finds the candidates.
+
+    ``values`` are there once the candidates have been written.  Files are counted by their rows; their names
+    come to the driver, as those of a list of files do.
+    """
+
+    def __init__(self, sources: DataFrame, layout: Layout, row_key: str, file: str):
+        self._seen = Observation("source rows")
+        parts = [layout.key] if row_key == KEY_ONLY else [layout.key, layout.match]
+        absent = reduce(lambda a, b: a | b, [is_blank(text_of(sources, part)) for part in parts])
+        self.sources = sources.observe(
+            self._seen,
+            F.size(F.collect_set(F.col(file))).cast("bigint").alias("source_files"),
+            F.count(F.lit(1)).alias("rows_scanned"),
+            F.count_if(absent).alias("rows_without_identity"),
+        )
+
+    @property
+    def values(self) -> Mapping[str, int]:
+        return {name: self._seen.get[name] for name in SCAN_COUNTERS}
+
 
 def append_candidates(sources: DataFrame, layout: Layout, row_key: str, order: Sequence[str]) -> DataFrame:
     """The first whole row of every identity.  With key-only rows a match text is required."""
@@ -193,12 +219,11 @@ def unmatched_report(
 class UpdateParts:
     """What the counters of one update are computed from.
 
-    ``counted`` are sums of the cell counts of ``updated`` that are known already.  ``files`` is
-    the list of source files, if there is one; else files are counted by their rows.
+    ``counted`` are sums of the cell counts of ``updated`` that are known already.  ``scan`` has counted the sources.
+    ``files`` is the list of source files, if there is one; else the scan has counted them by their rows.
     """
 
-    sources: DataFrame
-    file: str
+    scan: Scan
     candidates: DataFrame
     identities: DataFrame
     updated: DataFrame | None = None
@@ -221,9 +246,10 @@ def update_counters(parts: UpdateParts) -> DataFrame:
     count = F.count(F.lit(1))
     if parts.files is not None:
         rows = [one_row(parts.files, source_files=count)]
+        rows.append(one_row(parts.identities, merged_keys=count))
     else:
-        rows = [one_row(parts.sources, source_files=F.count_distinct(parts.file))]
-    rows.append(one_row(parts.identities, merged_keys=count))
+        seen = F.lit(parts.scan.values["source_files"])
+        rows = [one_row(parts.identities, merged_keys=count, source_files=seen)]
     if not parts.scan_without_candidates:
         rows.append(one_row(parts.candidates, _candidates=count))
     if parts.counted is not None:

@@ -63,6 +63,13 @@ class MasterUpdate:
     def counters(self) -> DataFrame:
         return U.update_counters(self.parts)
 
+    @property
+    def scan_counters(self) -> DataFrame:
+        """Files and rows of the sources, and rows without identity, as one row."""
+        values = self.parts.scan.values
+        spark = self.rows.sparkSession
+        return spark.range(1).select(*(F.lit(values[n]).cast("bigint").alias(n) for n in U.SCAN_COUNTERS))
+
     def counters_with(self, counted: Mapping[str, int]) -> DataFrame:
         """The counters, with cell counts a write of ``rows`` has summed up."""
         return U.update_counters(replace(self.parts, counted=counted))
@@ -83,10 +90,11 @@ def merge_masters(
     row_key: str = COMBINED_KEY,
 ) -> MasterUpdate:
     """Append the first row of every new identity; existing rows stay as they are."""
-    candidates = materialize(U.append_candidates(sources, layout, row_key, order), "append-candidates")
+    scan = U.Scan(sources, layout, row_key, file)
+    candidates = materialize(U.append_candidates(scan.sources, layout, row_key, order), "append-candidates")
     added = U.appended_rows(master, U.new_rows(master, candidates, layout, row_key), layout, row)
     identities = U.master_identities(master, layout, row_key)
-    parts = U.UpdateParts(sources, file, candidates, identities, added=added, scan_without_candidates=True)
+    parts = U.UpdateParts(scan, candidates, identities, added=added, scan_without_candidates=True)
     return MasterUpdate(U.text_cells(master, layout).unionByName(added), parts)
 
 
@@ -94,11 +102,12 @@ def update_master(
     master: DataFrame, sources: DataFrame, layout: Layout, *, row: str, order: Sequence[str], file: str
 ) -> MasterUpdate:
     """Dense: the last source row replaces all content of its key; new keys are appended."""
-    candidates = materialize(U.dense_candidates(sources, layout, KEY_ONLY, order), "dense-candidates")
+    scan = U.Scan(sources, layout, KEY_ONLY, file)
+    candidates = materialize(U.dense_candidates(scan.sources, layout, KEY_ONLY, order), "dense-candidates")
     updated = U.overwrite_cells(master, candidates, layout, KEY_ONLY, row)
     added = U.appended_rows(master, U.new_rows(master, candidates, layout, KEY_ONLY), layout, row)
     identities = U.master_identities(master, layout, KEY_ONLY)
-    parts = U.UpdateParts(sources, file, candidates, identities, updated=updated, added=added)
+    parts = U.UpdateParts(scan, candidates, identities, updated=updated, added=added)
     return MasterUpdate(updated.unionByName(_with_zero_counts(added)), parts)
 
 
@@ -106,11 +115,12 @@ def update_content(
     master: DataFrame, sources: DataFrame, layout: Layout, *, row: str, order: Sequence[str], file: str
 ) -> MasterUpdate:
     """Sparse: the last non-blank text of each cell, for identities the master has."""
-    candidates = materialize(U.sparse_candidates(sources, layout, order, file), "sparse-candidates")
+    scan = U.Scan(sources, layout, COMBINED_KEY, file)
+    candidates = materialize(U.sparse_candidates(scan.sources, layout, order, file), "sparse-candidates")
     updated = U.overwrite_cells(master, candidates, layout, COMBINED_KEY, row)
     unmatched = U.unmatched_report(master, candidates, layout, COMBINED_KEY)
     identities = U.master_identities(master, layout, COMBINED_KEY)
-    parts = U.UpdateParts(sources, file, candidates, identities, updated=updated, unmatched=unmatched)
+    parts = U.UpdateParts(scan, candidates, identities, updated=updated, unmatched=unmatched)
     return MasterUpdate(updated, parts, unmatched)
 
 
