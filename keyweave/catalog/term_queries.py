@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyweave.catalog.base import Query, sql_blank, sql_strip, table
@@ -19,7 +19,7 @@ from keyweave.functions.text import SPACE_CLASS
 from keyweave.operators import terms as T
 from keyweave.operators.candidates import candidates, compound_split, version_counts, with_candidate_ids
 from keyweave.operators.lists import ITEMS_PER_CELL
-from keyweave.plans.mine_terms import SUMMARY, mine_terms
+from keyweave.plans.mine_terms import SUMMARY, MergedTerms, mine_terms
 from keyweave.plans.term_config import CompoundSplitRule, Normalization, RecordRule, TagSpanRule, TermConfig, Thresholds
 from keyweave.session import materialize
 
@@ -248,7 +248,7 @@ class Binding:
         return T.components(self.found(spark, folder), self.config)
 
     def terms(self, spark: SparkSession, folder: str) -> DataFrame:
-        return T.terms(self.parts(spark, folder), self.config.thresholds)
+        return T.terms(T.term_state(self.parts(spark, folder)), self.config.thresholds)
 
     def mined(self, spark: SparkSession, folder: str):
         return mine_terms(
@@ -294,15 +294,17 @@ FROM parts WHERE NOT {sql_blank("term_raw")}"""
 def _compounds(spark: SparkSession, folder: str) -> DataFrame:
     rule = CompoundSplitRule("compound", ("brand",), delimiter="#")
     rows = compound_split(brands(spark, folder), rule, **PAGE_PLACE)
-    return rows.select("file", "row", "col", "split_role", "term_raw", "cell_raw")
+    return rows.drop("path", "sheet")
 
 
 _COMPOUND_SQL = f"""WITH {_BRAND_CELLS}, halves AS (
-  SELECT path, row, brand, {sql_strip("split_part(brand, '#', 1)")} AS head,
+  SELECT path, row, key, version, brand, {sql_strip("split_part(brand, '#', 1)")} AS head,
          {sql_strip("substr(brand, instr(brand, '#') + 1)")} AS suffix
   FROM cells WHERE contains(brand, '#')
 )
-SELECT path AS file, row, 3 AS col, role AS split_role, term AS term_raw, brand AS cell_raw FROM (
+SELECT 'compound_split' AS extractor_type, 'compound' AS rule_id, path AS file, row, 3 AS col, role AS split_role,
+       term AS term_raw, brand AS cell_raw, 'brand' AS column_name, '#' AS delimiter, head, suffix,
+       head || '#' || suffix AS compound, {sql_strip("key")} AS key_value, version AS version_value FROM (
   SELECT *, 'compound' AS role, head || '#' || suffix AS term FROM halves WHERE head <> '' AND suffix <> ''
   UNION ALL SELECT *, 'head', head FROM halves WHERE head <> '' AND suffix <> ''
   UNION ALL SELECT *, 'suffix', suffix FROM halves WHERE head <> '' AND suffix <> '')"""
@@ -332,7 +334,62 @@ SELECT count(DISTINCT path) AS files_total, count(DISTINCT path) AS files_succee
 FROM cells"""
 
 
+@dataclass(frozen=True)
+class LinkWords:
+    """An extractor of the catalogue's own: the words of the path of an address, from the second one on."""
+
+    id: str = "link_words"
+    extractor_type: str = "link_word"
+    source_columns: tuple[str, ...] = ("url",)
+    enabled: bool = True
+
+    def required_columns(self) -> set[str]:
+        return set(self.source_columns)
+
+    def texts(self, column: str, text) -> Column:
+        return F.slice(F.split(F.regexp_replace(text(column), "^[a-z]+://[^/]+/", ""), "[/?=&]"), 2, 1000)
+
+
+def _own_extractor(spark: SparkSession, folder: str) -> DataFrame:
+    """Spans of the configuration and words of addresses, found in one pass."""
+    config = TermConfig(rules=(SPANS, LinkWords()))
+    return mine_terms(pages(spark, folder), config, **PAGE_PLACE).terms.select(*_OWN_TERMS)
+
+
+_OWN_TERMS = ("term_type", "dedup_key", "occurrences_count", "files_count", "first_extractor")
+_OWN_FOUND = f"""{_PAGE_CELLS}, found AS (
+  {_SPAN_SQL.replace("1 AS rule_nr", "0 AS rule_nr")}
+  UNION ALL SELECT {_PLACES}, 1 AS rule_nr, match_nr, 'link_word', 'link_words', 3 AS col, term_raw, url, key, version
+  FROM (SELECT *, unnest(words) AS term_raw, generate_subscripts(words, 1) AS match_nr
+        FROM (SELECT *, string_split_regex(regexp_replace(url, '^[a-z]+://[^/]+/', ''), '[/?=&]')[2:] AS words FROM cells))
+  WHERE NOT {sql_blank("term_raw")}
+)"""
+
+
+def _merged(binding: Binding, spark: SparkSession, folder: str) -> MergedTerms:
+    """The files in two halves, mined apart; the states meet."""
+    cells = binding.cells(spark, folder)
+    odd = F.crc32(F.col("path").cast("binary")) % 2 == 1
+    runs = [
+        mine_terms(half, binding.config, items_per_cell=binding.items_per_cell, **PAGE_PLACE)
+        for half in (cells.where(odd), cells.where(~odd))
+    ]
+    return MergedTerms(
+        [r.state for r in runs], [r.term_keys for r in runs], binding.config, items_per_cell=binding.items_per_cell
+    )
+
+
 QUERIES = {
+    "terms_own_extractor": Query(
+        _own_extractor,
+        f"{_mine_sql(_OWN_FOUND, TermConfig(rules=()), ITEMS_PER_CELL)} SELECT {', '.join(_OWN_TERMS)} FROM terms",
+    ),
+    "terms_merged": Query(
+        lambda s, d: _merged(PAGES, s, d).terms.select(*T.TERM_COLUMNS), f"{PAGES.sql} SELECT {_TERM_ROWS} FROM terms"
+    ),
+    "terms_summary_merged": Query(
+        lambda s, d: _merged(BRANDS, s, d).terms_summary, f"{BRANDS.sql} SELECT * FROM summary_rows"
+    ),
     "terms_compound_only": Query(_compound_only, _COMPOUND_ONLY_SQL),
     "record_rule_contains": Query(_records(BY_TOKEN), _records_sql(BY_TOKEN, _HAS_TOKEN)),
     "record_rule_regex": Query(_records(BY_PATTERN), _records_sql(BY_PATTERN, _HAS_PATTERN)),

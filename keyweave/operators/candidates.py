@@ -2,13 +2,17 @@
 
 All rules are applied in one pass over the table: each row yields, per rule and column, an
 array of found texts, and the arrays are expanded afterwards.
+
+Besides the rules of the configuration, any object that is an ``Extractor`` may be given as a rule: it says which
+columns it reads and gives an array of texts for each, and goes into the same pass.
 """
 
 from __future__ import annotations
 
 import itertools
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
+from typing import Protocol, runtime_checkable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +34,23 @@ _CANDIDATES = (
 )
 
 
+@runtime_checkable
+class Extractor(Protocol):
+    """A rule from outside.  ``texts`` gives the array of texts that a row has for one of its ``source_columns``.
+
+    Its argument ``text`` gives the text of a column by its header name, empty cells as the empty text.
+    """
+
+    id: str
+    extractor_type: str
+    source_columns: Sequence[str]
+    enabled: bool
+
+    def required_columns(self) -> set[str]: ...
+
+    def texts(self, column: str, text: Callable[[str], Column]) -> Column: ...
+
+
 def header_map(headers: Sequence[str | None]) -> dict[str, int]:
     """0-based column of every header name, and of its lower-case form where that is free.
 
@@ -108,7 +129,7 @@ class _Cells:
 
 def candidates(
     cells: DataFrame,
-    rules: Sequence[RecordRule | TagSpanRule | CompoundSplitRule],
+    rules: Sequence[RecordRule | TagSpanRule | CompoundSplitRule | Extractor],
     *,
     path: str,
     row: str,
@@ -116,7 +137,7 @@ def candidates(
     sheet: str | None = None,
     versions: Sequence[str] = (),
 ) -> DataFrame:
-    """The candidates of all enabled record rules and tag spans.
+    """The candidates of all enabled record rules, tag spans and own extractors.
 
     ``path`` orders the files, ``file`` is the name shown for one (the path if not given);
     path and row together name one row.  Compound rules are no part of the extraction.
@@ -136,9 +157,11 @@ def candidates(
         if isinstance(rule, RecordRule):
             hit = key_matches(table.text("key"), rule.key_terms, regex=rule.key_regex)
             columns = [(rule.term_column, F.when(hit, F.array(table.text(rule.term_column))))]
-        else:
+        elif isinstance(rule, TagSpanRule):
             pattern = F.lit(_span_pattern(rule))
             columns = [(c, F.regexp_extract_all(table.text(c), pattern, F.lit(0))) for c in rule.source_columns]
+        else:
+            columns = [(c, rule.texts(c, table.text)) for c in rule.source_columns]
         for column_nr, (name, texts) in enumerate(columns):
             uses.append((rule_nr, column_nr, rule, name))
             found.append(
@@ -185,7 +208,7 @@ def candidates(
 
     return expanded.select(
         *("path", "file", "sheet", "row", "rule_nr", "column_nr", "match_nr"),
-        by_use(lambda r, _n: F.lit("record_rule" if isinstance(r, RecordRule) else "tag_span")).alias("extractor_type"),
+        by_use(lambda r, _n: F.lit(_type_of(r))).alias("extractor_type"),
         by_use(lambda r, _n: F.lit(r.id)).alias("rule_id"),
         by_use(lambda _r, n: F.lit(table.place(n) + 1)).cast("int").alias("col"),
         part(2).alias("term_raw"),
@@ -197,10 +220,16 @@ def candidates(
     ).filter(~is_blank(F.col("term_raw")))
 
 
+def _type_of(rule: RecordRule | TagSpanRule | Extractor) -> str:
+    if isinstance(rule, RecordRule):
+        return "record_rule"
+    return "tag_span" if isinstance(rule, TagSpanRule) else rule.extractor_type
+
+
 def with_cell_text(
     found: DataFrame,
     cells: DataFrame,
-    rules: Sequence[RecordRule | TagSpanRule | CompoundSplitRule],
+    rules: Sequence[RecordRule | TagSpanRule | CompoundSplitRule | Extractor],
     *,
     path: str,
     row: str,
@@ -247,7 +276,10 @@ def compound_split(
     file: str | None = None,
     sheet: str | None = None,
 ) -> DataFrame:
-    """Compound, head and suffix of every cell that the delimiter splits in two texts."""
+    """Compound, head and suffix of every cell that the delimiter splits in two texts.
+
+    A row per part, named by ``split_role``, with the rule, the key and version of the row, and all parts of the cell.
+    """
     service = [c for c in dict.fromkeys([path, row, file, sheet]) if c]
     table = _Cells(cells, service)
     if missing := missing_columns(table.headers, rule.required_columns()):
@@ -275,6 +307,8 @@ def compound_split(
         (F.col(file) if file else F.col(path)).cast("string").alias("file"),
         (F.col(sheet).cast("string") if sheet else F.lit("")).alias("sheet"),
         F.col(row).cast("bigint").alias("row"),
+        table.optional("key").alias("key_value"),
+        table.optional("version").alias("version_value"),
         F.inline(F.array(*per_column)),
     )
     at = F.instr("cell_raw", rule.delimiter)
@@ -294,5 +328,11 @@ def compound_split(
     )
     emitted = F.filter(every, lambda e: e["split_role"].isin(roles))
     return whole.select(
-        "path", "file", "sheet", "row", "col", F.inline(emitted), "cell_raw", "column_name"
+        F.lit("compound_split").alias("extractor_type"),
+        F.lit(rule.id).alias("rule_id"),
+        *("path", "file", "sheet", "row", "col"),
+        F.inline(emitted),
+        *("cell_raw", "column_name"),
+        F.lit(rule.delimiter).alias("delimiter"),
+        *("head", "suffix", "compound", "key_value", "version_value"),
     )

@@ -74,6 +74,17 @@ def untranslated_report(rows: DataFrame, *, mode: str = "chinese_chars", **colum
     return stats.orderBy(F.col("file_name") == TOTAL_LABEL, "file_name").toDF(*headers)
 
 
+def report_of(stats: DataFrame, mode: str = "chinese_chars") -> DataFrame:
+    """Sums per file as a report: the headers of the mode, files by name, the totals in the last row.
+
+    ``stats`` has one row per file and is read twice; several files of one name are several rows.
+    """
+    headers = WORD_HEADERS if mode == ENGLISH_WORDS else CHARACTER_HEADERS
+    total = stats.agg(*_sums()).select(F.lit(TOTAL_LABEL).alias("file_name"), *MEASURES, F.lit(True).alias("_last"))
+    rows = stats.select("file_name", *MEASURES, F.lit(False).alias("_last")).unionByName(total)
+    return rows.orderBy("_last", "file_name", *MEASURES).drop("_last").toDF(*headers)
+
+
 def untranslated_summary(stats: DataFrame) -> DataFrame:
     """Number of files, untranslated units and untranslated rows."""
     return stats.agg(

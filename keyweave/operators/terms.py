@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,16 +70,46 @@ def review_reasons(term: Column, thresholds: Thresholds) -> Column:
     )
 
 
-def terms(parts: DataFrame, thresholds: Thresholds, order: Sequence[str] = CANDIDATE_ORDER) -> DataFrame:
-    """The distinct terms, stored and numbered ``T000001`` ... by type and normal form.
+def term_state(parts: DataFrame, order: Sequence[str] = CANDIDATE_ORDER) -> DataFrame:
+    """One row per term and file: how often the term occurs there, and its first occurrence with its place.
 
-    The first occurrence gives the text shown, the extractor and the sample place.
+    The state of more files is the union of theirs, so files can be mined when they arrive (``merged_state``).
     """
     first = F.struct("display_term", "extractor_type", "file", "row", "col")
-    grouped = parts.groupBy(*TERM).agg(
+    return parts.groupBy(*TERM, "file").agg(
         F.count(F.lit(1)).alias("occurrences_count"),
-        F.count_distinct("file").alias("files_count"),
-        F.min_by(first, position(order)).alias("_first"),
+        F.min_by(first, position(order)).alias("first"),
+        F.min(position(order)).alias("place"),
+    )
+
+
+def merged_state(states: Sequence[DataFrame]) -> DataFrame:
+    """The state of all files of several states; a name that several of them have is one file."""
+    return (
+        reduce(DataFrame.unionByName, states)
+        .groupBy(*TERM, "file")
+        .agg(
+            F.sum("occurrences_count").alias("occurrences_count"),
+            F.min_by("first", "place").alias("first"),
+            F.min("place").alias("place"),
+        )
+    )
+
+
+def merged_keys(keys: Sequence[DataFrame]) -> DataFrame:
+    """Each term with each of its keys, once, over several tables of ``term_keys``."""
+    return reduce(DataFrame.unionByName, keys).distinct()
+
+
+def terms(state: DataFrame, thresholds: Thresholds) -> DataFrame:
+    """The distinct terms of a state, stored and numbered ``T000001`` ... by type and normal form.
+
+    The first occurrence gives the text shown, the extractor and the sample place.
+    """
+    grouped = state.groupBy(*TERM).agg(
+        F.sum("occurrences_count").alias("occurrences_count"),
+        F.count(F.lit(1)).alias("files_count"),
+        F.min_by("first", "place").alias("_first"),
     )
     rows = grouped.select(
         *TERM,
@@ -112,9 +143,9 @@ TERM_COLUMNS = [
 ]
 
 
-def term_files(parts: DataFrame) -> DataFrame:
+def term_files(state: DataFrame) -> DataFrame:
     """Each term with each of its files, once."""
-    return parts.select(*TERM, "file").distinct()
+    return state.select(*TERM, "file")
 
 
 def term_keys(parts: DataFrame) -> DataFrame:

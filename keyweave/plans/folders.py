@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from keyweave.operators.coverage import MEASURES, untranslated_stats
+from keyweave.operators.coverage import MEASURES, report_of, untranslated_stats
 from keyweave.operators.replace import Replacement, replace_files
 from keyweave.operators.rows import Layout, SyncColumns
 from keyweave.operators.sync import sync_multi, sync_reverse
@@ -25,9 +25,10 @@ from keyweave.plans.master_update import (
 )
 from keyweave.plans.mine_terms import MinedTerms, mine_terms
 from keyweave.plans.term_config import TermConfig
+from keyweave.session import materialize
 from keyweave.sources import readers as R
 from keyweave.sources.commits import E_TARGET_SAVE, REPLACED, commit_changed_files, errors_of, replace_by_name
-from keyweave.sources.writers import write_changed_files
+from keyweave.sources.writers import write_changed_files, write_report
 
 
 @dataclass(frozen=True)
@@ -240,6 +241,21 @@ def stats_of_folder(
     return FolderRun(named, read.errors)
 
 
+def stats_report_of_folder(
+    spark: SparkSession, folder: str, *, out: str | None = None, stem: str = "untranslated_stats", mode: str = "chinese_chars", **options
+) -> FolderRun:
+    """The statistics of a folder as a report with totals in its last row; written below ``out`` if it is given.
+
+    A report never replaces an earlier one; ``changed`` has the path of the new one.
+    """
+    run = stats_of_folder(spark, folder, mode=mode, **options)
+    report = report_of(materialize(run.result, "stats"), mode)
+    if out is None:
+        return FolderRun(report, run.errors)
+    path = write_report(report.coalesce(1), out, stem)
+    return FolderRun(report, run.errors, spark.createDataFrame([(path,)], "path string"))
+
+
 def edit_folder(
     spark: SparkSession, folder: str, edit: Callable[..., DataFrame], number: int, out: str, **scan
 ) -> FolderRun:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame
@@ -114,14 +115,19 @@ class MinedTerms:
     def _parts(self) -> DataFrame:
         return materialize(T.components(self._found, self._config), "components")
 
+    @cached_property
+    def state(self) -> DataFrame:
+        """What is kept of a run to add files later: see ``term_state``.  Terms and their files come from it."""
+        return materialize(T.term_state(self._parts), "term-state")
+
     @cached_property
     def terms(self) -> DataFrame:
-        return T.terms(self._parts, self._config.thresholds)
+        return T.terms(self.state, self._config.thresholds)
 
     @cached_property
     def term_files(self) -> DataFrame:
         """(term_type, dedup_key, file): each file of each term."""
-        return T.term_files(self._parts)
+        return T.term_files(self.state)
 
     @cached_property
     def term_keys(self) -> DataFrame:
@@ -189,6 +195,58 @@ class MinedTerms:
         )
 
 
+class MergedTerms:
+    """Terms, their lists and what is to be reviewed, from the stored states of several runs.
+
+    ``states`` and ``keys`` are tables as ``MinedTerms.state`` and ``MinedTerms.term_keys`` give them, however they were
+    stored.  No cell is read again.  The runs need one configuration, and paths that tell their files apart.
+    """
+
+    def __init__(
+        self,
+        states: Sequence[DataFrame],
+        keys: Sequence[DataFrame],
+        config: TermConfig,
+        *,
+        items_per_cell: int = ITEMS_PER_CELL,
+    ):
+        self._config, self._items_per_cell = config, items_per_cell
+        self._states, self._all_keys = list(states), list(keys)
+
+    @cached_property
+    def state(self) -> DataFrame:
+        return materialize(T.merged_state(self._states), "merged-state")
+
+    @cached_property
+    def terms(self) -> DataFrame:
+        return T.terms(self.state, self._config.thresholds)
+
+    @cached_property
+    def term_files(self) -> DataFrame:
+        return T.term_files(self.state)
+
+    @cached_property
+    def term_keys(self) -> DataFrame:
+        return T.merged_keys(self._all_keys)
+
+    @cached_property
+    def _files(self) -> DataFrame:
+        return list_cells(self.term_files, T.TERM, "file", items_per_cell=self._items_per_cell)
+
+    @cached_property
+    def terms_summary(self) -> DataFrame:
+        keys = list_cells(self.term_keys, T.TERM, "key_value", items_per_cell=self._items_per_cell)
+        return T.terms_summary(self.terms, self._files, keys)
+
+    @cached_property
+    def cross_file_terms(self) -> DataFrame:
+        return R.cross_file_terms(self.terms, self._files)
+
+    @cached_property
+    def review(self) -> DataFrame:
+        return T.review_items(self.terms)
+
+
 def mine_terms(cells: DataFrame, config: TermConfig, **options) -> MinedTerms:
     """Extract, normalise, split, group and relate the terms of a cell table."""
     return MinedTerms(cells, config, **options)

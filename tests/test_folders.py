@@ -200,6 +200,22 @@ def test_files_of_one_name_are_counted_apart(spark, tmp_path):
     assert found == [("x", "a.parquet", 1, 1), ("y", "a.parquet", 2, 2)]
 
 
+def test_the_report_of_a_folder_ends_with_its_totals(spark, tmp_path):
+    for name, texts in (("b", ["", "done"]), ("a", ["", ""]), ("x/a", ["done"])):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        spark.createDataFrame([("two words", "m", t) for t in texts], SCHEMA).toPandas().to_parquet(tmp_path / f"{name}.parquet")
+    (tmp_path / "z.parquet").write_bytes(b"no table")
+    run = P.stats_report_of_folder(
+        spark, str(tmp_path), source="key", translation="text", mode="english_words", out=str(tmp_path / "reports")
+    )
+    want = [("a.parquet", 0, 0, 2, 1), ("a.parquet", 4, 2, 4, 2), ("b.parquet", 2, 1, 4, 2), ("z.parquet", 0, 0, 0, 0)]
+    got = [tuple(r) for r in run.result.collect()]
+    assert got[:-1] == want and got[-1][1:] == (6, 3, 10, 5)
+    assert run.errors.count() == 1 and run.result.columns[0] != "file_name"
+    written = spark.read.parquet(run.changed.first().path)
+    assert [tuple(r) for r in written.collect()] == got and written.columns == run.result.columns
+
+
 def test_an_empty_source_file_empties_its_target(spark, folder, tmp_path):
     (tmp_path / "new").mkdir()
     spark.createDataFrame([], SCHEMA).toPandas().astype("string").to_parquet(tmp_path / "new/a.parquet")

@@ -9,11 +9,11 @@ import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
-from keyweave.operators.candidates import candidates, compound_split, header_map, version_counts
+from keyweave.operators.candidates import Extractor, candidates, compound_split, header_map, version_counts
 from keyweave.operators.lists import COUNT, LIST, PART, list_cells
 from keyweave.operators.relations import RELATION_COLUMNS
 from keyweave.operators.sequence import numbered
-from keyweave.plans.mine_terms import mine_terms
+from keyweave.plans.mine_terms import MergedTerms, mine_terms
 from keyweave.plans.term_config import CompoundSplitRule, Normalization, RecordRule, TagSpanRule, TermConfig, term_config
 
 CELLS = "path string, row long, Version string, Key string, source string"
@@ -189,6 +189,65 @@ def test_compound_split(spark):
     assert off.count() == 0
 
 
+def test_compounds_carry_their_rule_and_their_row(spark):
+    table = spark.createDataFrame([("f", 2, " v1 ", " k ", "a·b")], CELLS)
+    got = compound_split(table, CompoundSplitRule("c", ("source",), emit_compound=False, emit_suffix=False), **PLACE).first()
+    assert (got.extractor_type, got.rule_id, got.delimiter) == ("compound_split", "c", "·")
+    assert (got.head, got.suffix, got.compound, got.key_value, got.version_value) == ("a", "b", "a·b", "k", "v1")
+
+
+class Words:
+    """An extractor from outside: every word of a cell."""
+
+    id, extractor_type, source_columns, enabled = "words", "word", ("source", "Key"), True
+
+    def required_columns(self):
+        return set(self.source_columns)
+
+    def texts(self, column, text):
+        return F.split(text(column), " ")
+
+
+def test_own_extractors_share_the_pass_of_the_rules(spark):
+    table = spark.createDataFrame([("f", 2, "v", "name", "one two"), ("f", 3, "v", "x", None)], CELLS)
+    rules = (RecordRule("r", "source", ("name",)), Words())
+    found = candidates(table, rules, **PLACE).orderBy("row", "rule_nr", "column_nr", "match_nr")
+    got = [(r.row, r.extractor_type, r.rule_id, r.col, r.term_raw, r.column_name) for r in found.collect()]
+    assert got == [
+        (2, "record_rule", "r", 3, "one two", "source"),
+        (2, "word", "words", 3, "one", "source"),
+        (2, "word", "words", 3, "two", "source"),
+        (2, "word", "words", 2, "name", "Key"),
+        (3, "word", "words", 2, "x", "Key"),
+    ]
+    assert isinstance(Words(), Extractor) and not isinstance(rules[0], Extractor)
+    mined = mine_terms(table, TermConfig(rules), **PLACE)
+    assert {(r.term_norm, r.cell_raw) for r in mined.details.collect()} >= {("two", "one two"), ("x", "x")}
+    with pytest.raises(ValueError, match="columns not found: Key, source"):
+        candidates(table.drop("Key", "source"), (Words(),), **PLACE)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_states_of_several_runs_give_what_one_run_gives(spark, parts):
+    rng = random.Random(parts)
+    words = ["a", "B", "b", "a·x", "A·x", "c·y ", "long term", "long  term", "7", ""]
+    table = [
+        (f"f{rng.randrange(9)}", i, "v", rng.choice(["name", "other name", "x"]), rng.choice(words)) for i in range(200)
+    ]
+    settings = TermConfig((RecordRule("r", "source", ("name",)),))
+    whole = mine_terms(spark.createDataFrame(table, CELLS), settings, items_per_cell=2, **PLACE)
+    runs = [
+        mine_terms(spark.createDataFrame([r for r in table if int(r[0][1]) % parts == k], CELLS), settings, **PLACE)
+        for k in range(parts)
+    ]
+    merged = MergedTerms([r.state for r in runs], [r.term_keys for r in runs], settings, items_per_cell=2)
+    for name in ("terms", "term_files", "term_keys", "terms_summary", "cross_file_terms", "review"):
+        got, want = (sorted(map(str, getattr(x, name).collect())) for x in (merged, whole))
+        assert got == want and got, name
+    again = MergedTerms([merged.state], [merged.term_keys], settings)
+    assert sorted(map(str, again.terms.collect())) == sorted(map(str, whole.terms.collect()))
+
+
 # --- configuration --------------------------------------------------------------------
 
 
