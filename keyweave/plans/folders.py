@@ -6,9 +6,9 @@ reported in ``errors`` and the others are processed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, replace
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from keyweave.operators.coverage import MEASURES, report_of, untranslated_stats
 from keyweave.operators.replace import Replacement, replace_files
 from keyweave.operators.rows import Layout, SyncColumns
-from keyweave.operators.sync import sync_multi, sync_reverse
+from keyweave.operators.sync import WRITTEN, sync_multi, sync_reverse
+from keyweave.plans.batch import FORWARD, BatchConfig, BatchRun, run_batch
 from keyweave.plans.master_update import (
     MasterUpdate,
     UpdatePolicies,
@@ -27,8 +28,17 @@ from keyweave.plans.mine_terms import MinedTerms, mine_terms
 from keyweave.plans.term_config import TermConfig
 from keyweave.session import materialize
 from keyweave.sources import readers as R
-from keyweave.sources.commits import E_TARGET_SAVE, REPLACED, commit_changed_files, errors_of, replace_by_name
-from keyweave.sources.writers import write_changed_files, write_report
+from keyweave.sources.commits import (
+    E_TARGET_SAVE,
+    FAILED,
+    LOG,
+    REPLACED,
+    commit_changed_files,
+    commit_written_rows,
+    errors_of,
+    replace_by_name,
+)
+from keyweave.sources.writers import path_exists, write_changed_files, write_report
 
 
 @dataclass(frozen=True)
@@ -50,6 +60,7 @@ def sync_folder(
     master_order: Sequence[str],
     out: str | None = None,
     in_place: bool = False,
+    state: str | None = None,
     fill_blank_only: bool = False,
     allow_blank_write: bool = False,
     **scan,
@@ -58,12 +69,21 @@ def sync_folder(
 
     Changed files are written to ``out``, another folder, or ``in_place``: then each Parquet file is exchanged on its
     own, with its cells as text, and one that cannot be written is an error row and keeps its content.
+
+    ``state`` is a folder for the files that are done, in place: their length and time of change, and a digest of the master and of
+    what is asked.  A later run with the same digest reads none of them until they change.
     """
     if out and in_place:
         raise ValueError("changed files go to another folder or stay in their places, not both")
+    if state and not in_place:
+        raise ValueError("only files that are synced in their places have a state")
     if out:
         _check_apart(folder, out)
-    read = R.scan_folder(spark, folder, error_code=R.E_TARGET_READ, **scan)
+    digest, done = None, None
+    if state:
+        digest = _digest(master, source, target, master_order, fill_blank_only, allow_blank_write)
+        done = _done_files(spark, state, digest)
+    read = R.scan_folder(spark, folder, error_code=R.E_TARGET_READ, done=done, **scan)
 
     def synced(rows: DataFrame) -> DataFrame:
         return sync_multi(
@@ -78,29 +98,104 @@ def sync_folder(
         )
 
     if in_place:
-        return _committed(read, synced)
+        run = _committed(spark, read, synced)
+        if state:
+            _keep_done(run, read, folder, state, digest)
+        return run
     result = synced(read.rows)
     return FolderRun(result, read.errors, write_changed_files(result, out, file=R.FILE) if out else None)
 
 
-def _committed(read: R.FolderScan, synced: Callable[[DataFrame], DataFrame]) -> FolderRun:
+def _digest(master: DataFrame, source: SyncColumns, target: SyncColumns, order: Sequence[str], *flags: bool) -> str:
+    """A number for the rows of a master, in whatever order they are stored, and for what is asked of it."""
+    columns = list(dict.fromkeys([*order, source.key, source.match, *source.values]))
+    row = F.xxhash64(*(F.col(f"`{c}`") for c in columns if c in master.columns))
+    sums = master.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("sum")).first()
+    return f"{sums['n']} {sums['sum']} {source} {target} {tuple(order)} {flags}"
+
+
+def _done_files(spark: SparkSession, state: str, digest: str) -> DataFrame:
+    if not path_exists(spark, state):
+        return spark.createDataFrame([], _DONE).drop("digest")
+    return spark.read.schema(_DONE).parquet(state).where(F.col("digest") == digest).drop("digest").distinct()
+
+
+_DONE = "path string, length bigint, modified timestamp, digest string"
+
+
+def _keep_done(run: FolderRun, read: R.FolderScan, folder: str, state: str, digest: str) -> None:
+    """Add the files that were read, and written if they had to be, as they are now."""
+    failed = run.errors.select("path").withColumn("path", R._same_form(F.col("path")))
+    now = R.list_files(read.files.sparkSession, folder, ("",))
+    now = now.withColumn("_form", R._same_form(F.col("path")))
+    read_well = read.files.select(F.col("path").alias("_form")).join(failed.withColumnRenamed("path", "_form"), "_form", "left_anti")
+    rows = now.join(read_well, "_form", "left_semi").select("path", "length", "modified", F.lit(digest).alias("digest"))
+    rows.coalesce(1).write.mode("append").parquet(state)
+
+
+def _committed(spark: SparkSession, read: R.FolderScan, synced: Callable[[DataFrame], DataFrame]) -> FolderRun:
     """Exchange the files of a scan that ``synced`` changes; ``result`` is the log of the exchanges.
 
     Files of each schema are written apart, so that none gets a column of another one.
     """
-    changed, logs = [], []
-    for table in read.tables:
-        counts, log = commit_changed_files(table, synced, file=R.FILE, row=R.ROW, service=R.SERVICE)
-        changed.append(counts)
-        logs.append(log)
-    log, counts = reduce(DataFrame.unionByName, logs), reduce(DataFrame.unionByName, changed)
-    written = log.where(F.col("status") != "failed").select(F.col("path").alias(R.FILE))
+    place = {"file": R.FILE, "row": R.ROW, "service": R.SERVICE}
+    return _exchanged(spark, read, [commit_changed_files(table, synced, **place) for table in read.tables])
+
+
+def _exchanged(spark: SparkSession, read: R.FolderScan, commits: Sequence[tuple[DataFrame, DataFrame]]) -> FolderRun:
+    none = (spark.createDataFrame([], f"{R.FILE} string, {WRITTEN} bigint"), spark.createDataFrame([], LOG))
+    counts, log = (reduce(DataFrame.unionByName, tables) for tables in zip(none, *commits))
+    written = log.where(F.col("status") != FAILED).select(F.col("path").alias(R.FILE))
     failed = errors_of(log, E_TARGET_SAVE)
     return FolderRun(
         log, read.errors.unionByName(failed, allowMissingColumns=True), counts.join(written, R.FILE, "left_semi")
     )
 
 
+@dataclass(frozen=True)
+class FolderBatch:
+    """A batch of forward jobs on folders: results per job, and per job the files written and the errors."""
+
+    run: BatchRun
+    folders: dict[int, FolderRun]
+
+
+def batch_on_folders(
+    spark: SparkSession,
+    config: BatchConfig,
+    master: DataFrame,
+    folders: Mapping[str, str],
+    *,
+    master_order: Sequence[str],
+    **scan,
+) -> FolderBatch:
+    """Run the jobs of a batch on the folders their targets name: forward jobs exchange the files that they change.
+
+    All jobs are one plan.  A folder that cannot be read fails its job; a file that cannot be read or written is an
+    error of its job.  After a reverse batch the new master is in ``run``; its folders are only read.
+    """
+    reads: dict[str, R.FolderScan] = {}
+
+    def opened(name: str) -> DataFrame:
+        if name not in reads:
+            reads[name] = R.scan_folder(spark, folders[name], error_code=R.E_TARGET_READ, **scan)
+        rows = reads[name].rows
+        return rows if config.mode == FORWARD else R.order_by_path(rows)
+
+    order = [R.FILE, R.ROW] if config.mode == FORWARD else R.FOLDER_ORDER
+    targets = {job.target: partial(opened, job.target) for job in config.jobs if job.target in folders}
+    run = run_batch(config, master, targets, master_order=master_order, target_order=order)
+    done: dict[int, FolderRun] = {}
+    for number, rows in run.outputs.items():
+        read, commits = reads[config.jobs[number - 1].target], []
+        for table in read.tables:
+            own = rows.join(table.select(R.FILE).distinct(), R.FILE, "left_semi")
+            own = own.select(*(F.col(f"`{c}`") for c in (*table.columns, WRITTEN)))
+            commits.append(commit_written_rows(own, file=R.FILE, row=R.ROW, service=R.SERVICE))
+        done[number] = _exchanged(spark, read, commits)
+    return FolderBatch(run, done)
+
+
 def _check_apart(folder: str, out: str) -> None:
     """A folder cannot be rewritten while it is read."""
     one, other = R._plain_path(folder) + "/", R._plain_path(out) + "/"

@@ -159,8 +159,7 @@ def commit_changed_files(
     holds the paths of Parquet files, ``row`` the order of the rows; columns in ``service`` are not written.  A file is
     one file again, written by one task as a stream.
     """
-    counts = synced(targets).groupBy(file).agg(F.sum(WRITTEN).alias(WRITTEN)).where(F.col(WRITTEN) > 0)
-    changed = materialize(counts, "changed-files")
+    changed = materialize(_changed(synced(targets), file), "changed-files")
     if changed.isEmpty():
         return changed, targets.sparkSession.createDataFrame([], LOG)
     rows = synced(inner_join_unique(targets, changed.select(file), [file]))
@@ -168,6 +167,17 @@ def commit_changed_files(
     return changed, exchange_files(pairs, "committed-files")
 
 
+def commit_written_rows(
+    rows: DataFrame, *, file: str, row: str, service: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """The same for a stored result: exchange the files in which ``rows`` counts a written cell."""
+    return commit_changed_files(rows, lambda some: some, file=file, row=row, service=service)
+
+
+def _changed(rows: DataFrame, file: str) -> DataFrame:
+    return rows.groupBy(file).agg(F.sum(WRITTEN).alias(WRITTEN)).where(F.col(WRITTEN) > 0)
+
+
 def replace_by_name(
     spark: SparkSession, targets: DataFrame, sources: DataFrame
 ) -> tuple[DataFrame, DataFrame]:

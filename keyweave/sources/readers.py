@@ -47,12 +47,17 @@ def list_files(
     include_temp_files: bool = False,
     case_sensitive: bool = False,
 ) -> DataFrame:
-    """``path`` and ``file_name`` of the files below a folder; the contents are not read."""
+    """``path``, ``file_name``, ``length`` and ``modified`` of the files below a folder; the contents are not read."""
     files = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(folder)
-        .select("path", F.element_at(F.split("path", "/"), -1).alias("file_name"))
+        .select(
+            "path",
+            F.element_at(F.split("path", "/"), -1).alias("file_name"),
+            "length",
+            F.col("modificationTime").alias("modified"),
+        )
     )
     name = F.col("file_name") if case_sensitive else F.lower("file_name")
     wanted = F.lit(False)
@@ -225,6 +230,7 @@ def scan_folder(
     whole: bool = False,
     options: Mapping[str, str] | None = None,
     most_listed: int = 100_000,
+    done: DataFrame | None = None,
 ) -> FolderScan:
     """Read the files of a folder; a file that cannot be read gives an error row, not a failure.
 
@@ -233,6 +239,8 @@ def scan_folder(
     theirs in the column ``row``.  ``required`` are header names every file must have, in
     any case; ``exclude`` are paths to leave out, such as the master itself.
 
+    ``done`` are files (path, length, modified) to leave out as long as they are as they were then.
+
     The files are a table: what each holds, what is wrong with it.  Spark's readers want their paths on the driver.  Beyond
     ``most_listed`` files, Parquet and ORC files are read in tasks from the table instead, one task a file, and only what differs per
     schema comes to the driver.
@@ -244,6 +252,8 @@ def scan_folder(
     ).filter(is_configured(F.col("file_name"), tokens))
     if left_out := [_plain_path(p) for p in exclude]:
         listed = listed.where(~_without_scheme(F.col("path")).isin(left_out))
+    if done is not None:
+        listed = listed.join(done, ["path", "length", "modified"], "left_anti")
     probed = materialize(
         probe_files(listed, kind, whole=whole, options=options).withColumn("schema", F.xxhash64("columns", "types")),
         "probed-files",
@@ -261,7 +271,7 @@ def scan_folder(
     good, bad = judged.where("message is null"), judged.where("message is not null")
     failed = F.col("message").isNotNull()
     counts = judged.agg(F.count_if(~failed).alias("good"), F.count_if(failed).alias("bad")).first()
-    if not counts["good"]:
+    if not counts["good"] and done is None:
         raise ValueError(f"{folder} has no file that can be read")
 
     reader = spark.read.format(kind).options(**({"header": "true"} if kind == "csv" else {}), **(options or {}))

@@ -8,6 +8,7 @@ from helpers import rows
 
 from keyweave.operators.rows import SyncColumns
 from keyweave.plans import folders as P
+from keyweave.plans.batch import FORWARD, REVERSE, BatchConfig, BatchJob
 from keyweave.sources import commits as C
 from keyweave.sources import readers as R
 
@@ -79,6 +80,64 @@ def test_a_second_run_writes_nothing(spark, folder):
     assert tree(folder) == before
 
 
+def garbage_of_same_size(path):
+    """Break a file in a way that only reading it tells."""
+    stat = path.stat()
+    path.write_bytes(b"?" * stat.st_size)
+    os.utime(path, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+
+
+def test_files_that_are_done_are_not_read_again(spark, folder, tmp_path):
+    state = str(tmp_path / "state")
+    first, second = master_of(spark, (2, "K1", "M1", "new")), master_of(spark, (2, "K1", "M1", "newer"))
+    run = sync(spark, folder, first, state=state)
+    assert {r["file_name"] for r in run.errors.collect()} == {"broken.parquet"}
+    for name in ("sub/B.parquet", "wide.parquet"):
+        garbage_of_same_size(folder / name)
+    before = tree(folder)
+    again = sync(spark, folder, first.repartition(3), state=state)
+    assert tree(folder) == before and again.result.count() == 0 and again.changed.count() == 0
+    assert {r["file_name"] for r in again.errors.collect()} == {"broken.parquet"}
+    # Another master, or other rules: all files count again.
+    other = sync(spark, folder, second, state=state)
+    assert {r["file_name"] for r in other.errors.collect()} == {"broken.parquet", "B.parquet", "wide.parquet"}
+    assert pd.read_parquet(folder / "a.parquet")["text"].tolist() == ["newer", "mine"]
+    # A changed file is read again, the others are not.
+    put(folder / "sub/B.parquet", [("K1", "M1", "x")])
+    garbage_of_same_size(folder / "a.parquet")
+    last = sync(spark, folder, second, state=state)
+    assert pd.read_parquet(folder / "sub/B.parquet")["text"].tolist() == ["newer"]
+    assert {r["file_name"] for r in last.errors.collect()} == {"broken.parquet", "wide.parquet"}
+    with pytest.raises(ValueError, match="state"):
+        P.sync_folder(spark, first, COLUMNS, str(folder), COLUMNS, master_order=["row"], state=state)
+
+
+def test_batch_jobs_write_the_files_of_their_folders(spark, folder, tmp_path):
+    put(tmp_path / "u/a.parquet", [("K1", "M1", "old"), ("K9", "M9", "")])
+    put(tmp_path / "u/same.parquet", [("K8", "M8", "kept")])
+    schema = "row long, key string, match string, fr string, es string"
+    master = spark.createDataFrame([(2, "K1", "M1", "F", "E"), (3, "K2", "M2", "F2", "E2")], schema)
+    jobs = (BatchJob("t", "fr"), BatchJob("none", "fr"), BatchJob("u", "es"), BatchJob("u", 99))
+    config = BatchConfig(FORWARD, COLUMNS, "key", "match", jobs)
+    before = tree(tmp_path / "u")
+    folders = {"t": str(folder), "u": str(tmp_path / "u"), "none": str(tmp_path / "nowhere")}
+    batch = P.batch_on_folders(spark, config, master, folders, master_order=["row"])
+    assert [r[2:4] for r in batch.run.results] == [("success", 2), ("failed", 0), ("success", 1), ("failed", 0)]
+    assert pd.read_parquet(folder / "a.parquet")["text"].tolist() == ["F", "mine"]
+    assert pd.read_parquet(folder / "wide.parquet").values.tolist() == [["1", "K2", "M2", "F2"]]
+    assert pd.read_parquet(tmp_path / "u/a.parquet")["text"].tolist() == ["E", ""]
+    after = tree(tmp_path / "u")
+    assert after["same.parquet"] == before["same.parquet"]
+    assert {n: sorted(os.path.basename(r[R.FILE]) for r in f.changed.collect()) for n, f in batch.folders.items()} == {
+        1: ["a.parquet", "wide.parquet"],
+        3: ["a.parquet"],
+    }
+    assert [r["file_name"] for r in batch.folders[1].errors.collect()] == ["broken.parquet"]
+    back = BatchConfig(REVERSE, COLUMNS, "key", "match", (BatchJob("u", "fr"), BatchJob("t", "es")))
+    run = P.batch_on_folders(spark, back, master, folders, master_order=["row"]).run
+    assert rows(run.master.select("fr", "es"), "row") == [("E", "F"), ("F2", "F2")] and tree(tmp_path / "u") == after
+
+
 def test_no_two_places_for_the_result(spark, folder, tmp_path):
     with pytest.raises(ValueError, match="not both"):
         sync(spark, folder, master_of(spark, (2, "K1", "M1", "new")), out=str(tmp_path / "out"))
