@@ -354,7 +354,11 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of ``docs`` that match no benchmark item, with the columns they came with."""
+    """The rows of ``docs`` that match no benchmark item, with the columns they came with.
+
+    NULL and empty texts hold no item and stay.  Repeated rows stay or go together; an empty table stays empty, and an
+    empty benchmark leaves all rows.
+    """
     settings = settings or Settings()
     whole = docs.select(F.struct("*").alias("_row"), _key(F.col("doc_id"), F.col("text")).alias("key"))
     found = matches(whole.select("key", F.col("_row.text").alias("text")), benchmark, settings)

@@ -79,8 +79,10 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
 def _sample(docs: DataFrame, settings: Settings) -> DataFrame:
     """A bounded sample of labelled rows (text, lang, draw), by a hash of the row."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"), 3, 1))
-    sizes = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(settings.most_languages)
+    sizes = labelled.groupBy("lang").count().orderBy("lang").limit(settings.most_languages + 1)
     sizes = {row["lang"]: row["count"] for row in sizes.collect()}
+    if len(sizes) > settings.most_languages:
+        raise ValueError(f"lang has more than {settings.most_languages} values; none is left out, so raise most_languages")
     if not sizes:
         return labelled.select("text", "lang", F.lit(0.0).alias("draw"))
     each = settings.sample_rows / len(sizes)
@@ -220,7 +222,11 @@ def languages_of_documents(docs: DataFrame, settings: Settings | None = None) ->
 
 
 def identified(docs: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is not rejected, with the columns they came with."""
+    """The rows of ``docs`` whose language is not rejected, with the columns they came with.
+
+    NULL, empty and letterless texts have no language and go.  Repeated rows stay or go together; an empty table
+    stays empty, and without any labelled row every text goes.
+    """
     model = trained(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "lang"), settings)
     whole = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
     return predicted(whole, model, ["_row"], "_text").where("not rejected").select("_row.*")

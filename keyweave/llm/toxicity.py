@@ -43,9 +43,9 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Settings:
     margin: float = 3.0
     threshold: float = 0.3
-    #: One labelled row in so many sets the curve and is not counted.
+    #: One labelled row in so many at most sets the curve and is not counted.
     curve_part: int = 5
-    #: Rows that the curve is fitted on at most.
+    #: Rows that the curve is fitted on, about; all others are counted.
     curve_rows: int = 20_000
     most_broadcast: int = 2_000_000
     most_broadcast_labels: int = 2_000_000
@@ -86,8 +86,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, settings: Settings) -> DataFra
     return rows.where(~held_out(F.col("doc_id"))).join(known, "doc_id")
 
 
-def _for_curve(settings: Settings) -> Column:
-    return F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(settings.curve_part)) == 0
+def _for_curve(settings: Settings, n_rows: int) -> Column:
+    """The rows that set the curve, of ``n_rows``: one in ``curve_part``, or fewer if that is more than ``curve_rows``."""
+    part = max(settings.curve_part, -(-n_rows // settings.curve_rows))
+    return F.pmod(F.xxhash64(F.lit("curve"), "doc_id"), F.lit(part)) == 0
 
 
 def _beginnings(rows: DataFrame, most_words: int = 80_000) -> DataFrame:
@@ -319,11 +321,13 @@ def trained(docs: DataFrame, labels: DataFrame, settings: Settings | None = None
     """The models of the labelled rows of ``docs`` that are not held out."""
     settings = settings or Settings()
     rows = _labelled(docs, labels, settings)
-    table = lexicon(rows.where(~_for_curve(settings)), settings.margin)
+    for_curve = _for_curve(settings, rows.count())
+    table = lexicon(rows.where(~for_curve), settings.margin)
     model = Model(table, table.count() <= settings.most_broadcast, 0.0, 0.0)
-    unseen = _evidence(rows.where(_for_curve(settings)), model, ["doc_id", "toxic"], settings)
-    drawn = unseen.orderBy(F.xxhash64(F.lit("drawn"), "doc_id"), "toxic", "evidence").limit(settings.curve_rows)
-    seen = drawn.select("toxic", "evidence").toArrow()  # curve_rows at most
+    unseen = _evidence(rows.where(for_curve), model, ["doc_id", "toxic"], settings)
+    # About curve_rows by the draw; the limit only meets floods of rows with one doc_id.
+    drawn = unseen.orderBy(F.xxhash64(F.lit("drawn"), "doc_id"), "toxic", "evidence").limit(2 * settings.curve_rows)
+    seen = drawn.select("toxic", "evidence").toArrow()
     slope, shift = _curve(seen.column("evidence").to_numpy(), seen.column("toxic").to_numpy().astype(float))
     return Model(table, model.broadcast, slope, shift)
 

@@ -173,6 +173,20 @@ def test_word_scores_equal_the_plain_ones(spark):
         assert scores[word] == pytest.approx(plain_ratio(counts, word, 0.2)), word
 
 
+def test_more_labelled_rows_than_the_curve_needs_are_counted(spark):
+    rows = spark.range(4000).selectExpr("id AS doc_id")
+    for n, share in ((100, 1 / 5), (4000, 1 / 5), (1_000_000, 20_000 / 1_000_000)):
+        drawn = rows.where(toxicity._for_curve(toxicity.Settings(), n)).count()
+        assert abs(drawn / 4000 - share) < 0.03
+
+
+def test_more_languages_than_the_model_holds_are_an_error(spark):
+    docs = documents(spark, [(i, f"text {i}") for i in range(40)]).withColumn("lang", F.concat(F.lit("l"), F.col("doc_id") % 9))
+    with pytest.raises(ValueError, match="more than 3 values"):
+        langid.trained(docs, langid.Settings(most_languages=3))
+    assert langid.identified(docs.limit(0)).collect() == []
+
+
 def test_toxicity_without_rows_or_labels(spark):
     docs, labels = toxic_tables(spark)
     assert toxicity.toxicity_of_documents(docs.limit(0), labels).count() == 0

@@ -88,6 +88,27 @@ def test_packing_stage_covers_every_document(stages):
     assert all(r["n"] == r["all"] for r in whole)
 
 
+def test_stages_take_any_rows(spark):
+    """NULL in any column, repeated rows, very long texts, columns with clashing names, and no rows at all."""
+    import corpus_pipeline as p
+
+    docs = p.table(spark, FOLDER, "documents").limit(60)
+    odd = [(None, docs.first()["text"], None, None, None), (70_007, None, "en", "s", 0), (70_007, "", None, "s", 0), (70_008, "1 2 3 " * 40, "en", "s", 1)]
+    long_text = " ".join(r["text"] for r in docs.collect())
+    odd += [(70_009, long_text, "en", "s", 1)] * 2
+    mixed = docs.union(spark.createDataFrame(odd, docs.schema))
+    mixed = mixed.withColumns({c: F.lit(i) for i, c in enumerate(["fp", "key", "_row", "hash", "class", "kept", "score", "rejected", "length"])})
+    for rows in (mixed, mixed.limit(0)):
+        for name, stage in p.STAGES[:-1]:
+            kept = p.materialize(stage(spark, rows, FOLDER), "odd")
+            assert kept.schema.names == mixed.columns, name
+            assert kept.exceptAll(rows).count() == 0, name
+            rows = kept
+        packed = p.STAGES[-1][1](spark, rows, FOLDER)
+        assert packed.count() >= rows.count()
+        assert rows.where("doc_id = 70009").count() <= 1 and rows.where("doc_id in (70007, 70008)").count() == 0
+
+
 def test_run_gives_what_the_stages_give(spark, stages):
     import corpus_pipeline
 
