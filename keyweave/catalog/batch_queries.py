@@ -7,6 +7,7 @@ meet the orders under another identity.
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,12 @@ def _reverse(spark: SparkSession, folder: str, run=run_batch) -> DataFrame | Bat
     )
 
 
+def _restored(spark: SparkSession, folder: str) -> DataFrame:
+    """The orders as the first of three jobs left them, from what the later ones replaced."""
+    run = _reverse(spark, folder, partial(run_batch, keep_changes=True))
+    return run.before(2, ["o_orderkey"])
+
+
 def _rekeyed(spark: SparkSession, folder: str) -> DataFrame:
     """Every line says whether the order is open or shipped, by its supplier."""
     status = F.when(F.col("l_suppkey") % 3 == 0, "O").when(F.col("l_suppkey") % 3 == 1, "F").otherwise("P")
@@ -172,6 +179,9 @@ SELECT '{FORWARD}' AS mode, CAST(3 AS BIGINT) AS jobs_total, CAST(1 AS BIGINT) A
        CAST(1 AS BIGINT) AS jobs_failed, CAST(sum(cells_written) AS BIGINT) AS updated_total, TRUE AS stopped_early
 FROM batch WHERE job_index = 1""",
     ),
+    "master_restored": Query(
+        _restored, f"{REVERSE_SQL} SELECT o_orderkey, o_orderstatus, o_orderpriority, o_note FROM master1"
+    ),
     "batch_reverse_rekeyed": Query(
         _rekeyed,
         f"""{_reverse_sql(_REKEYING_COLUMNS, _REKEYING_FILES,

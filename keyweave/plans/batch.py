@@ -8,6 +8,9 @@ jobs.  How many cells each job wrote is counted while the result is written.
 A reverse job may write the key or the match text.  Then a row goes on under another identity: only the rows
 that have a new one meet the winners again, for the jobs that are left.
 
+With ``keep_changes`` a reverse batch keeps what every job replaced: a row per cell and job, from the pass that writes the
+master.  The master before any of the jobs comes back from these rows (``restored``), without a copy of it.
+
 Should the plan fail on the way (a file that breaks off), the jobs run one by one, to tell which.
 """
 
@@ -123,10 +126,15 @@ class BatchRun:
     outputs: dict[int, DataFrame] = field(default_factory=dict)
     stopped_early: bool = False
     backup_path: str = ""
+    changes: list[DataFrame] = field(default_factory=list)
 
     def results_table(self) -> DataFrame:
         return self.master.sparkSession.createDataFrame(self.results, RESULT_SCHEMA)
 
+    def before(self, job: int, place: Sequence[str]) -> DataFrame:
+        """The master as it was before a job of this batch; needs ``keep_changes``.  ``place`` tells its rows apart."""
+        return restored(self.master, self.changes, job, place)
+
     def summary_table(self) -> DataFrame:
         results = self.results_table()
         failed = (F.col("status") == "failed").cast("bigint")
@@ -182,12 +190,13 @@ def run_batch(
     master_order: Sequence[str],
     target_order: Sequence[str],
     backup_of: str | None = None,
+    keep_changes: bool = False,
 ) -> BatchRun:
     """Run the jobs; results per job, what forward jobs made of their targets, and the master after reverse jobs.
 
     A failed job leaves nothing behind; with ``continue_on_error`` the others run as if it were not there, else
     those before it do.  ``elapsed_ms`` is the time of the plan that the job was part of.  ``backup_of`` is the path of
-    the master; a copy of it is kept before a reverse batch.
+    the master; a copy of it is kept before a reverse batch.  With ``keep_changes``, ``master_order`` tells master rows apart.
     """
     config.check()
     if missing := [j.target for j in config.jobs if j.target not in targets]:
@@ -195,7 +204,7 @@ def run_batch(
     run = BatchRun(config.mode, len(config.jobs), master)
     if config.mode == REVERSE and backup_of:
         run.backup_path = snapshot(master, backup_of)
-    orders = {"master_order": master_order, "target_order": target_order}
+    orders = {"master_order": master_order, "target_order": target_order, "keep_changes": keep_changes}
     ready: list[_Job] = []
     outcomes: dict[int, tuple[str, int, str, int]] = {}
     for number in range(1, len(config.jobs) + 1):
@@ -229,7 +238,13 @@ def run_batch(
 
 
 def _run_together(
-    config: BatchConfig, run: BatchRun, jobs: Sequence[_Job], *, master_order: Sequence[str], target_order: Sequence[str]
+    config: BatchConfig,
+    run: BatchRun,
+    jobs: Sequence[_Job],
+    *,
+    master_order: Sequence[str],
+    target_order: Sequence[str],
+    keep_changes: bool,
 ) -> dict[int, int]:
     """Run some jobs as one plan, keep what they made in ``run``; the cells that each of them wrote."""
     seen = Observation("cells by job")
@@ -237,7 +252,7 @@ def _run_together(
         result = _forward_plan(config, run.master, jobs, master_order, target_order)
         flags = {j.number: F.when(F.col("job_index") == j.number, F.col(WRITTEN)) for j in jobs}
     else:
-        result = _reverse_plan(config, run.master, jobs, master_order, target_order)
+        result = _reverse_plan(config, run.master, jobs, master_order, target_order, keep_changes)
         flags = {j.number: F.col(_write(j)).cast("bigint") for j in jobs}
     sums = [F.coalesce(F.sum(flag), F.lit(0)).alias(f"job_{number}") for number, flag in flags.items()]
     stored = materialize(result.observe(seen, *sums), "jobs")
@@ -248,6 +263,10 @@ def _run_together(
             run.outputs[job.number] = stored.where(F.col("job_index") == job.number).select(*own)
     else:
         run.master = stored.select(*map(column_of, run.master.columns))
+        if keep_changes:
+            place = map(column_of, master_order)
+            changes = stored.where(F.size(_CHANGES) > 0).select(*place, F.inline(_CHANGES))
+            run.changes.append(materialize(changes, "changes"))
     return counts
 
 
@@ -344,8 +363,38 @@ def _winners(config: BatchConfig, jobs: Sequence[_Job], target_order: Sequence[s
     )
 
 
+_CHANGES = "_changes"
+
+
+def restored(master: DataFrame, changes: Sequence[DataFrame], job: int, place: Sequence[str]) -> DataFrame:
+    """The master as it was before ``job``, from the rows after all jobs and what jobs replaced.
+
+    ``changes`` has a row per cell that a job wrote: the columns ``place``, job, column and old.  The oldest text that this
+    job or a later one replaced is what a cell had before.
+    """
+    if not changes:
+        return master
+    later = reduce(DataFrame.unionByName, changes).where(F.col("job") >= job)
+    cells = later.groupBy(*place, "column").agg(F.min_by("old", "job").alias("old"))
+    entries = F.map_from_entries(F.collect_list(F.struct("column", "old")))  # as many as the master has columns
+    rows = left_join_unique(master, cells.groupBy(*place).agg(entries.alias("_old")), place, place)
+    written = {r["column"] for r in later.select("column").distinct().collect()}
+    before = [
+        F.when(F.map_contains_key("_old", F.lit(c)), F.element_at("_old", F.lit(c))).otherwise(column_of(c)).alias(c)
+        if c in written
+        else column_of(c)
+        for c in master.columns
+    ]
+    return rows.select(*before)
+
+
 def _reverse_plan(
-    config: BatchConfig, master: DataFrame, jobs: Sequence[_Job], master_order: Sequence[str], target_order: Sequence[str]
+    config: BatchConfig,
+    master: DataFrame,
+    jobs: Sequence[_Job],
+    master_order: Sequence[str],
+    target_order: Sequence[str],
+    keep_changes: bool = False,
 ) -> DataFrame:
     """The master with the cells of all jobs, and per job whether it wrote a cell of the row."""
     parts = {config.master_key, config.master_match}
@@ -363,10 +412,13 @@ def _reverse_plan(
     texts = {c: nullable_text_of(master, c) for c in written}
     identified = with_identity(master, config.master_key, config.master_match).withColumns(texts)
     rows = left_join_unique(identified, winners, [ID], master_order)
+    if keep_changes:
+        none = F.array().cast("array<struct<job: int, column: string, old: string>>")
+        rows = rows.withColumn(_CHANGES, none)
     waiting = list(jobs)
     for segment in segments:
         for job in segment:
-            rows = _folded(config, rows, job)
+            rows = _folded(config, rows, job, keep_changes)
             waiting.remove(job)
         rows = rows.drop(*map(_new, segment))
         if waiting:
@@ -374,13 +426,19 @@ def _reverse_plan(
     return rows.drop(ID)
 
 
-def _folded(config: BatchConfig, rows: DataFrame, job: _Job) -> DataFrame:
+def _folded(config: BatchConfig, rows: DataFrame, job: _Job, keep_changes: bool = False) -> DataFrame:
     """One job more: its value goes into the cell, if the rules allow it."""
     write = F.col(_new(job)).isNotNull()
     if config.fill_blank_only:
         write = write & is_blank(column_of(job.column))
     cell = F.when(F.col(_write(job)), F.col(_new(job))).otherwise(column_of(job.column))
-    return rows.withColumn(_write(job), write).withColumn(job.column, cell)
+    rows = rows.withColumn(_write(job), write)
+    if keep_changes:
+        change = F.struct(
+            F.lit(job.number).alias("job"), F.lit(job.column).alias("column"), column_of(job.column).alias("old")
+        )
+        rows = rows.withColumn(_CHANGES, F.when(F.col(_write(job)), F.array_append(_CHANGES, change)).otherwise(F.col(_CHANGES)))
+    return rows.withColumn(job.column, cell)
 
 
 def _rekeyed(

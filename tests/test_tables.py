@@ -173,6 +173,20 @@ def test_reverse_jobs_give_what_a_fold_gives(spark, fill, columns):
         assert together.agg({"cells_written": "sum"}).first()[0] == sum(counts)
 
 
+@pytest.mark.parametrize("columns", [("fr", "es", "fr", "es"), ("fr", "key", "es", "match")])
+def test_the_master_before_any_job_comes_back(spark, columns):
+    master, named = random_tables(random.Random(len(set(columns))))
+    jobs = [BatchJob(t, c) for t, c in zip(["one", "two", "three", "one"], columns)]
+    frame = spark.createDataFrame(master, MASTER_SCHEMA)
+    run = run_batch(batch(REVERSE, jobs), frame, tables(spark, **named), keep_changes=True, **ORDERS)
+    for job in range(1, 6):
+        want, _ = folded(master, named, jobs[: job - 1], False, False)
+        assert rows(run.before(job, ["row"]), "row") == want
+    assert sum(c.count() for c in run.changes) == sum(r[3] for r in run.results)
+    plain = run_batch(batch(REVERSE, jobs), frame, tables(spark, **named), **ORDERS)
+    assert plain.changes == [] and rows(plain.before(1, ["row"]), "row") == rows(plain.master, "row")
+
+
 def test_one_scan_of_the_master_for_all_jobs(spark):
     master = spark.createDataFrame([(2, "K", "M", "F", "E")], MASTER_SCHEMA)
     targets = tables(spark, one=[("a", 2, "K", "M", "x")], two=[("b", 2, "K", "M", "")])
