@@ -57,3 +57,56 @@ def test_rows_stay_where_they_are_when_a_shard_has_room(spark):
 
 def test_empty_table(spark):
     assert sharding.shards_of_documents(documents(spark, [])).count() == 0
+
+
+def walked_by_document(rows, places, shards):
+    """Every document by itself: its place on the ring, then clockwise to the next shard with room, all in step.
+
+    rows: (key, crc, size, doc_id) of each document; places: (hash, shard), clockwise.
+    """
+    total = len(rows)
+    room = [total // shards + (s < total % shards) for s in range(shards)]
+    held, waiting = defaultdict(list), []
+    arcs = [[] for _ in places]
+    for row in sorted(rows, key=lambda r: (r[0], r[1], r[2], r[3] is not None, r[3] or 0)):
+        arcs[sum(place < row[0] for place, _ in places) % len(places)].append(row)
+    bounds = [place for place, _ in places]
+    # Those past the last place come before those at the beginning of the ring.
+    arcs[0].sort(key=lambda r: r[0] <= bounds[-1])
+    for at, (_, shard) in enumerate(places):
+        fits = room[shard] - len(held[shard])
+        held[shard] += arcs[at][:fits]
+        if arcs[at][fits:]:
+            waiting.append((at, arcs[at][fits:]))
+    while waiting:
+        at, rest = waiting.pop(0)
+        while len(held[places[at][1]]) >= room[places[at][1]]:
+            at = (at + 1) % len(places)
+        shard = places[at][1]
+        fits = room[shard] - len(held[shard])
+        held[shard] += rest[:fits]
+        if rest[fits:]:
+            waiting.append((at, rest[fits:]))
+    return {shard: sorted(rows, key=str) for shard, rows in held.items() if rows}
+
+
+@pytest.mark.parametrize("shards, points", [(3, 2), (5, 8)])
+def test_shards_equal_a_walk_of_single_documents(spark, shards, points):
+    rng = random.Random(shards)
+    texts = ["same"] * 120 + [f"t{rng.randrange(150)}" for _ in range(300)] + [None, ""]
+    docs = documents(spark, texts)
+    keys = {r["doc_id"]: r["key"] for r in docs.selectExpr("doc_id", "xxhash64(coalesce(text, '')) AS key").collect()}
+    places = sorted(tuple(r) for r in sharding.ring(spark, shards, points).collect())
+    rows = [(keys[i], zlib.crc32((t or "").encode()), len((t or "").encode()) + 16, i) for i, t in enumerate(texts)]
+    got = defaultdict(list)
+    for r in sharding.sharded(docs, shards, points).collect():
+        got[r["shard"]].append((keys[r["doc_id"]], r["text_crc32"], r["size"], r["doc_id"]))
+    assert {s: sorted(x, key=str) for s, x in got.items()} == walked_by_document(rows, places, shards)
+
+
+def test_one_more_shard_moves_few_rows(spark):
+    docs = documents(spark, [f"text {i}" for i in range(3000)])
+    before, after = ({r["doc_id"]: r["shard"] for r in sharding.sharded(docs, n).collect()} for n in (20, 21))
+    changed = [i for i in before if before[i] != after[i]]
+    between_old = [i for i in changed if after[i] != 20]
+    assert len(changed) < 0.15 * len(before) and len(between_old) < 0.08 * len(before)
