@@ -4,10 +4,11 @@ import random
 
 import pytest
 from helpers import rows
+from pyspark.sql import functions as F
 
 from keyweave.operators.columns import clear_column, delete_column, insert_column
 from keyweave.operators.coverage import TOTAL_LABEL, untranslated_stats, untranslated_stats_with_totals, untranslated_summary
-from keyweave.operators.diff import diff_tables
+from keyweave.operators.diff import diff_cells, diff_tables, differing_blocks
 from keyweave.operators.replace import replace_files
 from keyweave.operators.rows import SyncColumns
 from keyweave.plans.batch import FORWARD, REVERSE, BatchConfig, BatchJob, forward_jobs, reverse_jobs, run_batch
@@ -66,6 +67,32 @@ def test_diff_is_row_major_and_limited(spark):
     assert diff_tables(left, left, row="row").count() == 0
 
 
+def test_equal_blocks_stop_at_their_digest(spark):
+    """Only rows of blocks with a difference are compared by cell; texts that swap columns or rows are found."""
+    left = spark.range(1, 1000).selectExpr("id AS row", "concat('t', id) AS x", "IF(id % 7 = 0, NULL, 'y') AS y")
+    right = left.withColumn("x", F.when(F.col("row") == 250, "other").otherwise(F.col("x")))
+    swapped = left.select("row", F.when(F.col("row") == 701, F.col("y")).otherwise(F.col("x")).alias("x"), F.when(F.col("row") == 701, F.col("x")).otherwise(F.col("y")).alias("y"))
+    moved = left.withColumn("row", F.when(F.col("row") == 40, 41).when(F.col("row") == 41, 40).otherwise(F.col("row")))
+    blocks = lambda other: sorted(r[0] for r in differing_blocks(left, other, row="row", block_rows=100).collect())
+    assert [blocks(x) for x in (left, right, swapped, moved)] == [[], [2], [7], [0]]
+    assert blocks(left.where("row <> 350")) == [3] and blocks(left.withColumn("z", F.lit(None).cast("string"))) == []
+    found = diff_cells(left, right, row="row", block_rows=100)
+    assert rows(found) == [(250, 1, "t250", "other")]
+    compared = found._jdf.queryExecution().optimizedPlan().toString()
+    assert compared.count("LeftSemi") == 2
+    rng = random.Random(8)
+    for _ in range(3):
+        tables = [
+            [(i, rng.choice("ab "), rng.choice(["c", None])) for i in range(60) if rng.random() > 0.05] for _ in range(2)
+        ]
+        e, a = (spark.createDataFrame(t, "row int, x string, y string") for t in tables)
+        want, held = [], [{r[0]: r[1:] for r in t} for t in tables]
+        for i in range(60):
+            one, other = (h.get(i, (None, None)) for h in held)
+            want += [(i, c + 1, one[c], other[c]) for c in range(2) if one[c] != other[c]]
+        assert rows(diff_cells(e, a, row="row", block_rows=7), "row", "col") == want
+
+
 # --- batches --------------------------------------------------------------------------
 
 TARGET = SyncColumns("key", "match", ("text",))
