@@ -56,8 +56,8 @@ _MOST_FAST = 9_000_000_000
 @dataclass(frozen=True)
 class Settings:
     least_documents: int = 10
-    #: Bytes of the prefixes of the first level; each level doubles them.
-    first_bytes: int = 6
+    #: Bytes of the prefixes of the first level; each level doubles them.  Shorter terms, most words, are counted at once.
+    first_bytes: int = 12
     #: The table of kept prefixes has 2 to this power bits.
     table_bits: int = 26
     #: Counts that a task holds before it hands them on.
