@@ -16,6 +16,8 @@ from keyweave.operators.rows import nullable_text_of
 from keyweave.session import materialize
 
 BLOCK_ROWS = 4096
+#: Differing blocks up to so many are broadcast; with more of them all rows are compared.
+MOST_BROADCAST = 1_000_000
 
 
 def _cells(df: DataFrame, row: str, service: Sequence[str], side: str) -> tuple[DataFrame, list[Column]]:
@@ -82,8 +84,12 @@ def diff_cells(
             )
         )
 
+    few = blocks.count() <= MOST_BROADCAST
+
     def of_blocks(rows: DataFrame) -> DataFrame:
-        return rows.withColumn("block", _block(block_rows)).join(blocks, "block", "left_semi").drop("block")
+        if not few:
+            return rows
+        return rows.withColumn("block", _block(block_rows)).join(F.broadcast(blocks), "block", "left_semi").drop("block")
 
     pairs = of_blocks(left).join(of_blocks(right), "row", "full_outer")
     return pairs.select("row", F.inline(F.array_compact(F.array(*differing))))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from keyweave.operators.columns import clear_column, delete_column, insert_column
 from keyweave.operators.coverage import TOTAL_LABEL, untranslated_stats, untranslated_stats_with_totals, untranslated_summary
+from keyweave.operators import diff
 from keyweave.operators.diff import diff_cells, diff_tables, differing_blocks
 from keyweave.operators.replace import replace_files
 from keyweave.operators.rows import SyncColumns
@@ -67,7 +68,7 @@ def test_diff_is_row_major_and_limited(spark):
     assert diff_tables(left, left, row="row").count() == 0
 
 
-def test_equal_blocks_stop_at_their_digest(spark):
+def test_equal_blocks_stop_at_their_digest(spark, monkeypatch):
     """Only rows of blocks with a difference are compared by cell; texts that swap columns or rows are found."""
     left = spark.range(1, 1000).selectExpr("id AS row", "concat('t', id) AS x", "IF(id % 7 = 0, NULL, 'y') AS y")
     right = left.withColumn("x", F.when(F.col("row") == 250, "other").otherwise(F.col("x")))
@@ -81,7 +82,8 @@ def test_equal_blocks_stop_at_their_digest(spark):
     compared = found._jdf.queryExecution().optimizedPlan().toString()
     assert compared.count("LeftSemi") == 2
     rng = random.Random(8)
-    for _ in range(3):
+    for most in (0, 10, 10):
+        monkeypatch.setattr(diff, "MOST_BROADCAST", most)
         tables = [
             [(i, rng.choice("ab "), rng.choice(["c", None])) for i in range(60) if rng.random() > 0.05] for _ in range(2)
         ]
