@@ -218,3 +218,44 @@ def test_exchange_of_single_files(spark, tmp_path):
     assert rows(log.select("status", "stage"), "status") == [(C.FAILED, C.LOAD), (C.REPLACED, None)]
     assert (tmp_path / "made").stat().st_size == 3 << 20 and (tmp_path / "kept").read_bytes() == b"kept"
     assert C.exchange_files(spark.createDataFrame([], "path string, source string")).count() == 0
+
+
+def test_a_large_file_is_sorted_by_many_tasks(spark, tmp_path, monkeypatch):
+    """No task sorts a whole file; the pieces are one file again, in order, with Spark's types, and the same bytes each time."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(C, "_RANGE_ROWS", 100)
+    monkeypatch.setattr(C, "_BLOCK_ROWS", 64)
+    monkeypatch.setattr(C, "_GROUP_BYTES", 5_000)
+    put_together, pieces_seen = C._put_together, spark.sparkContext.accumulator(0)
+
+    def counted(pieces, path, kind):
+        pieces_seen.add(len(pieces))
+        put_together(pieces, path, kind)
+
+    monkeypatch.setattr(C, "_put_together", counted)
+    time = F.timestamp_micros(F.col("id") * 1_000_003 + 5)
+    table = spark.range(3000).select(
+        F.concat(F.lit(f"{tmp_path}/w/"), F.when(F.col("id") % 10 > 0, "large").otherwise("small"), F.lit(".parquet")).alias("file"),
+        "id",
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("text "), "id")).alias("text"),
+        (F.col("id") / 7).cast("decimal(12,3)").alias("exact"),
+        F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("day"),
+        time.alias("time"),
+        time.cast("timestamp_ntz").alias("clock"),
+        F.array(time, F.lit(None)).alias("times"),
+        F.struct(F.lit(None).cast("int").alias("none"), time.alias("time")).alias("both"),
+        F.create_map(F.lit("k"), "id").alias("of"),
+        F.lit(None).cast("string").alias("never"),
+    )
+    log = C.write_files(table.repartition(5, F.rand(1)), file="file", row=["id"]).collect()
+    assert [r["status"] for r in log] == [C.REPLACED] * 2 and pieces_seen.value >= 30
+    before = tree(tmp_path / "w")
+    for name, condition in (("large", "id % 10 > 0"), ("small", "id % 10 = 0")):
+        found = spark.read.parquet(f"{tmp_path}/w/{name}.parquet")
+        want = table.where(condition).drop("file")
+        assert found.dtypes == want.dtypes
+        assert found.collect() == want.orderBy("id").collect()
+        assert found.inputFiles() and len(found.inputFiles()) == 1
+    again = C.write_files(table.repartition(3, F.rand(2)), file="file", row=["id"]).collect()
+    assert [r["status"] for r in again] == [C.UNCHANGED] * 2 and tree(tmp_path / "w") == before
