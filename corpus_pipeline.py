@@ -27,7 +27,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each group of near copies (five-word similarity of 0.8 or more) stays."""
+    """One document of each group of near copies (five-word similarity of 0.8 or more) stays: by SimHash, then by the rest."""
     return simhash.one_of_each_group(docs)
 
 

@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from keyweave.llm import similar
 from keyweave.llm.columns import travels_with_the_job
 from keyweave.llm.components import connected
 from keyweave.llm.similar import similar_links, text_key
@@ -114,7 +115,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 
     Every pair in a cell that is not crowded is a link if verified; a crowded cell gives stars.
     """
-    cells = distinct.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
+    # A fingerprint has eight bytes and 33 entries, so few and small files would give few and large tasks.
+    dealt = distinct.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cells = dealt.select("fp", F.explode(grid_cells(F.col("fp"))).alias("cell"))
     filled = materialize(
         cells.groupBy("cell")
         .agg(F.count("*").alias("n"), F.min("fp").alias("low"), F.max("fp").alias("high"))
@@ -178,11 +181,28 @@ def _with_component(
     return left_join_unique(stored, labels, ["fp"], ["fp"])
 
 
+def near_prints(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
+    """Pairs (a, b) of texts by ``fp``, their ``text_key``, that a star or a link of fingerprints joins.
+
+    Texts of one fingerprint are paired with the first of them, and the first ones as ``fingerprint_links`` gives them.
+    """
+    prints = fingerprints(texts.withColumnRenamed("fp", "node"), ["node"], words=words)
+    prints = materialize(prints.dropDuplicates(["node"]), "prints")
+    firsts = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
+    pairs = fingerprint_links(firsts.select("fp"))
+    for end in ("a", "b"):
+        of_end = firsts.select(F.col("fp").alias(end), F.col("first").alias(f"first_{end}"))
+        pairs = inner_join_unique(pairs, of_end, [end])
+    same = inner_join_unique(prints, firsts, ["fp"]).where("node <> first")
+    return same.select(F.col("node").alias("a"), F.col("first").alias("b")).union(pairs.select("first_a", "first_b"))
+
+
 def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` without near-duplicates: of each component one row stays.
 
-    Here the rule is that of the stages, not that of the query: texts whose five-word shingles
-    have a Jaccard similarity of 0.8 or more are linked (``similar_links``).  The row with the smallest
+    Here the rule is that of the stages, not that of the query: texts whose five-word shingles have a Jaccard similarity
+    of 0.8 or more are linked.  Texts whose fingerprints over these shingles are within two bits come first
+    (``near_prints``) and are compared exactly; ``similar_links`` adds all other pairs.  The row with the smallest
     doc_id stays; rows without doc_id come last, and among rows with one doc_id a hash of the whole
     row decides.  The columns are those of ``docs``.
     """
@@ -209,7 +229,11 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     )
     key = F.struct("absent", "id", "hash")
     winners = (
-        _with_component(stored.withColumn("key", key), F.min("key"), lambda _: similar_links(texts))
+        _with_component(
+            stored.withColumn("key", key),
+            F.min("key"),
+            lambda _: similar_links(texts, near_prints(texts, similar.SHINGLE_WORDS)),
+        )
         .where(F.col("key") == F.col("chosen"))
         .groupBy("absent", "id", "hash")
         .agg(F.count("*").alias("copies"))

@@ -226,11 +226,23 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def similar_links(docs: DataFrame) -> DataFrame:
+def _across(pairs: DataFrame, group: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are not in one group (fp, group) already."""
+    for end in ("a", "b"):
+        of_end = group.select(F.col("fp").alias(end), F.col("group").alias(f"group_{end}"))
+        pairs = left_join_unique(pairs, of_end, [end], [end])
+    return pairs.where(F.coalesce(F.col("group_a") != F.col("group_b"), F.lit(True))).select("a", "b")
+
+
+def similar_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     """Links (a, b) whose closure is that of all pairs of ``fp`` with a similarity of 0.8.
 
-    ``docs`` has text and fp, its ``text_key``; rows may repeat.
+    ``docs`` has text and fp, its ``text_key``; rows may repeat.  ``candidates`` are pairs (a, b) to verify first; pairs
+    that these link, directly or not, are not compared again.
     """
+    known = _verified(candidates, docs)
+    linked = connected(known).select(F.col("node").alias("fp"), F.col("component").alias("group"))
+    linked = materialize(linked, "linked")
     cells = materialize(_cells(docs), "cells")
     shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     shared = materialize(shared.select("cell"), "shared")
@@ -247,7 +259,7 @@ def similar_links(docs: DataFrame) -> DataFrame:
     ends = (F.least("a.fp", "b.fp").alias("a"), F.greatest("a.fp", "b.fp").alias("b"))
     pairs = pairs.where(_can_reach("a", "b")).select(*ends, n)
     if crowded.isEmpty():
-        return _verified(_often_met(pairs, None), docs)
+        return known.union(_verified(_across(_often_met(pairs, None), linked), docs))
 
     crowd = materialize(_those_in(entries, crowded, "cell"), "crowd")
     in_crowds = materialize(crowd.select("fp").distinct(), "in-crowds")
@@ -255,7 +267,7 @@ def similar_links(docs: DataFrame) -> DataFrame:
     chosen = crowd.groupBy("cell").agg(F.min(F.struct("at", "fp", "n")).alias("b"))
     stars = inner_join_unique(crowd.select("cell", text.alias("a")), chosen, ["cell"]).where(_can_reach("a", "b"))
     stars = stars.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    first = _verified(pairs.union(stars), docs)
+    first = known.union(_verified(_across(pairs.union(stars), linked), docs))
     group = connected(first).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     grouped = materialize(
         left_join_unique(crowd, group, ["fp"], ["fp"]).select(

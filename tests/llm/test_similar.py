@@ -63,3 +63,33 @@ def test_edited_copies_go_that_fingerprints_miss(spark):
     prints = [simhash.fingerprint(t) for t in texts]
     assert any((prints[0] ^ p).bit_count() > simhash.MOST_BITS for p in prints)
     assert [r["doc_id"] for r in simhash.one_of_each_group(documents(spark, texts)).collect()] == [0]
+
+
+def test_fingerprints_find_copies_first(spark, monkeypatch):
+    """Near copies within two bits go by their fingerprints alone; those that only look alike to a fingerprint stay."""
+    rng = random.Random(4)
+    base = [f"w{i}" for i in range(1500)]
+    near = next(t for t in (" ".join(edited(rng, base, 1)) for _ in range(1000)) if within(t, " ".join(base)))
+    far = " ".join(edited(rng, base, 25))
+    loud = "x " * 800
+    texts = [" ".join(base), near, far, " ".join(base).upper(), loud, loud + " ".join(f"own{i}" for i in range(300))]
+    assert not within(far, texts[0]) and within(loud, texts[5])
+    none = spark.createDataFrame([], "cell bigint, fp bigint, n int, at int")
+    with monkeypatch.context() as patch:
+        patch.setattr(similar, "_cells", lambda docs: none)
+        assert kept_of(spark, texts) == {0, 2, 4, 5}
+    assert kept_of(spark, texts) == plain_kept(list(enumerate(texts))) == {0, 4, 5}
+
+
+def within(a, b):
+    return (simhash.fingerprint(a, 5) ^ simhash.fingerprint(b, 5)).bit_count() <= simhash.MOST_BITS
+
+
+def kept_of(spark, texts):
+    return {r["doc_id"] for r in simhash.one_of_each_group(documents(spark, texts)).collect()}
+
+
+def test_linked_texts_are_not_compared_again(spark):
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5), (6, 1), (2, 1)], "a bigint, b bigint")
+    group = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "fp bigint, group bigint")
+    assert sorted(map(tuple, similar._across(pairs, group).collect())) == [(1, 3), (4, 5), (6, 1)]
