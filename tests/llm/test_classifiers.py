@@ -2,7 +2,9 @@
 
 import random
 import re
+import tracemalloc
 
+import numpy as np
 import pytest
 from llm_helpers import crc, documents, lower_ascii
 from pyspark.sql import functions as F
@@ -62,6 +64,32 @@ def test_language_without_rows_or_labels(spark):
     assert {(r["lang_pred"], r["score"]) for r in got} == {("und", 0.0)}
 
 
+def test_examples_are_the_gram_counts_of_the_sample_in_order(spark):
+    texts = ["ka lo " * 300, "zha", "é ñu", "a" * 70_000, "12", "mi"]
+    drawn = [("yy" if i % 2 else "xx", i / 10, text) for i, text in enumerate(texts)]
+    sample = spark.createDataFrame([(text, lang, draw) for lang, draw, text in reversed(drawn)], "text string, lang string, draw double")
+    with langid._features(sample, langid.Settings(sample_rows=4, rows_at_once=2)) as got:
+        plain = [(lang, langid.gram_counts(text)) for lang, _, text in sorted(drawn) if text != "12"]
+        assert got.langs == [lang for lang, _ in plain] and len(got) == len(plain)
+        for i, (lang, counts) in enumerate(plain):
+            found, at, weights = got[i]
+            assert found == lang and at.tolist() == np.flatnonzero(counts).tolist()
+            assert weights.tolist() == (counts[at] / counts.sum()).astype("f4").tolist()
+
+
+def test_the_sample_is_never_whole_in_the_drivers_memory(spark):
+    text = "array_join(transform(sequence(1, 2000), i -> sha2(concat(id, '-', i), 256)), '')"
+    docs = spark.range(240).selectExpr("id AS doc_id", f"{text} AS text", "IF(id % 2 = 0, 'xx', 'yy') AS lang")
+    tracemalloc.start()
+    try:
+        assert langid.trained(docs, langid.Settings(epochs=1)).languages == ("xx", "yy")
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # 160 rows of almost all 32,768 buckets; in memory at 8 bytes each they take 40 MB.
+    assert peak < 20e6
+
+
 BAD = ["grumbul", "snarkel", "frobnik"]
 
 
