@@ -157,7 +157,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     are linked like any other.  Repeated rows are repeated.
     """
     rows = fingerprints(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), ["doc_id"])
-    stored = materialize(rows, "fingerprints")
+    stored = materialize(rows, "fingerprints", similar.BATCH_BYTES)
     return _with_component(stored, F.min("doc_id"), fingerprint_links).select(
         "doc_id",
         F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
@@ -187,7 +187,7 @@ def near_prints(texts: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
     Texts of one fingerprint are paired with the first of them, and the first ones as ``fingerprint_links`` gives them.
     """
     prints = fingerprints(texts.withColumnRenamed("fp", "node"), ["node"], words=words)
-    prints = materialize(prints.dropDuplicates(["node"]), "prints")
+    prints = materialize(prints.dropDuplicates(["node"]), "prints", similar.BATCH_BYTES)
     firsts = materialize(prints.groupBy("fp").agg(F.min("node").alias("first")), "firsts")
     pairs = fingerprint_links(firsts.select("fp"))
     for end in ("a", "b"):

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from keyweave.llm.columns import ASCII_SPACE, travels_with_the_job
 from keyweave.llm.components import connected
 from keyweave.operators.joins import inner_join_unique, left_join_unique
-from keyweave.session import materialize, release
+from keyweave.session import materialize, release, small_batches
 
 travels_with_the_job(__name__)
 
@@ -43,6 +43,8 @@ SHINGLE_WORDS = 5
 CROWDED = 32
 #: Numbers of 64 bits in the fingerprint that bounds the difference of two texts.
 PARITY_WORDS = 64
+#: Bytes of a batch of texts or cells for a Python worker, about.
+BATCH_BYTES = 2 << 20
 #: Documents that the order of the shingles is counted on, about.
 ORDER_DOCS = 10_000
 #: A shingle of so many sampled documents is frequent.
@@ -81,7 +83,8 @@ def _frequent(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     one_in = max(1, docs.count() // ORDER_DOCS)
     some = docs.where(F.pmod(F.xxhash64("fp"), F.lit(one_in)) == 0).dropDuplicates(["fp"]).select("text")
     counted = some.mapInArrow(of_batches, "cell bigint").groupBy("cell").count().where(F.col("count") >= FREQUENT)
-    found = counted.toArrow()
+    with small_batches(docs.sparkSession, BATCH_BYTES):
+        found = counted.toArrow()
     cells, counts = found.column("cell").to_numpy(), found.column("count").to_numpy()
     order = np.argsort(cells)
     return cells[order], counts[order]
@@ -215,13 +218,13 @@ def _verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
         return rows
 
     once = materialize(pairs.where("a <> b").select(*ends).distinct(), "pairs")
-    parities = materialize(_parities(rows_of(once)).dropDuplicates(["fp"]), "parities")
+    parities = materialize(_parities(rows_of(once)).dropDuplicates(["fp"]), "parities", BATCH_BYTES)
     flips = F.zip_with("bits_a", "bits_b", lambda a, b: F.bit_count(a.bitwiseXOR(b)))
     differing = F.aggregate(flips, F.lit(0), lambda total, n: total + n)
     near = joined(once, parities, "n", "bits").where(9 * differing <= F.col("n_a") + F.col("n_b")).select("a", "b")
     near = materialize(near, "near")
     texts = rows_of(near).dropDuplicates(["fp"])
-    found = materialize(_alike(joined(near, texts, "text")), "similar")
+    found = materialize(_alike(joined(near, texts, "text")), "similar", BATCH_BYTES)
     release(once, parities, near)
     return found
 
@@ -243,10 +246,10 @@ def similar_links(docs: DataFrame, candidates: DataFrame) -> DataFrame:
     known = _verified(candidates, docs)
     linked = connected(known).select(F.col("node").alias("fp"), F.col("component").alias("group"))
     linked = materialize(linked, "linked")
-    cells = materialize(_cells(docs), "cells")
+    cells = materialize(_cells(docs), "cells", BATCH_BYTES)
     shared = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     shared = materialize(shared.select("cell"), "shared")
-    entries = materialize(_in_shared_cells(cells, shared).distinct(), "entries")
+    entries = materialize(_in_shared_cells(cells, shared).distinct(), "entries", BATCH_BYTES)
     release(cells, shared)
 
     crowded = materialize(entries.groupBy("cell").count().where(F.col("count") > CROWDED), "crowded")

@@ -93,3 +93,30 @@ def test_linked_texts_are_not_compared_again(spark):
     pairs = spark.createDataFrame([(1, 2), (1, 3), (4, 5), (6, 1), (2, 1)], "a bigint, b bigint")
     group = spark.createDataFrame([(1, 1), (2, 1), (3, 3), (4, 3)], "fp bigint, group bigint")
     assert sorted(map(tuple, similar._across(pairs, group).collect())) == [(1, 3), (4, 5), (6, 1)]
+
+
+def test_batches_for_python_are_small(spark, monkeypatch):
+    """A batch of the stage has a bound in bytes, whatever the number of its rows."""
+    monkeypatch.setattr(similar, "BATCH_BYTES", 10_000, raising=False)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(edited(rng, base, rng.randrange(9))) for _ in range(24)]
+    docs, setting = documents(spark, texts).coalesce(1), "spark.sql.execution.arrow.maxBytesPerBatch"
+    plain, before = type(docs).mapInArrow, spark.conf.get(setting)
+
+    def watched(self, func, schema):
+        def of_batches(batches):
+            def small():
+                for batch in batches:
+                    assert batch.nbytes < 20_000, batch.nbytes
+                    yield batch
+
+            return func(small())
+
+        return plain(self, of_batches, schema)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", watched)
+    kept = {r["doc_id"] for r in simhash.one_of_each_group(docs).collect()}
+    simhash.near_duplicates(docs).collect()
+    assert kept == plain_kept(list(enumerate(texts)))
+    assert spark.conf.get(setting) == before
